@@ -120,7 +120,7 @@ def search_forest(
 
     tasks = [(i, fold) for i in range(len(points)) for fold in range(folds)]
     with ThreadPool(parallelism) as pool:
-        rows = pool.map(inheritable_thread_target(run), tasks)
+        rows = pool.map(inheritable_thread_target(df.sparkSession)(run), tasks)
     spark = df.sparkSession
     scores = spark.createDataFrame(rows, "point int, fold int, test double, train double")
     listed = spark.createDataFrame(

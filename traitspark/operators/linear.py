@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -20,6 +19,10 @@ from .sampling import CV_FOLDS, SPLIT_SEED, fold_rows
 
 KINDS = ("ols", "lasso", "ridge", "enet", "pls")
 MAX_SWEEPS = 10_000
+# Largest step of a sweep, relative to the label moments, at which descent stops.
+TOLERANCE = 1e-10
+# Up to this many p x p solves stay on the driver; more become Spark tasks.
+LOCAL_SOLVES = 400
 
 
 def default_grid(kind: str, n_features: int = 1) -> list[dict]:
@@ -50,8 +53,7 @@ def solve(
     elif kind == "ridge":
         coef = np.linalg.solve(sxx + params["alpha"] * np.eye(len(sxy)), sxy)
     elif kind in ("lasso", "enet"):
-        l1 = 1.0 if kind == "lasso" else params["l1_ratio"]
-        coef = _descend(sxx / m.n, sxy / m.n, params["alpha"] * l1, params["alpha"] * (1 - l1), start)
+        coef = _penalised(m, kind, [params], start)[0]
     elif kind == "pls":
         coef = _partial_least_squares(sxx, sxy, m.n, params["n_components"])
     else:
@@ -59,25 +61,38 @@ def solve(
     return m.intercept(coef), coef
 
 
-def _descend(c: np.ndarray, s: np.ndarray, l1: float, l2: float, start) -> np.ndarray:
-    """Cyclic coordinate descent on the moment matrix."""
-    b = np.zeros(len(s)) if start is None else start.copy()
+def _penalised(m: Moments, kind: str, points: Sequence[Mapping], start=None) -> np.ndarray:
+    """Coefficients of several lasso or elastic-net points on the same moments."""
+    sxx, sxy, _ = m.centred()
+    alpha = np.array([p["alpha"] for p in points])
+    l1 = np.array([1.0 if kind == "lasso" else p["l1_ratio"] for p in points])
+    return _descend(sxx / m.n, sxy / m.n, alpha * l1, alpha * (1 - l1), start)
+
+
+def _descend(c: np.ndarray, s: np.ndarray, l1: np.ndarray, l2: np.ndarray, start) -> np.ndarray:
+    """Cyclic coordinate descent on the moment matrix, one row per penalty pair.
+
+    Rows that have settled drop out of the sweeps.
+    """
+    b = np.zeros((len(l1), len(s))) if start is None else np.array(start, float).reshape(len(l1), -1)
     diag = np.diag(c)
-    slope = s - c @ b
-    scale = max(float(np.abs(s).max(initial=0.0)), 1e-300)
+    small = TOLERANCE * max(float(np.abs(s).max(initial=0.0)), 1e-300)
+    live = np.arange(len(l1))
     for _ in range(MAX_SWEEPS):
-        change = 0.0
+        w, a1, a2 = b[live], l1[live], l2[live]
+        slope = s - w @ c
+        change = np.zeros(len(live))
         for j in range(len(s)):
-            if diag[j] + l2 <= 0.0:
+            if diag[j] <= 0.0:
                 continue
-            rho = slope[j] + diag[j] * b[j]
-            new = math.copysign(max(abs(rho) - l1, 0.0), rho) / (diag[j] + l2)
-            step = new - b[j]
-            if step != 0.0:
-                slope -= c[:, j] * step
-                b[j] = new
-                change = max(change, abs(step) * diag[j])
-        if change <= 1e-13 * scale:
+            rho = slope[:, j] + diag[j] * w[:, j]
+            step = np.copysign(np.maximum(np.abs(rho) - a1, 0.0), rho) / (diag[j] + a2) - w[:, j]
+            slope -= step[:, None] * c[j]
+            w[:, j] += step
+            change = np.maximum(change, np.abs(step) * diag[j])
+        b[live] = w
+        live = live[change > small]
+        if not len(live):
             break
     return b
 
@@ -170,9 +185,9 @@ def search_linear(
     """Cross-validated grid search and refit on all rows.
 
     One scan gives the moments of every fold; training moments are total minus
-    fold. The grid points are then solved from p x p numbers as Spark tasks,
-    one task per fold and penalty path, warm-started from the strongest
-    penalty down.
+    fold. The grid points are then solved from p x p numbers, one Spark task
+    per fold (or on the driver for a small grid), warm-started from the
+    strongest penalty down.
     """
     name = name or kind
     grid = [dict(g) for g in (grid if grid is not None else default_grid(kind, len(features)))]
@@ -192,29 +207,43 @@ def search_linear(
 def _cv_scores(
     spark: SparkSession, kind: str, grid: list[dict], by_fold: dict[int, Moments], total: Moments, name: str
 ) -> DataFrame:
-    # one path per fold and mixing ratio, strongest penalty first
-    order = sorted(range(len(grid)), key=lambda i: (grid[i].get("l1_ratio", 0.0), -grid[i].get("alpha", 0.0)))
-    paths = [
-        (fold, list(points))
-        for fold in by_fold
-        for _, points in itertools.groupby(order, key=lambda i: grid[i].get("l1_ratio", 0.0))
+    # one task per fold; along it, equal penalties are solved together and the
+    # next weaker penalty starts from their result
+    ladder = [
+        list(points)
+        for _, points in itertools.groupby(
+            sorted(range(len(grid)), key=lambda i: -grid[i].get("alpha", 0.0)),
+            key=lambda i: grid[i].get("alpha", 0.0),
+        )
     ]
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for fold, points in zip(frame["fold"], frame["points"]):
+            for fold in frame["fold"]:
                 test = by_fold[int(fold)]
                 train = total - test
-                coef = None
-                for point in points:
-                    b0, coef = solve(kind, train, grid[int(point)], coef)
-                    rows.append((int(fold), int(point), test.r2(b0, coef), train.r2(b0, coef)))
+                start = None
+                for points in ladder:
+                    if kind in ("lasso", "enet"):
+                        if start is not None and len(start) != len(points):
+                            start = None
+                        start = _penalised(train, kind, [grid[p] for p in points], start)
+                        solved = [(train.intercept(c), c) for c in start]
+                    else:
+                        solved = [solve(kind, train, grid[p]) for p in points]
+                    for point, (b0, coef) in zip(points, solved):
+                        rows.append((int(fold), point, test.r2(b0, coef), train.r2(b0, coef)))
             yield pd.DataFrame(rows, columns=["fold", "point", "test", "train"])
 
-    tasks = spark.createDataFrame(paths, "fold long, points array<int>")
-    tasks = tasks.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)))
-    scores = tasks.mapInPandas(score, "fold long, point int, test double, train double")
+    folds = pd.DataFrame({"fold": [int(f) for f in by_fold]})
+    if len(grid) * len(folds) <= LOCAL_SOLVES:
+        solved = pd.concat(score(iter([folds])))
+    else:
+        tasks = spark.createDataFrame(folds, "fold long").repartition(len(folds), "fold")
+        # one row per fold and grid point
+        solved = tasks.mapInPandas(score, "fold long, point int, test double, train double").toPandas()
+    scores = spark.createDataFrame(solved, "fold long, point int, test double, train double")
     table = scores.groupBy("point").agg(
         F.avg("test").alias("mean_test_score"),
         F.stddev_pop("test").alias("std_test_score"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import normal, salted_md5
 from ..functions.special import chi2_even_tail
+from ..session import materialise
 from .linear import LinearFit, solve
 from .metrics import rejection_rate
 from .moments import Moments, column_means, moment_table
@@ -468,7 +469,12 @@ def guarded_samples(
 def control_rates(
     tests: DataFrame, by: Sequence[str], alpha: float = ALPHA
 ) -> DataFrame:
-    """Adjust the sample p-values within each group and give the rejected share."""
+    """Adjust the sample p-values within each group and give the rejected share.
+
+    The tests (one row per sample) are written out first, because the
+    adjustment reads them several times.
+    """
+    tests = materialise(tests, "tests")
     return rejection_rate(adjust_p_values(tests, group=by, alpha=alpha), by)
 
 
@@ -511,8 +517,12 @@ def importance_shards(
 def merge_shards(
     shards: DataFrame, group: Sequence[str] = ("model",), feature: str = "feature", alpha: float = ALPHA
 ) -> DataFrame:
-    """Combine the samples of each feature and adjust over the features of a model."""
-    combined = fisher_combine(shards, [*group, feature])
+    """Combine the samples of each feature and adjust over the features of a model.
+
+    The combined table is written out, because the adjustment reads it several
+    times.
+    """
+    combined = materialise(fisher_combine(shards, [*group, feature]), "combined")
     return adjust_p_values(
         combined.withColumnRenamed("p_combined", "p_value"), group=group, alpha=alpha
     ).withColumnRenamed("p_value", "p_combined")

@@ -1,4 +1,4 @@
 """Registered queries over the driver tables."""
 
-from . import exploring, ingest  # noqa: F401
+from . import exploring, ingest, modelling, testing  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

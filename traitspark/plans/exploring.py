@@ -69,7 +69,7 @@ def order_chromosomes(spark, sf):
 
 @query(
     "one_hot_vector",
-    f"""with {_NOMINAL_SQL} select coalesce(a1, '-') as a1, count(*) as n_rows, {sql_rnd('sum(case when a1 is null then 1.0 else 2.0 end)')} as n_flags
+    f"""with {_NOMINAL_SQL} select coalesce(a1, '-') as a1, count(*) as n_rows, {sql_rnd('sum(case when a1 is null then 1.0::double else 2.0::double end)')} as n_flags
     from nm group by 1""",
 )
 def one_hot_vector(spark, sf):
