@@ -69,3 +69,31 @@ def residue(seed, *keys) -> Column:
 def draw_limit(fraction: float) -> int:
     """Residues below this limit are drawn."""
     return int(fraction * PRIME)
+
+
+# Steps that separate the repeats of one group (multipliers of classic
+# congruential generators).
+_STEP_A, _STEP_B = 48271, 16807
+
+
+def fifth_power(x):
+    """``x**5`` modulo :data:`PRIME`, a one-to-one map; columns or integer arrays below it.
+
+    Every product stays below 2**62.
+    """
+    square = (x * x) % PRIME
+    return ((square * square) % PRIME * x) % PRIME
+
+
+def place_order(h, tie, group, turn):
+    """Sort key that puts the rows of a group in the order of one turn.
+
+    ``h`` and ``tie`` are two integers from the row key's hash, ``group`` one
+    from the group's hash. A turn is an affine map of ``h`` with constants of
+    its own, followed by the fifth power; rows with equal ``h`` are told apart
+    by ``tie``. The same arithmetic serves columns and numpy arrays, so both
+    give the same permutation.
+    """
+    a = fifth_power((group + turn * _STEP_A + 1) % PRIME) % (PRIME - 1) + 1
+    b = fifth_power((group + turn * _STEP_B + 2) % PRIME)
+    return fifth_power((h * a + b) % PRIME) * 4294967296 + tie

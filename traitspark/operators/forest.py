@@ -109,7 +109,9 @@ def search_forest(
     a time. Rows are scored by folds in one aggregate per fit.
     """
     points = draw_points(grid or GRID, n_iter, seed)
-    data = fold_rows(df, key, folds, seed, "_fold").select("_fold", label, *features).persist()
+    # every fit scans the rows many times: spread them evenly once
+    data = fold_rows(df, key, folds, seed, "_fold").repartition(*key)
+    data = data.select("_fold", label, *features).persist()
 
     def run(task):
         i, fold = task

@@ -3,18 +3,20 @@
 Scores of a linear prediction under a permutation need one cross product per
 repeat: all other sums do not change. Rows are paired by rank: the row at
 place i of a fixed order meets the row at place i of the repeat's own order.
-Ranks come from hash buckets, so a sample may be larger than one task.
+A sample that fits a task is permuted there; ranks of a larger one come from
+hash buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import normal, salted_md5
+from ..functions.hashing import PRIME, hex_int, normal, place_order, residue, salted_md5
 from ..functions.special import chi2_even_tail
 from ..session import materialise
 from .linear import LinearFit, solve
@@ -30,17 +32,33 @@ ALPHA = 0.05
 SCORE_DIGITS = 9
 
 
-def _fixed_order(df: DataFrame, group: Sequence[str], key: Sequence[str], seed) -> DataFrame:
-    hashed = df.withColumn("_hash", salted_md5(f"{seed}:order", *group, *key))
-    return hash_rank(hashed, "_hash", group, "_place").drop("_hash")
+# Rows of a group up to which its permutations run on arrays in one task;
+# larger groups are ranked across tasks.
+BLOCK_ROWS = 500_000
 
 
-def _repeat_order(
-    df: DataFrame, group: Sequence[str], key: Sequence[str], first: int, last: int, seed
-) -> DataFrame:
+def _with_hashes(df: DataFrame, group: Sequence[str], key: Sequence[str], seed, keep: Sequence[str]) -> DataFrame:
+    h = salted_md5(seed, *key)
+    return df.select(
+        *group,
+        *keep,
+        (hex_int(h) % F.lit(PRIME)).alias("_h"),
+        hex_int(h, 9).alias("_t"),
+        residue(f"{seed}:group", *group).alias("_g"),
+    )
+
+
+def _placed(df: DataFrame, group: Sequence[str], turn: Column) -> DataFrame:
+    """Rank of each row in the order of its turn; turn 0 is the fixed order."""
+    order = place_order(F.col("_h"), F.col("_t"), F.col("_g"), turn)
+    return hash_rank(df.withColumn("_order", order), "_order", group, "_place").drop(
+        "_order", "_h", "_t", "_g"
+    )
+
+
+def _turned(df: DataFrame, group: Sequence[str], first: int, last: int) -> DataFrame:
     spread = df.withColumn("repeat", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    hashed = spread.withColumn("_hash", salted_md5(seed, *group, "repeat", *key))
-    return hash_rank(hashed, "_hash", [*group, "repeat"], "_place").drop("_hash")
+    return _placed(spread, [*group, "repeat"], F.col("repeat") + 1)
 
 
 def permute_column(
@@ -53,8 +71,9 @@ def permute_column(
     out: str = "permuted",
 ) -> DataFrame:
     """Every row once per repeat with ``column`` shuffled inside its group."""
-    receivers = _fixed_order(df, group, key, seed)
-    givers = _repeat_order(df.select(*group, *key, column), group, key, 1, n_repeats, seed)
+    rest = [c for c in df.columns if c not in group]
+    receivers = _placed(_with_hashes(df, group, key, seed, rest), group, F.lit(0))
+    givers = _turned(_with_hashes(df, group, key, seed, [column]), group, 1, n_repeats)
     givers = givers.select(*group, "repeat", "_place", F.col(column).alias(out))
     return givers.join(receivers, [*group, "_place"]).drop("_place")
 
@@ -68,17 +87,28 @@ def permutation_products(
     n_repeats: int,
     seed=0,
     first: int = 1,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``sum still_i * permuted(moved_i)`` for each i, group and repeat.
 
-    All columns share the permutation of a repeat. Only the moved side is
-    repeated; the fixed side is joined once per place.
+    All columns share the permutation of a repeat. The group sizes are checked
+    first: groups of at most ``block_rows`` rows are permuted as arrays, a
+    block of repeats per task; otherwise rows are ranked across tasks and
+    joined by place, with only the moved side repeated. Both give the same
+    permutations.
     """
-    fixed = _fixed_order(df.select(*group, *key, *sorted(set(still))), group, key, seed)
+    columns = sorted({*still, *moved})
+    base = _with_hashes(df, group, key, seed, [F.col(c).cast("double").alias(c) for c in columns])
+    sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    largest, groups = sizes.agg(F.max("_n"), F.count("_n")).first()
+    if (largest or 0) <= block_rows:
+        return _products_by_block(base, still, moved, group, first, n_repeats, max(groups, 1))
+    fixed = _placed(base.select(*group, "_h", "_t", "_g", *sorted(set(still))), group, F.lit(0))
     fixed = fixed.select(*group, "_place", *[F.col(c).alias(f"_s_{c}") for c in sorted(set(still))])
-    turned = _repeat_order(
-        df.select(*group, *key, *sorted(set(moved))), group, key, first, n_repeats, seed
-    ).select(*group, "repeat", "_place", *[F.col(c).alias(f"_m_{c}") for c in sorted(set(moved))])
+    turned = _turned(base.select(*group, "_h", "_t", "_g", *sorted(set(moved))), group, first, n_repeats)
+    turned = turned.select(
+        *group, "repeat", "_place", *[F.col(c).alias(f"_m_{c}") for c in sorted(set(moved))]
+    )
     sums = [
         F.sum(F.col(f"_s_{s}") * F.col(f"_m_{m}")).alias(f"product_{i}")
         for i, (s, m) in enumerate(zip(still, moved))
@@ -86,6 +116,40 @@ def permutation_products(
     return turned.join(fixed, [*group, "_place"]).groupBy(*group, "repeat").agg(*sums)
 
 
+def _products_by_block(
+    base: DataFrame, still: Sequence[str], moved: Sequence[str], group: Sequence[str],
+    first: int, last: int, groups: int,
+) -> DataFrame:
+    """Array form for groups whose size has been checked."""
+    still, moved, group = list(still), list(moved), list(group)
+    tasks = base.sparkSession.sparkContext.defaultParallelism * 2
+    repeats = list(range(first, last + 1))
+    blocks = max(1, min(len(repeats), -(-tasks // groups)))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        h, t, g = (frame[c].to_numpy("int64") for c in ("_h", "_t", "_g"))
+        fixed = np.argsort(place_order(h, t, g, 0))
+        s = frame[still].to_numpy(float)[fixed]
+        m = frame[moved].to_numpy(float)
+        block = int(frame["_block"].iloc[0])
+        rows = []
+        for repeat in repeats[block::blocks]:
+            turn = np.argsort(place_order(h, t, g, repeat + 1))
+            rows.append([repeat, *np.einsum("ij,ij->j", s, m[turn])])
+        out = pd.DataFrame(rows, columns=["repeat", *[f"product_{i}" for i in range(len(still))]])
+        out["repeat"] = out["repeat"].astype("int32")
+        for position, name in enumerate(group):
+            out.insert(position, name, frame[name].iloc[0])
+        return out
+
+    types = dict(base.dtypes)
+    schema = ", ".join(
+        [f"`{c}` {types[c]}" for c in group] + ["repeat int"] + [f"product_{i} double" for i in range(len(still))]
+    )
+    spread = base.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return spread.groupBy(*group, "_block").applyInPandas(run, schema)
+
+
 def label_scores(
     df: DataFrame,
     truth: str,
@@ -185,8 +249,8 @@ def model_column_scores(
     """
     group, features = list(group), list(features)
     rows = df.select(*group, *key, truth, *features)
-    receivers = _fixed_order(rows, group, key, seed)
-    givers = _repeat_order(rows.drop(truth), group, key, 1, n_repeats, seed).select(
+    receivers = _placed(_with_hashes(rows, group, key, seed, [truth, *features]), group, F.lit(0))
+    givers = _turned(_with_hashes(rows, group, key, seed, features), group, 1, n_repeats).select(
         *group, "repeat", "_place", *[F.col(f).alias(f"_g_{f}") for f in features]
     )
     mixed = givers.join(receivers, [*group, "_place"])

@@ -3,7 +3,7 @@
 A plain ``row_number() over (partition by g order by x)`` sorts a whole group
 in one task. Here each group is cut into buckets; rows are numbered inside a
 bucket and shifted by the total of the earlier buckets. The bucket totals are
-at most ``buckets`` rows per group.
+a bounded number of rows per group.
 """
 
 from __future__ import annotations
@@ -24,23 +24,27 @@ def _by(group: Sequence[str]):
 
 def hash_rank(
     df: DataFrame,
-    hash_col: str,
+    order: str,
     group: Sequence[str] = (),
     out: str = "rank",
-    digits: int = 2,
+    bits: int = 8,
     size_out: str | None = None,
 ) -> DataFrame:
-    """Rank ``1..n`` of each row in its group by an md5 text column.
+    """Rank ``1..n`` of each row in its group by a uniformly spread sort key.
 
-    The first ``digits`` hex digits are the bucket, so buckets are equal in
-    size even when one group holds most rows: the largest sort is
-    ``n / 16**digits`` rows. ``size_out`` also returns the group size. Group
-    columns must not be null.
+    ``order`` is an md5 text or a positive 63-bit integer. Its leading ``bits``
+    are the bucket, so buckets are equal in size even when one group holds most
+    rows: the largest sort is ``n / 2**bits`` rows. ``size_out`` also returns
+    the group size. Group columns must not be null.
     """
     group = list(group)
-    keyed = df.withColumn("_bucket", F.substring(F.col(hash_col), 1, digits))
+    if dict(df.dtypes)[order] == "string":
+        bucket = F.substring(F.col(order), 1, max(1, bits // 4))
+    else:
+        bucket = F.shiftright(F.col(order), 63 - bits).cast("int")
+    keyed = df.withColumn("_bucket", bucket)
     totals = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 16**digits rows per group
+    # at most 2**bits rows per group
     shifts = totals.select(
         *group,
         "_bucket",
@@ -50,7 +54,7 @@ def hash_rank(
         F.sum("_n").over(_by(group)).alias("_size"),
     )
     ranked = keyed.withColumn(
-        "_local", F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(hash_col))
+        "_local", F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(order))
     ).join(shifts, group + ["_bucket"])
     ranked = ranked.withColumn(out, F.col("_shift") + F.col("_local"))
     if size_out:
@@ -108,30 +112,37 @@ def value_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
     )
 
 
-def bucket_by_value(counts: DataFrame, value: str, buckets: int = 64) -> DataFrame:
-    """Ordered bucket number of each distinct value, from the overall distribution.
+def bucket_by_value(counts: DataFrame, value: str) -> DataFrame:
+    """Ordered bucket number (0..63) of each distinct value, from the overall distribution.
 
     The cut points are one row, so they are broadcast. A bucket holds about
-    ``1/buckets`` of the distinct values over all groups, so no (group, bucket)
-    pair is larger than that.
+    1/64 of the distinct values over all groups, so no (group, bucket) pair is
+    larger than that. The lookup goes through eight coarse and then eight fine
+    cuts.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.agg(F.percentile_approx(value, probs, 10 * buckets).alias("_cuts"))
+    probs = [i / 64 for i in range(1, 64)]
+    cuts = counts.agg(F.percentile_approx(value, probs, 1000).alias("_cuts")).select(
+        F.array(*[F.get("_cuts", F.lit(8 * i - 1)) for i in range(1, 8)]).alias("_coarse"),
+        F.array(*[F.slice("_cuts", 8 * i + 1, 7) for i in range(8)]).alias("_fine"),
+    )
+
+    def below(array) -> Column:
+        return F.size(F.filter(array, lambda c: c < F.col(value)))
+
     return (
         counts.crossJoin(F.broadcast(cuts))  # one row
-        .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-        .drop("_cuts")
+        .withColumn("_block", below(F.col("_coarse")))
+        .withColumn("_bucket", F.col("_block") * 8 + below(F.get("_fine", F.col("_block"))))
+        .drop("_coarse", "_fine", "_block")
     )
 
 
-def running_counts(
-    df: DataFrame, value: str, group: Sequence[str] = (), buckets: int = 64
-) -> DataFrame:
+def running_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Distinct values with ``_count``, ``_upto`` (rows with a value <= it) and ``_total``."""
     group = list(group)
-    placed = bucket_by_value(value_counts(df, value, group), value, buckets)
+    placed = bucket_by_value(value_counts(df, value, group), value)
     totals = placed.groupBy(*group, "_bucket").agg(F.sum("_count").alias("_n"))
-    # at most `buckets` rows per group
+    # at most 64 rows per group
     shifts = totals.select(
         *group,
         "_bucket",
@@ -149,42 +160,85 @@ def running_counts(
     )
 
 
+# Sketch accuracy, half-width of the bracket around a quantile as a share of
+# the rows (ten times the sketch error), and the group size up to which every
+# row is a candidate.
+_ACCURACY, _MARGIN, _SMALL = 10_000, 0.001, 20_000
+
+
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    group: Sequence[str] = (),
-    buckets: int = 64,
+    df: DataFrame, value: str, probs: dict[str, float], group: Sequence[str] = ()
 ) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probs``.
 
-    Unlike the built-in exact percentile, whose state is every distinct value
-    of the group in one task, the values stay spread over the buckets.
+    The built-in exact percentile keeps every distinct value of a group in one
+    task. Here a first pass brackets each quantile with a sketch; a second pass
+    counts the rows below the bracket and ranks only the rows inside it, about
+    0.2 percent of the group, by buckets. A rank outside its bracket would break
+    the sketch's error bound and raises an error rather than a wrong value.
     """
+    from .skew import checked_broadcast
+
     group = list(group)
-    runs = running_counts(
-        df.withColumn(value, F.col(value).cast("double")), value, group, buckets
-    )
-    aggs = []
-    for name, p in probs.items():
-        position = (F.col("_total") - 1) * F.lit(float(p))
-        low, high = F.floor(position) + 1, F.ceil(position) + 1
-        first = F.col("_upto") - F.col("_count") + 1
-        for end, rank in (("lo", low), ("hi", high)):
-            hit = (first <= rank) & (rank <= F.col("_upto"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{end}"))
-    picked = runs.groupBy(*group).agg(F.max("_total").alias("_total"), *aggs)
-    out = []
-    for name, p in probs.items():
-        position = (F.col("_total") - 1) * F.lit(float(p))
-        weight = position - F.floor(position)
+    base = df.select(*group, F.col(value).cast("double").alias("_v")).dropna()
+    wide = [p for q in probs.values() for p in (max(q - _MARGIN, 0.0), min(q + _MARGIN, 1.0))]
+    sketch = base.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", wide, _ACCURACY).alias("_edge")
+    )
+    small = F.col("_n") <= _SMALL
+    brackets = sketch.select(
+        *group,
+        "_n",
+        F.array(
+            *[
+                F.struct(
+                    F.when(small | F.lit(q <= _MARGIN), F.lit(float("-inf")))
+                    .otherwise(F.col("_edge")[2 * i]).alias("low"),
+                    F.when(small | F.lit(q >= 1 - _MARGIN), F.lit(float("inf")))
+                    .otherwise(F.col("_edge")[2 * i + 1]).alias("high"),
+                )
+                for i, q in enumerate(probs.values())
+            ]
+        ).alias("_brackets"),
+    )
+    if group:
+        marked = base.join(checked_broadcast(brackets), group)
+    else:
+        marked = base.crossJoin(F.broadcast(brackets))  # one row
+    low = [F.col("_brackets")[i]["low"] for i in range(len(probs))]
+    high = [F.col("_brackets")[i]["high"] for i in range(len(probs))]
+    below = marked.groupBy(*group).agg(
+        F.max("_n").alias("_n"),
+        *[F.sum((F.col("_v") < low[i]).cast("long")).alias(f"_below{i}") for i in range(len(probs))],
+    )
+    inside = F.array_compact(
+        F.array(*[F.when(F.col("_v").between(low[i], high[i]), F.lit(i)) for i in range(len(probs))])
+    )
+    candidates = marked.select(*group, "_v", F.explode(inside).alias("_q"))
+    runs = running_counts(candidates, "_v", [*group, "_q"])
+    levels = F.array(*[F.struct(F.lit(i).alias("_q"), F.col(f"_below{i}").alias("_below")) for i in range(len(probs))])
+    ranked = runs.join(below.select(*group, "_n", F.inline(levels)), [*group, "_q"])
+    last = F.col("_below") + F.col("_upto")
+    first = last - F.col("_count") + 1
+    aggs, out = [], []
+    for i, (name, q) in enumerate(probs.items()):
+        position = (F.col("_n") - 1) * F.lit(float(q))
+        for end, rank in (("lo", F.floor(position) + 1), ("hi", F.ceil(position) + 1)):
+            hit = (F.col("_q") == i) & (first <= rank) & (rank <= last)
+            aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{end}"))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * weight).alias(name))
+        found = F.when(lo.isNotNull() & hi.isNotNull(), lo + (hi - lo) * (position - F.floor(position)))
+        out.append(
+            F.coalesce(found, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).alias(name)
+        )
+    picked = ranked.groupBy(*group).agg(F.max("_n").alias("_n"), *aggs)
+    if not group:
+        picked = picked.where(F.col("_n").isNotNull())
     return picked.select(*group, *out)
 
 
 def step_up_adjust(
-    df: DataFrame, p_value: str, group: Sequence[str] = (), out: str = "p_adjusted", buckets: int = 64
+    df: DataFrame, p_value: str, group: Sequence[str] = (), out: str = "p_adjusted"
 ) -> DataFrame:
     """Step-up false-discovery adjustment of each distinct p-value in a group.
 
@@ -194,7 +248,7 @@ def step_up_adjust(
     inside each bucket and combined with the minima of the later buckets.
     """
     group = list(group)
-    runs = running_counts(df, p_value, group, buckets).withColumn(
+    runs = running_counts(df, p_value, group).withColumn(
         "_ratio", F.col(p_value) * F.col("_total") / F.col("_upto")
     )
     later = W.partitionBy(*(group or [F.lit(0)])).orderBy(F.col("_bucket").desc()).rowsBetween(*_BEFORE)

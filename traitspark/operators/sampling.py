@@ -124,9 +124,12 @@ def fold_rows(
     """
     h = salted_md5(seed, *key)
     if not exact:
-        return df.withColumn(
-            out, F.shiftright(hex_int(h) * F.lit(folds), 32).cast("int")
-        )
+        # hex text compares like the number: count the fold starts at or below it
+        fold = F.lit(0)
+        for k in range(1, folds):
+            start = format(-(-k * 2**32 // folds), "08x")
+            fold = fold + (F.col("_hash") >= F.lit(start)).cast("int")
+        return df.withColumn("_hash", h).withColumn(out, fold).drop("_hash")
     ranked = hash_rank(df.withColumn("_hash", h), "_hash", out="_rank", size_out="_n")
     small = F.floor(F.col("_n") / folds)
     large_folds = F.col("_n") % folds

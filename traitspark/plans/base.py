@@ -28,7 +28,7 @@ def sql_rnd(expr: str, digits: int = 6) -> str:
 
 ROW_KEY_SQL = (
     "concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
-    "cast(round(l_extendedprice * 100) as bigint))"
+    "cast(floor(l_extendedprice * 100 + 0.5::double) as bigint))"
 )
 LABEL_SQL = "0.5::double * l_quantity - 30.0::double * l_tax + l_extendedprice / 10000.0::double"
 LI_SQL = f"li as (select *, {ROW_KEY_SQL} as row_key, 'chr' || l_linenumber as Chromosome, {LABEL_SQL} as y from lineitem)"
@@ -36,7 +36,7 @@ LI_SQL = f"li as (select *, {ROW_KEY_SQL} as row_key, 'chr' || l_linenumber as C
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with a unique text key, a chromosome name and a label that the columns explain."""
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    cents = (F.col("l_extendedprice") * 100 + F.lit(0.5)).cast("long")  # rounded, prices are positive
     return table(spark, sf_dir, "lineitem").withColumns(
         {
             "row_key": F.concat_ws(
@@ -126,7 +126,7 @@ def variant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integrated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joined and tidied table."""
+    """Joined and tidied table, lazily."""
     from ..operators.clean import integrate, tidy_integrated
 
     joined = integrate(result_rows(spark, sf_dir), variant_rows(spark, sf_dir), salt_by=["row_key"])
@@ -153,14 +153,34 @@ def sql_members(source: str, key: str, seed: int, fraction: float = 0.3) -> str:
     )
 
 
-def sql_places(source: str, group: str, key: str, seed: int, first: int, last: int) -> str:
-    """Fixed order and per-repeat order of the rows of each group."""
-    return f"""fixed as (
-  select *, row_number() over (partition by {group} order by md5(concat_ws(':', '{seed}:order', {group}, {key}))) as place
-  from {source}),
-turned as (
-  select *, row_number() over (partition by {group}, repeat order by md5(concat_ws(':', '{seed}', {group}, repeat, {key}))) as place
-  from {source}, range({first}, {last + 1}) t(repeat))"""
+def _sql_power(x: str) -> str:
+    p = "2147483647"
+    return f"(((({x}) * ({x}) % {p}) * (({x}) * ({x}) % {p}) % {p}) * ({x}) % {p})"
+
+
+def sql_places(source: str, group: str, key: str, seed: int, first: int, last: int, extra: str = "") -> str:
+    """Fixed order (turn 0) and per-repeat order (turn repeat + 1) of the rows of each group.
+
+    ``group`` names the columns that seed the order; ``extra`` adds columns that
+    only separate the rows.
+    """
+    p = "2147483647"
+    number = "cast('0x' || substr({md5}, {at}, 8) as bigint)"
+    row = f"md5(concat_ws(':', '{seed}', {key}))"
+    grp = f"md5(concat_ws(':', '{seed}:group', {group}))"
+    part = f"{extra}{group}"
+
+    def steps(name: str, src: str, turn: str, by: str) -> str:
+        return f"""{name}_a as (select *, {_sql_power(f'(g + ({turn}) * 48271 + 1) % {p}')} % 2147483646 + 1 as ka,
+    {_sql_power(f'(g + ({turn}) * 16807 + 2) % {p}')} as kb from {src}),
+  {name}_b as (select *, (h * ka + kb) % {p} as kx from {name}_a),
+  {name} as (select *, row_number() over (partition by {by} order by {_sql_power('kx')} * 4294967296 + tie) as place from {name}_b)"""
+
+    return f"""hashed as (select *, {number.format(md5=row, at=1)} % {p} as h, {number.format(md5=row, at=9)} as tie,
+    {number.format(md5=grp, at=1)} % {p} as g from {source}),
+  again as (select * from hashed, range({first}, {last + 1}) t(repeat)),
+  {steps('fixed', 'hashed', '0', part)},
+  {steps('turned', 'again', 'repeat + 1', part + ', repeat')}"""
 
 
 def sql_ols2(source: str, x1: str, x2: str, y: str, group: str = "", ridge: float = 0.0) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import annotate, clean, sampling
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import models as store
 from ..sources import tables as src
 from . import base as B
@@ -40,7 +40,10 @@ def association_summary(spark, sf):
     """Flagship: join, clean, floor, scale, transform and summarise per chromosome."""
     from ..operators.features import scale_numeric
 
-    joined = B.integrated_rows(spark, sf).select("Chromosome", "Beta", "SE", "iscores", "p_value")
+    # written once: the floor, the scaling and the summary each scan it
+    joined = materialise(
+        B.integrated_rows(spark, sf).select("Chromosome", "Beta", "SE", "iscores", "p_value"), "integrated"
+    )
     scaled = scale_numeric(clean.zero_floor(joined), ["Beta", "SE"])
     log_p = S.neg_log10("p_value")
     return scaled.groupBy("Chromosome").agg(

@@ -255,12 +255,13 @@ _CHROM = [f"Chr{i}" for i in range(1, 8)]
 
 
 def _wide(spark, sf):
-    """Scaled numbers and chromosome indicators: the design used for tuning."""
+    """Scaled numbers and chromosome indicators, written once: the design used for tuning."""
     from ..operators.features import prepare_features
+    from ..session import materialise, spread
 
-    li = _li(spark, sf).select("row_key", "Chromosome", "l_quantity", "l_tax", "l_discount", F.col("y").alias("p_value"))
+    li = spread(_li(spark, sf), "row_key").select("row_key", "Chromosome", "l_quantity", "l_tax", "l_discount", F.col("y").alias("p_value"))
     out = prepare_features(li, "p_value", key=["row_key"]).withColumnRenamed("p_value", "y")
-    return out, [c for c in out.columns if c not in ("row_key", "y")]
+    return materialise(out, "design"), [c for c in out.columns if c not in ("row_key", "y")]
 
 
 @query("lasso_cv")

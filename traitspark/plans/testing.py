@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import linear, metrics
 from ..operators import permutation as P
 from ..operators.sampling import subsample_members
+from ..session import spread
 from . import base as B
 from .base import rnd, sql_rnd
 from .exploring import _noise_sql
@@ -92,7 +93,7 @@ _TEST_SQL = f"""{B.ORD_SQL}, f as ({B.sql_ols2('(select * from od where not is_t
 
 
 def _fit(spark, sf):
-    rows = B.order_rows(spark, sf)
+    rows = spread(B.order_rows(spark, sf), "o_orderkey")
     fit = linear.fit_linear(rows.where(~F.col("is_test")), ["f1", "f2"], "y", name="Linear Regression")
     return fit, rows.where("is_test").select("o_orderkey", "f1", "f2", "y")
 
@@ -195,9 +196,7 @@ _POS_SQL = f"""{B.ORD_SQL}, te as (select * from od where is_test), {B.sql_draws
   cc as (select *, y + sigma * ({_noise_sql(f'{_SEED}:noise', 'sample_id, o_orderkey')}) as ctl from mc),
   fi as ({B.sql_ols2('cc', 'f1', 'ctl', 'y', 'sample_id, sigma')}),
   uu as (select cc.*, y - b0 - b1 * f1 as u, b2 from cc join fi using (sample_id, sigma)),
-  fixed as (select *, row_number() over (partition by sigma, sample_id order by md5(concat_ws(':', '{_SEED}:order', sample_id, o_orderkey))) as place from uu),
-  turned as (select *, row_number() over (partition by sigma, sample_id, repeat order by md5(concat_ws(':', '{_SEED}', sample_id, repeat, o_orderkey))) as place
-    from uu, range(1, {_REPEATS + 1}) t(repeat)),
+  {B.sql_places('uu', 'sample_id', 'o_orderkey', _SEED, 1, _REPEATS, 'sigma, ')},
   su as (select sigma, sample_id, sum(u * u) as suu, sum(u * ctl) as suc, sum(ctl * ctl) as scc, max(b2) as b, var_pop(y) * count(*) as sst from uu group by 1, 2),
   pr as (select f.sigma, f.sample_id, t.repeat, sum(f.u * t.ctl) as c from fixed f join turned t
     on f.sigma = t.sigma and f.sample_id = t.sample_id and f.place = t.place group by 1, 2, 3),
