@@ -86,14 +86,27 @@ def fifth_power(x):
 
 
 def place_order(h, tie, group, turn):
-    """Sort key that puts the rows of a group in the order of one turn.
+    """Sort key that puts the rows of a group in the order of one turn (integer arrays).
 
     ``h`` and ``tie`` are two integers from the row key's hash, ``group`` one
     from the group's hash. A turn is an affine map of ``h`` with constants of
     its own, followed by the fifth power; rows with equal ``h`` are told apart
-    by ``tie``. The same arithmetic serves columns and numpy arrays, so both
-    give the same permutation.
+    by ``tie``.
     """
     a = fifth_power((group + turn * _STEP_A + 1) % PRIME) % (PRIME - 1) + 1
     b = fifth_power((group + turn * _STEP_B + 2) % PRIME)
     return fifth_power((h * a + b) % PRIME) * 4294967296 + tie
+
+
+def place_steps(h: str, tie: str, group: str, turn: Column) -> list[tuple[str, Column]]:
+    """:func:`place_order` as named column steps, to be added one after the other."""
+    c = F.col
+    return [
+        ("_u", (c(group) + turn * _STEP_A + 1) % PRIME),
+        ("_v", (c(group) + turn * _STEP_B + 2) % PRIME),
+        ("_a", fifth_power(c("_u")) % (PRIME - 1) + 1),
+        ("_b", fifth_power(c("_v"))),
+        ("_x", (c(h) * c("_a") + c("_b")) % PRIME),
+        # never null: a null test on it would be pushed below all the steps
+        ("_order", F.coalesce(fifth_power(c("_x")) * 4294967296 + c(tie), F.lit(0))),
+    ]

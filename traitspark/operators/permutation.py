@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PRIME, hex_int, normal, place_order, residue, salted_md5
+from ..functions.hashing import PRIME, hex_int, normal, place_order, place_steps, residue, salted_md5
 from ..functions.special import chi2_even_tail
 from ..session import materialise
 from .linear import LinearFit, solve
@@ -49,9 +49,14 @@ def _with_hashes(df: DataFrame, group: Sequence[str], key: Sequence[str], seed,
 
 
 def _placed(df: DataFrame, group: Sequence[str], turn: Column) -> DataFrame:
-    """Rank of each row in the order of its turn; turn 0 is the fixed order."""
-    order = place_order(F.col("_h"), F.col("_t"), F.col("_g"), turn)
-    return hash_rank(df.withColumn("_order", order), "_order", group, "_place").drop(
+    """Rank of each row in the order of its turn; turn 0 is the fixed order.
+
+    The sort key is built in steps, so that no step repeats a long expression.
+    """
+    keyed = df
+    for name, step in place_steps("_h", "_t", "_g", turn):
+        keyed = keyed.withColumn(name, step)
+    return hash_rank(keyed.select(*df.columns, "_order"), "_order", group, "_place").drop(
         "_order", "_h", "_t", "_g"
     )
 

@@ -39,7 +39,7 @@ def hash_rank(
     """
     group = list(group)
     if dict(df.dtypes)[order] == "string":
-        bucket = F.substring(F.col(order), 1, max(1, bits // 4))
+        bucket = F.coalesce(F.substring(F.col(order), 1, max(1, bits // 4)), F.lit("0"))
     else:
         bucket = F.shiftright(F.col(order), 63 - bits).cast("int")
     keyed = df.withColumn("_bucket", bucket)

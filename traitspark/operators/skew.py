@@ -40,7 +40,7 @@ def spread_hot(
     big: DataFrame, on: Sequence[str], hot: DataFrame, salts: int, salt_by: Sequence[str] | None
 ) -> DataFrame:
     """Add ``_salt``: a row hash for hot keys and for missing keys, else zero."""
-    salt = F.pmod(F.xxhash64(*(salt_by or big.columns)), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in salt_by or big.columns]), F.lit(salts)).cast("int")
     missing = F.lit(False)
     for key in on:
         missing = missing | F.col(key).isNull()

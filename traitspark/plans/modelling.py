@@ -259,9 +259,9 @@ def _wide(spark, sf):
     from ..operators.features import prepare_features
     from ..session import materialise, spread
 
-    li = spread(_li(spark, sf), "row_key").select("row_key", "Chromosome", "l_quantity", "l_tax", "l_discount", F.col("y").alias("p_value"))
+    li = _li(spark, sf).select("row_key", "Chromosome", "l_quantity", "l_tax", "l_discount", F.col("y").alias("p_value"))
     out = prepare_features(li, "p_value", key=["row_key"]).withColumnRenamed("p_value", "y")
-    return materialise(out, "design"), [c for c in out.columns if c not in ("row_key", "y")]
+    return materialise(spread(out, "row_key"), "design"), [c for c in out.columns if c not in ("row_key", "y")]
 
 
 @query("lasso_cv")
