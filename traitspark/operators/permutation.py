@@ -22,7 +22,7 @@ from ..session import materialise
 from .linear import LinearFit, solve
 from .metrics import rejection_rate
 from .moments import Moments, column_means, moment_table
-from .ranking import hash_rank, step_up_adjust
+from .ranking import hash_rank, rank_bits, step_up_adjust
 from .sampling import subsample_members
 from .skew import checked_broadcast, skew_join
 
@@ -48,7 +48,14 @@ def _with_hashes(df: DataFrame, group: Sequence[str], key: Sequence[str], seed,
     )
 
 
-def _placed(df: DataFrame, group: Sequence[str], turn: Column) -> DataFrame:
+def _largest_group(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and number of groups: one combined count."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    largest, groups = sizes.agg(F.max("_n"), F.count("_n")).first()
+    return largest or 0, groups
+
+
+def _placed(df: DataFrame, group: Sequence[str], turn: Column, largest: int) -> DataFrame:
     """Rank of each row in the order of its turn; turn 0 is the fixed order.
 
     The sort key is built in steps, so that no step repeats a long expression.
@@ -56,14 +63,14 @@ def _placed(df: DataFrame, group: Sequence[str], turn: Column) -> DataFrame:
     keyed = df
     for name, step in place_steps("_h", "_t", "_g", turn):
         keyed = keyed.withColumn(name, step)
-    return hash_rank(keyed.select(*df.columns, "_order"), "_order", group, "_place").drop(
-        "_order", "_h", "_t", "_g"
-    )
+    return hash_rank(
+        keyed.select(*df.columns, "_order"), "_order", group, "_place", rank_bits(largest)
+    ).drop("_order", "_h", "_t", "_g")
 
 
-def _turned(df: DataFrame, group: Sequence[str], first: int, last: int) -> DataFrame:
+def _turned(df: DataFrame, group: Sequence[str], first: int, last: int, largest: int) -> DataFrame:
     spread = df.withColumn("repeat", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    return _placed(spread, [*group, "repeat"], F.col("repeat") + 1)
+    return _placed(spread, [*group, "repeat"], F.col("repeat") + 1, largest)
 
 
 def permute_column(
@@ -77,8 +84,9 @@ def permute_column(
 ) -> DataFrame:
     """Every row once per repeat with ``column`` shuffled inside its group."""
     rest = [c for c in df.columns if c not in group]
-    receivers = _placed(_with_hashes(df, group, key, seed, rest), group, F.lit(0))
-    givers = _turned(_with_hashes(df, group, key, seed, [column]), group, 1, n_repeats)
+    largest, _ = _largest_group(df, group)
+    receivers = _placed(_with_hashes(df, group, key, seed, rest), group, F.lit(0), largest)
+    givers = _turned(_with_hashes(df, group, key, seed, [column]), group, 1, n_repeats, largest)
     givers = givers.select(*group, "repeat", "_place", F.col(column).alias(out))
     return givers.join(receivers, [*group, "_place"]).drop("_place")
 
@@ -104,13 +112,12 @@ def permutation_products(
     """
     columns = sorted({*still, *moved})
     base = _with_hashes(df, group, key, seed, [F.col(c).cast("double").alias(c) for c in columns])
-    sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    largest, groups = sizes.agg(F.max("_n"), F.count("_n")).first()
-    if (largest or 0) <= block_rows:
+    largest, groups = _largest_group(base, group)
+    if largest <= block_rows:
         return _products_by_block(base, still, moved, group, first, n_repeats, max(groups, 1))
-    fixed = _placed(base.select(*group, "_h", "_t", "_g", *sorted(set(still))), group, F.lit(0))
+    fixed = _placed(base.select(*group, "_h", "_t", "_g", *sorted(set(still))), group, F.lit(0), largest)
     fixed = fixed.select(*group, "_place", *[F.col(c).alias(f"_s_{c}") for c in sorted(set(still))])
-    turned = _turned(base.select(*group, "_h", "_t", "_g", *sorted(set(moved))), group, first, n_repeats)
+    turned = _turned(base.select(*group, "_h", "_t", "_g", *sorted(set(moved))), group, first, n_repeats, largest)
     turned = turned.select(
         *group, "repeat", "_place", *[F.col(c).alias(f"_m_{c}") for c in sorted(set(moved))]
     )
@@ -254,8 +261,9 @@ def model_column_scores(
     """
     group, features = list(group), list(features)
     rows = df.select(*group, *key, truth, *features)
-    receivers = _placed(_with_hashes(rows, group, key, seed, [truth, *features]), group, F.lit(0))
-    givers = _turned(_with_hashes(rows, group, key, seed, features), group, 1, n_repeats).select(
+    largest, _ = _largest_group(rows, group)
+    receivers = _placed(_with_hashes(rows, group, key, seed, [truth, *features]), group, F.lit(0), largest)
+    givers = _turned(_with_hashes(rows, group, key, seed, features), group, 1, n_repeats, largest).select(
         *group, "repeat", "_place", *[F.col(f).alias(f"_g_{f}") for f in features]
     )
     mixed = givers.join(receivers, [*group, "_place"])

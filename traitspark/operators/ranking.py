@@ -22,20 +22,25 @@ def _by(group: Sequence[str]):
     return W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
 
 
+def rank_bits(largest_group: int, bucket_rows: int = 1_000_000) -> int:
+    """Bucket bits that keep one sort near ``bucket_rows`` rows."""
+    return min(24, max(4, (max(largest_group, 1) // bucket_rows).bit_length()))
+
+
 def hash_rank(
     df: DataFrame,
     order: str,
     group: Sequence[str] = (),
     out: str = "rank",
-    bits: int = 8,
+    bits: int = 12,
     size_out: str | None = None,
 ) -> DataFrame:
     """Rank ``1..n`` of each row in its group by a uniformly spread sort key.
 
     ``order`` is an md5 text or a positive 63-bit integer. Its leading ``bits``
     are the bucket, so buckets are equal in size even when one group holds most
-    rows: the largest sort is ``n / 2**bits`` rows. ``size_out`` also returns
-    the group size. Group columns must not be null.
+    rows: the largest sort is ``n / 2**bits`` rows; see :func:`rank_bits`.
+    ``size_out`` also returns the group size. Group columns must not be null.
     """
     group = list(group)
     if dict(df.dtypes)[order] == "string":
@@ -63,7 +68,7 @@ def hash_rank(
 
 
 def hash_smallest(
-    df: DataFrame, hash_col: str, k: int | Column, group: Sequence[str] = (), digits: int = 3
+    df: DataFrame, hash_col: str, k: int, group: Sequence[str] = (), digits: int = 4
 ) -> DataFrame:
     """The ``k`` rows of each group with the smallest hashes, exactly.
 
@@ -74,28 +79,27 @@ def hash_smallest(
     from .skew import checked_broadcast
 
     group = list(group)
-    k_col = k if isinstance(k, Column) else F.lit(int(k))
     prefix = F.substring(F.col(hash_col), 1, digits)
     totals = (
         df.select(*group, prefix.alias("_prefix"))
         .groupBy(*group, "_prefix")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    # at most 16**digits rows per group
     reached = totals.withColumn(
         "_before",
         F.coalesce(
             F.sum("_n").over(_by(group).orderBy("_prefix").rowsBetween(*_BEFORE)), F.lit(0)
         ),
-    ).where(F.col("_before") < k_col)
+    ).where(F.col("_before") < k)
     last = reached.groupBy(*group).agg(F.max("_prefix").alias("_last"))
-    if group:
-        kept = df.join(checked_broadcast(last), group)
-    else:
-        kept = df.crossJoin(F.broadcast(last))  # one row
-    kept = kept.where(prefix <= F.col("_last")).drop("_last")
+    if not group:
+        kept = df.crossJoin(F.broadcast(last)).where(prefix <= F.col("_last"))  # one row
+        return kept.drop("_last").orderBy(hash_col).limit(k)
+    kept = df.join(checked_broadcast(last), group).where(prefix <= F.col("_last")).drop("_last")
     return (
         kept.withColumn("_rank", F.row_number().over(_by(group).orderBy(hash_col)))
-        .where(F.col("_rank") <= k_col)
+        .where(F.col("_rank") <= k)
         .drop("_rank")
     )
 
@@ -112,18 +116,22 @@ def value_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
     )
 
 
+# Coarse and fine cuts of the ordered buckets: 16 * 16 buckets.
+_SIDE = 16
+
+
 def bucket_by_value(counts: DataFrame, value: str) -> DataFrame:
-    """Ordered bucket number (0..63) of each distinct value, from the overall distribution.
+    """Ordered bucket number (0..255) of each distinct value, from the overall distribution.
 
     The cut points are one row, so they are broadcast. A bucket holds about
-    1/64 of the distinct values over all groups, so no (group, bucket) pair is
-    larger than that. The lookup goes through eight coarse and then eight fine
-    cuts.
+    1/256 of the distinct values over all groups, so no (group, bucket) pair is
+    larger than that. The lookup goes through coarse and then fine cuts.
     """
-    probs = [i / 64 for i in range(1, 64)]
-    cuts = counts.agg(F.percentile_approx(value, probs, 1000).alias("_cuts")).select(
-        F.array(*[F.get("_cuts", F.lit(8 * i - 1)) for i in range(1, 8)]).alias("_coarse"),
-        F.array(*[F.slice("_cuts", 8 * i + 1, 7) for i in range(8)]).alias("_fine"),
+    n = _SIDE * _SIDE
+    probs = F.expr("array(" + ", ".join(f"{i / n}D" for i in range(1, n)) + ")")
+    cuts = counts.agg(F.percentile_approx(value, probs, 10 * n).alias("_cuts")).select(
+        F.array(*[F.get("_cuts", F.lit(_SIDE * i - 1)) for i in range(1, _SIDE)]).alias("_coarse"),
+        F.array(*[F.slice("_cuts", _SIDE * i + 1, _SIDE - 1) for i in range(_SIDE)]).alias("_fine"),
     )
 
     def below(array) -> Column:
@@ -132,7 +140,7 @@ def bucket_by_value(counts: DataFrame, value: str) -> DataFrame:
     return (
         counts.crossJoin(F.broadcast(cuts))  # one row
         .withColumn("_block", below(F.col("_coarse")))
-        .withColumn("_bucket", F.col("_block") * 8 + below(F.get("_fine", F.col("_block"))))
+        .withColumn("_bucket", F.col("_block") * _SIDE + below(F.get("_fine", F.col("_block"))))
         .drop("_coarse", "_fine", "_block")
     )
 
@@ -142,7 +150,7 @@ def running_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> Data
     group = list(group)
     placed = bucket_by_value(value_counts(df, value, group), value)
     totals = placed.groupBy(*group, "_bucket").agg(F.sum("_count").alias("_n"))
-    # at most 64 rows per group
+    # at most 256 rows per group
     shifts = totals.select(
         *group,
         "_bucket",
