@@ -90,16 +90,17 @@ def _step_up(p):
 
 
 def test_step_up_adjustment(spark):
-    from traitspark.operators.permutation import adjust_p_values
+    from traitspark.operators.permutation import adjust_counted, adjust_p_values
 
     p = [0.0, 0.01, 0.01, 0.02, 0.2, 0.2, 0.2, 1.0, 1.0, 0.04, None]
     df = frame(spark, [(i, "m", v) for i, v in enumerate(p)], "id int, model string, p_value double")
-    got = {r["id"]: r for r in adjust_p_values(df).collect()}
     want = _step_up([v for v in p if v is not None])
-    for i, w in enumerate(want):
-        assert got[i]["p_adjusted"] == pytest.approx(w)
-        assert got[i]["rejected"] == (w <= 0.05)
-    assert got[10]["p_adjusted"] is None and got[10]["rejected"] is None
+    for adjust in (adjust_p_values, adjust_counted):
+        got = {r["id"]: r for r in adjust(df).collect()}
+        for i, w in enumerate(want):
+            assert got[i]["p_adjusted"] == pytest.approx(w)
+            assert got[i]["rejected"] == (w <= 0.05)
+        assert got[10]["p_adjusted"] is None and got[10]["rejected"] is None
 
 
 @settings(max_examples=5, deadline=None)

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import PRIME, hex_int, normal, place_order, place_steps, residue, salted_md5
@@ -345,6 +346,36 @@ def adjust_p_values(
     )
 
 
+# Tests of one group up to which a plain window adjusts them.
+WINDOW_TESTS = 1_000_000
+
+
+def adjust_counted(
+    tests: DataFrame, p_value: str = "p_value", group: Sequence[str] = ("model",), alpha: float = ALPHA
+) -> DataFrame:
+    """:func:`adjust_p_values` for a written table, whose groups are counted first.
+
+    Tests are samples or features, so a group is mostly a few thousand rows and
+    one window is enough; larger groups take the bucketed way.
+    """
+    group = list(group)
+    if _largest_group(tests, group)[0] > WINDOW_TESTS:
+        return adjust_p_values(tests, p_value, group, alpha)
+    p = F.col(p_value)
+    whole = W.partitionBy(*group)
+    up = whole.orderBy(p.asc_nulls_last())
+    down = whole.orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = tests.withColumn("_rank", F.row_number().over(up)).withColumn(
+        "_ratio", p * F.count(p_value).over(whole) / F.col("_rank")
+    )
+    adjusted = F.when(p.isNotNull(), F.least(F.lit(1.0), F.min("_ratio").over(down)))
+    return (
+        ranked.withColumn("p_adjusted", adjusted)
+        .drop("_rank", "_ratio")
+        .withColumn("rejected", F.col("p_adjusted") <= F.lit(alpha))
+    )
+
+
 def fisher_combine(tests: DataFrame, group: Sequence[str], p_value: str = "p_value") -> DataFrame:
     """Fisher's combined p-value per group; missing values are left out, a zero gives zero."""
     p = F.col(p_value)
@@ -552,7 +583,7 @@ def control_rates(
     adjustment reads them several times.
     """
     tests = materialise(tests, "tests")
-    return rejection_rate(adjust_p_values(tests, group=by, alpha=alpha), by)
+    return rejection_rate(adjust_counted(tests, group=by, alpha=alpha), by)
 
 
 # -- importance -------------------------------------------------------------
@@ -600,7 +631,7 @@ def merge_shards(
     times.
     """
     combined = materialise(fisher_combine(shards, [*group, feature]), "combined")
-    return adjust_p_values(
+    return adjust_counted(
         combined.withColumnRenamed("p_combined", "p_value"), group=group, alpha=alpha
     ).withColumnRenamed("p_value", "p_combined")
 

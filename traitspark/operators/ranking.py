@@ -9,11 +9,16 @@ a bounded number of rows per group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 _BEFORE = (W.unboundedPreceding, -1)
 _UPTO = (W.unboundedPreceding, W.currentRow)
 
@@ -128,7 +133,7 @@ def bucket_by_value(counts: DataFrame, value: str) -> DataFrame:
     larger than that. The lookup goes through coarse and then fine cuts.
     """
     n = _SIDE * _SIDE
-    probs = F.expr("array(" + ", ".join(f"{i / n}D" for i in range(1, n)) + ")")
+    probs = F.lit(np.arange(1, n) / n)  # one literal keeps the plan small
     cuts = counts.agg(F.percentile_approx(value, probs, 10 * n).alias("_cuts")).select(
         F.array(*[F.get("_cuts", F.lit(_SIDE * i - 1)) for i in range(1, _SIDE)]).alias("_coarse"),
         F.array(*[F.slice("_cuts", _SIDE * i + 1, _SIDE - 1) for i in range(_SIDE)]).alias("_fine"),
@@ -146,9 +151,13 @@ def bucket_by_value(counts: DataFrame, value: str) -> DataFrame:
 
 
 def running_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """Distinct values with ``_count``, ``_upto`` (rows with a value <= it) and ``_total``."""
+    """Distinct values with ``_count``, ``_upto`` (rows with a value <= it) and ``_total``.
+
+    The distinct values are written once with their buckets, because the
+    totals, the running sums and what is built on them all read them.
+    """
     group = list(group)
-    placed = bucket_by_value(value_counts(df, value, group), value)
+    placed = materialise(bucket_by_value(value_counts(df, value, group), value), "values")
     totals = placed.groupBy(*group, "_bucket").agg(F.sum("_count").alias("_n"))
     # at most 256 rows per group
     shifts = totals.select(
@@ -219,10 +228,11 @@ def exact_quantiles(
         F.max("_n").alias("_n"),
         *[F.sum((F.col("_v") < low[i]).cast("long")).alias(f"_below{i}") for i in range(len(probs))],
     )
-    inside = F.array_compact(
-        F.array(*[F.when(F.col("_v").between(low[i], high[i]), F.lit(i)) for i in range(len(probs))])
-    )
-    candidates = marked.select(*group, "_v", F.explode(inside).alias("_q"))
+    inside = [F.col("_v").between(low[i], high[i]) for i in range(len(probs))]
+    # the cheap test first: few rows are near any quantile
+    near = marked.where(reduce(or_, inside))
+    hits = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)]))
+    candidates = near.select(*group, "_v", F.explode(hits).alias("_q"))
     runs = running_counts(candidates, "_v", [*group, "_q"])
     levels = F.array(*[F.struct(F.lit(i).alias("_q"), F.col(f"_below{i}").alias("_below")) for i in range(len(probs))])
     ranked = runs.join(below.select(*group, "_n", F.inline(levels)), [*group, "_q"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def subsample_members(
         return ranked.where(F.col("_rank") <= F.floor(F.col("_n") * F.lit(fraction))).drop(
             "_hash", "_rank", "_n"
         )
-    draws = F.lit([c for pair in draw_constants(seed, n) for c in pair])
+    draws = F.lit(np.array(draw_constants(seed, n), dtype="int64").ravel())
     member = F.filter(
         F.sequence(F.lit(1), F.lit(n)),
         lambda i: (
