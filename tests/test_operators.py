@@ -41,10 +41,12 @@ def test_hot_keys_are_bounded(spark):
     assert [r["k"] for r in skew.hot_keys(df, ["k"], 0.1).collect()] == [0]
 
 
-def test_checked_broadcast_falls_back_to_a_written_table(spark):
-    df = spark.range(50).withColumnRenamed("id", "k")
-    assert skew.checked_broadcast(df, 10).count() == 50
-    assert skew.checked_broadcast(df, 100).count() == 50
+def test_lookup_join_with_and_without_broadcast(spark):
+    big = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 60).alias("k"), "id")
+    small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    for limit in (10, 100):
+        assert sorted(map(tuple, skew.lookup_join(big, small, ["k"], max_rows=limit).collect())) == want
 
 
 # -- ranks and quantiles --------------------------------------------------------

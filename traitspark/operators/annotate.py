@@ -40,18 +40,26 @@ def disjoint_segments(
     """Cut overlapping intervals into segments over which the covering set is constant.
 
     Closed integer intervals. Work is on the annotation table only: end points
-    of a chromosome are put in order, each stretch between neighbours becomes a
-    segment, and stretches are matched to the intervals that cover them.
+    are put in order inside position bins, the last point of a bin is followed by
+    the first of the next bin in use, each stretch between neighbours becomes a
+    segment, and segments are matched to the intervals that cover them.
     """
     points = intervals.select(
         F.col(chrom).alias("chrom"),
         F.explode(F.array(F.col(start).cast("long"), F.col(end).cast("long") + 1)).alias("seg_start"),
     ).distinct()
-    following = F.lead("seg_start").over(W.partitionBy("chrom").orderBy("seg_start"))
+    points = points.withColumn("_bin", F.floor(F.col("seg_start") / width))
+    inside = F.lead("seg_start").over(W.partitionBy("chrom", "_bin").orderBy("seg_start"))
+    # one row per bin in use
+    following = points.groupBy("chrom", "_bin").agg(F.min("seg_start").alias("_first")).select(
+        "chrom", "_bin", F.lead("_first").over(W.partitionBy("chrom").orderBy("_bin")).alias("_next")
+    )
     segments = (
-        points.withColumn("seg_end", following - 1)
+        points.withColumn("_inside", inside)
+        .join(following, ["chrom", "_bin"])
+        .withColumn("seg_end", F.coalesce("_inside", "_next") - 1)
         .where(F.col("seg_end").isNotNull())
-        .withColumn("_bin", F.floor(F.col("seg_start") / width))
+        .drop("_inside", "_next")
     )
     spans = _binned(intervals, start, end, width).withColumnRenamed(chrom, "chrom")
     # a covering interval contains the segment start, so only its bin is needed
@@ -118,7 +126,9 @@ def annotate_genes(
     columns ``name, xref``. Variants in no gene are ``intergenic``.
     """
     rank = F.array_position(F.lit(list(CLASS_PRECEDENCE)), F.col(gene_class))
-    table = genes.withColumn("_rank", F.when(rank == 0, F.lit(99)).otherwise(rank))
+    # copies of an interval add nothing
+    distinct = genes.select(chrom, gene_start, gene_end, gene_name, gene_class).distinct()
+    table = distinct.withColumn("_rank", F.when(rank == 0, F.lit(99)).otherwise(rank))
     if xref is not None:
         table = table.join(
             xref.select(F.col("name").alias(gene_name), F.col("xref").alias("_xref")), gene_name, "left"
@@ -161,7 +171,7 @@ def annotate_regions(
 ) -> DataFrame:
     """Names of the regions that hold each variant, joined by ``;``."""
     segments = (
-        disjoint_segments(regions, chrom, start, end, width)
+        disjoint_segments(regions.select(chrom, start, end, name).distinct(), chrom, start, end, width)
         .groupBy("chrom", "seg_start", "seg_end")
         .agg(F.array_join(F.sort_array(F.collect_set(name)), ";").alias(out))
     )

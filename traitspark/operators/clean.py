@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import first_present
-from .skew import skew_join
+from .skew import lookup_join, skew_join
 
 # Column names of the result files for one trait key.
 RESULT_COLUMNS = {
@@ -79,8 +79,7 @@ def keep_first_chromosomes(
         n = variants.select(column).distinct().count()
     else:
         n = min(max_files, variants.select(column).distinct().count())
-    kept = names.orderBy(column).limit(n)
-    return results.join(kept, column, "left_semi")
+    return lookup_join(results, names.orderBy(column).limit(n), [column], "left_semi")
 
 
 def zero_floor(df: DataFrame, column: str = "p_value") -> DataFrame:

@@ -25,7 +25,7 @@ from .metrics import rejection_rate
 from .moments import Moments, column_means, moment_table
 from .ranking import hash_rank, rank_bits, step_up_adjust
 from .sampling import subsample_members
-from .skew import checked_broadcast, skew_join
+from .skew import lookup_join, skew_join
 
 ALPHA = 0.05
 # Scores are compared after rounding, so that the order of summation cannot
@@ -501,7 +501,7 @@ def positive_control_tests(
         refit, "sample_id int, weights array<array<double>>"
     )
     # one row per sample
-    fitted = members.join(checked_broadcast(fits), "sample_id")
+    fitted = lookup_join(members, fits, ["sample_id"], salt_by=key)
     still, moved, scores = [], [], []
     rest = {}
     for i in range(len(names)):

@@ -81,7 +81,7 @@ def hash_smallest(
     group reaches ``k``; only rows up to that prefix are shuffled and sorted,
     about ``k + n/16**digits`` per group, whatever the group size.
     """
-    from .skew import checked_broadcast
+    from .skew import lookup_join
 
     group = list(group)
     prefix = F.substring(F.col(hash_col), 1, digits)
@@ -101,7 +101,7 @@ def hash_smallest(
     if not group:
         kept = df.crossJoin(F.broadcast(last)).where(prefix <= F.col("_last"))  # one row
         return kept.drop("_last").orderBy(hash_col).limit(k)
-    kept = df.join(checked_broadcast(last), group).where(prefix <= F.col("_last")).drop("_last")
+    kept = lookup_join(df, last, group, salt_by=[hash_col]).where(prefix <= F.col("_last")).drop("_last")
     return (
         kept.withColumn("_rank", F.row_number().over(_by(group).orderBy(hash_col)))
         .where(F.col("_rank") <= k)
@@ -194,7 +194,7 @@ def exact_quantiles(
     0.2 percent of the group, by buckets. A rank outside its bracket would break
     the sketch's error bound and raises an error rather than a wrong value.
     """
-    from .skew import checked_broadcast
+    from .skew import lookup_join
 
     group = list(group)
     base = df.select(*group, F.col(value).cast("double").alias("_v")).dropna()
@@ -219,7 +219,7 @@ def exact_quantiles(
         ).alias("_brackets"),
     )
     if group:
-        marked = base.join(checked_broadcast(brackets), group)
+        marked = lookup_join(base, brackets, group, salt_by=[*group, "_v"])
     else:
         marked = base.crossJoin(F.broadcast(brackets))  # one row
     low = [F.col("_brackets")[i]["low"] for i in range(len(probs))]

@@ -44,10 +44,10 @@ def paired_samples(
     frames: Sequence[DataFrame], key: Sequence[str], k: int, seed=0
 ) -> list[DataFrame]:
     """The same ``k`` sampled keys from every frame."""
-    from .skew import checked_broadcast
+    from .skew import lookup_join
 
-    keys = checked_broadcast(sample_keys(frames[0], key, k, seed))
-    return [f.join(keys, list(key), "left_semi") for f in frames]
+    keys = sample_keys(frames[0], key, k, seed)
+    return [lookup_join(f, keys, key, "left_semi") for f in frames]
 
 
 def split_rows(

@@ -1,4 +1,4 @@
-"""Joins that stay balanced when a few keys hold most rows, and checked broadcasts."""
+"""Joins that stay balanced when a few keys hold most rows, and broadcasts behind a row count."""
 
 from __future__ import annotations
 
@@ -10,18 +10,6 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows.
-
-    The bounded result is evaluated once and becomes a local table; a larger
-    one is written to the shared folder and joined by shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    return materialise(df)
-
-
 def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.02) -> DataFrame:
     """Keys that hold at least ``share`` of all rows: never more than ``1/share`` of them.
 
@@ -103,3 +91,23 @@ def skew_join_all(
     for small in smalls:
         out = out.join(repeat_hot(small, on, hot, salts), on + ["_salt"], how)
     return out.drop("_salt")
+
+
+def lookup_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    max_rows: int = 20_000,
+    salt_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """Join with a table that is expected to be short.
+
+    Its rows are counted first: up to ``max_rows`` it is broadcast, so the few
+    keys of ``big`` are never gathered; beyond that hot keys are salted.
+    """
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        local = small.sparkSession.createDataFrame(rows, small.schema)
+        return big.join(F.broadcast(local), list(on), how)
+    return skew_join(big, materialise(small), on, how, salt_by=salt_by)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import linear, metrics
 from ..operators import permutation as P
 from ..operators.sampling import subsample_members
+from ..operators.skew import lookup_join
 from ..session import spread
 from . import base as B
 from .base import rnd, sql_rnd
@@ -64,7 +65,7 @@ def rank_pvalue(spark, sf):
     base = o.groupBy("o_orderpriority").agg(
         (F.max(F.when(F.col("o_orderkey") % 97 == 5, F.col("o_totalprice"))) * F.lit(0.9)).alias("baseline")
     )
-    scores = o.join(base, "o_orderpriority").withColumnRenamed("o_totalprice", "score")
+    scores = lookup_join(o, base, ["o_orderpriority"]).withColumnRenamed("o_totalprice", "score")
     by = ["o_orderpriority"]
     up = P.rank_p_value(scores, by).select(*by, "n_repeats", rnd("p_value", 9).alias("p_upper"))
     low = P.rank_p_value(scores, by, "less").select(*by, rnd("p_value", 9).alias("p_lower"))
