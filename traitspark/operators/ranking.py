@@ -73,13 +73,14 @@ def hash_rank(
 
 
 def hash_smallest(
-    df: DataFrame, hash_col: str, k: int, group: Sequence[str] = (), digits: int = 4
+    df: DataFrame, hash_col: str, k: int, group: Sequence[str] = (), digits: int = 3
 ) -> DataFrame:
     """The ``k`` rows of each group with the smallest hashes, exactly.
 
     A first pass counts rows per hash prefix and finds the prefix at which a
-    group reaches ``k``; only rows up to that prefix are shuffled and sorted,
-    about ``k + n/16**digits`` per group, whatever the group size.
+    group reaches ``k``; only rows up to that prefix are shuffled, about
+    ``k + n/16**digits`` per group. They are cut to ``k`` per last hash digits
+    first, in parallel, and then per group.
     """
     from .skew import lookup_join
 
@@ -102,11 +103,10 @@ def hash_smallest(
         kept = df.crossJoin(F.broadcast(last)).where(prefix <= F.col("_last"))  # one row
         return kept.drop("_last").orderBy(hash_col).limit(k)
     kept = lookup_join(df, last, group, salt_by=[hash_col]).where(prefix <= F.col("_last")).drop("_last")
-    return (
-        kept.withColumn("_rank", F.row_number().over(_by(group).orderBy(hash_col)))
-        .where(F.col("_rank") <= k)
-        .drop("_rank")
-    )
+    kept = kept.withColumn("_part", F.substring(F.col(hash_col), 31, 2))
+    for by in (W.partitionBy(*group, "_part"), W.partitionBy(*group)):
+        kept = kept.withColumn("_rank", F.row_number().over(by.orderBy(hash_col))).where(F.col("_rank") <= k)
+    return kept.drop("_rank", "_part")
 
 
 def value_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
