@@ -3,13 +3,15 @@
 1. *Propose.* Every window of ``width`` words chooses its smallest 5-word hash
    as anchor, so equal windows choose equal anchors, and only about a fifth of
    the positions are anchors. Anchors found in two documents recur; they go
-   into a bit filter of fixed size.
-2. *Confirm.* Stretches of text around recurring anchors are cut into windows,
-   grouped by their words; those that start in two documents are phrases.
-3. *Locate.* Phrases are dealt into shards by anchor, each compiled into an
-   Aho-Corasick automaton over words. The stretches of every document stream
-   through the automaton of their shard; a shard with many stretches is dealt
-   over several tasks that each compile it.
+   into a bit filter of fixed size. Of the windows with such an anchor, the
+   hashes found in two documents go into another filter.
+2. *Confirm.* Runs of proposed windows with one anchor are stretches. Equal
+   stretches are combined before they are shuffled; their windows are compared
+   word by word, and those that start in two documents are phrases.
+3. *Locate.* Stretches are dealt into shards by anchor. A task compiles the
+   phrases of its shard into an Aho-Corasick automaton over words, and the
+   stretches of every document stream through it; a shard with many stretches
+   is dealt over several tasks that each compile it.
 
 Hashes only propose: phrases are compared word by word.
 
@@ -37,29 +39,22 @@ from .words import Words, mix, pieces, signed
 ANCHOR = 5
 
 
-def _anchors(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For stretches of windows with one anchor: anchor hash, first window, last window, text's row."""
+def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows within one text: first word, place of the anchor, hash of the anchor."""
     gram, at = words.runs(words.hashes(), ANCHOR)
     span = width - ANCHOR + 1
     n = len(at) - span + 1
-    empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty.view(np.uint64), empty, empty, empty
+        empty = np.zeros(0, np.int64)
+        return empty, empty, empty.view(np.uint64)
     best, chosen = gram[:n].copy(), np.arange(n)
     for j in range(1, span):
         other = gram[j : n + j]
-        less = other < best
+        less = np.flatnonzero(other < best)
         best[less] = other[less]
-        chosen[less] = np.flatnonzero(less) + j
+        chosen[less] = less + j
     window = np.flatnonzero(words.row[at[:n]] == words.row[at[span - 1 :]])
-    if not len(window):
-        return empty.view(np.uint64), empty, empty, empty
-    chosen, first = chosen[window], at[window]
-    new = np.ones(len(window), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (np.diff(first) != 1)
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(window)) - 1
-    return gram[chosen[begin]], first[begin], first[end], words.row[first[begin]]
+    return at[window], chosen[window], best[window]
 
 
 def _text_key(words: Words) -> np.ndarray:
@@ -72,37 +67,67 @@ def _text_key(words: Words) -> np.ndarray:
     return mix(out + words.count.astype(np.uint64))
 
 
+def _pairs(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """Different pairs of a piece."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(signed(key[new])), pa.array(doc[new])], ["key", "doc"])
+
+
 def _anchor_rows(width: int):
     def emit(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, _, words in pieces(batch.column(1)):
-                key, _, _, row = _anchors(words, width)
-                pair = np.unique(np.stack([signed(key), ids[low + row]]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["key", "doc"])
+                first, place, key = _windows(words, width)
+                new = np.ones(len(place), bool)
+                new[1:] = place[1:] != place[:-1]
+                yield _pairs(key[new], ids[low + words.row[first[new]]])
 
     return emit
 
 
-def _stretch_rows(width: int, recurring: np.ndarray):
+def _window_rows(width: int, anchors: np.ndarray):
+    def emit(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for low, _, words in pieces(batch.column(1)):
+                first, _, key = _windows(words, width)
+                whole, _ = words.runs(words.hashes(), width)
+                some = hits(anchors, key)
+                yield _pairs(whole[some], ids[low + words.row[first[some]]])
+
+    return emit
+
+
+def _stretch_rows(width: int, proposed: np.ndarray):
     names = ["key", "doc", "text_key", "place", "stretch"]
 
     def emit(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, _, words in pieces(batch.column(1)):
-                key, first, last, row = _anchors(words, width)
-                some = np.flatnonzero(hits(recurring, key)) if len(key) else np.zeros(0, np.int64)
-                key, first, last, row = key[some], first[some], last[some], row[some]
+                first, place, key = _windows(words, width)
+                whole, _ = words.runs(words.hashes(), width)
+                some = np.flatnonzero(hits(proposed, whole))
+                first, place, key = first[some], place[some], key[some]
+                new = np.ones(len(some), bool)
+                new[1:] = (place[1:] != place[:-1]) | (np.diff(first) != 1)
+                begin = np.flatnonzero(new)
+                last = first[np.append(begin[1:], len(some)) - 1] if len(some) else first
+                key, first = key[begin], first[begin]
+                row = words.row[first]
                 raw = words.data.tobytes()
-                begin, end = words.start[first].tolist(), words.end[last + width - 1].tolist()
+                start, end = words.start[first].tolist(), words.end[last + width - 1].tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(signed(key)),
                         pa.array(ids[low + row].astype(np.int64)),
                         pa.array(signed(_text_key(words)[row])),
                         pa.array(first - words.first[row]),
-                        pa.array([raw[a:b] for a, b in zip(begin, end)], pa.binary()),
+                        pa.array([b" ".join(raw[a:b].split()) for a, b in zip(start, end)], pa.binary()),
                     ],
                     names,
                 )
@@ -110,45 +135,37 @@ def _stretch_rows(width: int, recurring: np.ndarray):
     return emit
 
 
-def _windows(width: int):
-    def emit(batches):
-        for batch in batches:
-            key, low, high, text = [], [], [], []
-            for k, a, b, stretch in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = stretch.split()
-                for i in range(len(words) - width + 1):
-                    key.append(k), low.append(a), high.append(b), text.append(b" ".join(words[i : i + width]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(text, pa.binary())],
-                ["key", "low", "high", "phrase"],
-            )
-
-    return emit
-
-
 def _locate(width: int):
-    """Rows come by shard: first its phrases (``doc`` is the first document), then stretches."""
+    """Rows come by shard: first its different stretches with first and last document, then those of all documents."""
+
+    def compiled(bounds: dict[tuple, list[int]]):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for ids, (low, high) in bounds.items():
+            if low < high:
+                automaton.add_word(ids, low)
+        if len(automaton):
+            automaton.make_automaton()
+            return automaton
+        return None
 
     def emit(batches):
-        shard, phrases, number, automaton = None, {}, {}, None
+        shard, bounds, number, automaton = None, {}, {}, None
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
             columns = [batch.column(i).to_pylist() for i in range(7)]
-            for s, salt, kind, doc, text_key, place, text in zip(*columns):
+            for s, salt, low, doc, text_key, place, text in zip(*columns):
                 if (s, salt) != shard:
-                    shard, phrases, number, automaton = (s, salt), {}, {}, None
+                    shard, bounds, number, automaton = (s, salt), {}, {}, None
                 words = text.split()
-                if kind == 0:
-                    ids = tuple(number.setdefault(w, len(number) + 1) for w in words)
-                    phrases[ids] = min(doc, phrases.get(ids, doc))
+                if low is not None:
+                    ids = [number.setdefault(w, len(number) + 1) for w in words]
+                    for i in range(len(ids) - width + 1):
+                        known = bounds.setdefault(tuple(ids[i : i + width]), [low, doc])
+                        known[0], known[1] = min(known[0], low), max(known[1], doc)
                     continue
+                if bounds:
+                    automaton, bounds = compiled(bounds), {}
                 if automaton is None:
-                    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-                    for ids, first in phrases.items():
-                        automaton.add_word(ids, first)
-                    if phrases:
-                        automaton.make_automaton()
-                if not phrases:
                     continue
                 begin = end = -1
                 for stop, first in automaton.iter(tuple(number.get(w, 0) for w in words)):
@@ -168,21 +185,21 @@ def _locate(width: int):
     return emit
 
 
-def _plain_rows(affected: np.ndarray):
-    """Documents that lose nothing are finished here; the text goes on of those that may lose words."""
-    names = ["doc_id", "n_words", "n_removed", "kept", "text_key"]
+def _plain_rows(affected: np.ndarray, want: bool):
+    """Documents that lose nothing are finished here; with ``want``, those that may lose words go on."""
 
     def emit(batches):
         for batch in batches:
             for low, high, words in pieces(batch.column(1)):
                 ids = batch.column(0).slice(low, high - low)
                 key = _text_key(words)
-                maybe = hits(affected, key)
-                raw, bounds = words.data.tobytes(), words.offsets.tolist()
-                kept = [b" ".join(raw[a:b].split()) for a, b in zip(bounds, bounds[1:])]
+                row = np.flatnonzero(hits(affected, key) == want)
+                raw, bounds = words.data.tobytes(), words.offsets
+                kept = [b" ".join(raw[a:b].split()) for a, b in zip(bounds[row].tolist(), bounds[row + 1].tolist())]
+                last = pa.array(signed(key)[row]) if want else pa.array(np.zeros(len(row), np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(words.count), pa.array(np.zeros(high - low, np.int64)), pa.array(kept, pa.binary()), pa.array(signed(key), mask=~maybe)],
-                    names,
+                    [ids.take(pa.array(row)), pa.array(words.count[row]), last, pa.array(kept, pa.binary())],
+                    ["doc_id", "n_words", "text_key" if want else "n_removed", "kept"],
                 )
 
     return emit
@@ -190,7 +207,7 @@ def _plain_rows(affected: np.ndarray):
 
 def _cut(batches):
     for batch in batches:
-        ids, count, _, texts, spans = (batch.column(i) for i in range(5))
+        ids, count, texts, spans = (batch.column(i) for i in range(4))
         removed, kept = [], []
         for text, ranges in zip(texts.to_pylist(), spans.to_pylist()):
             words = text.split()
@@ -207,51 +224,51 @@ def _cut(batches):
 def remove_repeats(
     docs: DataFrame,
     width: int = 13,
-    shard_phrases: int = 20_000,
+    shard_stretches: int = 20_000,
     task_stretches: int = 20_000,
     filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: ``kept`` has the remaining words joined by one space (binary UTF-8).
 
     A word goes when a window of ``width`` words covers it whose words also
-    start in a document with a smaller ``doc_id``. ``shard_phrases`` and
+    start in a document with a smaller ``doc_id``. ``shard_stretches`` and
     ``task_stretches`` set the size of an automaton and of a task, not what is
     found.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     known = texts.where("doc_id is not null")
-    anchors = known.mapInArrow(_anchor_rows(width), "key long, doc long")
-    recurring = anchors.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    found = bit_filter(recurring, "key", filter_bits)
-    stretches = materialise(
-        known.mapInArrow(_stretch_rows(width, found), "key long, doc long, text_key long, place long, stretch binary"), "stretches"
+
+    def recurring(rows: DataFrame) -> np.ndarray:
+        both = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+        return bit_filter(both, "key", filter_bits)
+
+    anchors = recurring(known.mapInArrow(_anchor_rows(width), "key long, doc long"))
+    proposed = recurring(known.mapInArrow(_window_rows(width, anchors), "key long, doc long"))
+    stretches = known.mapInArrow(
+        _stretch_rows(width, proposed), "key long, doc long, text_key long, place long, stretch binary"
     )
-    different = stretches.groupBy("key", "stretch").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    windows = different.select("key", "low", "high", "stretch").mapInArrow(_windows(width), "key long, low long, high long, phrase binary")
-    phrases = materialise(
-        windows.groupBy("key", "phrase").agg(F.min("low").alias("doc"), F.max("high").alias("high")).where("doc < high").drop("high"),
-        "phrases",
+    different = materialise(
+        stretches.groupBy("key", "stretch").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")),
+        "stretches",
     )
-    shards = max(1, -(-phrases.count() // shard_phrases))
+    shards = max(1, -(-different.count() // shard_stretches))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
-    dealt = stretches.join(phrases.select("key").distinct(), "key", "left_semi").withColumn("shard", shard)
-    salts = (
-        stretches.groupBy(shard).count().select("shard", F.ceil(F.col("count") / F.lit(task_stretches)).cast("int").alias("salts"))
+    salts = different.groupBy(shard).agg(F.ceil(F.sum("n") / F.lit(task_stretches)).cast("int").alias("salts"))
+    none = F.lit(None).cast("long")
+    streams = stretches.withColumn("shard", shard).join(F.broadcast(salts) if shards <= 10_000 else salts, "shard").select(
+        "shard", F.pmod(F.xxhash64("doc", "place"), F.col("salts")).cast("int").alias("salt"), none.alias("low"),
+        "doc", "text_key", "place", "stretch",
     )
-    streams = dealt.join(salts, "shard").select(
-        "shard", F.pmod(F.xxhash64("doc", "place"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"),
-        "doc", "text_key", "place", F.col("stretch").alias("text"),
-    )
-    compiled = phrases.withColumn("shard", shard).join(salts, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"),
-        "doc", F.lit(0).cast("long").alias("text_key"), F.lit(0).cast("long").alias("place"), F.col("phrase").alias("text"),
+    sources = different.withColumn("shard", shard).join(salts, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "low",
+        F.col("high").alias("doc"), none.alias("text_key"), none.alias("place"), "stretch",
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = (
-        compiled.union(streams)
+        sources.union(streams)
         .repartition(parts, "shard", "salt")
-        .sortWithinPartitions("shard", "salt", "kind")
+        .sortWithinPartitions("shard", "salt", F.col("low").isNull())
         .mapInArrow(_locate(width), "doc long, text_key long, begin long, end long")
     )
     # a document's own spans: no more than its words
@@ -259,17 +276,14 @@ def remove_repeats(
         spans.groupBy("doc", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans"
     )
     affected = bit_filter(spans, "text_key", filter_bits)
-    first = materialise(
-        texts.mapInArrow(_plain_rows(affected), "doc_id long, n_words long, n_removed long, kept binary, text_key long"), "texts"
-    )
-    fields = ["doc_id", "n_words", "n_removed", "kept"]
+    whole = texts.mapInArrow(_plain_rows(affected, False), "doc_id long, n_words long, n_removed long, kept binary")
     cut = (
-        first.where("text_key is not null")
+        texts.mapInArrow(_plain_rows(affected, True), "doc_id long, n_words long, text_key long, kept binary")
         .join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "text_key"], "left")
-        .select(*fields, "spans")
+        .select("doc_id", "n_words", "kept", "spans")
         .mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
     )
-    return first.where("text_key is null").select(*fields).union(cut)
+    return whole.union(cut)
 
 
 def digest(result: DataFrame) -> DataFrame:
