@@ -102,7 +102,7 @@ def _window_rows(width: int, anchors: np.ndarray):
     return emit
 
 
-def _stretch_rows(width: int, proposed: np.ndarray):
+def _stretch_rows(width: int, anchors: np.ndarray, proposed: np.ndarray):
     names = ["key", "doc", "text_key", "place", "stretch"]
 
     def emit(batches):
@@ -111,7 +111,7 @@ def _stretch_rows(width: int, proposed: np.ndarray):
             for low, _, words in pieces(batch.column(1)):
                 first, place, key = _windows(words, width)
                 whole, _ = words.runs(words.hashes(), width)
-                some = np.flatnonzero(hits(proposed, whole))
+                some = np.flatnonzero(hits(anchors, key) & hits(proposed, whole))
                 first, place, key = first[some], place[some], key[some]
                 new = np.ones(len(some), bool)
                 new[1:] = (place[1:] != place[:-1]) | (np.diff(first) != 1)
@@ -225,7 +225,7 @@ def remove_repeats(
     docs: DataFrame,
     width: int = 13,
     shard_stretches: int = 20_000,
-    task_stretches: int = 20_000,
+    task_stretches: int = 60_000,
     filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: ``kept`` has the remaining words joined by one space (binary UTF-8).
@@ -246,7 +246,7 @@ def remove_repeats(
     anchors = recurring(known.mapInArrow(_anchor_rows(width), "key long, doc long"))
     proposed = recurring(known.mapInArrow(_window_rows(width, anchors), "key long, doc long"))
     stretches = known.mapInArrow(
-        _stretch_rows(width, proposed), "key long, doc long, text_key long, place long, stretch binary"
+        _stretch_rows(width, anchors, proposed), "key long, doc long, text_key long, place long, stretch binary"
     )
     different = materialise(
         stretches.groupBy("key", "stretch").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")),
