@@ -138,7 +138,8 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: floa
     per bucket, so the driver gets ``buckets`` rows whatever the input.
     """
     known = trusted.withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(known, "doc_id", "left").select("text", "trusted")
+    # a merge join whatever the size: the same plan for every table, and no broadcast that grows
+    marked = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id", "left").select("text", "trusted")
     counts = (
         marked.mapInArrow(_count_rows(buckets), "bucket int, raw long, target long")
         .groupBy("bucket")
