@@ -23,9 +23,10 @@ as the library does by default, and no cut falls inside one.
 from __future__ import annotations
 
 import json
+from functools import cached_property
 from itertools import chain
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -39,8 +40,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters in a piece of a long text.
 PIECE = 1 << 15
 
+#: Rows whose ids are Python objects at a time.
+ROWS = 500
+
 #: Different units remembered by a task.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 def byte_of_char() -> dict[str, int]:
@@ -54,9 +58,7 @@ class Codec:
     """Units and ids of texts by one byte-level vocabulary file."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.special = [a["content"] for a in file["added_tokens"]]
@@ -65,11 +67,11 @@ class Codec:
         self.unit = regex.compile(PATTERN)
         self.memory: dict[str, list[int]] = {}
         stand_in = byte_of_char()
+        vocabulary = file["model"]["vocab"]
+        self.number = vocabulary | {a["content"]: a["id"] for a in file["added_tokens"]}
         self.bytes = {
-            i: bytes(stand_in[c] for c in t) if all(c in stand_in for c in t) else t.encode()
-            for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()
+            i: bytes(stand_in[c] for c in t) if all(c in stand_in for c in t) else t.encode() for t, i in self.number.items()
         }
-        vocabulary = file["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         ranks = {self.bytes[i]: i for t, i in vocabulary.items() if t not in self.special}
         # tokens of one byte come first, then each merge's own in turn
@@ -77,6 +79,13 @@ class Codec:
         if all(vocabulary[a + b] == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges):
             self.fast = tiktoken.Encoding("by ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def units(self, text: str) -> list[str]:
         """The text cut at the boundaries over which no merge reaches."""
         if self.split is None or not any(s in text for s in self.special):
@@ -94,7 +103,7 @@ class Codec:
             new = [u for u in dict.fromkeys(units) if u not in memory]
             if self.fast is not None:
                 for u in new:
-                    memory[u] = self.fast.encode_ordinary(u) if u not in self.special else [self.tokenizer.token_to_id(u)]
+                    memory[u] = self.fast.encode_ordinary(u) if u not in self.special else [self.number[u]]
             else:
                 for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
                     memory[u] = e.ids
@@ -102,8 +111,10 @@ class Codec:
 
     def whole(self, text: str) -> list[int]:
         """Ids of a text that is not cut."""
-        if self.fast is not None and not any(s in text for s in self.special):
-            return self.fast.encode_ordinary(text)
+        if self.fast is not None:
+            if not any(s in text for s in self.special):
+                return self.fast.encode_ordinary(text)
+            return self.ids(self.units(text))
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def decode(self, ids: list[int]) -> str:
@@ -181,8 +192,10 @@ def _encode_rows(path: str):
     def emit(batches):
         codec = Codec(path)
         for batch in batches:
-            ids = [codec.whole(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                ids = [np.array(codec.whole(t or ""), np.int32) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return emit
 
@@ -217,20 +230,32 @@ def _leaf_rows(path: str):
 
 
 def _tree_rows(path: str):
-    def merge(leaves: pd.DataFrame) -> pd.DataFrame:
+    """Rows come by text and piece; a text's pieces are put together when the last has come."""
+
+    def emit(batches):
         codec = Codec(path)
-        units = []
-        for text, sizes in leaves.sort_values("leaf")[["text", "sizes"]].itertuples(index=False):
-            at, own = 0, []
-            for n in sizes:
-                own.append(text[at : at + n])
-                at += n
-            units.append(own)
-        ids = codec.ids(codec.tree(units))
-        doc_id = leaves["doc_id"].astype("Int64").head(1)
-        return pd.DataFrame({"doc_id": doc_id.reset_index(drop=True), "ids": [ids]})
+        current, doc_id, leaves = None, None, []
 
-    return merge
+        def done():
+            ids = np.array(codec.ids(codec.tree(leaves)), np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in ("doc_id", "key", "text", "sizes")}
+                if (key := row["key"].as_py()) != current:
+                    if leaves:
+                        yield done()
+                    current, doc_id, leaves = key, row["doc_id"].as_py(), []
+                text, at, own = row["text"].as_py(), 0, []
+                for n in row["sizes"].as_py():
+                    own.append(text[at : at + n])
+                    at += n
+                leaves.append(own)
+        if leaves:
+            yield done()
+
+    return emit
 
 
 def encode(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
@@ -246,7 +271,9 @@ def encode(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
         .repartition("key", "leaf")
         .mapInArrow(_leaf_rows(path), "doc_id long, key long, leaf int, text string, sizes array<int>")
     )
-    merged = leaves.groupBy("key").applyInPandas(_tree_rows(path), "doc_id long, ids array<int>")
+    merged = (
+        leaves.repartition("key").sortWithinPartitions("key", "leaf").mapInArrow(_tree_rows(path), "doc_id long, ids array<int>")
+    )
     return short.union(merged)
 
 
@@ -257,9 +284,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def emit(batches):
         codec = Codec(path)
         for batch in batches:
-            texts = [codec.decode(x or []) for x in batch.column("ids").to_pylist()]
             names = [f.name for f in fields]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                texts = [codec.decode(x or []) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return encoded.mapInArrow(emit, f"{schema}, text string")
