@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, perplexity, pii, quality_rules, substring_dedup
+from . import bpe, jaccard_join, line_dedup, perplexity, pii, quality_rules, substring_dedup, vector_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,9 @@ SQL["op4_line_dedup"] = line_dedup.SQL
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
+
+
+@query
+def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_graph.nearest(vectors, vectors.where("vec_id % 100 = 0"))
