@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, perplexity, pii, quality_rules, substring_dedup, vector_graph
+from . import bpe, jaccard_join, line_dedup, perplexity, pii, quality_rules, substring_dedup, toxicity, vector_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vector_graph.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
