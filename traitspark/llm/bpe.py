@@ -294,10 +294,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(emit, f"{schema}, text string")
 
 
-def digest(encoded: DataFrame, path: str) -> DataFrame:
-    """Counts and SHA-256 digests of the ids and of the decoded text."""
+def digest(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """Counts and SHA-256 digests of the ids and of the decoded text, and on demand the ids."""
     return decode(encoded, path).select(
         "doc_id",
+        *(["ids"] if keep_ids else []),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),

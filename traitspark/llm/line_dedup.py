@@ -21,11 +21,13 @@ and has no lines; an empty text is one line without words and stays; a row
 without ``doc_id`` keeps all lines and removes none; rows that repeat ``doc_id``
 are ordered by a hash of their text, and those that repeat both are treated
 alike, each as if it were the only one; an empty table gives an empty result;
-other columns are dropped.
+other columns are dropped but for those to carry.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,9 +139,15 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(F.flatten(runs), "\n")
 
 
-def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8) -> DataFrame:
-    """``doc_id, text, n_lines, n_exact, n_near`` of every row: the text left and how many lines went why."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, text, n_lines, n_exact, n_near`` of every row: the text left and how many lines went why.
+
+    ``carried`` is a struct of the columns named in ``carry``, or null.
+    """
+    carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("string")
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), carried.alias("carried")
+    )
     lines = materialise(different_lines(texts, least_words, near_words), "lines")
     maybe = possible(lines)
     copies = (
@@ -152,7 +160,7 @@ def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8) ->
     none = F.array().cast("array<int>")
     marked = materialise(
         texts.join(by_text, ["doc_id", "text_key"], "left").select(
-            "doc_id", "text_key", "text", F.coalesce("exact", none).alias("exact"), F.coalesce("open", none).alias("open")
+            "doc_id", "text_key", "text", "carried", F.coalesce("exact", none).alias("exact"), F.coalesce("open", none).alias("open")
         ),
         "marked",
     )
@@ -179,6 +187,7 @@ def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8) ->
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.size("exact").cast("long").alias("n_exact"),
         F.size("near").cast("long").alias("n_near"),
+        "carried",
     )
 
 
