@@ -1,0 +1,287 @@
+"""The text operators against brute force, on the smallest tables and on odd rows."""
+
+import collections
+import hashlib
+import re
+
+import pytest
+from oracle_compare import compare, connect
+from pyspark.sql import functions as F
+
+from traitspark.llm import bpe, jaccard_join, line_dedup, mixing, perplexity, pii, quality_rules, queries, substring_dedup
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+ODD = [
+    (1, "a b c d e f g h i j k l m n"), (2, "a b c d e f g h i j k l m n x"), (2, "a b c d e f g h i j k l m n x"),
+    (None, "a b c d e f g h i j k l m n"), (3, None), (4, ""), (5, "z " * 2000), (6, "z " * 13), (7, "y a b c d e f g h i j k l m"),
+    (8, " \n\t"), (9, "A b  C"), (10, "a b c"), (11, "é🙂 <|endoftext|> x"),
+]
+
+
+def sha(text):
+    return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+def ordered(rows):
+    return sorted(map(str, map(tuple, rows)))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return [tuple(r) for r in docs.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    frame = spark.createDataFrame(ODD, "doc_id long, text string")
+    clash = ["key", "node", "n", "row", "words", "spans", "ids", "place", "weight", "topic", "tokens", "label"]
+    return frame.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), *[F.lit(1).alias(c) for c in clash])
+
+
+def test_repeats_match_a_dictionary_of_windows(spark, sf_dir, texts, odd):
+    got = queries.QUERIES["op9_substring_dedup"](spark, sf_dir).collect()
+    assert ordered(got) == ordered(substring_dedup.brute_force(texts))
+    got = substring_dedup.digest(substring_dedup.remove_repeats(odd, shard_stretches=1, task_stretches=1)).collect()
+    assert ordered(got) == ordered(substring_dedup.brute_force(ODD))
+    assert substring_dedup.remove_repeats(odd.limit(0)).count() == 0
+
+
+def linked(rows):
+    sets, root = [], list(range(len(rows)))
+    for _, text in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    seen = collections.defaultdict(list)
+    for i, own in enumerate(sets):
+        if rows[i][0] is None:
+            continue
+        common = collections.Counter(j for g in own for j in seen[g])
+        for g in own:
+            seen[g].append(i)
+        for j, k in common.items():
+            if 100 * k >= 75 * (len(own) + len(sets[j]) - k):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(d, low.get(find(i), d))
+    return [(d, len(sets[i]), None if d is None else low[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)]
+
+
+def test_components_match_all_pairs(spark, sf_dir, texts, odd):
+    assert ordered(queries.QUERIES["op5_jaccard_join"](spark, sf_dir).collect()) == ordered(linked(texts))
+    assert ordered(jaccard_join.components(odd).collect()) == ordered(linked(ODD))
+    assert jaccard_join.components(odd.limit(0)).count() == 0
+
+
+def test_components_of_a_large_group_by_levels(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(40) for k in [(i * 7) % 55]]
+    rows += [(100 + i, " ".join(base[:30] + [f"q{i}_{j}" for j in range(30)])) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.components(frame, leaf=3, levels=2, one_in=1, least=2).collect()
+    assert ordered(got) == ordered(linked(rows))
+
+
+def test_lines_match_sql(spark, sf_dir):
+    assert compare(queries.QUERIES["op4_line_dedup"](spark, sf_dir), connect(sf_dir), queries.SQL["op4_line_dedup"]) == ""
+
+
+def test_lines_of_odd_rows(spark):
+    rows = [
+        (1, "a b c d e f g h\nx y"), (2, "a b c d e f g h i\nx  y"), (3, "a b c d Z f g h\nq"), (4, None), (5, ""), (None, "x y"),
+        (6, "x y"), (6, "x y"), (7, "a b c d e f g h\n\nz"), (8, "b c d e f g h i\nx y z"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as line", "3 as first")
+    got = line_dedup.remove_lines(frame).select("doc_id", "text", "n_exact", "n_near").collect()
+    want = [
+        (1, rows[0][1], 0, 0), (2, "", 1, 1), (3, "q", 0, 1), (4, None, 0, 0), (5, "", 0, 0), (None, "x y", 0, 0),
+        (6, "", 1, 0), (6, "", 1, 0), (7, "\nz", 1, 0), (8, "x y z", 0, 1),
+    ]
+    assert ordered(got) == ordered(want)
+    assert line_dedup.remove_lines(frame.limit(0)).count() == 0
+
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def personal(text):
+    def right(kind, value):
+        digits = re.sub("[^0-9]", "", value)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in value.split("."))
+        if kind == "card":
+            twice = [int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(digits))]
+            return 14 <= len(digits) <= 19 and sum(twice) % 10 == 0
+        return kind == "email" or 10 <= len(digits) <= 15
+
+    spans = sorted(
+        (m.start(), i, m.end(), kind) for i, (kind, p) in enumerate(PATTERNS) for m in re.finditer(p, text or "") if right(kind, m.group())
+    )
+    return *[sum(s[3] == k for s in spans) for k, _ in PATTERNS], sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans))
+
+
+def test_personal_data(spark, sf_dir, texts):
+    got = queries.QUERIES["op7_pii"](spark, sf_dir).drop("spans").collect()
+    assert ordered(got) == ordered([(d, *personal(t)) for d, t in texts])
+    rows = [
+        (1, None), (2, ""), (None, "é🙂 a@b.c and 1.2.3.4.5.6.7.8 x"), (3, "9" * 20000), (4, "a" * 100000), (5, "a@b.c_d@e.f x@y.z"),
+        (6, "+1 (706) 555-3138 4111 1111 1111 1111 256.1.1.1 001.2.3.0255"), (7, "1 " * 9000), (8, "a@" + "b." * 9000 + "c"),
+        (9, "Zorro lives at q@w.e yes"), (10, "and Zorro writes q@w.e again"), (11, "not q@w.e that Zorro indeed"), (12, "no Zorro"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans", "2 as row")
+    result = pii.sanitise(frame)
+    assert ordered(pii.digest(result).drop("spans").collect()) == ordered([(d, *personal(t)) for d, t in rows])
+    clean = {r.doc_id: r.sanitised for r in result.collect()}
+    assert clean[9] == "[TERM] lives at [EMAIL] yes" and clean[12] == "no Zorro" and clean[5] == "[EMAIL][EMAIL] [EMAIL]"
+    assert pii.sanitise(frame.limit(0)).count() == 0
+
+
+def base(text):
+    w, seen, repeated, windows, covered = WORD.findall(text or ""), set(), 0, collections.defaultdict(list), set()
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            repeated += line in seen
+            seen.add(line)
+    for i in range(len(w) - 7):
+        windows[tuple(w[i : i + 8])].append(i)
+    for places in windows.values():
+        if len(places) > 1:
+            covered.update(j for i in places for j in range(i, i + 8))
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), repeated, len(covered)
+
+
+def test_quality_rules(spark, sf_dir, docs, texts, odd):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    got = queries.QUERIES["op6_quality_rules"](spark, sf_dir)
+    again = {r.doc_id: (r.score, r.kept) for r in quality_rules.judge(docs.repartition(5), labels).collect()}
+    for r in got.collect():
+        want = base(dict(texts)[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (not r.base_failed or not r.kept)
+        assert again[r.doc_id] == (r.score, r.kept)
+    got = quality_rules.judge(odd, labels.limit(0)).select("doc_id", *quality_rules.BASE, "score").collect()
+    assert ordered(got) == ordered([(d, *base(t), 0.0) for d, t in ODD])
+    assert quality_rules.judge(odd.limit(0), labels).count() == 0
+
+
+def kneser_ney(sequences, order, symbols):
+    """Interpolated modified Kneser-Ney probability of a symbol after a context, from dictionaries."""
+    tables = [collections.Counter(tuple(s[i : i + order]) for s in sequences for i in range(len(s) - order + 1))]
+    while len(tables) < order:
+        tables.append(collections.Counter(g[1:] for g in tables[-1]))
+    levels = []
+    for table in reversed(tables):
+        n = [sum(c == k for c in table.values()) for k in (1, 2, 3, 4)]
+        cut, contexts = perplexity.discounts(n), collections.defaultdict(lambda: [0, 0.0])
+        less = lambda c, cut=cut: cut[min(c, 3) - 1]
+        for g, c in table.items():
+            contexts[g[:-1]][0] += c
+            contexts[g[:-1]][1] += less(c)
+        levels.append((table, contexts, less))
+
+    def p(gram):
+        if not gram:
+            return 1 / symbols
+        table, contexts, less = levels[len(gram) - 1]
+        if gram[:-1] not in contexts:
+            return p(gram[1:])
+        total, mass = contexts[gram[:-1]]
+        c = table.get(gram, 0)
+        return ((c - less(c)) / total if c else 0) + mass / total * p(gram[1:])
+
+    return p
+
+
+def test_perplexity_matches_a_model_from_dictionaries(spark, docs, texts):
+    import math
+
+    some = docs.where("doc_id < 40")
+    symbol = perplexity.alphabet(some)
+    model = perplexity.fit(some.select("text"), symbol)
+    got = {r.doc_id: r.perplexity for r in perplexity.perplexities(docs.where("doc_id < 60"), symbol, model, shard_contexts=500).collect()}
+    coded = {d: [63] * 4 + [int(symbol[ord(c)]) for c in t] + [63] for d, t in texts if d < 60}
+    p = kneser_ney([s for d, s in coded.items() if d < 40], 5, 64)
+    for d, s in coded.items():
+        grams = [tuple(s[i : i + 5]) for i in range(len(s) - 4)]
+        assert math.isclose(got[d], math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)), rel_tol=1e-4)
+
+
+def test_perplexity_of_odd_rows(spark, odd):
+    none = spark.createDataFrame([], "doc_id long")
+    got = perplexity.classify(odd, none).collect()
+    assert ordered((r.doc_id, r.kept) for r in got) == ordered((d, bool(t)) for d, t in ODD)
+    assert perplexity.classify(odd.limit(0), none).count() == 0
+
+
+def test_classifier_separates_labels(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = queries.QUERIES["op8_quality_classifier"](spark, sf_dir).join(labels, "doc_id").collect()
+    kept = lambda q: sum(r.kept for r in got if r.quality == q) / sum(r.quality == q for r in got)
+    assert kept(1) > 0.95 and kept(0) < 0.5
+
+
+def test_mixture_matches_sql(spark, sf_dir):
+    assert compare(queries.QUERIES["op3_mixing"](spark, sf_dir), connect(sf_dir), queries.SQL["op3_mixing"]) == ""
+
+
+def test_mixture_meets_targets(spark, docs, odd):
+    rows = mixing.mix(docs, share=0.3, rounds=30).collect()
+    assert abs(sum(r.probability * r.n_tokens for r in rows) / sum(r.n_tokens for r in rows) - 0.3) < 1e-3
+    tokens = collections.Counter()
+    for r in rows:
+        tokens[r.topic] += r.weight * r.n_tokens
+    shares = [v / sum(tokens.values()) for t, v in tokens.items() if t >= 0]
+    assert max(shares) - min(shares) < 1e-3  # the topics' targets are even
+    got = mixing.mix(odd).collect()
+    assert all((r.probability > 0) == (r.n_tokens > 0) for r in got) and len(got) == len(ODD)
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary())
+
+
+def encoded(library, doc_id, text):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    return doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_encoding_matches_the_library(spark, sf_dir, texts, odd, library):
+    got = queries.QUERIES["op10_bpe"](spark, sf_dir).collect()
+    assert ordered(got) == ordered(encoded(library, *r) for r in texts)
+    rows = ODD + [(20, "a b\n" * 20000), (20, "a b\n" * 20000), (21, "é" * 50000), (None, " " * 40000 + "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as key", "3 as leaf")
+    path = queries.vocabulary()
+    assert ordered(bpe.digest(bpe.encode(frame, path), path).collect()) == ordered(encoded(library, *r) for r in rows)
+    assert bpe.digest(bpe.encode(frame.limit(0), path), path).count() == 0
+
+
+def test_tree_at_any_cut(library):
+    import random
+
+    codec, draw = bpe.Codec(queries.vocabulary()), random.Random(1)
+    parts = ["a", "b", " ", "  ", "\n", "'s", "'", "re", "1", "é", "<|endoftext|>", "<|endof", "　", "!!", "ll", "'ll", "🙂"]
+    for _ in range(400):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 40)))
+        want = library.encode(text, add_special_tokens=False).ids
+        for piece in (1, 2, 3, 7):
+            assert codec.encode(text, piece) == want
+        assert codec.whole(text) == want and codec.decode(want) == library.decode(want, skip_special_tokens=False)
