@@ -325,3 +325,18 @@ def test_failed_samples_become_rows(spark):
     rows = {r["sample_id"]: r for r in P.guarded_samples(run, [1, 2], "p_value double").collect()}
     assert rows[1]["p_value"] == 0.5 and rows[1]["reason"] is None
     assert rows[2]["p_value"] is None and rows[2]["reason"] == "too small"
+
+
+def test_large_sample_results_are_whole(spark):
+    def run(i):
+        return spark.range(15_000).select(F.lit(0.1).alias("p_value"))
+
+    assert P.guarded_samples(run, [1, 2], "p_value double").count() == 30_000
+
+
+def test_constant_labels_become_failed_tests(spark):
+    df = spark.range(60).select("id", F.lit(1.0).alias("y"), (F.col("id") % 7).cast("double").alias("m"))
+    tests = P.negative_control_tests(df, {"m": "m"}, "y", ["id"], n_samples=2, n_repeats=3)
+    assert all(r["p_value"] is None for r in tests.collect())
+    rates = P.control_rates(tests, ["model", "version"]).collect()
+    assert all(r["n_failed"] == 2 and r["n_tests"] == 0 and r["rate"] is None for r in rates)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -35,13 +36,21 @@ def within_domain(col, low, high) -> Column:
 
 
 def split_fixed(col, sep: str, names: Sequence[str]) -> list[Column]:
-    """First ``len(names)`` parts of a delimited text, missing where absent."""
-    import re
-
-    parts = F.split(_c(col), re.escape(sep))
+    """``len(names)`` parts of a delimited text, missing where absent; the last keeps all that is left."""
+    parts = F.split(_c(col), re.escape(sep), len(names))
     return [F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]
 
 
+def split_parts(col, sep: str) -> Column:
+    """All parts of a delimited text as a table function: ``pos`` from 0 and ``col``; a missing text gives one row."""
+    return F.posexplode_outer(F.split(_c(col), re.escape(sep)))
+
+
+def ratio(a, b) -> Column:
+    """``a / b``; missing where ``b`` is zero, as for the scores of a constant truth."""
+    return _c(a) / F.nullif(_c(b), F.lit(0.0))
+
+
 def trait_key(col) -> Column:
     """Trait key as a file name: brackets and slashes become ``_``."""
     return F.regexp_replace(_c(col), "[()/]", "_")

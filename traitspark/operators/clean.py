@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import first_present
+from ..functions.scalars import first_present, ratio
 from .skew import lookup_join, skew_join
 
 # Column names of the result files for one trait key.
@@ -203,11 +203,11 @@ def drop_sparse(
 
 
 def outlier_rows(df: DataFrame, column: str, threshold: float = 8.0, out: str = "z") -> DataFrame:
-    """Rows whose population z-score is at least ``threshold`` in size."""
+    """Rows whose population z-score is at least ``threshold`` in size; a constant column has none."""
     stats = df.agg(F.avg(column).alias("_mean"), F.stddev_pop(column).alias("_sd"))
     return (
         df.crossJoin(F.broadcast(stats))  # one row
-        .withColumn(out, (F.col(column) - F.col("_mean")) / F.col("_sd"))
+        .withColumn(out, ratio(F.col(column) - F.col("_mean"), "_sd"))
         .where(F.abs(F.col(out)) >= threshold)
         .drop("_mean", "_sd")
     )

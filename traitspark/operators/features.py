@@ -41,13 +41,11 @@ def scale_numeric(
     )
 
 
-def category_levels(
-    df: DataFrame, columns: Sequence[str], max_levels: int = 1000
-) -> dict[str, list]:
+def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted levels of each column, from one pass.
 
-    Levels become columns, so their number is checked; use
-    :func:`one_hot_vector` beyond ``max_levels``.
+    Each level becomes a column, so the list is as long as the table is wide;
+    :func:`one_hot_vector` keeps a column of very many levels as one vector.
     """
     pairs = F.array(
         *[
@@ -55,9 +53,7 @@ def category_levels(
             for c in columns
         ]
     )
-    rows = df.select(F.inline(pairs)).dropna().distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"more than {max_levels} levels: encode as a vector instead")
+    rows = df.select(F.inline(pairs)).dropna().distinct().collect()
     return {c: sorted(r["level"] for r in rows if r["column"] == c) for c in columns}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from .ranking import exact_quantiles
 
 
@@ -32,8 +33,8 @@ def regression_metrics(
     sums = errors.groupBy(*group).agg(
         F.avg(F.col("_e") * F.col("_e")).alias("mse"),
         F.avg("_abs").alias("mae"),
-        (1 - F.var_pop("_e") / F.var_pop("_y")).alias("explained_variance"),
-        (1 - F.avg(F.col("_e") * F.col("_e")) / F.var_pop("_y")).alias("r2"),
+        (1 - ratio(F.var_pop("_e"), F.var_pop("_y"))).alias("explained_variance"),
+        (1 - ratio(F.avg(F.col("_e") * F.col("_e")), F.var_pop("_y"))).alias("r2"),
     )
     middle = exact_quantiles(errors, "_abs", {"median_absolute_error": 0.5}, group)
     joined = sums.join(middle, group) if group else sums.crossJoin(F.broadcast(middle))  # one row
@@ -44,10 +45,10 @@ def regression_metrics(
 def r2_score(
     df: DataFrame, truth: str = "truth", pred: str = "prediction", group: Sequence[str] = ("model",)
 ) -> DataFrame:
-    """R2 per group in one aggregate."""
+    """R2 per group in one aggregate; missing where the truth is constant."""
     e = F.col(truth) - F.col(pred)
     return df.groupBy(*group).agg(
-        (1 - F.avg(e * e) / F.var_pop(truth)).alias("r2"), F.count(F.lit(1)).alias("n_rows")
+        (1 - ratio(F.avg(e * e), F.var_pop(truth))).alias("r2"), F.count(F.lit(1)).alias("n_rows")
     )
 
 

@@ -14,10 +14,10 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import PRIME, hex_int, normal, place_order, place_steps, residue, salted_md5
+from ..functions.scalars import ratio
 from ..functions.special import chi2_even_tail
 from ..session import materialise
 from .linear import LinearFit, solve
@@ -184,7 +184,7 @@ def label_scores(
 
     def r2(cross: str) -> Column:
         return F.round(
-            1 - (F.col("_yy") - 2 * F.col(cross) + F.col("_pp")) / F.col("_sst"), SCORE_DIGITS
+            1 - ratio(F.col("_yy") - 2 * F.col(cross) + F.col("_pp"), "_sst"), SCORE_DIGITS
         )
 
     # one row per group meets one row per group and repeat
@@ -227,15 +227,15 @@ def column_scores(
         *[
             F.struct(
                 F.lit(f).alias("feature"),
-                F.round(1 - F.col("_sse") / F.col("_sst"), SCORE_DIGITS).alias("baseline"),
+                F.round(1 - ratio("_sse", "_sst"), SCORE_DIGITS).alias("baseline"),
                 F.round(
                     1
-                    - (
+                    - ratio(
                         F.col(f"_uu_{f}")
                         - 2 * float(weight[f]) * F.col(f"product_{i}")
-                        + float(weight[f]) ** 2 * F.col(f"_xx_{f}")
-                    )
-                    / F.col("_sst"),
+                        + float(weight[f]) ** 2 * F.col(f"_xx_{f}"),
+                        "_sst",
+                    ),
                     SCORE_DIGITS,
                 ).alias("score"),
             )
@@ -284,7 +284,7 @@ def model_column_scores(
     def r2(table: DataFrame, by: Sequence[str], out: str) -> DataFrame:
         e = F.col(truth) - F.col(pred)
         return table.groupBy(*by).agg(
-            F.round(1 - F.avg(e * e) / F.var_pop(truth), SCORE_DIGITS).alias(out)
+            F.round(1 - ratio(F.avg(e * e), F.var_pop(truth)), SCORE_DIGITS).alias(out)
         )
 
     scores = r2(predict(spread), [*group, "feature", "repeat"], "score")
@@ -336,46 +336,17 @@ def adjust_p_values(
 ) -> DataFrame:
     """False-discovery adjustment: ``p_adjusted`` and ``rejected`` per test.
 
-    Missing p-values take no part and stay missing. Adjusted values are
+    Missing and undefined p-values take no part and stay missing. Adjusted values are
     computed per distinct p and joined back with hot p-values salted.
     """
     group = list(group)
-    adjusted = step_up_adjust(tests, p_value, group).drop("n_tied")
+    tests = tests.withColumn(p_value, F.when(~F.isnan(p_value), F.col(p_value)))
+    adjusted = step_up_adjust(tests.where(F.col(p_value).isNotNull()), p_value, group).drop("n_tied")
     return skew_join(tests, adjusted, [*group, p_value], "left", **skew).withColumn(
         "rejected", F.col("p_adjusted") <= F.lit(alpha)
     )
 
 
-# Tests of one group up to which a plain window adjusts them.
-WINDOW_TESTS = 1_000_000
-
-
-def adjust_counted(
-    tests: DataFrame, p_value: str = "p_value", group: Sequence[str] = ("model",), alpha: float = ALPHA
-) -> DataFrame:
-    """:func:`adjust_p_values` for a written table, whose groups are counted first.
-
-    Tests are samples or features, so a group is mostly a few thousand rows and
-    one window is enough; larger groups take the bucketed way.
-    """
-    group = list(group)
-    if _largest_group(tests, group)[0] > WINDOW_TESTS:
-        return adjust_p_values(tests, p_value, group, alpha)
-    p = F.col(p_value)
-    whole = W.partitionBy(*group)
-    up = whole.orderBy(p.asc_nulls_last())
-    down = whole.orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = tests.withColumn("_rank", F.row_number().over(up)).withColumn(
-        "_ratio", p * F.count(p_value).over(whole) / F.col("_rank")
-    )
-    adjusted = F.when(p.isNotNull(), F.least(F.lit(1.0), F.min("_ratio").over(down)))
-    return (
-        ranked.withColumn("p_adjusted", adjusted)
-        .drop("_rank", "_ratio")
-        .withColumn("rejected", F.col("p_adjusted") <= F.lit(alpha))
-    )
-
-
 def fisher_combine(tests: DataFrame, group: Sequence[str], p_value: str = "p_value") -> DataFrame:
     """Fisher's combined p-value per group; missing values are left out, a zero gives zero."""
     p = F.col(p_value)
@@ -433,7 +404,7 @@ def negative_control_tests(
 
     def r2(i: int, cross: str) -> Column:
         return F.round(
-            1 - (F.col("_yy") - 2 * F.col(cross) + F.col(f"_pp{i}")) / F.col("_sst"), SCORE_DIGITS
+            1 - ratio(F.col("_yy") - 2 * F.col(cross) + F.col(f"_pp{i}"), "_sst"), SCORE_DIGITS
         )
 
     cells = F.array(
@@ -526,7 +497,7 @@ def positive_control_tests(
     def r2(k: int, s: int, cross: str) -> Column:
         b = F.col("_w")[k][p + 1]
         sse = F.col(f"_uu{k}") - 2 * b * F.col(cross) + b * b * F.col(f"_cc{s}")
-        return F.round(1 - sse / F.col("_sst"), SCORE_DIGITS)
+        return F.round(1 - ratio(sse, "_sst"), SCORE_DIGITS)
 
     for i, name in enumerate(names):
         for s, sigma in enumerate(sigmas):
@@ -548,30 +519,26 @@ def guarded_samples(
 ) -> DataFrame:
     """Run ``run(sample_id)`` per sample; a sample that fails becomes a row with its reason.
 
-    For models that must be refitted by a Spark job per sample. ``run`` returns
-    one small result table, which is evaluated here so that its failure can be
-    caught; ``schema`` is the schema of its result.
+    For models that must be refitted by a Spark job per sample. Each sample's
+    result goes into a written table of its own, whole and without passing the
+    driver, so that its failure can be caught; ``schema`` is the schema of the
+    result.
     """
     from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
     from py4j.protocol import Py4JJavaError
 
     spark = SparkSession.getActiveSession()
-    good, failed = [], []
+    columns = [f.name for f in spark.createDataFrame([], schema).schema]
+    out = spark.createDataFrame([], f"sample_id int, {schema}")
+    failed = []
     for i in sample_ids:
         try:
-            good += [(i, *row) for row in run(i).limit(10_001).collect()]
-            if len(good) > 10_000 * len(sample_ids):
-                raise ValueError("a sample result is a summary, not a row table")
-        except (ValueError, AttributeError, PySparkException, Py4JJavaError) as error:
+            out = out.union(materialise(run(i).select(F.lit(i).cast("int").alias("sample_id"), *columns), "sample"))
+        except (ValueError, ArithmeticError, AttributeError, np.linalg.LinAlgError, PySparkException, Py4JJavaError) as error:
             failed.append((i, str(error).split("\n")[0]))
-    out = spark.createDataFrame(good, f"sample_id int, {schema}").withColumn(
-        "reason", F.lit(None).cast("string")
-    )
-    if failed:
-        bad = spark.createDataFrame(failed, "sample_id int, reason string")
-        out = out.unionByName(bad, allowMissingColumns=True)
-    return out
+    bad = spark.createDataFrame(failed, "sample_id int, reason string")
+    return out.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
 
 def control_rates(
@@ -583,7 +550,7 @@ def control_rates(
     adjustment reads them several times.
     """
     tests = materialise(tests, "tests")
-    return rejection_rate(adjust_counted(tests, group=by, alpha=alpha), by)
+    return rejection_rate(adjust_p_values(tests, group=by, alpha=alpha), by)
 
 
 # -- importance -------------------------------------------------------------
@@ -631,7 +598,7 @@ def merge_shards(
     times.
     """
     combined = materialise(fisher_combine(shards, [*group, feature]), "combined")
-    return adjust_counted(
+    return adjust_p_values(
         combined.withColumnRenamed("p_combined", "p_value"), group=group, alpha=alpha
     ).withColumnRenamed("p_value", "p_combined")
 

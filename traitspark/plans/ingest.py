@@ -444,6 +444,18 @@ def split_gene(spark, sf):
     return _annotation(spark, sf).select("p_partkey", *S.split_fixed("genes", ";", ["Gene1", "Gene2"]))
 
 
+@query(
+    "split_gene_three",
+    """with g as (select p_partkey, p_type || ';' || p_brand || ';' || p_name as genes from part)
+    select p_partkey, unnest(range(0, 3))::int as pos, unnest(str_split(genes, ';')) as gene from g""",
+)
+def split_gene_three(spark, sf):
+    """Every part of a list of names as a row, however many there are."""
+    names = F.concat_ws(";", "p_type", "p_brand", "p_name").alias("genes")
+    rows = B.table(spark, sf, "part").select("p_partkey", names)
+    return rows.select("p_partkey", S.split_parts("genes", ";").alias("pos", "gene"))
+
+
 @query(
     "func_class_counts",
     f"""with {_ANNO_SQL} select func, count(*) as n_rows, count(half) as n_half from an
