@@ -69,3 +69,25 @@ def test_integrated_csv_drops_row_number(spark, tmp_path):
     df = src.read_integrated(spark, str(tmp_path / "i.csv"), "_c0 int, Chromosome string, p_value double")
     assert df.columns == ["Chromosome", "p_value"]
     assert df.agg(F.sum("p_value")).first()[0] == 0.75
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    import pytest
+
+    _write(tmp_path / "snps.imputed.a.chr1.csv.gz", ["SNP Position A2 A1 maf HWE-P iscore", "rs1 100 G A 0.25 0.3 0.91"])
+    row = src.read_variants(spark, str(tmp_path)).first()
+    assert (row["A1"], row["A2"], row["iscore"], row["maf"]) == ("A", "G", 0.91, "0.25")
+    lacking = tmp_path / "lacking"
+    lacking.mkdir()
+    _write(lacking / "snps.imputed.a.chr1.csv.gz", ["SNP Position A1 A2 iscore", "rs1 100 A G 0.9"])
+    with pytest.raises(ValueError, match="HWE-P"):
+        src.read_variants(spark, str(lacking))
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    import pytest
+
+    _write(tmp_path / "snps.imputed.a.chr1.csv.gz", ["SNP Position A1 A2 HWE-P iscore", "rs1 100 A G 0.3 0.91"])
+    _write(tmp_path / "snps.imputed.a.chr2.csv.gz", ["SNP Position A2 A1 HWE-P iscore", "rs1 100 G A 0.3 0.91"])
+    with pytest.raises(Exception, match="header"):
+        src.read_variants(spark, str(tmp_path)).collect()

@@ -24,6 +24,55 @@ def ingest_join(spark, sf):
     return B.integrated_rows(spark, sf)
 
 
+def _chromosome_files(spark, rows, prefix):
+    """Rows as gzipped files named after their chromosome, several per chromosome where tasks wrote several."""
+    written, named = scratch_path(spark, "written"), scratch_path(spark, "named")
+    rows.write.partitionBy("Chromosome").options(header=True, sep=" ", compression="gzip").csv(written)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path
+    files = place(written).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place(named))
+    for folder in files.listStatus(place(written)):
+        value = folder.getPath().getName().partition("=")[2]
+        if value:
+            for i, part in enumerate(files.listStatus(folder.getPath())):
+                files.rename(part.getPath(), place(f"{named}/{prefix}.{i}.{value}.csv.gz"))
+    return named
+
+
+@query(
+    "read_results_scan",
+    """select 'rs' || l_partkey as SNP, l_returnflag as ALLELE, l_quantity as iscores, l_extendedprice as beta,
+       l_tax as se, l_discount as pv, l_linestatus as extra, 'chr' || l_linenumber as Chromosome from lineitem""",
+)
+def read_results_scan(spark, sf):
+    """Result files of each chromosome, with their columns in another order and one more."""
+    li = B.table(spark, sf, "lineitem")
+    rows = li.select(
+        F.col("l_linestatus").alias("extra"), F.col("l_discount").alias("PV-50-0.0"), F.concat(F.lit("rs"), "l_partkey").alias("SNP"),
+        F.col("l_tax").alias("NSE-50-0.0"), F.col("l_extendedprice").alias("NBETA-50-0.0"), F.col("l_quantity").alias("iscores"),
+        F.col("l_returnflag").alias("ALLELE"), F.concat(F.lit("chr"), "l_linenumber").alias("Chromosome"),
+    )
+    got = src.read_results(spark, _chromosome_files(spark, rows, "imputed.allWhites"))
+    return got.withColumnsRenamed({"NBETA-50-0.0": "beta", "NSE-50-0.0": "se", "PV-50-0.0": "pv"})
+
+
+@query(
+    "read_variants_scan",
+    """select 'rs' || p_partkey as SNP, p_partkey * 10 as Position, p_brand as A1, p_type as A2, p_retailprice as hwe,
+       p_size::double as iscore, 'chr' || (p_partkey % 7 + 1) as Chromosome from part""",
+)
+def read_variants_scan(spark, sf):
+    """Variant files of each chromosome, with the alleles in the other order."""
+    part = B.table(spark, sf, "part")
+    rows = part.select(
+        F.concat(F.lit("rs"), "p_partkey").alias("SNP"), (F.col("p_partkey") * 10).alias("Position"), F.col("p_type").alias("A2"),
+        F.col("p_brand").alias("A1"), F.col("p_retailprice").alias("HWE-P"), F.col("p_size").cast("double").alias("iscore"),
+        F.concat(F.lit("chr"), F.col("p_partkey") % 7 + 1).alias("Chromosome"),
+    )
+    return src.read_variants(spark, _chromosome_files(spark, rows, "snps.imputed")).withColumnRenamed("HWE-P", "hwe")
+
+
 @query(
     "association_summary",
     f"""with {B.INTEGRATED_SQL},

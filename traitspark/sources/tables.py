@@ -26,12 +26,28 @@ def chromosome_of(path):
     return F.when(number != "", F.concat(F.lit("chr"), number))
 
 
-def _by_chromosome(spark: SparkSession, folder: str, glob: str, schema: str) -> DataFrame:
-    rows = (
-        spark.read.schema(schema)
-        .options(sep=" ", header=True, mode="FAILFAST", pathGlobFilter=glob)
-        .csv(folder)
+def read_headed(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """Text table whose columns are found by their header names.
+
+    Columns of ``schema`` get their types wherever they stand; a missing one is
+    an error. Other columns are kept as text. Files of one folder must agree:
+    a file with another header is an error, not a shift of columns.
+    """
+    types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
+    names = spark.read.options(header=True, **options).csv(path).columns  # one header
+    absent = [c for c in types if c not in names]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} in {path}: it has {', '.join(names)}")
+    found = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in names])
+    # a nameless column is called by its place, which the check of names would refuse
+    nameless = any(c == f"_c{i}" for i, c in enumerate(names))
+    return (
+        spark.read.schema(found).options(header=True, enforceSchema=nameless, mode="FAILFAST", **options).csv(path)
     )
+
+
+def _by_chromosome(spark: SparkSession, folder: str, glob: str, schema: str) -> DataFrame:
+    rows = read_headed(spark, folder, schema, sep=" ", pathGlobFilter=glob)
     # only digit-numbered files; the glob alone would let chr2x through
     return rows.withColumn("Chromosome", chromosome_of(F.col("_metadata.file_name"))).where(
         F.col("Chromosome").isNotNull()
@@ -50,22 +66,18 @@ def read_variants(spark: SparkSession, folder: str, schema: str = VARIANT_SCHEMA
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Tab-separated table with a header."""
-    return spark.read.schema(schema).options(sep="\t", header=True, mode="FAILFAST").csv(path)
+    return read_headed(spark, path, schema, sep="\t")
 
 
 def read_integrated(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Integrated table from CSV; a nameless leading row-number column is dropped."""
-    df = spark.read.schema(schema).options(header=True, mode="FAILFAST").csv(path)
+    df = read_headed(spark, path, schema)
     return df.drop(*[c for c in df.columns if c in ("_c0", "Unnamed: 0")])
 
 
 def read_annotation(spark: SparkSession, path: str, schema: str, missing: str = ".") -> DataFrame:
     """Annotation CSV; the missing-value token becomes null in every column."""
-    return (
-        spark.read.schema(schema)
-        .options(header=True, nullValue=missing, mode="FAILFAST")
-        .csv(path)
-    )
+    return read_headed(spark, path, schema, nullValue=missing)
 
 
 def recode_missing(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
