@@ -1,5 +1,8 @@
 """Removal of passages that an earlier document has: repeated-phrase automata.
 
+Documents with the same words are handled first: all but the first lose every
+word (if they fill a window) and take no part in what follows.
+
 1. *Propose.* Every window of ``width`` words chooses its smallest 5-word hash
    as anchor, so equal windows choose equal anchors, and only about a fifth of
    the positions are anchors. Anchors found in two documents recur; they go
@@ -9,9 +12,10 @@
    stretches are combined before they are shuffled; their windows are compared
    word by word, and those that start in two documents are phrases.
 3. *Locate.* Stretches are dealt into shards by anchor. A task compiles the
-   phrases of its shard into an Aho-Corasick automaton over words, and the
-   stretches of every document stream through it; a shard with many stretches
-   is dealt over several tasks that each compile it.
+   different stretches of its shard that hold phrases into an Aho-Corasick
+   automaton over words, each with the places of its phrases, and the stretches
+   of every document stream through it; a shard with many stretches is dealt
+   over several tasks that each compile it.
 
 Hashes only propose: phrases are compared word by word.
 
@@ -47,14 +51,15 @@ def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if n <= 0:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty.view(np.uint64)
-    best, chosen = gram[:n].copy(), np.arange(n)
+    # the place goes into the low bits, so that a sliding minimum finds both
+    low = np.uint64((1 << max(20, len(gram).bit_length())) - 1)
+    packed = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
+    best = packed[:n].copy()
     for j in range(1, span):
-        other = gram[j : n + j]
-        less = np.flatnonzero(other < best)
-        best[less] = other[less]
-        chosen[less] = less + j
+        np.minimum(best, packed[j : n + j], out=best)
     window = np.flatnonzero(words.row[at[:n]] == words.row[at[span - 1 :]])
-    return at[window], chosen[window], best[window]
+    chosen = (best[window] & low).astype(np.int64)
+    return at[window], chosen, gram[chosen]
 
 
 def _text_key(words: Words) -> np.ndarray:
@@ -67,6 +72,34 @@ def _text_key(words: Words) -> np.ndarray:
     return mix(out + words.count.astype(np.uint64))
 
 
+def _stand(doc: np.ndarray, text_key: np.ndarray) -> np.ndarray:
+    """One number for a document and its words, as in :func:`remove_repeats`."""
+    return text_key ^ (doc.astype(np.int64).view(np.uint64) << np.uint64(20))
+
+
+def _known(batches, firsts: np.ndarray):
+    """Documents' ids and words, without those whose words an earlier one has."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for low, high, words in pieces(batch.column(1)):
+            key = _text_key(words)
+            own = hits(firsts, _stand(ids[low:high], key))
+            if not own.all():
+                bounds = words.offsets
+                data = np.concatenate([words.data[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(own)] or [words.data[:0]])
+                words = Words(data, np.concatenate([[0], np.cumsum(np.diff(bounds)[own])]))
+            if own.any():
+                yield ids[low:high][own], words, key[own]
+
+
+def _key_rows(batches):
+    for batch in batches:
+        for low, high, words in pieces(batch.column(1)):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(low, high - low), pa.array(signed(_text_key(words)))], ["doc", "text_key"]
+            )
+
+
 def _pairs(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     """Different pairs of a piece."""
     order = np.lexsort((doc, key))
@@ -76,61 +109,55 @@ def _pairs(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(key[new])), pa.array(doc[new])], ["key", "doc"])
 
 
-def _anchor_rows(width: int):
+def _anchor_rows(width: int, firsts: np.ndarray):
     def emit(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for low, _, words in pieces(batch.column(1)):
-                first, place, key = _windows(words, width)
-                new = np.ones(len(place), bool)
-                new[1:] = place[1:] != place[:-1]
-                yield _pairs(key[new], ids[low + words.row[first[new]]])
+        for ids, words, _ in _known(batches, firsts):
+            first, place, key = _windows(words, width)
+            new = np.ones(len(place), bool)
+            new[1:] = place[1:] != place[:-1]
+            yield _pairs(key[new], ids[words.row[first[new]]])
 
     return emit
 
 
-def _window_rows(width: int, anchors: np.ndarray):
+def _window_rows(width: int, firsts: np.ndarray, anchors: np.ndarray):
     def emit(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for low, _, words in pieces(batch.column(1)):
-                first, _, key = _windows(words, width)
-                whole, _ = words.runs(words.hashes(), width)
-                some = hits(anchors, key)
-                yield _pairs(whole[some], ids[low + words.row[first[some]]])
+        for ids, words, _ in _known(batches, firsts):
+            first, _, key = _windows(words, width)
+            whole, _ = words.runs(words.hashes(), width)
+            some = hits(anchors, key)
+            yield _pairs(whole[some], ids[words.row[first[some]]])
 
     return emit
 
 
-def _stretch_rows(width: int, anchors: np.ndarray, proposed: np.ndarray):
+def _stretch_rows(width: int, firsts: np.ndarray, anchors: np.ndarray, proposed: np.ndarray):
     names = ["key", "doc", "text_key", "place", "stretch"]
 
     def emit(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for low, _, words in pieces(batch.column(1)):
-                first, place, key = _windows(words, width)
-                whole, _ = words.runs(words.hashes(), width)
-                some = np.flatnonzero(hits(anchors, key) & hits(proposed, whole))
-                first, place, key = first[some], place[some], key[some]
-                new = np.ones(len(some), bool)
-                new[1:] = (place[1:] != place[:-1]) | (np.diff(first) != 1)
-                begin = np.flatnonzero(new)
-                last = first[np.append(begin[1:], len(some)) - 1] if len(some) else first
-                key, first = key[begin], first[begin]
-                row = words.row[first]
-                raw = words.data.tobytes()
-                start, end = words.start[first].tolist(), words.end[last + width - 1].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(key)),
-                        pa.array(ids[low + row].astype(np.int64)),
-                        pa.array(signed(_text_key(words)[row])),
-                        pa.array(first - words.first[row]),
-                        pa.array([b" ".join(raw[a:b].split()) for a, b in zip(start, end)], pa.binary()),
-                    ],
-                    names,
-                )
+        for ids, words, text_key in _known(batches, firsts):
+            first, place, key = _windows(words, width)
+            whole, _ = words.runs(words.hashes(), width)
+            some = np.flatnonzero(hits(anchors, key) & hits(proposed, whole))
+            first, place, key = first[some], place[some], key[some]
+            new = np.ones(len(some), bool)
+            new[1:] = (place[1:] != place[:-1]) | (np.diff(first) != 1)
+            begin = np.flatnonzero(new)
+            last = first[np.append(begin[1:], len(some)) - 1] if len(some) else first
+            key, first = key[begin], first[begin]
+            row = words.row[first]
+            raw = words.data.tobytes()
+            start, end = words.start[first].tolist(), words.end[last + width - 1].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(signed(key)),
+                    pa.array(ids[row]),
+                    pa.array(signed(text_key[row])),
+                    pa.array(first - words.first[row]),
+                    pa.array([b" ".join(raw[a:b].split()) for a, b in zip(start, end)], pa.binary()),
+                ],
+                names,
+            )
 
     return emit
 
@@ -138,47 +165,54 @@ def _stretch_rows(width: int, anchors: np.ndarray, proposed: np.ndarray):
 def _locate(width: int):
     """Rows come by shard: first its different stretches with first and last document, then those of all documents."""
 
-    def compiled(bounds: dict[tuple, list[int]]):
+    def compiled(sources: list[tuple], bounds: dict[tuple, list[int]]):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for ids, (low, high) in bounds.items():
-            if low < high:
-                automaton.add_word(ids, low)
+        for ids in sources:
+            found = []  # runs of phrases with one first document
+            for i in range(len(ids) - width + 1):
+                low, high = bounds[ids[i : i + width]]
+                if low == high:
+                    continue
+                if found and found[-1][2] == low and found[-1][1] == i - 1:
+                    found[-1][1] = i
+                else:
+                    found.append([i, i, low])
+            if found:
+                automaton.add_word(ids, (len(ids), found))
         if len(automaton):
             automaton.make_automaton()
             return automaton
         return None
 
     def emit(batches):
-        shard, bounds, number, automaton = None, {}, {}, None
+        shard, sources, bounds, number, automaton = None, [], {}, {}, None
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
             columns = [batch.column(i).to_pylist() for i in range(7)]
             for s, salt, low, doc, text_key, place, text in zip(*columns):
                 if (s, salt) != shard:
-                    shard, bounds, number, automaton = (s, salt), {}, {}, None
+                    shard, sources, bounds, number, automaton = (s, salt), [], {}, {}, None
                 words = text.split()
                 if low is not None:
-                    ids = [number.setdefault(w, len(number) + 1) for w in words]
+                    ids = tuple([number.setdefault(w, len(number) + 1) for w in words])
+                    sources.append(ids)
                     for i in range(len(ids) - width + 1):
-                        known = bounds.setdefault(tuple(ids[i : i + width]), [low, doc])
-                        known[0], known[1] = min(known[0], low), max(known[1], doc)
+                        window = ids[i : i + width]
+                        known = bounds.get(window)
+                        if known is None:
+                            bounds[window] = (low, doc)
+                        elif low < known[0] or doc > known[1]:
+                            bounds[window] = (min(known[0], low), max(known[1], doc))
                     continue
-                if bounds:
-                    automaton, bounds = compiled(bounds), {}
+                if sources:
+                    automaton, sources, bounds = compiled(sources, bounds), [], {}
                 if automaton is None:
                     continue
-                begin = end = -1
-                for stop, first in automaton.iter(tuple(number.get(w, 0) for w in words)):
-                    if first < doc:
-                        start = stop - width + 1
-                        if begin < 0:
-                            begin = start
-                        elif start > end:
-                            out.append((doc, text_key, place + begin, place + end))
-                            begin = start
-                        end = stop + 1
-                if begin >= 0:
-                    out.append((doc, text_key, place + begin, place + end))
+                for stop, (size, found) in automaton.iter(tuple([number.get(w, 0) for w in words])):
+                    at = place + stop - size + 1
+                    for begin, end, first in found:
+                        if first < doc:
+                            out.append((doc, text_key, at + begin, at + end + width))
             cells = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], ["doc", "text_key", "begin", "end"])
 
@@ -205,27 +239,37 @@ def _plain_rows(affected: np.ndarray, want: bool):
     return emit
 
 
-def _cut(batches):
-    for batch in batches:
-        ids, count, texts, spans = (batch.column(i) for i in range(4))
-        removed, kept = [], []
-        for text, ranges in zip(texts.to_pylist(), spans.to_pylist()):
-            words = text.split()
-            drop = np.zeros(len(words), bool)
-            for span in ranges or []:
+def _cut_rows(width: int):
+    def emit(batches):
+        for batch in batches:
+            yield _cut(batch, width)
+
+    return emit
+
+
+def _cut(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    ids, count, texts, spans = (batch.column(i) for i in range(4))
+    removed, kept = [], []
+    for text, ranges in zip(texts.to_pylist(), spans.to_pylist()):
+        words = text.split()
+        drop = np.zeros(len(words), bool)
+        for span in ranges or []:
+            if span["end"] >= 0:
                 drop[span["begin"] : span["end"]] = True
-            removed.append(int(drop.sum()))
-            kept.append(b" ".join([w for w, gone in zip(words, drop) if not gone]))
-        yield pa.RecordBatch.from_arrays(
-            [ids, count, pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"]
-        )
+            elif len(words) >= width:
+                drop[:] = True
+        removed.append(int(drop.sum()))
+        kept.append(b" ".join([w for w, gone in zip(words, drop) if not gone]))
+    return pa.RecordBatch.from_arrays(
+        [ids, count, pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"]
+    )
 
 
 def remove_repeats(
     docs: DataFrame,
     width: int = 13,
     shard_stretches: int = 20_000,
-    task_stretches: int = 60_000,
+    task_stretches: int = 200_000,
     filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: ``kept`` has the remaining words joined by one space (binary UTF-8).
@@ -243,10 +287,14 @@ def remove_repeats(
         both = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
         return bit_filter(both, "key", filter_bits)
 
-    anchors = recurring(known.mapInArrow(_anchor_rows(width), "key long, doc long"))
-    proposed = recurring(known.mapInArrow(_window_rows(width, anchors), "key long, doc long"))
+    keys = materialise(known.mapInArrow(_key_rows, "doc long, text_key long"), "keys")
+    same = keys.groupBy("text_key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    stand = F.col("text_key").bitwiseXOR(F.expr("shiftleft(low, 20)")).alias("stand")
+    firsts = bit_filter(same.select(stand), "stand", filter_bits)
+    anchors = recurring(known.mapInArrow(_anchor_rows(width, firsts), "key long, doc long"))
+    proposed = recurring(known.mapInArrow(_window_rows(width, firsts, anchors), "key long, doc long"))
     stretches = known.mapInArrow(
-        _stretch_rows(width, anchors, proposed), "key long, doc long, text_key long, place long, stretch binary"
+        _stretch_rows(width, firsts, anchors, proposed), "key long, doc long, text_key long, place long, stretch binary"
     )
     different = materialise(
         stretches.groupBy("key", "stretch").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")),
@@ -271,6 +319,8 @@ def remove_repeats(
         .sortWithinPartitions("shard", "salt", F.col("low").isNull())
         .mapInArrow(_locate(width), "doc long, text_key long, begin long, end long")
     )
+    copies = keys.join(same.where("low < high"), "text_key").where("doc > low").distinct()
+    spans = spans.union(copies.select("doc", "text_key", F.lit(0).cast("long"), F.lit(-1).cast("long")))  # -1: to the end
     # a document's own spans: no more than its words
     spans = materialise(
         spans.groupBy("doc", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans"
@@ -281,7 +331,7 @@ def remove_repeats(
         texts.mapInArrow(_plain_rows(affected, True), "doc_id long, n_words long, text_key long, kept binary")
         .join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "text_key"], "left")
         .select("doc_id", "n_words", "kept", "spans")
-        .mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
+        .mapInArrow(_cut_rows(width), "doc_id long, n_words long, n_removed long, kept binary")
     )
     return whole.union(cut)
 
