@@ -340,3 +340,17 @@ def test_constant_labels_become_failed_tests(spark):
     assert all(r["p_value"] is None for r in tests.collect())
     rates = P.control_rates(tests, ["model", "version"]).collect()
     assert all(r["n_failed"] == 2 and r["n_tests"] == 0 and r["rate"] is None for r in rates)
+
+
+def test_weak_penalty_on_collinear_columns_settles():
+    rng = np.random.default_rng(3)
+    level = rng.integers(0, 7, 4000)
+    x = np.column_stack([np.eye(7)[level], rng.normal(size=4000)])
+    y = level * 0.3 + x[:, -1] + rng.normal(size=4000)
+    x, y = x - x.mean(0), y - y.mean()
+    c, s = x.T @ x / len(y), x.T @ y / len(y)
+    for alpha in (1e-8, 1e-4, 0.1):
+        b = linear._descend(c, s, np.array([alpha]), np.array([0.0]), None)[0]
+        slope = s - c @ b
+        assert np.abs(slope[b != 0] - alpha * np.sign(b[b != 0])).max(initial=0) < 1e-8
+        assert np.abs(slope).max() <= alpha + 1e-8
