@@ -128,13 +128,11 @@ def within_one(a: Column, b: Column) -> Column:
     ).otherwise((F.abs(F.size(a) - F.size(b)) == 1) & (gap == short))
 
 
-def _without(text: Column, gone: Column) -> Column:
-    """The text without the lines at the sorted places ``gone``."""
-    lines = F.split(text, "\n")
-    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+def _without(lines: Column, bounds: Column) -> Column:
+    """The lines but those at ``bounds``: -1, the sorted places that go, and the number of lines."""
     runs = F.transform(
-        F.sequence(F.lit(0), F.size(gone)),
-        lambda k: F.slice(lines, F.get(bounds, k) + 2, F.get(bounds, k + 1) - F.get(bounds, k) - 1),
+        F.sequence(F.lit(1), F.size(bounds) - 1),
+        lambda k: F.slice(lines, F.get(bounds, k - 1) + 2, F.get(bounds, k) - F.get(bounds, k - 1) - 1),
     )
     return F.array_join(F.flatten(runs), "\n")
 
@@ -180,11 +178,14 @@ def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, car
     )
     done = marked.where(F.size("open") == 0).withColumn("near", none)
     rest = opened.join(near, ["doc_id", "text_key"], "left").withColumn("near", F.coalesce("near", none))
-    gone = F.sort_array(F.concat("exact", "near"))
-    return done.unionByName(rest).select(
+    # lines and bounds are columns of their own, so that they are made once a text
+    ready = done.unionByName(rest).withColumn("lines", F.split("text", "\n")).withColumn(
+        "bounds", F.concat(F.array(F.lit(-1)), F.sort_array(F.concat("exact", "near")), F.array(F.size("lines")))
+    )
+    return ready.select(
         "doc_id",
-        F.when(F.size(gone) > 0, _without(F.col("text"), gone)).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.size("bounds") > 2, _without(F.col("lines"), F.col("bounds"))).otherwise(F.col("text")).alias("text"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.size("exact").cast("long").alias("n_exact"),
         F.size("near").cast("long").alias("n_near"),
         "carried",
