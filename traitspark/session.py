@@ -59,7 +59,7 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     readers still get column pruning.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
