@@ -2,7 +2,8 @@
 
 A word's input is the mean of learned vectors of its hashed character 3-
 and 4-grams (with marks at both ends, so beginnings tell) and a learned vector of
-the word itself if the training texts have it often enough. The network reads
+the word itself if the training texts have it often enough; ASCII signs count
+as spaces. The network reads
 windows of ``WINDOW`` words that overlap by half, in both directions; attention
 weighs its states, and a logistic unit gives the window's probability. A text's
 score is that of its highest window, and every window of every whole text is
@@ -27,14 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import LOWER, Words, mix, pieces
+from .words import LOWER, PIECE_BYTES, Words, mix, pieces
 
 WINDOW, STRIDE = 24, 12
 CHAR, WORD, HIDDEN = 16, 8, 8
 CHAR_BUCKETS = 1 << 13
+
+#: ASCII signs become spaces, so that signs around a word do not hide it.
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
 VOCABULARY = 4096
 
 
+def plain_words(texts: pa.Array, piece_bytes: int = PIECE_BYTES):
+    """Words of the texts without ASCII signs, piece by piece."""
+    for _, _, words in pieces(texts, piece_bytes):
+        yield Words(PLAIN[words.data], words.offsets)
+
+
 def char_grams(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character grams of the words ``at``, and how many each has."""
     size = words.end[at] - words.start[at]
@@ -197,10 +208,9 @@ def gradients(weights: dict, bucket, count, word, index: np.ndarray, y: np.ndarr
     return out
 
 
-def train(texts: pa.Array, y: np.ndarray, rounds: int = 8, batch: int = 512, rate: float = 0.02, seed: int = 5):
+def train(texts: pa.Array, y: np.ndarray, rounds: int = 12, batch: int = 256, rate: float = 0.02, seed: int = 5):
     """Weights and vocabulary from labelled texts."""
-    parts = [w for _, _, w in pieces(texts, 1 << 40)]
-    words = parts[0]
+    words = next(plain_words(texts, 1 << 40))
     key = words.hashes(lower=True)
     pair = np.unique(np.stack([key, words.row.astype(np.uint64)]), axis=1)[0]
     value, texts_with = np.unique(pair, return_counts=True)
@@ -244,14 +254,14 @@ def train(texts: pa.Array, y: np.ndarray, rounds: int = 8, batch: int = 512, rat
                 m, v = steps[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                weights[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+                weights[k] -= rate * (1 - 0.9 * number / rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     return weights, vocabulary
 
 
 def score_texts(texts: pa.Array, weights: dict, vocabulary: np.ndarray, block: int = 8192) -> np.ndarray:
     """The highest window's probability of each text."""
     scores = [np.zeros(0)]
-    for _, _, words in pieces(texts):
+    for words in plain_words(texts):
         inputs = Inputs(words, vocabulary)
         best = np.zeros(len(words.count))
         if len(inputs.key):
