@@ -53,10 +53,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    found = materialise(jaccard_join.components(docs), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
+    """One row of each group of near copies stays, the one with the smallest id, then the smallest hash of its text.
+
+    Rows are judged by id and text, so rows that repeat an id stay or go each by its own text.
+    """
+    found = materialise(jaccard_join.rooted(docs), "components")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    first = found.where(linked).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    kept = _matching(docs, first.union(found.where(~linked).select("doc_id", "text_key")))
     again = found.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
     if again.isEmpty():
         return kept.select(*COLUMNS)

@@ -113,3 +113,12 @@ def test_pipeline_stages_of_an_empty_table(spark, sf_dir):
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_near_copies_go_by_id_and_text(spark, sf_dir):
+    copy, own, other, near = (" ".join(f"{c}{i}" for i in range(60)) for c in "abcd")
+    rows = [(5, copy), (9, copy), (9, own), (5, other), (5, other), (7, near), (7, near + " x"), (8, ""), (8, None), (None, copy)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "0L n_chars")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, frame, sf_dir).collect()]
+    assert sum(r[0] == 7 for r in got) == 1
+    assert sorted((r for r in got if r[0] != 7), key=str) == sorted([(5, copy), (9, own), (5, other), (8, ""), (8, None), (None, copy)], key=str)

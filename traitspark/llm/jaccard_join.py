@@ -83,7 +83,8 @@ def _node_rows(batches):
             key, row = shingle_sets(words)
             node, n = nodes_of(key, row, high - low)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, high - low), pa.array(n), pa.array(signed(node))], ["doc_id", "n", "node"]
+                [*(batch.column(i).slice(low, high - low) for i in (0, 2)), pa.array(n), pa.array(signed(node))],
+                ["doc_id", "text_key", "n", "node"],
             )
 
 
@@ -161,7 +162,8 @@ class Join:
         self.percent, self.bits = percent, filter_bits
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.known = self.texts.where("doc_id is not null")
-        self.nodes = materialise(self.texts.mapInArrow(_node_rows, "doc_id long, n long, node long"), "nodes")
+        keyed = self.texts.withColumn("text_key", F.xxhash64("text"))
+        self.nodes = materialise(keyed.mapInArrow(_node_rows, "doc_id long, text_key long, n long, node long"), "nodes")
         seen = self.known.mapInArrow(_sample_rows(one_in), "key long").groupBy("key").count().where(F.col("count") >= least)
         self.frequent = bit_filter(seen, "key", filter_bits)
 
@@ -286,7 +288,7 @@ def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf:
     return run.nodes, links
 
 
-def components(
+def rooted(
     docs: DataFrame,
     percent: int = 75,
     one_in: int = 8,
@@ -295,19 +297,37 @@ def components(
     levels: int = 3,
     filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
+    """``doc_id, text_key, n_shingles, root, component_id`` of every row.
 
-    Documents link when ``100 * intersection >= percent * union``; the component
-    is the smallest ``doc_id`` that links reach. ``one_in`` and ``least`` say
-    which shingles count as frequent, ``leaf`` and ``levels`` when regions take
-    further pivots: they change the work, not the result.
+    ``root`` tells components apart: where rows repeat a ``doc_id`` with different
+    texts, two components may have the same smallest one.
     """
     nodes, links = similar_nodes(docs, percent, one_in, least, leaf, levels, filter_bits)
     own = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     roots = materialise(own.join(groups(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     lowest = roots.groupBy("root").agg(F.min("low").alias("component"))
-    named = roots.join(lowest, "root").select("node", "component")
+    named = roots.join(lowest, "root").select("node", "root", "component")
     return nodes.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), "root",
         F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
     )
+
+
+def components(
+    docs: DataFrame,
+    percent: int = 75,
+    one_in: int = 8,
+    least: int = 3,
+    leaf: int = 64,
+    levels: int = 3,
+    filter_bits: int = FILTER_BITS,
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row.
+
+    Documents link when ``100 * intersection >= percent * union``; the component
+    is the smallest ``doc_id`` that links reach. ``one_in`` and ``least`` say
+    which shingles count as frequent, ``leaf`` and ``levels`` when regions take
+    further pivots: they change the work, not the result.
+    """
+    found = rooted(docs, percent, one_in, least, leaf, levels, filter_bits)
+    return found.select("doc_id", "n_shingles", "component_id")
