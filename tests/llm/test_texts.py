@@ -235,6 +235,28 @@ def test_classifier_separates_labels(spark, sf_dir):
     assert kept(1) > 0.95 and kept(0) < 0.5
 
 
+def test_languages_without_held_out_documents_are_judged(spark):
+    import random
+
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["river", "stone", "green", "walks", "under", "light", "table"]) for _ in range(80))
+    junk = "".join(rng.choice("qzxjkvw#%;~^") for _ in range(500))
+    rows = [(i, text(), "en") for i in range(100)]
+    rows += [(200, text(), "rare"), (201, junk, "rare"), (202, text(), None), (203, junk, None), (204, junk, "en")]
+    known = spark.range(100).toDF("doc_id")
+    apart = perplexity.parts(known)[1].toPandas().doc_id.tolist()
+    few = [i for i in range(300, 320) if perplexity.parts(spark.createDataFrame([(i,)], "doc_id long"))[1].isEmpty()][:2]
+    rows += [(few[0], text(), "some"), (few[1], text(), "some"), (400, junk, "some"), (401, text(), "some")]
+    trusted = known.union(spark.createDataFrame([(i,) for i in few], "doc_id long"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in perplexity.classify(frame, trusted).collect()}
+    assert len(apart) > 5 and all(r.limit is not None for r in got.values())
+    assert all(got[i].kept for i in (200, 202, 401)) and not any(got[i].kept for i in (201, 203, 204, 400))
+    counted, held = perplexity.held_out(frame, trusted)
+    assert {r.doc_id for r in held.collect()} - set(apart) < set(few) and held.count() == len(apart) + 1
+    assert counted.count() == 100 + 2 - held.count()
+
+
 def test_mixture_matches_sql(spark, sf_dir):
     assert compare(queries.QUERIES["op3_mixing"](spark, sf_dir), connect(sf_dir), queries.SQL["op3_mixing"]) == ""
 
