@@ -151,6 +151,20 @@ def test_personal_data(spark, sf_dir, texts):
     assert pii.sanitise(frame.limit(0)).count() == 0
 
 
+def test_terms_that_disclose_a_mail_domain(spark):
+    # every address once; the term is far from it, with punctuation, and never twice in one context
+    fill = lambda i: " ".join(f"{a}{b}{a}{b}" for a in "kmpr" for b in "aeiou"[i % 5 :])
+    rows = [(i, f"Marlowe, {fill(i)} {fill(i + 1)} line{'abcdefghij'[i]} m{i}@unit.example") for i in range(6)]
+    rows += [(20 + i, f"{fill(i)} text{'abcdefghij'[i % 10]} n{i}@d{i}.example") for i in range(20)]
+    rows += [(50 + i, f"{fill(i)} number {i}") for i in range(200)]
+    rows += [(300 + i, "Copied passage once p1@copy.example of Brandt") for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.sanitise(frame).collect()}
+    assert all(got[i].sanitised.startswith("[TERM], ") or got[i].sanitised.startswith(", ") for i in range(6))
+    assert all([s.value for s in got[i].spans if s.kind == 4] == ["Marlowe"] for i in range(6))
+    assert not any(s.kind == 4 for i, r in got.items() if i >= 6 for s in r.spans)
+
+
 def base(text):
     w, seen, repeated, windows, covered = WORD.findall(text or ""), set(), 0, collections.defaultdict(list), set()
     for line in (text or "").split("\n"):

@@ -6,14 +6,17 @@ count of digits) is dropped. The patterns are the contract's, written so that
 the JVM's matcher takes time in proportion to the text: loops do not give back
 what they took, and a start inside a run already looked at is skipped.
 
-*Disclosure.* Each base value is a protected entity. Words near its places are
-candidate terms. From the corpus: how many documents hold the term, the entity,
-and the term near the entity. The information that a term gives on an entity,
-``log p(e, t) / (p(e) p(t))``, is set against all there is to know, ``-log p(e)``.
-A term that gives a share of at least ``generalise`` and is near the entity in
-``least_contexts`` different contexts (copies of a passage are one) is
-generalised wherever it stands in a document with that entity; from ``remove``
-on it is removed.
+*Disclosure.* Protected are each base value and the group it belongs to, which
+also values seen once share: an address's domain, a number's leading block.
+Candidate terms are all words of a document, without the punctuation at them
+and outside base spans. From the corpus: how many documents hold the term, the
+group, and both. The information that a term gives on a group, ``log p(g, t) /
+(p(g) p(t))``, is set against all there is to know, ``-log p(g)``. A term that
+gives a share of at least ``generalise`` is generalised wherever it stands in a
+document with that group; from ``remove`` on it is removed. It must be
+significant: the chance of as many common documents for a term dealt at random
+(hypergeometric tail, copies of a passage are one) times the number of pairs
+tested is at most ``alpha``. Documents without the group keep the term.
 
 Only DataFrame functions are used. Results for odd input: a null text counts as
 empty and has no spans; very long texts take time in proportion; rows that
@@ -42,6 +45,9 @@ NEEDED = {"email": "@", "phone": "+", "ip": "."}
 
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 SPACES = r"[\x20\x09-\x0D]+"
+#: A word has four letters or more and may have hyphens and apostrophes inside.
+WORD_EDGES = (r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}\p{N}_])")
+TERM = r"\p{L}[\p{L}\p{M}'’-]{2,}\p{L}".join(WORD_EDGES)
 
 
 def _small(part: Column) -> Column:
@@ -107,8 +113,35 @@ def listed(spans: Column) -> Column:
     )
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of its spans, so that all places stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        between = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        gap = F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(s["start"], state["at"]), F.lit(0)))
+        return F.struct(F.greatest(s["stop"], state["at"]).alias("at"), F.concat(state["out"], between, gap).alias("out"))
+
+    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text)))
+    return F.aggregate(spans, zero, step, rest)
+
+
+def terms_of(blank: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(blank, F.lit(TERM), F.lit(0)))
+
+
+def protected(span: Column) -> Column:
+    """Hashes of a base value and of its group: domain, first two parts of an address, leading digits."""
+    kind, value = span["kind"], F.lower(span["value"])
+    block = (
+        F.when(kind == 0, F.substring_index(value, "@", -1)).when(kind == 1, F.substring_index(value, ".", 2))
+        .when(kind == 2, F.substring(_digits(value), 1, 6)).otherwise(F.substring(_digits(value), 1, 4))
+    )
+    return F.array(F.xxhash64(F.lit("value"), kind, value), F.xxhash64(F.lit("block"), kind, block))
+
+
 def contexts(found: DataFrame, reach: int, reach_chars: int) -> DataFrame:
-    """``row, entity, context, terms``: up to ``reach`` words on either side of each base span."""
+    """``row, entity, context``: what a document protects, and the ``reach`` words on either side of its first place."""
     spans = found.select("row", "text", F.explode("spans").alias("s"))
     before = F.substring(F.col("text"), F.greatest(F.col("s.start") - reach_chars + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(reach_chars)))
     after = F.substring(F.col("text"), F.col("s.stop") + 1, F.lit(reach_chars))
@@ -117,37 +150,49 @@ def contexts(found: DataFrame, reach: int, reach_chars: int) -> DataFrame:
     near = F.concat(
         F.slice(F.reverse(left), F.lit(2), F.lit(reach)), F.slice(right, F.lit(2), F.lit(reach))
     )
-    term = lambda w: w.rlike(r"^\p{L}{4,}$") & ~w.rlike("[0-9@]")
-    return spans.select(
-        "row", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.xxhash64(near).alias("context"),
-        F.array_distinct(F.filter(near, term)).alias("terms"),
-    )
+    each = spans.select("row", F.col("s.start").alias("start"), F.xxhash64(near).alias("context"), F.explode(protected(F.col("s"))).alias("entity"))
+    return each.groupBy("row", "entity").agg(F.min_by("context", "start").alias("context"))
+
+
+def _ln_factorial(n: Column) -> Column:
+    n = n.cast("double")
+    return F.when(n < 1, 0.0).otherwise((n + 0.5) * F.ln(n) - n + 0.9189385332046727 + 1 / (12 * n))
 
 
-def disclosing(docs: DataFrame, near: DataFrame, total: int, least_contexts: int, generalise: float) -> DataFrame:
-    """``entity, term, share``: terms that give at least the share ``generalise`` of an entity away."""
-    entities = near.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
-    joint = (
-        near.select("row", "entity", "context", F.explode("terms").alias("term"))
-        .groupBy("entity", "term").agg(F.countDistinct("row").alias("n_te"), F.countDistinct("context").alias("contexts"))
-        .where(F.col("contexts") >= least_contexts)
+def _ln_choose(n: Column, k: Column) -> Column:
+    return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
+
+
+def ln_chance(total: Column, n_e: Column, n_t: Column, n_te: Column) -> Column:
+    """Upper bound of the logarithm of the hypergeometric chance of ``n_te`` or more common documents."""
+    first = _ln_choose(n_e, n_te) + _ln_choose(total - n_e, n_t - n_te) - _ln_choose(total, n_t)
+    ratio = (n_e - n_te) * (n_t - n_te) / ((n_te + 1) * (total - n_e - n_t + n_te + 1))
+    return F.when(ratio < 1, first - F.ln(1 - ratio)).otherwise(0.0)
+
+
+def disclosing(pairs: DataFrame, entities: DataFrame, counts: DataFrame, total: int, generalise: float, alpha: float) -> DataFrame:
+    """``entity, term, share``: terms that significantly give at least the share ``generalise`` of an entity away."""
+    joint = materialise(
+        pairs.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_te"), F.countDistinct("context").alias("contexts"))
+        .where("contexts > 1"),
+        "joint",
     )
-    words = docs.where("text is not null").select(F.explode(F.array_distinct(F.split("text", SPACES))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    tested = joint.count()
     n = F.lit(float(total))
     gives = F.ln(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    known = F.ln(n / F.col("n_e"))
-    share = F.round(gives / F.nullif(known, F.lit(0.0)), 9)
-    return joint.join(entities, "entity").join(counts, "term").select("entity", "term", share.alias("share")).where(
-        F.col("share") >= generalise
-    )
+    share = F.round(gives / F.nullif(F.ln(n / F.col("n_e")), F.lit(0.0)), 9)
+    # copies of a passage are one document of the term and of the entity
+    chance = ln_chance(n, F.col("contexts_e"), F.col("contexts") + F.col("n_t") - F.col("n_te"), F.col("contexts"))
+    return joint.join(entities, "entity").join(counts, "term").where(
+        (share >= generalise) & (chance + F.ln(F.lit(float(max(tested, 1)))) <= F.ln(F.lit(alpha)))
+    ).select("entity", "term", share.alias("share"))
 
 
 def sanitise(
     docs: DataFrame,
     reach: int = 5,
     reach_chars: int = 160,
-    least_contexts: int = 3,
+    alpha: float = 0.05,
     generalise: float = 0.8,
     remove: float = 0.95,
 ) -> DataFrame:
@@ -159,24 +204,32 @@ def sanitise(
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     based = texts.withColumn("spans", base_spans(F.col("text")))
-    found = materialise(based.where(F.size("spans") > 0).withColumn("row", F.monotonically_increasing_id()), "found")
+    blank = blanked(F.col("text"), F.col("spans"))
+    found = based.where(F.size("spans") > 0).withColumn("row", F.monotonically_increasing_id())
+    found = materialise(found.withColumn("blank", blank), "found")
     near = materialise(contexts(found, reach, reach_chars), "contexts")
     total = texts.count()
-    strong = disclosing(texts, near, total, least_contexts, generalise)
-    quoted = F.concat(F.lit(r"\Q"), F.regexp_replace("term", r"\\E", ""), F.lit(r"\E"))
+    entities = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.countDistinct("context").alias("contexts_e"))
+    # what stands in one context only cannot be significant
+    entities = materialise(entities.where("contexts_e > 1"), "entities")
+    words = found.select("row", F.explode(terms_of(F.col("blank"))).alias("term"))
+    pairs = materialise(near.join(entities.select("entity"), "entity", "left_semi").join(words, "row"), "pairs")
+    counts = based.select(F.explode(terms_of(blank)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    strong = disclosing(pairs, entities, counts, total, generalise, alpha)
+    quoted = lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))
     terms = (
-        near.select("row", "entity").distinct().join(strong, "entity")
+        pairs.join(strong, ["entity", "term"])
         .groupBy("row", "term").agg(F.max("share").alias("share"))
-        # a row's own terms: no more than its words
+        # a row's own terms: no more than its words; of two that start alike the longer comes first
         .groupBy("row").agg(
-            F.collect_list(quoted).alias("quoted"),
+            F.transform(F.sort_array(F.collect_list("term"), False), quoted).alias("quoted"),
             F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"),
         )
     )
     joined = found.join(terms, "row", "left")
-    pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join("quoted", "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
+    pattern = F.concat(F.lit(WORD_EDGES[0] + "(?:"), F.array_join("quoted", "|"), F.lit(")" + WORD_EDGES[1]))
     none = F.array().cast(f"array<{SPAN}>")
-    added = F.when(F.col("quoted").isNotNull(), matches(F.col("text"), pattern, 4)).otherwise(none)
+    added = F.when(F.col("quoted").isNotNull(), matches(F.col("blank"), pattern, 4)).otherwise(none)
     joined = joined.withColumn("spans", F.array_sort(F.concat("spans", added)))
     nothing = based.where(F.size("spans") == 0).select("doc_id", "spans", F.col("text").alias("sanitised"))
     return joined.select("doc_id", "spans", replaced(F.col("text"), F.col("spans"), F.col("shares"), remove)).union(nothing)
