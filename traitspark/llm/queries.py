@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, mixing, perplexity, pii, quality_rules, substring_dedup, toxicity, vector_graph
+from . import alignment, bpe, jaccard_join, line_dedup, mixing, perplexity, pii, quality_rules, substring_dedup, toxicity, vector_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op3_mixing"] = mixing.sql()
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), *paths)
