@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, jaccard_join, line_dedup, mixing, perplexity, pii, quality_rules, substring_dedup, toxicity, vector_graph
+from . import alignment, bpe, centroids, jaccard_join, language_id, line_dedup, mixing, perplexity, pii, quality_rules, substring_dedup, toxicity, vector_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,16 @@ SQL["op3_mixing"] = mixing.sql()
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
     return alignment.align_corpus(table(spark, sf_dir, "documents"), *paths)
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_centroids"] = centroids.sql()
