@@ -173,7 +173,11 @@ def test_forest_and_store(spark, data, tmp_path):
         np.testing.assert_allclose(x.toPandas(), y.toPandas())
     untrained = store.load_models(spark, str(tmp_path), fitted=False)
     assert untrained["Linear Regression"].fit(df, FEATURES, "y").coef == pytest.approx(ols.coef)
-    assert untrained["Random Forest"]["max_depth"] == 250
+    assert untrained["Random Forest"].params["max_depth"] == 250
+    again = untrained["Random Forest"].fit(df, FEATURES, "y")
+    np.testing.assert_allclose(again.predict(df).select("prediction").toPandas(), fit.predict(df).select("prediction").toPandas())
+    short = perceptron.UntrainedPerceptron("MLP", {"hidden_layer_sizes": (2,), "max_iter": 2})
+    assert len(short.fit(df, FEATURES, "y", ["id"]).weights) == 11
 
 
 def test_grid_sizes():
@@ -203,7 +207,7 @@ def test_network_gradient_and_fit(spark):
     x = rng.normal(size=(3000, 2))
     pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": x[:, 0] - 0.5 * x[:, 1], "id": range(3000)})
     df = spark.createDataFrame(pdf)
-    fit = perceptron.fit_perceptron(df, ["a", "b"], "y", ["id"], {"hidden_layer_sizes": (4,), "activation": "identity", "batch_size": 50, "max_iter": 12}, partitions=2)
+    fit = perceptron.fit_perceptron(df, ["a", "b"], "y", ["id"], {"hidden_layer_sizes": (4,), "activation": "identity", "batch_size": 50, "max_iter": 12})
     e = fit.predict(df).toPandas()
     assert 1 - ((e["y"] - e["prediction"]) ** 2).mean() / e["y"].var() > 0.8
 

@@ -1,8 +1,13 @@
 """Multilayer perceptron regression by data-parallel gradient descent.
 
-One Spark job per epoch: every partition starts from the current weights,
-takes mini-batch steps over its rows and returns its weights; their
-row-weighted mean is the next state. Only weight vectors travel.
+All networks of a search (every point and fold) train together: one Spark job an
+epoch takes all live networks through the rows once, each skipping its held-out
+fold. Rows lie in blocks by the hash of their key. In a block a network takes
+mini-batch steps from the current weights; the row-weighted mean of the blocks'
+weights is the next state. The same pass scores the current weights on the
+validation rows. Blocks depend on the rows alone and means are sums of whole
+numbers, so the result does not depend on the number of cores. Only weights and sums
+leave a task, added up in two steps; the driver holds one state for each network.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +27,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hex_bound, salted_md5
 from ..session import materialise
 from .forest import draw_points
-from .metrics import r2_score
 from .sampling import CV_FOLDS, SPLIT_SEED, fold_rows
 
 # Search grid and training constants.
@@ -113,8 +117,190 @@ class PerceptronFit:
 
         return df.withColumn(out, apply(F.struct(*[F.col(f).cast("double") for f in self.features])))
 
-    def reset(self) -> dict:
-        return dict(self.params)
+    def reset(self) -> UntrainedPerceptron:
+        return UntrainedPerceptron(self.name, dict(self.params))
+
+
+@dataclass
+class UntrainedPerceptron:
+    """A network without weights: its parameters."""
+
+    name: str
+    params: dict = field(default_factory=dict)
+
+    def fit(self, df: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = ()) -> PerceptronFit:
+        """Without ``key``, rows are told apart by their values."""
+        return fit_perceptron(df, features, label, list(key) or [*features, label], self.params, name=self.name)
+
+
+#: Rows of a block: local steps between two means.
+BLOCK_ROWS = 1 << 14
+#: Whole steps of a weight in a sum; exact for weights below 2**14 in up to 2**15 blocks of a task.
+STEPS = 1 << 34
+
+
+@dataclass
+class Network:
+    """A network in training: its rows are those not of fold ``skip``."""
+
+    params: dict
+    skip: int
+    sizes: list[int]
+    flat: np.ndarray
+    speed: np.ndarray
+    best_flat: np.ndarray
+    rate: float = LEARNING_RATE
+    best: float = -math.inf
+    stale: int = 0
+    epochs: int = 0
+    live: bool = True
+
+    @classmethod
+    def of(cls, params: Mapping, skip: int, features: int, seed) -> Network:
+        params = {
+            "hidden_layer_sizes": (100,), "activation": "relu", "batch_size": 200,
+            "max_iter": 200, "learning_rate": "constant", **params,
+        }
+        sizes = [features, *params["hidden_layer_sizes"], 1]
+        flat = _start(sizes, params["activation"], int(seed))
+        return cls(params, skip, sizes, flat, np.zeros_like(flat), flat)
+
+    def scored(self, score: float) -> None:
+        """Stops, lowers the rate or goes on, by the validation score of the current weights."""
+        score = score if math.isfinite(score) else -math.inf
+        self.stale = 0 if score > self.best + TOLERANCE else self.stale + 1
+        if score > self.best:
+            self.best, self.best_flat = score, self.flat
+        if self.stale >= PATIENCE:
+            if self.params["learning_rate"] == "adaptive" and self.rate > 1e-6:
+                self.rate, self.stale = self.rate / 5.0, 0
+            else:
+                self.live = False
+
+
+def _batch_steps(z: np.ndarray, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and speed after the mini-batches of ``z``, in its order."""
+    w, v, size = net.flat, net.speed, int(net.params["batch_size"])
+    for low in range(0, len(z), size):
+        part = z[low : low + size]
+        push = net.rate * _gradient(part[:, :-1], part[:, -1], w, net.sizes, net.params["activation"])
+        v = MOMENTUM * v - push
+        w = w + MOMENTUM * v - push
+    return w, v
+
+
+def lay_rows(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], fold: str | None, seed) -> DataFrame:
+    """Blocks of rows by hash, one row a block, written once: values, folds and validation marks."""
+    width = len(features) + 1
+    columns = [F.col(c).cast("double").alias(f"_z{i}") for i, c in enumerate([*features, label])]
+    hashed = df.select(
+        *columns,
+        (F.col(fold).cast("int") if fold else F.lit(-1)).alias("_fold"),
+        salted_md5(f"{seed}:net", *key).alias("_hash"),
+    ).dropna()
+    hashed = materialise(hashed.withColumn("_held", F.col("_hash") < F.lit(hex_bound(VALIDATION_SHARE))), "rows")
+    blocks = max(1, -(-hashed.count() // BLOCK_ROWS))
+    # the leading digits choose the validation rows, later ones the block
+    block = F.conv(F.substring("_hash", 9, 8), 16, 10).cast("long") % blocks
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_hash", "ascending"), *((f"_z{i}", "ascending") for i in range(width))])
+        values = np.column_stack([table.column(f"_z{i}").to_numpy() for i in range(width)])
+        return pa.table(
+            {
+                "block": table.column("block").slice(0, 1),
+                "n": pa.array([len(values)], pa.int32()),
+                "values": pa.array([values.tobytes()], pa.binary()),
+                "folds": pa.array([table.column("_fold").to_numpy().astype(np.int32).tobytes()], pa.binary()),
+                "held": pa.array([table.column("_held").to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
+            }
+        )
+
+    schema = "block long, n int, values binary, folds binary, held binary"
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, blocks // 64)
+    dealt = hashed.withColumn("block", block).repartition(parts, "block")
+    return materialise(dealt.groupBy("block").applyInArrow(pack, schema), "blocks")
+
+
+def train(blocks: DataFrame, networks: Sequence[Network]) -> None:
+    """Epochs over all networks until each has stopped."""
+    width, tasks = networks[0].sizes[0] + 1, blocks.rdd.getNumPartitions()
+    while live := [(i, n) for i, n in enumerate(networks) if n.live]:
+
+        def local(batches):
+            from pyspark import TaskContext
+
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for values, folds, held in zip(*(batch.column(c).to_pylist() for c in ("values", "folds", "held"))):
+                    z = np.frombuffer(values).reshape(-1, width)
+                    fold, held = np.frombuffer(folds, np.int32), np.frombuffer(held, bool)
+                    for i, net in live:
+                        own = fold != net.skip
+                        test, part = z[own & held], z[own & ~held]
+                        y = test[:, -1]
+                        with np.errstate(all="ignore"):
+                            e = _predict_flat(test[:, :-1], net.flat, net.sizes, net.params["activation"]) - y
+                            w, v = _batch_steps(part, net)
+                        share = len(part) / BLOCK_ROWS
+                        state = np.concatenate([np.concatenate([w, v]) * share, [share]])
+                        # a network whose weights leave the range has lost its way; its scores say so
+                        state = np.rint(np.nan_to_num(np.clip(state, -16384, 16384)) * STEPS)
+                        sums = np.array([len(y), y.sum(), y @ y, np.nan_to_num(e @ e, nan=1e300, posinf=1e300)])
+                        row = np.concatenate([state.astype(np.int64).view(np.float64), sums])
+                        total[i] = row if i not in total else _added(total[i], row)
+            slot = TaskContext.get().partitionId() % 64
+            for i, row in total.items():
+                yield pa.RecordBatch.from_pydict(
+                    {"net": pa.array([i], pa.int32()), "slot": pa.array([slot], pa.int32()), "body": pa.array([row.tobytes()], pa.binary())}
+                )
+
+        schema = "net int, slot int, body binary"
+        sums = blocks.mapInArrow(local, schema)
+        if tasks > 64:  # added up on the cluster until no network has more than 64 states
+            sums = sums.groupBy("net", "slot").applyInArrow(_add_rows, schema)
+        parts: dict[int, list[bytes]] = {}
+        for r in sums.select("net", "body").collect():
+            parts.setdefault(r["net"], []).append(bytes(r["body"]))
+        found = {i: _sum_rows(bodies) for i, bodies in parts.items()}
+        for i, net in live:
+            if i not in found:
+                net.live = False
+                continue
+            state, (n, y, yy, sse) = found[i][:-4].view(np.int64) / STEPS, found[i][-4:]
+            spread = yy - y * y / n if n else 0.0
+            net.scored(1 - sse / spread if spread > 0 else -math.inf)
+            if not net.live or net.epochs >= int(net.params["max_iter"]):
+                net.live = False
+            elif state[-1] > 0:
+                mean = state[:-1] / state[-1]
+                net.flat, net.speed = mean[: len(net.flat)], mean[len(net.flat) :]
+                net.epochs += 1
+            else:
+                net.live = False
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole-number states and sums of two parts."""
+    state = a[:-4].view(np.int64) + b[:-4].view(np.int64)
+    return np.concatenate([state.view(np.float64), a[-4:] + b[-4:]])
+
+
+def _sum_rows(bodies: list[bytes]) -> np.ndarray:
+    bodies = sorted(bodies)  # sums of scores in one order
+    row = np.frombuffer(bodies[0])
+    for body in bodies[1:]:
+        row = _added(row, np.frombuffer(body))
+    return row
+
+
+def _add_rows(table: pa.Table) -> pa.Table:
+    row = _sum_rows([b.as_py() for b in table.column("body")])
+    return pa.table({"net": table.column("net").slice(0, 1), "slot": table.column("slot").slice(0, 1), "body": pa.array([row.tobytes()], pa.binary())})
+
+
+def _fitted(name: str, features: Sequence[str], net: Network) -> PerceptronFit:
+    return PerceptronFit(name, list(features), net.sizes, net.best_flat.tolist(), dict(net.params), net.epochs)
 
 
 def fit_perceptron(
@@ -124,87 +310,47 @@ def fit_perceptron(
     key: Sequence[str],
     params: Mapping | None = None,
     seed=SPLIT_SEED,
-    partitions: int | None = None,
     name: str = "MLP",
 ) -> PerceptronFit:
-    """Train with momentum and early stopping on a held-out hash bucket.
+    """Train one network with momentum and early stopping on a held-out hash bucket.
 
-    Rows are laid out once in hash order over ``partitions`` and written to the
-    shared folder, so every epoch and every recomputed task sees the same
-    batches. Training stops when the held-out R2 has not improved by the
-    tolerance for ten epochs; the best weights are kept. ``adaptive`` divides
-    the rate by five after two epochs without improvement.
+    Training stops when the held-out R2 has not improved by the tolerance for ten
+    epochs; the best weights are kept. ``adaptive`` divides the rate by five instead,
+    until it is very small.
     """
-    params = {
-        "hidden_layer_sizes": (100,), "activation": "relu", "batch_size": 200,
-        "max_iter": 200, "learning_rate": "constant", **(params or {}),
-    }
-    features = list(features)
-    sizes = [len(features), *params["hidden_layer_sizes"], 1]
-    activation, batch = params["activation"], int(params["batch_size"])
-    spark = df.sparkSession
-    parts = partitions or spark.sparkContext.defaultParallelism
-    columns = [F.col(c).cast("double").alias(f"_z{i}") for i, c in enumerate([*features, label])]
-    hashed = df.select(*columns, salted_md5(f"{seed}:net", *key).alias("_hash")).dropna()
-    held = F.col("_hash") < F.lit(hex_bound(VALIDATION_SHARE))
-    laid = materialise(
-        hashed.withColumn("_held", held).repartition(parts, "_hash").sortWithinPartitions("_hash").drop("_hash"),
-        "rows",
-    )
-    train = laid.where(~F.col("_held")).drop("_held").persist()
-    hold = laid.where("_held").drop("_held").persist()
-    flat = _start(sizes, activation, int(seed))
-    speed = np.zeros_like(flat)
-    rate, best, best_flat, stale, epoch = LEARNING_RATE, -math.inf, flat, 0, 0
-    for epoch in range(1, int(params["max_iter"]) + 1):
-        flat, speed = _epoch(train, flat, speed, sizes, activation, batch, rate)
-        fit = PerceptronFit(name, [f"_z{i}" for i in range(len(features))], sizes, flat.tolist(), dict(params))
-        score = r2_score(fit.predict(hold, "_p"), f"_z{len(features)}", "_p", []).first()["r2"]
-        score = -math.inf if score is None or not math.isfinite(score) else score
-        stale = 0 if score > best + TOLERANCE else stale + 1
-        if score > best:
-            best, best_flat = score, flat
-        if params["learning_rate"] == "adaptive" and stale >= PATIENCE and rate > 1e-6:
-            rate, stale = rate / 5.0, 0
-        elif stale >= PATIENCE:
-            break
-    train.unpersist()
-    hold.unpersist()
-    return PerceptronFit(name, features, sizes, best_flat.tolist(), dict(params), epoch)
-
-
-def _epoch(train: DataFrame, flat, speed, sizes, activation, batch: int, rate: float):
-    """One pass: local steps per partition, then the row-weighted mean of the states."""
-
-    def local(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, v, seen, rest = flat.copy(), speed.copy(), 0, None
-        for frame in frames:
-            z = np.column_stack([frame.column(i).to_numpy(zero_copy_only=False) for i in range(frame.num_columns)])
-            rest = z if rest is None else np.concatenate([rest, z])
-            while len(rest) >= batch:
-                w, v = _step(rest[:batch], w, v)
-                seen, rest = seen + batch, rest[batch:]
-        if rest is not None and len(rest):
-            w, v = _step(rest, w, v)
-            seen += len(rest)
-        if seen:
-            state = np.concatenate([w, v]) * seen
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "pos": pa.array(np.arange(len(state) + 1), pa.int32()),
-                    "v": pa.array(np.append(state, float(seen)), pa.float64()),
-                }
-            )
-
-    def _step(z, w, v):
-        push = rate * _gradient(z[:, :-1], z[:, -1], w, sizes, activation)
-        v = MOMENTUM * v - push
-        return w + MOMENTUM * v - push, v
-
-    sums = train.mapInArrow(local, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
-    table = sums.toPandas().sort_values("pos")["v"].to_numpy()  # one number per weight
-    mean = table[:-1] / table[-1]
-    return mean[: len(flat)], mean[len(flat) :]
+    net = Network.of(params or {}, -2, len(features), seed)
+    train(lay_rows(df, features, label, key, None, seed), [net])
+    return _fitted(name, features, net)
+
+
+def _fold_scores(blocks: DataFrame, networks: Sequence[Network]) -> DataFrame:
+    """``net, test, train``: R2 of each network on its held-out fold and on its own rows, in one scan."""
+    width = networks[0].sizes[0] + 1
+    work = [(n.skip, n.best_flat, n.sizes, n.params["activation"]) for n in networks]
+
+    def emit(batches):
+        total = np.zeros((len(work), 2, 4))
+        for batch in batches:
+            for values, folds in zip(*(batch.column(c).to_pylist() for c in ("values", "folds"))):
+                z, fold = np.frombuffer(values).reshape(-1, width), np.frombuffer(folds, np.int32)
+                y = z[:, -1]
+                for i, (skip, flat, sizes, activation) in enumerate(work):
+                    with np.errstate(all="ignore"):
+                        e = (_predict_flat(z[:, :-1], flat, sizes, activation) - y) ** 2
+                    for side, rows in enumerate((fold == skip, fold != skip)):
+                        total[i, side] += [rows.sum(), y[rows].sum(), (y[rows] ** 2).sum(), e[rows].sum()]
+        flat = total.reshape(-1, 4)
+        at = np.arange(len(flat))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at // 2, pa.int32()), pa.array(at % 2 == 1), *(pa.array(flat[:, k]) for k in range(4))],
+            ["net", "own", "n", "y", "yy", "sse"],
+        )
+
+    sums = blocks.mapInArrow(emit, "net int, own boolean, n double, y double, yy double, sse double")
+    sums = sums.groupBy("net", "own").agg(*[F.sum(c).alias(c) for c in ("n", "y", "yy", "sse")])
+    spread = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    r2 = F.when((F.col("n") > 0) & (spread > 1e-12 * F.col("yy")), 1 - F.col("sse") / spread)
+    return sums.groupBy("net").agg(F.max(F.when(~F.col("own"), r2)).alias("test"), F.max(F.when(F.col("own"), r2)).alias("train"))
 
 
 def search_perceptron(
@@ -218,24 +364,30 @@ def search_perceptron(
     seed=SPLIT_SEED,
     name: str = "MLP",
 ) -> tuple[PerceptronFit, DataFrame]:
-    """Randomised search with cross-validation and refit of the best point."""
+    """Randomised search with cross-validation; every point is also fitted on all rows, and the best of these is kept.
+
+    All points and folds share the passes over the rows.
+    """
     points = draw_points(grid or GRID, n_iter, seed)
-    data = fold_rows(df, key, folds, seed, "_fold").select("_fold", label, *features, *key).persist()
-    rows = []
-    for i, point in enumerate(points):
-        for fold in range(folds):
-            fit = fit_perceptron(data.where(F.col("_fold") != fold), features, label, key, point, seed, name=name)
-            scored = fit.predict(data, "_p").withColumn("_test", F.col("_fold") == fold)
-            scores = {r["_test"]: r["r2"] for r in r2_score(scored, label, "_p", ["_test"]).collect()}
-            rows.append((i, json.dumps(point), fold, scores.get(True), scores.get(False)))
-    scores = df.sparkSession.createDataFrame(
-        rows, "point int, params string, fold int, test double, train double"
+    blocks = lay_rows(fold_rows(df, key, folds, seed, "_fold"), features, label, key, "_fold", seed)
+    fits = [(i, fold) for i in range(len(points)) for fold in range(folds)]
+    networks = [Network.of(points[i], fold, len(features), seed) for i, fold in fits]
+    whole = [Network.of(p, -2, len(features), seed) for p in points]
+    train(blocks, [*networks, *whole])
+    spark = df.sparkSession
+    of_net = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(fits)], "net int, point int")
+    listed = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(points)], "point int, params string")
+    table = (
+        _fold_scores(blocks, networks)
+        .join(F.broadcast(of_net), "net")  # points times folds
+        .groupBy("point")
+        .agg(
+            F.avg("test").alias("mean_test_score"), F.stddev_pop("test").alias("std_test_score"),
+            F.avg("train").alias("mean_train_score"), F.stddev_pop("train").alias("std_train_score"),
+        )
+        .join(F.broadcast(listed), "point")
+        .withColumn("model", F.lit(name))
     )
-    table = scores.groupBy("point", "params").agg(
-        F.avg("test").alias("mean_test_score"), F.stddev_pop("test").alias("std_test_score"),
-        F.avg("train").alias("mean_train_score"), F.stddev_pop("train").alias("std_train_score"),
-    ).withColumn("model", F.lit(name))
-    best = table.orderBy(F.col("mean_test_score").desc(), "point").first()["point"]
-    fit = fit_perceptron(data, features, label, key, points[best], seed, name=name)
-    data.unpersist()
-    return fit, table
+    table = materialise(table, "search")
+    best = table.orderBy(F.col("mean_test_score").desc_nulls_last(), "point").first()["point"]
+    return _fitted(name, features, whole[best]), table

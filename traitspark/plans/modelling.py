@@ -297,11 +297,29 @@ _RF_POINT = {"n_estimators": 10, "max_features": "auto", "max_depth": 5, "min_sa
 
 @query("rf_random_search")
 def rf_random_search(spark, sf):
-    grid = {"n_estimators": [5, 10], "max_features": ["auto", "sqrt"], "max_depth": [3, 5], "min_samples_leaf": [0.01, 0.1]}
-    _, table = forest.search_forest(_li(spark, sf), _THREE, "y", ["row_key"], grid, n_iter=3, folds=3)
+    """Ten points of the operator's own grid, five folds; all trees grow in shared scans."""
+    _, table = forest.search_forest(B.order_rows(spark, sf), ["f1", "f2"], "y", ["o_orderkey"], n_iter=10, folds=5)
     return metrics.cv_rank(table, ordered="ascending")
 
 
+@query(
+    "forest_best_split",
+    f"""with {B.LI_SQL}, s as (select l_quantity as x, count(*) as n, sum(y) as sy from li group by 1),
+      c as (select x, sum(n) over w as ln, sum(sy) over w as ls, sum(n) over () as n, sum(sy) over () as sy from s window w as (order by x)),
+      g as (select x, ln, n - ln as rn, ls / ln as lm, (sy - ls) / (n - ln) as rm from c where ln < n),
+      b as (select *, ln * rn / (ln + rn) * (lm - rm) * (lm - rm) as gain from g order by gain desc, x limit 1)
+    select x as threshold, {sql_rnd('gain', 4)} as gain, {sql_rnd('lm', 5)} as left_mean, {sql_rnd('rm', 5)} as right_mean,
+      ln::double as left_rows, rn::double as right_rows from b""",
+)
+def forest_best_split(spark, sf):
+    """One tree of one split on one feature, without bootstrap: the best of all cuts."""
+    point = {"n_estimators": 1, "max_depth": 1, "bootstrap": False}
+    tree = forest.fit_forest(_li(spark, sf), ["l_quantity"], "y", point, key=["row_key"]).trees[0]
+    row = (tree["threshold"][0], tree["gain"][0], tree["value"][1], tree["value"][2], tree["weight"][1], tree["weight"][2])
+    table = spark.createDataFrame([row], "threshold double, gain double, left_mean double, right_mean double, left_rows double, right_rows double")
+    return table.withColumns({"gain": rnd("gain", 4), "left_mean": rnd("left_mean", 5), "right_mean": rnd("right_mean", 5)})
+
+
 @query("rf_importances")
 def rf_importances(spark, sf):
     rows = _li(spark, sf)
@@ -318,7 +336,7 @@ def mlp_fit(spark, sf):
     rows = scale_numeric(B.order_rows(spark, sf), ["f1", "f2"])
     fit = perceptron.fit_perceptron(
         rows.where(~F.col("is_test")), ["f1", "f2"], "y", ["o_orderkey"],
-        {"hidden_layer_sizes": (5,), "max_iter": 8}, partitions=4,
+        {"hidden_layer_sizes": (5,), "max_iter": 8},
     )
     scored = fit.predict(rows.where("is_test")).withColumn("model", F.lit(fit.name))
     return metrics.r2_score(scored, "y")
@@ -326,14 +344,36 @@ def mlp_fit(spark, sf):
 
 @query("mlp_random_search")
 def mlp_random_search(spark, sf):
+    """Ten points of the operator's own grid, five folds, up to their own number of epochs, in shared passes."""
     from ..operators.features import scale_numeric
 
     rows = scale_numeric(B.order_rows(spark, sf), ["f1", "f2"])
-    grid = {"hidden_layer_sizes": [(5,), (5, 5)], "activation": ["relu", "identity"], "batch_size": [200], "max_iter": [2]}
-    _, table = perceptron.search_perceptron(rows, ["f1", "f2"], "y", ["o_orderkey"], grid, n_iter=2, folds=2)
+    _, table = perceptron.search_perceptron(rows, ["f1", "f2"], "y", ["o_orderkey"], n_iter=10, folds=5)
     return metrics.cv_rank(table, ordered="ascending")
 
 
+@query(
+    "mlp_least_squares",
+    f"""with {B.ORD_SQL}, s as (select (f1 - avg(f1) over ()) / (stddev_pop(f1) over ()) as x, y from od)
+    select {sql_rnd('regr_slope(y, x)', 6)} as slope, {sql_rnd('regr_intercept(y, x)', 6)} as intercept,
+      true as slope_within_tolerance, true as intercept_within_tolerance from s""",
+)
+def mlp_least_squares(spark, sf):
+    """An identity network without hidden layers comes within 0.1 of least squares."""
+    from ..operators.features import scale_numeric
+
+    rows = scale_numeric(B.order_rows(spark, sf), ["f1"])
+    point = {"hidden_layer_sizes": (), "activation": "identity", "batch_size": 200, "max_iter": 200}
+    w, b = perceptron.fit_perceptron(rows, ["f1"], "y", ["o_orderkey"], point).weights
+    ols = linear.fit_linear(rows, ["f1"], "y")
+    near = [abs(w - ols.coef[0]) < 0.1, abs(b - ols.intercept) < 0.1]
+    table = spark.createDataFrame(
+        [(float(ols.coef[0]), float(ols.intercept), *map(bool, near))],
+        "slope double, intercept double, slope_within_tolerance boolean, intercept_within_tolerance boolean",
+    )
+    return table.withColumns({"slope": rnd("slope", 6), "intercept": rnd("intercept", 6)})
+
+
 @query("all_predictions")
 def all_predictions(spark, sf):
     """Test rows with one prediction column per model and the truth."""
@@ -350,7 +390,7 @@ def all_predictions(spark, sf):
     fits.append(forest.fit_forest(train, ["f1", "f2"], "y", _RF_POINT))
     fits.append(
         perceptron.fit_perceptron(
-            train, ["f1", "f2"], "y", ["o_orderkey"], {"hidden_layer_sizes": (5,), "max_iter": 2}, partitions=4
+            train, ["f1", "f2"], "y", ["o_orderkey"], {"hidden_layer_sizes": (5,), "max_iter": 2}
         )
     )
     return linear.predict_all(test, fits, "y", keep=["o_orderkey"])

@@ -6,7 +6,6 @@ import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import SparkSession
 
 from ..functions.scalars import file_label
@@ -22,6 +21,13 @@ SELECTED_PAIR = (MODEL_NAMES[0], MODEL_NAMES[5])
 __all__ = ["MODEL_NAMES", "NOT_LINEAR", "SELECTED_PAIR", "file_label", "load_models", "save_models"]
 
 
+_TREE_COLUMNS = ("feature", "threshold", "left", "value", "weight", "gain")
+_TREE_SCHEMA = (
+    "tree int, feature array<int>, threshold array<double>, left array<int>, value array<double>, "
+    "weight array<double>, gain array<double>"
+)
+
+
 def _folder(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name.replace(' ', '_')}"
 
@@ -41,7 +47,8 @@ def save_models(spark: SparkSession, root: str, models: Sequence) -> None:
         elif isinstance(m, ForestFit):
             meta = {"type": "forest", "features": m.features, "params": m.params}
             numbers = []
-            m.model.write().overwrite().save(_folder(root, m.name) + "/trees")
+            trees = spark.createDataFrame([(i, *(t[c] for c in _TREE_COLUMNS)) for i, t in enumerate(m.trees)], _TREE_SCHEMA)
+            trees.write.mode("overwrite").parquet(_folder(root, m.name) + "/trees")
         else:
             raise TypeError(f"cannot save {type(m).__name__}")
         row = spark.createDataFrame([(m.name, json.dumps(meta), numbers)], "name string, meta string, numbers array<double>")
@@ -68,7 +75,8 @@ def load_models(
                 name, meta["features"], meta["sizes"], list(row["numbers"]), meta["params"], meta["n_epochs"]
             )
         else:
-            trees = RandomForestRegressionModel.load(_folder(root, name) + "/trees")
-            model = ForestFit(name, meta["features"], trees, meta["params"])
+            # one row a tree, as many and as large as the fit had them on the driver
+            rows = spark.read.parquet(_folder(root, name) + "/trees").orderBy("tree").collect()
+            model = ForestFit(name, meta["features"], [{c: list(r[c]) for c in _TREE_COLUMNS} for r in rows], meta["params"])
         out[name] = model if fitted else model.reset()
     return out
