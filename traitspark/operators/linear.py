@@ -164,6 +164,9 @@ class LinearFit:
             out = out + F.col(f) * F.lit(float(b))
         return out
 
+    def predict_array(self, x: np.ndarray) -> np.ndarray:
+        return x @ np.array(self.coef, float) + float(self.intercept)
+
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return df.withColumn(out, self.column())
 

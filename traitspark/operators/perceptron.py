@@ -107,6 +107,9 @@ class PerceptronFit:
     params: dict = field(default_factory=dict)
     n_epochs: int = 0
 
+    def predict_array(self, x: np.ndarray) -> np.ndarray:
+        return _predict_flat(x, np.array(self.weights), list(self.sizes), self.params.get("activation", "relu"))
+
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         flat, sizes = np.array(self.weights), list(self.sizes)
         activation = self.params.get("activation", "relu")
@@ -141,7 +144,7 @@ STEPS = 1 << 34
 
 @dataclass
 class Network:
-    """A network in training: its rows are those not of fold ``skip``."""
+    """A network in training: its rows are those not of fold ``skip``, or only those of sample ``own``."""
 
     params: dict
     skip: int
@@ -154,16 +157,20 @@ class Network:
     stale: int = 0
     epochs: int = 0
     live: bool = True
+    own: int | None = None
+
+    def rows(self, fold: np.ndarray) -> np.ndarray:
+        return fold != self.skip if self.own is None else fold == self.own
 
     @classmethod
-    def of(cls, params: Mapping, skip: int, features: int, seed) -> Network:
+    def of(cls, params: Mapping, skip: int, features: int, seed, own: int | None = None) -> Network:
         params = {
             "hidden_layer_sizes": (100,), "activation": "relu", "batch_size": 200,
             "max_iter": 200, "learning_rate": "constant", **params,
         }
         sizes = [features, *params["hidden_layer_sizes"], 1]
         flat = _start(sizes, params["activation"], int(seed))
-        return cls(params, skip, sizes, flat, np.zeros_like(flat), flat)
+        return cls(params, skip, sizes, flat, np.zeros_like(flat), flat, own=own)
 
     def scored(self, score: float) -> None:
         """Stops, lowers the rate or goes on, by the validation score of the current weights."""
@@ -236,7 +243,9 @@ def train(blocks: DataFrame, networks: Sequence[Network]) -> None:
                     z = np.frombuffer(values).reshape(-1, width)
                     fold, held = np.frombuffer(folds, np.int32), np.frombuffer(held, bool)
                     for i, net in live:
-                        own = fold != net.skip
+                        own = net.rows(fold)
+                        if not own.any():
+                            continue
                         test, part = z[own & held], z[own & ~held]
                         y = test[:, -1]
                         with np.errstate(all="ignore"):

@@ -23,7 +23,7 @@ from ..session import materialise
 from .linear import LinearFit, solve
 from .metrics import rejection_rate
 from .moments import Moments, column_means, moment_table
-from .ranking import hash_rank, rank_bits, step_up_adjust
+from .ranking import hash_rank, null_safe_join, rank_bits, step_up_adjust
 from .sampling import subsample_members
 from .skew import lookup_join, skew_join
 
@@ -89,7 +89,7 @@ def permute_column(
     receivers = _placed(_with_hashes(df, group, key, seed, rest), group, F.lit(0), largest)
     givers = _turned(_with_hashes(df, group, key, seed, [column]), group, 1, n_repeats, largest)
     givers = givers.select(*group, "repeat", "_place", F.col(column).alias(out))
-    return givers.join(receivers, [*group, "_place"]).drop("_place")
+    return null_safe_join(givers, receivers, [*group, "_place"]).drop("_place")
 
 
 def permutation_products(
@@ -126,7 +126,7 @@ def permutation_products(
         F.sum(F.col(f"_s_{s}") * F.col(f"_m_{m}")).alias(f"product_{i}")
         for i, (s, m) in enumerate(zip(still, moved))
     ]
-    return turned.join(fixed, [*group, "_place"]).groupBy(*group, "repeat").agg(*sums)
+    return null_safe_join(turned, fixed, [*group, "_place"]).groupBy(*group, "repeat").agg(*sums)
 
 
 def _products_by_block(
@@ -393,8 +393,9 @@ def negative_control_tests(
         *[F.sum(y * F.col(c)).alias(f"_yp{i}") for i, c in enumerate(columns)],
         *[F.sum(F.col(c) * F.col(c)).alias(f"_pp{i}") for i, c in enumerate(columns)],
     )
-    products = permutation_products(
-        members, columns, [truth] * len(columns), key, ["sample_id"], n_repeats, seed, first=0
+    # two readers, one computation
+    products = materialise(
+        permutation_products(members, columns, [truth] * len(columns), key, ["sample_id"], n_repeats, seed, first=0), "products"
     )
     shuffled = products.where(F.col("repeat") == 0).select(
         "sample_id", *[F.col(f"product_{i}").alias(f"_zero{i}") for i in range(len(columns))]

@@ -32,6 +32,16 @@ def rank_bits(largest_group: int, bucket_rows: int = 1_000_000) -> int:
     return min(24, max(4, (max(largest_group, 1) // bucket_rows).bit_length()))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner equi-join in which a missing value meets a missing value."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    both = same[0]
+    for one in same[1:]:
+        both = both & one
+    return left.join(renamed, both).drop(*[f"_r_{c}" for c in on])
+
+
 def hash_rank(
     df: DataFrame,
     order: str,
@@ -45,7 +55,7 @@ def hash_rank(
     ``order`` is an md5 text or a positive 63-bit integer. Its leading ``bits``
     are the bucket, so buckets are equal in size even when one group holds most
     rows: the largest sort is ``n / 2**bits`` rows; see :func:`rank_bits`.
-    ``size_out`` also returns the group size. Group columns must not be null.
+    ``size_out`` also returns the group size. A missing group is a group.
     """
     group = list(group)
     if dict(df.dtypes)[order] == "string":
@@ -65,7 +75,8 @@ def hash_rank(
     )
     ranked = keyed.withColumn(
         "_local", F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(order))
-    ).join(shifts, group + ["_bucket"])
+    )
+    ranked = null_safe_join(ranked, shifts, group + ["_bucket"])
     ranked = ranked.withColumn(out, F.col("_shift") + F.col("_local"))
     if size_out:
         ranked = ranked.withColumn(size_out, F.col("_size"))
@@ -85,6 +96,9 @@ def hash_smallest(
     from .skew import lookup_join
 
     group = list(group)
+    if group:  # a missing group is a group: its rows get a code of their own
+        parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in group]
+        df, group = df.withColumn("_group", F.concat_ws("\0", *parts)), ["_group"]
     prefix = F.substring(F.col(hash_col), 1, digits)
     totals = (
         df.select(*group, prefix.alias("_prefix"))
@@ -106,7 +120,7 @@ def hash_smallest(
     kept = kept.withColumn("_part", F.substring(F.col(hash_col), 31, 2))
     for by in (W.partitionBy(*group, "_part"), W.partitionBy(*group)):
         kept = kept.withColumn("_rank", F.row_number().over(by.orderBy(hash_col))).where(F.col("_rank") <= k)
-    return kept.drop("_rank", "_part")
+    return kept.drop("_rank", "_part", "_group")
 
 
 def value_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:

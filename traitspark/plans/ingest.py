@@ -709,6 +709,17 @@ def per_group_sample(spark, sf):
     return sampling.sample_rows(li, ["row_key"], 1000, seed=0, group=["Chromosome"])
 
 
+@query(
+    "per_group_sample_null",
+    f"""with {B.LI_SQL}, g as (select row_key, nullif(Chromosome, 'chr1') as Chromosome from li) select row_key, Chromosome from g
+    qualify row_number() over (partition by Chromosome order by md5(concat_ws(':', '0', row_key))) <= 1000""",
+)
+def per_group_sample_null(spark, sf):
+    """A missing group is a group."""
+    li = B.line_items(spark, sf).select("row_key", F.nullif("Chromosome", F.lit("chr1")).alias("Chromosome"))
+    return sampling.sample_rows(li, ["row_key"], 1000, seed=0, group=["Chromosome"])
+
+
 @query(
     "global_sample",
     "select o_orderkey, o_totalprice from orders order by md5(concat_ws(':', '1010', o_orderkey)) limit 400",

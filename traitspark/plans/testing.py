@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import linear, metrics
+from ..operators import forest, linear, metrics, perceptron
+from ..operators import model_tests as M
 from ..operators import permutation as P
 from ..operators.sampling import subsample_members
 from ..operators.skew import lookup_join
-from ..session import spread
+from ..session import scratch_path, spread
+from ..sources.shards import ShardLedger
 from . import base as B
 from .base import rnd, sql_rnd
 from .exploring import _noise_sql
@@ -260,8 +262,6 @@ def rejection_rate(spark, sf):
 @query("guarded_samples")
 def guarded_samples(spark, sf):
     """A refit per sample for models without closed form; failures become rows with a reason."""
-    from ..operators import forest
-
     rows = subsample_members(B.order_rows(spark, sf).where("is_test"), ["o_orderkey"], 2, 0.3, _SEED)
 
     def run(i):
@@ -337,3 +337,146 @@ def merge_shards(spark, sf):
         .withColumn("model", F.lit("Random Forest"))
     )
     return _importance_table(P.merge_shards(shards))
+
+
+# -- any model ------------------------------------------------------------------------------
+
+
+def _general(spark, sf, model, test):
+    tests = M.importance_tests(test, model, "y", ["o_orderkey"], _SAMPLES, _REPEATS, seed=_SEED)
+    return _importance_table(P.merge_shards(tests))
+
+
+@query("importance_any_linear", f"with {_COLUMN_SQL}, {_FISHER_SQL} {_IMPORTANCE_OUT}")
+def importance_any_linear(spark, sf):
+    """The linear model on the path for any model: the rows of ``combined_importance``."""
+    fit, test = _fit(spark, sf)
+    return _general(spark, sf, fit, test)
+
+
+def _split(spark, sf):
+    rows = spread(B.order_rows(spark, sf), "o_orderkey")
+    return rows.where(~F.col("is_test")), rows.where("is_test").select("o_orderkey", "f1", "f2", "y")
+
+
+_FOREST = {"n_estimators": 100, "max_depth": 25, "min_samples_split": 0.01, "min_samples_leaf": 0.01}
+_NETWORK = {"hidden_layer_sizes": (10,), "activation": "relu", "batch_size": 200, "max_iter": 200}
+
+
+@query("importance_forest")
+def importance_forest(spark, sf):
+    """``f1`` moves the label, ``f2`` does not."""
+    train, test = _split(spark, sf)
+    return _general(spark, sf, forest.fit_forest(train, ["f1", "f2"], "y", _FOREST, key=["o_orderkey"]), test)
+
+
+@query("importance_mlp")
+def importance_mlp(spark, sf):
+    train, test = _split(spark, sf)
+    return _general(spark, sf, perceptron.fit_perceptron(train, ["f1", "f2"], "y", ["o_orderkey"], _NETWORK), test)
+
+
+@query(
+    "importance_ignored_feature",
+    f"""with {_TEST_SQL} select 'Random Forest' as model, sample_id::int as sample_id, 'f2' as feature,
+      {_REPEATS}::bigint as n_repeats, 1.0::double as p_value from members group by sample_id""",
+)
+def importance_ignored_feature(spark, sf):
+    """A forest that never saw ``f2`` keeps its score however ``f2`` is shuffled: p is 1."""
+    train, test = _split(spark, sf)
+    fit = forest.fit_forest(train.withColumn("f2", F.lit(0.0)), ["f1", "f2"], "y", _FOREST, key=["o_orderkey"])
+    tests = M.importance_tests(test, fit, "y", ["o_orderkey"], _SAMPLES, _REPEATS, seed=_SEED)
+    return tests.where("feature = 'f2'").select("model", "sample_id", "feature", "n_repeats", "p_value")
+
+
+_MAE_SQL = f"""{_TEST_SQL}, {B.sql_places('members', 'sample_id', 'o_orderkey', _SEED, 1, _REPEATS)},
+  sc as (select f.sample_id, t.repeat, avg(abs(f.y - f.pred)) as baseline, avg(abs(t.y - f.pred)) as score
+    from fixed f join turned t on f.sample_id = t.sample_id and f.place = t.place group by 1, 2)"""
+
+
+@query(
+    "permuted_label_scores_mae",
+    f"with {_MAE_SQL} select sample_id::int as sample_id, repeat::int as repeat, {sql_rnd('round(baseline, 9)', 6)} as baseline, {sql_rnd('round(score, 9)', 6)} as score from sc",
+)
+def permuted_label_scores_mae(spark, sf):
+    """Label permutation under another metric than R2."""
+    fit, test = _fit(spark, sf)
+    members = subsample_members(test, ["o_orderkey"], _SAMPLES, 0.3, _SEED)
+    out = M.shuffled_scores(members, fit, "y", ["o_orderkey"], shuffled=["y"], n_repeats=_REPEATS, seed=_SEED, metric="mae")
+    return out.select("sample_id", "repeat", rnd("baseline", 6).alias("baseline"), rnd("score", 6).alias("score"))
+
+
+@query("positive_control_forest")
+def positive_control_forest(spark, sf):
+    """All samples' refits are one training a noise level."""
+    _, test = _split(spark, sf)
+    return M.positive_control(
+        test, "forest", _FOREST, ["f1", "f2"], "y", ["o_orderkey"], (0.0, 25.0), _SAMPLES, _REPEATS, seed=_SEED
+    )
+
+
+@query("positive_control_mlp")
+def positive_control_mlp(spark, sf):
+    _, test = _split(spark, sf)
+    return M.positive_control(
+        test, "perceptron", _NETWORK, ["f1", "f2"], "y", ["o_orderkey"], (0.0, 25.0), _SAMPLES, _REPEATS, seed=_SEED
+    )
+
+
+_DEGENERATE_SQL = f"""{_MAE_SQL}, pv as (select sample_id, count(*) as n_repeats, max(baseline) as baseline,
+    (1 + sum(cast(round(score, 9) <= round(baseline, 9) as int))) / (1 + count(*)) as p_value from sc group by 1)"""
+
+
+@query(
+    "negative_control_degenerate",
+    f"""with {_DEGENERATE_SQL}
+    select sample_id::int as sample_id, case when sample_id = 2 then 0 else n_repeats end as n_repeats,
+      case when sample_id <> 2 then {sql_rnd('p_value', 9)} end as p_value,
+      case when sample_id = 2 then 'ValueError: singular sample' end as reason,
+      1::bigint as n_failed from pv""",
+)
+def negative_control_degenerate(spark, sf):
+    """A sample whose model could not be fitted is a row with its reason and leaves the others alone."""
+    fit, test = _fit(spark, sf)
+    members = subsample_members(test, ["o_orderkey"], _SAMPLES, 0.3, _SEED)
+    models = {i: fit if i != 2 else "singular sample" for i in range(1, _SAMPLES + 1)}
+    scores = M.shuffled_scores(
+        members, models, "y", ["o_orderkey"], shuffled=["y"], n_repeats=_REPEATS, seed=_SEED, metric="mae"
+    )
+    tests = M.tests_of(scores, ["sample_id"], "mae")
+    failed = tests.agg(F.count("reason").alias("n_failed"))
+    return tests.crossJoin(F.broadcast(failed)).select(  # one row
+        "sample_id", "n_repeats", rnd("p_value", 9).alias("p_value"), "reason", "n_failed"
+    )
+
+
+@query(
+    "importance_resumed",
+    f"with {_COLUMN_SQL} select sample_id::int as sample_id, feature, n_repeats, {sql_rnd('p_value', 9)} as p_value, 0::bigint as n_absent from pv",
+)
+def importance_resumed(spark, sf):
+    """Two partial runs and a rerun give what one whole run gives; finished samples are not computed again."""
+    fit, test = _fit(spark, sf)
+    ledger = ShardLedger(spark, scratch_path(spark, "shards"))
+
+    def compute(ids):
+        return M.importance_tests(test, fit, "y", ["o_orderkey"], _SAMPLES, _REPEATS, seed=_SEED, sample_ids=ids)
+
+    for ids in ([2], list(range(1, _SAMPLES + 1)), [1, 2]):
+        ledger.run(compute, ids)
+    rows, absent = ledger.read(list(range(1, _SAMPLES + 1)))
+    return rows.select(
+        "sample_id", "feature", "n_repeats", rnd("p_value", 9).alias("p_value"), F.lit(len(absent)).cast("long").alias("n_absent")
+    )
+
+
+@query(
+    "permute_groups_null",
+    f"""with {B.sql_places("(select * replace (nullif(o_orderstatus, 'F') as o_orderstatus) from orders)", 'o_orderstatus', 'o_orderkey', 9, 1, 2)}
+    select f.o_orderkey, f.o_orderstatus, cast(t.repeat as int) as repeat, f.o_totalprice, t.o_totalprice as permuted
+    from fixed f join turned t on f.o_orderstatus is not distinct from t.o_orderstatus and f.place = t.place""",
+)
+def permute_groups_null(spark, sf):
+    """A missing group is a group."""
+    o = B.table(spark, sf, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("o_orderstatus"), "o_totalprice")
+    return P.permute_column(o, "o_totalprice", ["o_orderkey"], ["o_orderstatus"], 2, seed=9)
