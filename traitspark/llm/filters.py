@@ -1,8 +1,10 @@
-"""Fixed-size bit filters built by Spark and probed in tasks, and groups of linked nodes.
+"""Bit filters built by Spark and probed in tasks, and groups of linked nodes.
 
-A filter has a fixed number of bits whatever the input, so what is sent to the
-tasks has a proven bound. It only spares work: a false hit costs time and is
-dropped by an exact step later, and there are no false misses.
+A filter has at most a fixed number of bits whatever the input, so what is sent to
+the tasks has a proven bound, and no more bits than its keys need. It goes to the
+executors once, as a broadcast, and is dropped when the stages that probe it have
+written their result. It only spares work: a false hit costs time and is dropped by
+an exact step later, and there are no false misses.
 """
 
 from __future__ import annotations
@@ -13,12 +15,40 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: 16 MB. Two bits a key: one false hit in fifty for ten million keys, one in five thousand for a million.
+#: At most 16 MB. Two bits a key: one false hit in fifty for ten million keys.
 FILTER_BITS = 1 << 27
+#: Bits for each bit that is set; at most one false hit in a thousand below the bound.
+SPARSE = 32
+#: Bits of the smallest filter.
+LEAST_BITS = 1 << 13
 
 
-def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """Two bits set for each key of a well mixed long column, by its low and high ends; ``bits`` is a power of two."""
+class BitFilter:
+    """A filter on its way to the tasks."""
+
+    def __init__(self, spark, words: np.ndarray):
+        self.shared = spark.sparkContext.broadcast(words)
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.shared.value
+
+    def drop(self) -> None:
+        """Frees the filter everywhere; tables that were written with it do not need it."""
+        self.shared.destroy()
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    """The same filter with as few bits as the set ones need: a slot is the low bits of a key, so halves overlay."""
+    need = SPARSE * int(np.bitwise_count(words).sum())
+    size = len(words)
+    while size * 32 >= max(need, LEAST_BITS):
+        size //= 2
+    return np.bitwise_or.reduce(words.reshape(-1, size), axis=0)
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> BitFilter:
+    """Two bits set for each key of a well mixed long column, by its low and high ends; at most ``bits``, a power of two."""
     ends = F.array(F.col(column), F.shiftrightunsigned(column, 32))
     slot = F.col("slot").bitwiseAND(F.lit(bits - 1))
     words = (
@@ -30,16 +60,17 @@ def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndar
     )
     out = np.zeros(bits // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
+    return BitFilter(keys.sparkSession, folded(out))
 
 
-def hits(filter_words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def hits(found: BitFilter, keys: np.ndarray) -> np.ndarray:
     """Which of the unsigned keys the filter may hold."""
-    found = np.ones(len(keys), bool)
+    filter_words = found.words
+    some = np.ones(len(keys), bool)
     for end in (keys, keys >> np.uint64(32)):
         slot = end & np.uint64(len(filter_words) * 64 - 1)
-        found &= (filter_words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-    return found
+        some &= (filter_words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    return some
 
 
 def groups(links: DataFrame, rounds: int = 60) -> DataFrame:

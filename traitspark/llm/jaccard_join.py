@@ -36,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .filters import FILTER_BITS, bit_filter, groups, hits
+from .filters import FILTER_BITS, BitFilter, bit_filter, groups, hits
 from .words import Words, mix, pieces, signed, unsigned
 
 SHINGLE = 5
+#: Bytes of text whose shingles a task holds at once; a longer text is a piece of its own.
+PIECE_BYTES = 1 << 20
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _node_rows(batches):
     for batch in batches:
-        for low, high, words in pieces(batch.column(1)):
+        for low, high, words in pieces(batch.column(1), PIECE_BYTES):
             key, row = shingle_sets(words)
             node, n = nodes_of(key, row, high - low)
             yield pa.RecordBatch.from_arrays(
@@ -93,7 +95,7 @@ def _sample_rows(one_in: int):
 
     def emit(batches):
         for batch in batches:
-            for low, high, words in pieces(batch.column(1)):
+            for low, high, words in pieces(batch.column(1), PIECE_BYTES):
                 key, row = shingle_sets(words)
                 node, _ = nodes_of(key, row, high - low)
                 some = (node >> np.uint64(40)) % np.uint64(one_in) == 0
@@ -102,10 +104,10 @@ def _sample_rows(one_in: int):
     return emit
 
 
-def _prefix_rows(percent: int, frequent: np.ndarray, recurring: np.ndarray | None):
+def _prefix_rows(percent: int, frequent: BitFilter, recurring: BitFilter | None):
     def emit(batches):
         for batch in batches:
-            for low, high, words in pieces(batch.column(1)):
+            for low, high, words in pieces(batch.column(1), PIECE_BYTES):
                 key, row = shingle_sets(words)
                 node, n = nodes_of(key, row, high - low)
                 late = hits(frequent, key)
@@ -124,13 +126,13 @@ def _prefix_rows(percent: int, frequent: np.ndarray, recurring: np.ndarray | Non
     return emit
 
 
-def _set_rows(active: np.ndarray, chosen: np.ndarray):
+def _set_rows(active: BitFilter, chosen: BitFilter):
     """Whole sets of wanted nodes, from the text that stands for the node."""
 
     def emit(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for low, high, words in pieces(batch.column(1)):
+            for low, high, words in pieces(batch.column(1), PIECE_BYTES):
                 key, row = shingle_sets(words)
                 node, n = nodes_of(key, row, high - low)
                 stand = node ^ (unsigned(ids[low:high]) << np.uint64(20))
@@ -174,7 +176,10 @@ class Join:
         shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
         recurring = bit_filter(shared, "key", self.bits)
         rows = self.known.mapInArrow(_prefix_rows(self.percent, self.frequent, recurring), schema).distinct()
-        return materialise(rows.withColumnRenamed("key", "region"), "regions")
+        out = materialise(rows.withColumnRenamed("key", "region"), "regions")
+        recurring.drop()
+        self.frequent.drop()
+        return out
 
     def needed(self, x: str, y: str):
         """Of how many regions two nodes of these sizes must both be members to be linked.
@@ -198,6 +203,8 @@ class Join:
         stand = stand.select(F.col("node").bitwiseXOR(F.expr("shiftleft(doc_id, 20)")).alias("stand"))
         chosen = bit_filter(stand, "stand", self.bits)
         sets = materialise(self.known.mapInArrow(_set_rows(active, chosen), "node long, shingles binary"), "sets")
+        active.drop()
+        chosen.drop()
         both = (
             pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
             .select("a", "b", "a_n", "b_n", "a_set", "b_set")
