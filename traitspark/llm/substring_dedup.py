@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .filters import FILTER_BITS, bit_filter, hits
+from .filters import FILTER_BITS, BitFilter, bit_filter, hits
 from .words import Words, mix, pieces, signed
 
 ANCHOR = 5
@@ -77,7 +77,7 @@ def _stand(doc: np.ndarray, text_key: np.ndarray) -> np.ndarray:
     return text_key ^ (doc.astype(np.int64).view(np.uint64) << np.uint64(20))
 
 
-def _known(batches, firsts: np.ndarray):
+def _known(batches, firsts: BitFilter):
     """Documents' ids and words, without those whose words an earlier one has."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -109,7 +109,7 @@ def _pairs(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(key[new])), pa.array(doc[new])], ["key", "doc"])
 
 
-def _anchor_rows(width: int, firsts: np.ndarray):
+def _anchor_rows(width: int, firsts: BitFilter):
     def emit(batches):
         for ids, words, _ in _known(batches, firsts):
             first, place, key = _windows(words, width)
@@ -120,7 +120,7 @@ def _anchor_rows(width: int, firsts: np.ndarray):
     return emit
 
 
-def _window_rows(width: int, firsts: np.ndarray, anchors: np.ndarray):
+def _window_rows(width: int, firsts: BitFilter, anchors: BitFilter):
     def emit(batches):
         for ids, words, _ in _known(batches, firsts):
             first, _, key = _windows(words, width)
@@ -131,7 +131,7 @@ def _window_rows(width: int, firsts: np.ndarray, anchors: np.ndarray):
     return emit
 
 
-def _stretch_rows(width: int, firsts: np.ndarray, anchors: np.ndarray, proposed: np.ndarray):
+def _stretch_rows(width: int, firsts: BitFilter, anchors: BitFilter, proposed: BitFilter):
     names = ["key", "doc", "text_key", "place", "stretch"]
 
     def emit(batches):
@@ -219,7 +219,7 @@ def _locate(width: int):
     return emit
 
 
-def _plain_rows(affected: np.ndarray, want: bool):
+def _plain_rows(affected: BitFilter, want: bool):
     """Documents that lose nothing are finished here; with ``want``, those that may lose words go on."""
 
     def emit(batches):
@@ -283,7 +283,7 @@ def remove_repeats(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     known = texts.where("doc_id is not null")
 
-    def recurring(rows: DataFrame) -> np.ndarray:
+    def recurring(rows: DataFrame) -> BitFilter:
         both = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
         return bit_filter(both, "key", filter_bits)
 
@@ -296,6 +296,9 @@ def remove_repeats(
     stretches = known.mapInArrow(
         _stretch_rows(width, firsts, anchors, proposed), "key long, doc long, text_key long, place long, stretch binary"
     )
+    stretches = materialise(stretches, "stretches")  # two readers
+    for found in (firsts, anchors, proposed):
+        found.drop()
     different = materialise(
         stretches.groupBy("key", "stretch").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")),
         "stretches",
