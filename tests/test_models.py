@@ -358,3 +358,41 @@ def test_weak_penalty_on_collinear_columns_settles():
         slope = s - c @ b
         assert np.abs(slope[b != 0] - alpha * np.sign(b[b != 0])).max(initial=0) < 1e-8
         assert np.abs(slope).max() <= alpha + 1e-8
+
+
+def test_targets_together_are_targets_alone(data):
+    _, df = data
+    both = df.withColumn("z", F.col("y") * 2 - F.col(FEATURES[0]))
+    fits = linear.fit_linear_targets(both, FEATURES, ["y", "z"], "ridge", {"alpha": 2.0})
+    for label in ("y", "z"):
+        alone = linear.fit_linear(both, FEATURES, label, "ridge", {"alpha": 2.0})
+        assert fits[label].coef == pytest.approx(alone.coef) and fits[label].intercept == pytest.approx(alone.intercept)
+    grid = [{"alpha": 0.1}, {"alpha": 50.0}]
+    fits, table = linear.search_linear_targets(both, FEATURES, ["y", "z"], "ridge", grid, ["id"], folds=4)
+    found = {(r["target_name"], r["point"]): r["mean_test_score"] for r in table.collect()}
+    for label in ("y", "z"):
+        fit, alone = linear.search_linear(both, FEATURES, label, "ridge", grid, ["id"], folds=4)
+        assert fits[label].params == fit.params
+        for r in alone.collect():
+            assert found[label, r["point"]] == pytest.approx(r["mean_test_score"], abs=1e-9)
+
+
+def test_complete_linkage_is_the_greedy_one():
+    from traitspark.operators.explore import complete_linkage
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 9, 25):
+        x = rng.normal(size=(n, 3))
+        dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        cut = 0.5 * dist.max() if n > 1 else 0.0
+        clusters = [[i] for i in range(n)]
+        while len(clusters) > 1:
+            gap, a, b = min(
+                (dist[np.ix_(clusters[i], clusters[j])].max(), i, j) for i in range(len(clusters)) for j in range(i + 1, len(clusters))
+            )
+            if gap > cut:
+                break
+            clusters[a] = clusters[a] + clusters[b]
+            del clusters[b]
+        names = [f"c{i}" for i in range(n)]
+        assert complete_linkage(dist, cut, names) == [[names[i] for i in c] for c in sorted(sorted(c) for c in clusters)]

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ranking import exact_quantiles
 
 
@@ -220,7 +221,9 @@ def entropies(df: DataFrame, nominal: Sequence[str]) -> tuple[DataFrame, DataFra
     pairs are enough, and both are combined before the shuffle. A missing value
     counts as a category.
     """
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in nominal])
+    text = [F.col(c).cast("string").alias(c) for c in nominal]
+    # one count of the combinations that occur; columns and pairs are margins of it
+    cube = df.groupBy(*text).agg(F.count(F.lit(1)).alias("_n"))
     ones = F.array(
         *[F.struct(F.lit(c).alias("a"), F.lit("").alias("b"), F.col(c).alias("x"), F.lit(None).cast("string").alias("y")) for c in nominal],
         *[
@@ -230,12 +233,13 @@ def entropies(df: DataFrame, nominal: Sequence[str]) -> tuple[DataFrame, DataFra
     )
     n = F.col("n").cast("double")
     sums = (
-        text.select(F.inline(ones))
+        cube.select("_n", F.inline(ones))
         .groupBy("a", "b", "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_n").alias("n"))
         .groupBy("a", "b")
         .agg(F.sum(n * F.ln(n)).alias("s"), F.sum("n").cast("double").alias("total"))
     )
+    sums = materialise(sums, "entropies")  # read several times, computed from one scan
     # one row per column and per pair of columns
     single = sums.where(F.col("b") == "").select(
         F.col("a").alias("column"), "s", (F.ln("total") - F.col("s") / F.col("total")).alias("entropy")
@@ -322,18 +326,7 @@ def cluster_order(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
     x = np.array([[cells[a, b] for b in columns] for a in columns])
     dist = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
     cut = 0.5 * dist.max() if len(columns) > 1 else 0.0
-    clusters = [[i] for i in range(len(columns))]
-    while len(clusters) > 1:
-        gap, a, b = min(
-            (dist[np.ix_(clusters[i], clusters[j])].max(), i, j)
-            for i in range(len(clusters))
-            for j in range(i + 1, len(clusters))
-        )
-        if gap > cut:
-            break
-        clusters[a] = clusters[a] + clusters[b]
-        del clusters[b]
-    clusters = sorted(sorted(c) for c in clusters)
+    clusters = [[columns.index(c) for c in own] for own in complete_linkage(dist, cut, columns)]
     rows, position = [], 0
     for number, members in enumerate(clusters, 1):
         for i in members:
@@ -342,6 +335,39 @@ def cluster_order(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
     return matrix.sparkSession.createDataFrame(rows, "feature string, cluster int, position int")
 
 
+def complete_linkage(dist: np.ndarray, cut: float, names: Sequence[str]) -> list[list[str]]:
+    """Clusters no wider than ``cut`` of which no two can be merged, by chains of nearest neighbours.
+
+    A chain goes from a cluster to its nearest one until two are each other's
+    nearest; these are merged, and the distance of clusters is that of their
+    farthest members. Merges above the cut are undone at the end: distances only
+    grow along them. Quadratic in the number of names.
+    """
+    far = dist.astype(float).copy()
+    np.fill_diagonal(far, np.inf)
+    group = list(range(len(names)))  # the cluster of each name, merges within the cut only
+    active, chain = set(group), []
+    while len(active) > 1:
+        if not chain:
+            chain = [min(active)]
+        last = chain[-1]
+        near = int(far[last].argmin())
+        if len(chain) > 1 and far[last, chain[-2]] <= far[last, near]:
+            a, b = sorted(chain[-2:])
+            if far[a, b] <= cut:
+                group = [a if g == b else g for g in group]
+            joined = np.maximum(far[a], far[b])
+            far[a, :] = far[:, a] = joined
+            far[a, a] = np.inf
+            far[b, :] = far[:, b] = np.inf
+            active.discard(b)
+            del chain[-2:]
+        else:
+            chain.append(near)
+    clusters = sorted([i for i, g in enumerate(group) if g == own] for own in set(group))
+    return [[names[i] for i in own] for own in clusters]
+
+
 def kernel_density(
     df: DataFrame, column: str, low: float, high: float, points: int = 50
 ) -> DataFrame:

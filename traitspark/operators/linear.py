@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import lin_space, log_space
 from ..functions.special import t_quantile
-from .moments import Moments, column_means, group_moments, subsample_moments
+from .moments import Moments, column_means, group_moments, subsample_moments, target_moments
 from .sampling import CV_FOLDS, SPLIT_SEED, fold_rows
 
 KINDS = ("ols", "lasso", "ridge", "enet", "pls")
@@ -194,12 +194,61 @@ def fit_linear(
     params: Mapping | None = None,
     name: str | None = None,
 ) -> LinearFit:
-    """Fit one model: two scans (means, then moments) and a p x p solve."""
+    """Fit one model: one scan for the moments and a p x p solve."""
     m = group_moments(df, features, label)[0]
     b0, coef = solve(kind, m, params)
     return LinearFit(name or kind, kind, list(features), b0, [float(c) for c in coef], dict(params or {}))
 
 
+def fit_linear_targets(
+    df: DataFrame,
+    features: Sequence[str],
+    labels: Sequence[str],
+    kind: str = "ols",
+    params: Mapping | None = None,
+) -> dict[str, LinearFit]:
+    """One model for each label, from one scan for all of them."""
+    out = {}
+    for label, moments in target_moments(df, features, labels).items():
+        b0, coef = solve(kind, moments[0], params)
+        out[label] = LinearFit(label, kind, list(features), b0, [float(c) for c in coef], dict(params or {}))
+    return out
+
+
+def search_linear_targets(
+    df: DataFrame,
+    features: Sequence[str],
+    labels: Sequence[str],
+    kind: str,
+    grid: Sequence[Mapping] | None = None,
+    key: Sequence[str] = (),
+    folds: int = CV_FOLDS,
+    seed=SPLIT_SEED,
+) -> tuple[dict[str, LinearFit], DataFrame]:
+    """Grid search and refit for each label; one scan gives the moments of all folds and labels."""
+    grid = [dict(g) for g in (grid if grid is not None else default_grid(kind, len(features)))]
+    data = fold_rows(df, key, folds, seed, "_fold")
+    fits, tables = {}, None
+    for label, by_fold in target_moments(data, features, labels, "_fold").items():
+        fits[label], cv = _searched(df.sparkSession, kind, grid, by_fold, features, label)
+        cv = cv.withColumnRenamed("model", "target_name")
+        tables = cv if tables is None else tables.union(cv)
+    return fits, tables
+
+
+def _searched(
+    spark: SparkSession, kind: str, grid: list[dict], by_fold: dict[int, Moments], features: Sequence[str], name: str
+) -> tuple[LinearFit, DataFrame]:
+    total = None
+    for m in by_fold.values():
+        total = m if total is None else total + m
+    cv = _cv_scores(spark, kind, grid, by_fold, total, name)
+    best = cv.orderBy(F.col("mean_test_score").desc(), "point").first()
+    params = grid[best["point"]]
+    b0, coef = solve(kind, total, params)
+    return LinearFit(name, kind, list(features), b0, [float(c) for c in coef], params), cv
+
+
 def search_linear(
     df: DataFrame,
     features: Sequence[str],
@@ -223,15 +272,7 @@ def search_linear(
     grid = [dict(g) for g in (grid if grid is not None else default_grid(kind, len(features)))]
     if fold_column is None:
         df, fold_column = fold_rows(df, key, folds, seed, "_fold"), "_fold"
-    by_fold = group_moments(df, features, label, fold_column)
-    total = None
-    for m in by_fold.values():
-        total = m if total is None else total + m
-    cv = _cv_scores(df.sparkSession, kind, grid, by_fold, total, name)
-    best = cv.orderBy(F.col("mean_test_score").desc(), "point").first()
-    params = grid[best["point"]]
-    b0, coef = solve(kind, total, params)
-    return LinearFit(name, kind, list(features), b0, [float(c) for c in coef], params), cv
+    return _searched(df.sparkSession, kind, grid, group_moments(df, features, label, fold_column), features, name)
 
 
 def _cv_scores(

@@ -76,6 +76,15 @@ def column_means(df: DataFrame, columns: Sequence[str]) -> list[float]:
     return [float(v) if v is not None else 0.0 for v in row]
 
 
+#: Rows that tell where a column lies.
+SHIFT_ROWS = 1000
+
+
+def column_shift(df: DataFrame, columns: Sequence[str]) -> list[float]:
+    """Means of some rows: any offset inside the data limits cancellation, and this one needs no scan."""
+    return column_means(df.select(*columns).dropna().limit(SHIFT_ROWS), columns)
+
+
 def _upper(m: int):
     return np.triu_indices(m)
 
@@ -155,11 +164,29 @@ def group_moments(
 ) -> dict[int, Moments]:
     """Moments per group on the driver: ``groups * p * p`` numbers."""
     columns = [*features, label]
-    shift = list(shift) if shift is not None else column_means(df, columns)
+    shift = list(shift) if shift is not None else column_shift(df, columns)
     rows = moment_table(df, columns, shift, group).collect()
     return {r["grp"]: Moments.from_upper(r["gram"], shift) for r in rows}
 
 
+def target_moments(
+    df: DataFrame, features: Sequence[str], labels: Sequence[str], group: str | None = None
+) -> dict[str, dict[int, Moments]]:
+    """Moments of every label and group from one scan; rows with a missing value in any column are left out."""
+    columns = [*features, *labels]
+    shift = column_shift(df, columns)
+    rows = moment_table(df, columns, shift, group).collect()
+    p = len(features)
+    whole = {r["grp"]: Moments.from_upper(r["gram"], shift) for r in rows}
+    # a label's moments are those of the features and of its own place
+    return {label: {g: _with_label(m, p, p + k) for g, m in whole.items()} for k, label in enumerate(labels)}
+
+
+def _with_label(m: Moments, p: int, at: int) -> Moments:
+    places = [0, *range(1, p + 1), at + 1]
+    return Moments(m.gram[np.ix_(places, places)], np.array([*m.shift[:p], m.shift[at]]))
+
+
 def subsample_moments(
     df: DataFrame,
     columns: Sequence[str],

@@ -294,6 +294,37 @@ def cluster_order(spark, sf):
     return explore.cluster_order(matrix, _MIXED_NUM + _MIXED_NOM)
 
 
+@query(
+    "cluster_order_property",
+    f"""select {len(_MIXED_NUM) + len(_MIXED_NOM)}::bigint as n_columns, true as none_too_wide, true as none_to_merge, true as positions_in_order""",
+)
+def cluster_order_property(spark, sf):
+    """No cluster is wider than the cut, and no two could be merged within it."""
+    from ..session import materialise
+
+    names = _MIXED_NUM + _MIXED_NOM
+    matrix = materialise(explore.association_matrix(_mixed(spark, sf), _MIXED_NUM, _MIXED_NOM), "matrix")
+    order = explore.cluster_order(matrix, names)
+    a, b = matrix.alias("a"), matrix.alias("b")
+    # cells of a small matrix
+    far = (
+        a.join(b, F.col("a.col_feature") == F.col("b.col_feature"))
+        .groupBy(F.col("a.row_feature").alias("x"), F.col("b.row_feature").alias("y"))
+        .agg(F.sqrt(F.sum((F.col("a.value") - F.col("b.value")) * (F.col("a.value") - F.col("b.value")))).alias("d"))
+    )
+    cx, cy = (order.select(F.col("feature").alias(n), F.col("cluster").alias(f"c{n}")) for n in ("x", "y"))
+    widths = far.join(cx, "x").join(cy, "y").groupBy("cx", "cy").agg(F.max("d").alias("w"))
+    cut = far.agg((F.max("d") * 0.5).alias("cut"))
+    checks = widths.crossJoin(F.broadcast(cut)).agg(  # one row
+        F.coalesce(F.bool_and(F.when(F.col("cx") == F.col("cy"), F.col("w") <= F.col("cut"))), F.lit(True)).alias("none_too_wide"),
+        F.coalesce(F.bool_and(F.when(F.col("cx") != F.col("cy"), F.col("w") > F.col("cut"))), F.lit(True)).alias("none_to_merge"),
+    )
+    places = order.agg(
+        F.count_distinct("position").alias("n_columns"), (F.max("position") == F.count(F.lit(1)) - 1).alias("positions_in_order")
+    )
+    return places.crossJoin(F.broadcast(checks))  # one row each
+
+
 @query(
     "kde_pvalue",
     f"""with p as (select exp(-o_totalprice / 90000.0::double) / 3.0::double as v from orders), s as (

@@ -133,17 +133,40 @@ def coef_table(spark, sf):
     union all select '-log10_p', {sql_rnd('regr_slope(-log10(p), l_quantity)', 9)}, {sql_rnd('regr_intercept(-log10(p), l_quantity)')} from t""",
 )
 def dual_target_fit(spark, sf):
-    """Every target fitted from one long table, in one grouped aggregate."""
+    """Both targets fitted from one scan."""
+    fits = linear.fit_linear_targets(_two_targets(spark, sf), ["l_quantity"], ["p_value", "-log10_p"])
+    rows = [(name, fit.coef[0], fit.intercept) for name, fit in fits.items()]
+    table = spark.createDataFrame(rows, "target_name string, slope double, intercept double")
+    return table.select("target_name", rnd("slope", 9).alias("slope"), rnd("intercept").alias("intercept"))
+
+
+def _two_targets(spark, sf):
     from ..functions.scalars import neg_log10
 
-    rows = clean.zero_floor(
-        _li(spark, sf).select("l_quantity", F.col("l_discount").alias("p_value"))
-    ).withColumn("log_p", neg_log10("p_value"))
-    both = clean.stack_targets(rows, {"p_value": "p_value", "-log10_p": "log_p"})
-    return both.groupBy("target_name").agg(
-        rnd(F.regr_slope("y", "l_quantity"), 9).alias("slope"),
-        rnd(F.regr_intercept("y", "l_quantity")).alias("intercept"),
-    )
+    rows = clean.zero_floor(_li(spark, sf).select("row_key", "l_quantity", F.col("l_discount").alias("p_value")))
+    return rows.withColumn("-log10_p", neg_log10("p_value"))
+
+
+@query(
+    "dual_target_stacked",
+    f"""with {B.LI_SQL}, low as (select min(l_discount) / 2 as low from lineitem where l_discount <> 0),
+    t as (select case when l_discount = 0 then low else l_discount end as p from li, low)
+    select 'p_value' as target_name, count(*) as n, {sql_rnd('sum(p)', 4)} as total from t
+    union all select '-log10_p', count(*), {sql_rnd('sum(-log10(p))', 4)} from t""",
+)
+def dual_target_stacked(spark, sf):
+    """Every target in one long table."""
+    both = clean.stack_targets(_two_targets(spark, sf), {"p_value": "p_value", "-log10_p": "-log10_p"})
+    return both.groupBy("target_name").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("y"), 4).alias("total"))
+
+
+@query("dual_target_cv")
+def dual_target_cv(spark, sf):
+    """Cross-validated ridge for both targets; the moments of all folds and targets come from one scan."""
+    grid = [{"alpha": a} for a in (0.1, 10.0, 1000.0)]
+    return linear.search_linear_targets(
+        _two_targets(spark, sf), ["l_quantity"], ["p_value", "-log10_p"], "ridge", grid, ["row_key"], folds=5
+    )[1]
 
 
 # -- cross-validation with one feature: closed form in SQL --------------------------
