@@ -20,15 +20,16 @@ def frame(spark, rows, schema):
 # -- joins under skew --------------------------------------------------------
 
 
+@pytest.mark.parametrize("share", [None, 0.02])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join_equals_plain_join(spark, how):
+def test_skew_join_equals_plain_join(spark, how, share):
     # one key holds a third of the rows, some keys are missing, some have no partner
     big = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).alias("k"),
         F.col("id").alias("v"),
     )
     small = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    got = skew.skew_join(big, small, ["k"], how, salts=4).toPandas()
+    got = skew.skew_join(big, small, ["k"], how, share, salts=4).toPandas()
     want = big.join(small, "k", how).toPandas()
     assert list(got.columns) == list(want.columns)
     pd.testing.assert_frame_equal(
@@ -65,8 +66,10 @@ def test_hash_rank_equals_window(spark):
     assert got.count() == 5000
 
 
+@pytest.mark.parametrize("bucket_values", [0, 10**6])
 @pytest.mark.parametrize("n", [3, 1000, 60000])
-def test_quantiles_equal_numpy(spark, n):
+def test_quantiles_equal_numpy(spark, n, bucket_values, monkeypatch):
+    monkeypatch.setattr(ranking, "BUCKET_VALUES", bucket_values)
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.rand(3) * 20).alias("v"),
         (F.col("id") % 2).alias("g"),
@@ -91,7 +94,9 @@ def _step_up(p):
     return out
 
 
-def test_step_up_adjustment(spark):
+@pytest.mark.parametrize("bucket_values", [0, 10**6])
+def test_step_up_adjustment(spark, bucket_values, monkeypatch):
+    monkeypatch.setattr(ranking, "BUCKET_VALUES", bucket_values)
     from traitspark.operators.permutation import adjust_p_values
 
     p = [0.0, 0.01, 0.01, 0.02, 0.2, 0.2, 0.2, 1.0, 1.0, 0.04, None, float("nan")]

@@ -164,14 +164,23 @@ def bucket_by_value(counts: DataFrame, value: str) -> DataFrame:
     )
 
 
+#: Distinct values of all groups that are ordered in one bucket a group.
+BUCKET_VALUES = 200_000
+
+
 def running_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Distinct values with ``_count``, ``_upto`` (rows with a value <= it) and ``_total``.
 
-    The distinct values are written once with their buckets, because the
-    totals, the running sums and what is built on them all read them.
+    Equal values are combined first and written once, because the totals, the
+    running sums and what is built on them all read them. They are counted, and
+    cut into buckets when there are many.
     """
     group = list(group)
-    placed = materialise(bucket_by_value(value_counts(df, value, group), value), "values")
+    placed = materialise(value_counts(df, value, group), "values")
+    if placed.count() > BUCKET_VALUES:
+        placed = materialise(bucket_by_value(placed, value), "values")
+    else:  # all distinct values fit into one bucket
+        placed = placed.withColumn("_bucket", F.lit(0))
     totals = placed.groupBy(*group, "_bucket").agg(F.sum("_count").alias("_n"))
     # at most 256 rows per group
     shifts = totals.select(

@@ -60,12 +60,15 @@ def skew_join(
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    share: float = 0.02,
+    share: float | None = None,
     salts: int = 32,
     salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Equi-join with the hot keys of ``big`` spread over ``salts`` partitions.
+    """Equi-join whose hot keys do not end in one task.
 
+    By default a plain join, whose large partitions adaptive execution splits at
+    run time without a scan before it. With ``share``, keys of ``big`` with at least
+    this share of the rows are counted first and spread over ``salts`` partitions.
     Only hot keys are salted; their few rows in ``small`` are repeated once per
     salt, all other rows of ``small`` are shuffled once. ``salt_by`` names
     columns of ``big`` that differ between rows of one key (default: all).
@@ -80,12 +83,17 @@ def skew_join_all(
     smalls: Sequence[DataFrame],
     on: Sequence[str],
     how: str = "left",
-    share: float = 0.02,
+    share: float | None = None,
     salts: int = 32,
     salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Join several tables on the same key; ``big`` is salted and shuffled once for all."""
+    """Join several tables on the same key; ``big`` is shuffled once for all."""
     on = list(on)
+    if share is None:
+        out = big
+        for small in smalls:
+            out = out.join(small, on, how)
+        return out
     hot = marked_hot(big, on, share)
     out = spread_hot(big, on, hot, salts, salt_by)
     for small in smalls:
@@ -110,4 +118,4 @@ def lookup_join(
     if len(rows) <= max_rows:
         local = small.sparkSession.createDataFrame(rows, small.schema)
         return big.join(F.broadcast(local), list(on), how)
-    return skew_join(big, materialise(small), on, how, salt_by=salt_by)
+    return skew_join(big, materialise(small), on, how, 0.02, salt_by=salt_by)
