@@ -154,18 +154,15 @@ def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, car
     )
     flags = copies.select("at.*", F.lit(True).alias("copy")).union(maybe.select("first.*", F.lit(False)))
     places = lambda copy: F.sort_array(F.collect_set(F.when(F.col("copy") == copy, F.col("place"))))
-    by_text = flags.groupBy("doc_id", "text_key").agg(places(True).alias("exact"), places(False).alias("open"))
-    none = F.array().cast("array<int>")
+    # places only; texts are joined with them once to get the open lines and once at the end
     marked = materialise(
-        texts.join(by_text, ["doc_id", "text_key"], "left").select(
-            "doc_id", "text_key", "text", "carried", F.coalesce("exact", none).alias("exact"), F.coalesce("open", none).alias("open")
-        ),
-        "marked",
+        flags.groupBy("doc_id", "text_key").agg(places(True).alias("exact"), places(False).alias("open")), "flags"
     )
-    opened = marked.where(F.size("open") > 0)
+    text = ["doc_id", "text_key"]
+    opened = texts.select(*text, "text").join(marked.where(F.size("open") > 0).select(*text, "open"), text)
     words = materialise(
-        opened.select("doc_id", "text_key", F.split("text", "\n").alias("lines"), F.explode("open").alias("place")).select(
-            F.struct("doc_id", "text_key", "place").alias("first"), words_of(F.get("lines", F.col("place"))).alias("words")
+        opened.select(*text, F.split("text", "\n").alias("lines"), F.explode("open").alias("place")).select(
+            F.struct(*text, "place").alias("first"), words_of(F.get("lines", F.col("place"))).alias("words")
         ).dropDuplicates(["first"]),
         "open-lines",
     )
@@ -176,11 +173,13 @@ def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, car
         .where(within_one(F.col("words"), F.col("other")))
         .select("first.*").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("near"))
     )
-    done = marked.where(F.size("open") == 0).withColumn("near", none)
-    rest = opened.join(near, ["doc_id", "text_key"], "left").withColumn("near", F.coalesce("near", none))
+    none = F.array().cast("array<int>")
+    gone = marked.select(*text, "exact").join(near, text, "left")
     # lines and bounds are columns of their own, so that they are made once a text
-    ready = done.unionByName(rest).withColumn("lines", F.split("text", "\n")).withColumn(
-        "bounds", F.concat(F.array(F.lit(-1)), F.sort_array(F.concat("exact", "near")), F.array(F.size("lines")))
+    ready = (
+        texts.join(gone, text, "left")
+        .withColumns({"exact": F.coalesce("exact", none), "near": F.coalesce("near", none), "lines": F.split("text", "\n")})
+        .withColumn("bounds", F.concat(F.array(F.lit(-1)), F.sort_array(F.concat("exact", "near")), F.array(F.size("lines"))))
     )
     return ready.select(
         "doc_id",
