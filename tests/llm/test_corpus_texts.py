@@ -225,16 +225,33 @@ def test_perplexity_matches_a_model_from_dictionaries(spark, docs, texts):
     import math
 
     some = docs.where("doc_id < 40")
-    symbol = perplexity.alphabet(some)
-    model = perplexity.fit(some.select("text"), symbol)
-    got = {r.doc_id: r.perplexity for r in perplexity.perplexities(docs.where("doc_id < 60"), symbol, model, shard_contexts=500).collect()}
-    coded = {d: [63] * 4 + [int(symbol[ord(c)]) for c in t] + [63] for d, t in texts if d < 60}
-    p = kneser_ney([s for d, s in coded.items() if d < 40], 5, 64)
+    model = perplexity.fit(some.select("text"))
+    coded = {d: [-1] * 4 + [ord(c) for c in t] + [-1] for d, t in texts if d < 60}
+    seen = {c for d, s in coded.items() if d < 40 for c in s[4:]}
+    p = kneser_ney([s for d, s in coded.items() if d < 40], 5, len(seen) + 1)
+    got = {r.doc_id: r.perplexity for r in perplexity.perplexities(docs.where("doc_id < 60"), model).collect()}
+    parts = {r.doc_id: r.perplexity for r in perplexity.perplexities(docs.where("doc_id < 60"), model, shard_grams=20_000).collect()}
+    assert len(got) == len(parts) and all(math.isclose(got[d], parts[d], rel_tol=1e-5) for d in got)
     for d, s in coded.items():
         grams = [tuple(s[i : i + 5]) for i in range(len(s) - 4)]
         assert math.isclose(got[d], math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)), rel_tol=1e-4)
 
 
+def test_junk_of_another_script_is_rejected(spark, docs, sf_dir):
+    """Random letters of a script that few trusted documents have, beside good text of that script."""
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    good = [(10**6 + i, " ".join(rng.choice(words) for _ in range(120)), "ru", "s", 1) for i in range(80)]
+    junk = [(2 * 10**6 + i, " ".join("".join(rng.choice("абвгдежзиклмнопрстуфхцчшщъыьэюя") for _ in range(6)) for _ in range(100)), "ru", "s", 1) for i in range(20)]
+    both = docs.union(spark.createDataFrame(good + junk, docs.schema))
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    trusted = trusted.union(spark.createDataFrame([(i, ) for i, *_ in good[:60]], "doc_id long"))
+    kept = {r.doc_id for r in perplexity.classify(both, trusted).where("kept and doc_id >= 1000000").collect()}
+    assert sum(i in kept for i, *_ in good) >= 76 and not any(i in kept for i, *_ in junk)
+
+
 def test_perplexity_of_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long")
     got = perplexity.classify(odd, none).collect()

@@ -1,15 +1,17 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are characters: the most frequent ones of all documents, one symbol for
-all others, and one for a text's edges, 64 in all, so an n-gram of up to five
-symbols is a number of 30 bits. Counts of 5-grams over all trusted documents are
-combined in the tasks and summed; lower orders count different left neighbours.
-Each order's table is joined with its contexts' totals and with the order below
-by n-gram, so the model is built by joins that Spark deals out.
-
-For scoring, contexts are dealt into shards of at most ``shard_contexts``; each
-shard is a broadcast of bounded size, every document passes by every shard, and
-the parts of its log-probability are summed by document.
+Symbols are characters, every code point its own, and a text's edge. An n-gram is a
+64-bit hash of its symbols, so neither the alphabet nor the number of n-grams is
+bounded: both grow with the trusted text. Counts of 5-grams over all trusted documents
+are combined in the tasks and summed; lower orders count different left neighbours.
+Each order's table is joined with its contexts' totals and with the order below by
+n-gram, so the model is built by joins that Spark deals out. A symbol that no trusted
+text has gets the share of one unseen symbol.
+
+For scoring, the model is dealt by the previous symbol into shards of about
+``shard_grams`` n-grams; all orders of one place need the same shard. A shard is sent to
+the tasks once, every document passes by it, and each different 5-gram of a piece of
+text is looked up once. The parts of a document's log-probability are summed.
 
 One trusted document in five takes no part in the counts, nor does one of each
 language that would have none of these but has two or more. Per language, the
@@ -37,10 +39,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .quality_rules import parts
+from .words import mix, signed, unsigned
 
 ORDER = 5
-SYMBOLS = 64
-OTHER, EDGE = 62, 63
+#: A text's edge; code points are below it.
+EDGE = 0x110000
 BIN = 1 / 512
 #: About the spread of a single symbol's surprise.
 ALLOWANCE = 1.5
@@ -54,7 +57,7 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), size
 
 
-def _groups(column: pa.Array, characters: int = 1 << 21):
+def _groups(column: pa.Array, characters: int = 1 << 20):
     """Texts in groups of about so many characters, with the index of the first."""
     group, size, first = [], 0, 0
     for i, text in enumerate(column.to_pylist()):
@@ -67,68 +70,62 @@ def _groups(column: pa.Array, characters: int = 1 << 21):
         yield first, group
 
 
-def alphabet(docs: DataFrame) -> np.ndarray:
-    """Symbol of each code point: the 62 most frequent ones of all documents have their own."""
+_FACTORS = mix(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
 
-    def emit(batches):
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for _, group in _groups(batch.column(0)):
-                code, _ = _codes(group)
-                total += np.bincount(code, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["code", "n"])
-
-    counts = docs.select("text").mapInArrow(emit, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    frequent = counts.orderBy(F.desc("n"), "code").limit(OTHER).collect()
-    symbol = np.full(0x110000, OTHER, np.uint8)
-    for i, row in enumerate(frequent):
-        symbol[row.code] = i
-    return symbol
-
-
-def grams(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """5-gram before and at each symbol and at the end of each text; how many each text has."""
-    code, size = _codes(texts)
-    # each text after four edges, and an edge at its end
-    full = size + ORDER
-    begin = np.cumsum(full) - full
-    sequence = np.full(int(full.sum()), EDGE, np.int32)
-    place = np.arange(len(code)) + np.repeat(begin + ORDER - 1 - (np.cumsum(size) - size), size)
-    sequence[place] = symbol[code]
-    key = np.zeros(max(0, len(sequence) - ORDER + 1), np.int32)
-    for j in range(ORDER):
-        key = (key << 6) | sequence[j : j + len(key)]
-    inside = np.ones(len(key) + ORDER - 1, bool)
-    for j in range(1, ORDER):
-        inside[begin + full - j] = False
-    return key[inside[: len(key)]], size + 1
-
-
-def count_grams(trusted: DataFrame, symbol: np.ndarray) -> DataFrame:
-    """``gram, n`` over all trusted texts."""
 
-    def emit(batches):
-        keys, counts, held = [], [], 0
+class Places:
+    """The places of some texts: before and at each character, and the end of each."""
+
+    def __init__(self, texts: list[str]):
+        code, size = _codes(texts)
+        # each text after four edges, and an edge at its end
+        full = size + ORDER
+        begin = np.cumsum(full) - full
+        symbols = np.full(int(full.sum()), EDGE, np.uint64)
+        symbols[np.arange(len(code)) + np.repeat(begin + ORDER - 1 - (np.cumsum(size) - size), size)] = code
+        self.mixed = mix(symbols)
+        self.count = size + 1
+        self.at = np.arange(int(self.count.sum())) + np.repeat(begin + ORDER - 1 - (np.cumsum(self.count) - self.count), self.count)
+
+    def grams(self, order: int, at: np.ndarray) -> np.ndarray:
+        """Hash of the ``order`` symbols that end at each place."""
+        total = np.full(len(at), np.uint64(order))
+        for j in range(order):
+            total += self.mixed[at - j] * _FACTORS[j]
+        return mix(total)
+
+    def contexts(self, order: int, at: np.ndarray) -> np.ndarray:
+        """Hash of the ``order - 1`` symbols before each place."""
+        total = np.full(len(at), np.uint64(100 + order))
+        for j in range(1, order):
+            total += self.mixed[at - j] * _FACTORS[j]
+        return mix(total)
 
-        def combined():
-            key = np.concatenate(keys) if keys else np.zeros(0, np.int32)
-            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            key, at = np.unique(key, return_inverse=True)
-            return key, np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+    def different(self) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each different 5-gram, and which of them each place has."""
+        _, first, which = np.unique(self.grams(ORDER, self.at), return_index=True, return_inverse=True)
+        return self.at[first], which
 
+
+_KEYS = [*[f"g{k}" for k in range(1, ORDER + 1)], *[f"c{k}" for k in range(2, ORDER + 1)]]
+
+
+def count_grams(trusted: DataFrame) -> DataFrame:
+    """``g5, n`` over all trusted texts, with the shorter n-grams that end it and the contexts of all."""
+
+    def emit(batches):
         for batch in batches:
             for _, group in _groups(batch.column(0)):
-                key, n = np.unique(grams(group, symbol)[0], return_counts=True)
-                keys.append(key), counts.append(n)
-                held += len(key)
-                if held > 1 << 22:
-                    key, n = combined()
-                    keys, counts, held = [key], [n], 0
-        key, n = combined()
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["gram", "n"])
+                places = Places(group)
+                at, which = places.different()
+                keys = [places.grams(k, at) for k in range(1, ORDER + 1)]
+                keys += [places.contexts(k, at) for k in range(2, ORDER + 1)]
+                n = np.bincount(which, minlength=len(at))
+                yield pa.RecordBatch.from_arrays([*(pa.array(signed(k)) for k in keys), pa.array(n)], [*_KEYS, "n"])
 
-    return trusted.select("text").mapInArrow(emit, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = trusted.select("text").mapInArrow(emit, ", ".join(f"{k} long" for k in _KEYS) + ", n long")
+    rest = [F.first(k).alias(k) for k in _KEYS if k != f"g{ORDER}"]
+    return rows.groupBy(f"g{ORDER}").agg(F.sum("n").alias("n"), *rest)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -140,78 +137,84 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), k) for k, d in zip((0.95, 1.95, 2.95), found)]
 
 
-def fit(trusted: DataFrame, symbol: np.ndarray) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Per order, probabilities ``gram, p`` and context weights ``context, weight``."""
-    tables = [materialise(count_grams(trusted, symbol), "grams")]
+def fit(trusted: DataFrame) -> tuple[list[DataFrame], list[DataFrame], float]:
+    """Per order, probabilities ``gram, p, previous`` and context weights ``context, weight, previous``; the base probability.
+
+    ``previous`` is the hash of the previous symbol.
+    """
+    tables = [materialise(count_grams(trusted), "grams")]
     for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << 6 * order) - 1)).alias("gram")
-        tables.append(materialise(tables[-1].groupBy(suffix).agg(F.count(F.lit(1)).alias("n")), "grams"))
+        rest = [F.first(k).alias(k) for k in tables[-1].columns if k[0] in "gc" and int(k[1]) <= order and k != f"g{order}"]
+        tables.append(materialise(tables[-1].groupBy(f"g{order}").agg(F.count(F.lit(1)).alias("n"), *rest), "grams"))
+    base = 1.0 / (tables[-1].count() + 1)
     probabilities, weights = [], []
     for order, table in enumerate(reversed(tables), 1):
         of = table.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first()
         d1, d2, d3 = discounts(list(of))
         less = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        table = table.withColumn("context", F.shiftright("gram", 6)).withColumn("less", less)
+        zero = F.lit(0).cast("long")
+        table = table.withColumns(
+            {
+                "gram": F.col(f"g{order}"),
+                "context": F.col(f"c{order}") if order > 1 else zero,
+                "previous": F.col("c2") if order > 1 else zero,
+                "less": less,
+            }
+        )
         contexts = table.groupBy("context").agg(
-            F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("weight")
+            F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("weight"), F.first("previous").alias("previous")
         )
-        joined = table.join(contexts, "context")
+        joined = table.join(contexts.drop("previous"), "context")
         direct = (F.col("n") - F.col("less")) / F.col("total")
         if order == 1:
-            p = joined.select("gram", (direct + F.col("weight") / F.lit(SYMBOLS)).alias("p"))
+            p = joined.select("gram", (direct + F.col("weight") * F.lit(base)).alias("p"), "previous")
         else:
-            below = probabilities[-1].select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << 6 * (order - 1)) - 1))
-            p = joined.withColumn("suffix", suffix).join(below, "suffix").select(
-                "gram", (direct + F.col("weight") * F.col("lower")).alias("p")
+            below = probabilities[-1].select(F.col("gram").alias(f"g{order - 1}"), F.col("p").alias("lower"))
+            p = joined.join(below, f"g{order - 1}").select(
+                "gram", (direct + F.col("weight") * F.col("lower")).alias("p"), "previous"
             )
         probabilities.append(materialise(p, "model"))
-        weights.append(materialise(contexts.select("context", "weight"), "model"))
-    return probabilities, weights
+        weights.append(materialise(contexts.select("context", "weight", "previous"), "model"))
+    return probabilities, weights, base
 
 
-def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = table.toArrow()
-    return got.column(0).to_numpy().astype(np.int32), got.column(1).to_numpy().astype(np.float32)
+    key, value = unsigned(got.column(0).to_numpy()), got.column(1).to_numpy().astype(np.float32)
+    order = np.argsort(key)
+    return key[order], value[order]
 
 
-def lower_table(probabilities: list[tuple], weights: list[tuple]) -> np.ndarray:
-    """Probability of every symbol after every context of three symbols."""
-    dense = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-    for order, ((gram, p), (context, weight)) in enumerate(zip(probabilities, weights)):
-        factor = np.ones(SYMBOLS**order, np.float32)
-        factor[context] = weight
-        # the context's later symbols choose the row of the order below
-        below = np.tile(dense.reshape(-1, SYMBOLS), (SYMBOLS if order > 0 else 1, 1)) if order != 0 else dense.reshape(1, -1)
-        dense = (factor[:, None] * below).ravel()
-        dense[gram] = p
-    return dense
+def _found(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys the table has, and their values."""
+    keys, values = table
+    if not len(keys):
+        return np.zeros(len(key), bool), np.zeros(len(key), np.float32)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return keys[at] == key, values[at]
 
 
-def _score_rows(symbol, low_p, low_w, known, shard, first):
-    """Sum of log-probabilities of the symbols whose context is in the shard; the first has those without context."""
+def _score_rows(shared, base: float, shards: int, own: int):
+    """Sum of log-probabilities of the places whose previous symbol is in the shard."""
 
     def emit(batches):
-        lower = lower_table(low_p, low_w)
-        gram, p, context, weight = shard
-        own = np.full(SYMBOLS ** (ORDER - 1), -1, np.int32)
-        own[context] = np.arange(len(context), dtype=np.int32)
-        upper = weight[:, None] * lower.reshape(-1, SYMBOLS)[context & (SYMBOLS ** (ORDER - 2) - 1)]
-        upper[own[gram >> 6], gram & 63] = p
-        upper, lower = np.log(upper).ravel(), np.log(lower)
-        elsewhere = np.unpackbits(known).view(bool) if first else None
+        probabilities, weights = shared.value
         for batch in batches:
             for low, group in _groups(batch.column(3)):
-                key, size = grams(group, symbol)
-                at = own[key >> 6]
-                inside = at >= 0
-                value = np.zeros(len(key))
-                value[inside] = upper[at[inside].astype(np.int64) * SYMBOLS + (key[inside] & 63)]
-                if first:
-                    new = ~elsewhere[key >> 6]
-                    value[new] = lower[key[new] & (SYMBOLS ** (ORDER - 1) - 1)]
-                total = np.add.reduceat(value, np.cumsum(size) - size)
-                n = np.where(size > 1, size, 0)
+                places = Places(group)
+                at, which = places.different()
+                previous = places.contexts(2, at)
+                mine = previous % np.uint64(shards) == own
+                p = np.full(len(at), base)
+                for order in range(1, ORDER + 1):
+                    context = places.contexts(order, at) if order > 1 else np.zeros(len(at), np.uint64)
+                    known, weight = _found(weights[order - 1], context)
+                    p = np.where(known, weight * p, p)
+                    known, direct = _found(probabilities[order - 1], places.grams(order, at))
+                    p = np.where(known, direct, p)
+                value = np.where(mine, np.log(p), 0.0)[which]
+                total = np.add.reduceat(value, np.cumsum(places.count) - places.count)
+                n = np.where(places.count > 1, places.count, 0)
                 part = batch.slice(low, len(group))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array(-total), pa.array(n)],
@@ -221,26 +224,25 @@ def _score_rows(symbol, low_p, low_w, known, shard, first):
     return emit
 
 
-def perplexities(docs: DataFrame, symbol: np.ndarray, model, shard_contexts: int = 1 << 18) -> DataFrame:
+def perplexities(docs: DataFrame, model, shard_grams: int = 4_000_000) -> DataFrame:
     """``doc_id, lang, text_key, perplexity, symbols`` of every row."""
-    probabilities, weights = model
-    low_p, low_w = [_arrays(t) for t in probabilities[:-1]], [_arrays(t) for t in weights[:-1]]
-    contexts = weights[-1].count()
-    shards = max(1, -(-contexts // shard_contexts))
-    known = np.zeros(SYMBOLS ** (ORDER - 1), np.uint8)
-    known[_arrays(weights[-1])[0]] = 1
-    known = np.packbits(known)
+    probabilities, weights, base = model
+    sc = docs.sparkSession.sparkContext
+    shards = max(1, -(-sum(t.count() for t in probabilities) // shard_grams))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("text_key"), "text")
     scored = None
     for s in range(shards):
-        mine = F.pmod(F.xxhash64("context"), F.lit(shards)) == s
-        grams_of = probabilities[-1].withColumn("context", F.shiftright("gram", 6)).where(mine).select("gram", "p")
-        shard = (*_arrays(grams_of), *_arrays(weights[-1].where(mine)))
+        # the hash as an unsigned number, like numpy's
+        mine = (F.lit(shards == 1)) | (F.expr(f"pmod(pmod(previous, {shards}) + IF(previous < 0, {(1 << 64) % shards}, 0), {shards})") == s)
+        # single symbols have no previous one: as many as the alphabet
+        held = [[_sorted(t if k == 0 else t.where(mine)) for k, t in enumerate(tables)] for tables in (probabilities, weights)]
         rows = texts.mapInArrow(
-            _score_rows(symbol, low_p, low_w, known, shard, s == 0),
-            "doc_id long, lang string, text_key long, surprise double, n long",
+            _score_rows(sc.broadcast(held), base, shards, s), "doc_id long, lang string, text_key long, surprise double, n long"
         )
         scored = rows if scored is None else scored.union(rows)
+    if shards == 1:
+        mean = F.col("surprise") / F.nullif(F.col("n"), F.lit(0))
+        return scored.select("doc_id", "lang", "text_key", F.round(F.exp(mean), 6).alias("perplexity"), F.col("n").cast("double").alias("symbols"))
     summed = scored.groupBy("doc_id", "lang", "text_key").agg(
         F.sum("surprise").alias("surprise"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")
     )
@@ -289,13 +291,12 @@ def limits(scored: DataFrame, apart: DataFrame, reject: float) -> tuple[DataFram
     return edges.where("not every").select("of", few.alias("limit")), common
 
 
-def classify(docs: DataFrame, trusted: DataFrame, reject: float = 0.005, shard_contexts: int = 1 << 18) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, reject: float = 0.005, shard_grams: int = 4_000_000) -> DataFrame:
     """``doc_id, lang, text_key, perplexity, symbols, limit, kept`` of every row; ``trusted`` has ids of trusted documents."""
     counted, apart = held_out(docs, trusted)
-    symbol = alphabet(docs)
     # a merge join whatever the size: the same plan for every table, and no broadcast that grows
-    model = fit(docs.select("doc_id", "text").join(counted.hint("merge"), "doc_id", "left_semi"), symbol)
-    scored = materialise(perplexities(docs, symbol, model, shard_contexts), "perplexities")
+    model = fit(docs.select("doc_id", "text").join(counted.hint("merge"), "doc_id", "left_semi"))
+    scored = materialise(perplexities(docs, model, shard_grams), "perplexities")
     known, common = limits(scored, apart, reject)
     limit = F.coalesce("limit", F.lit(common).cast("double"))
     least = F.col("perplexity") * F.exp(F.lit(-ALLOWANCE) / F.sqrt("symbols"))
