@@ -315,6 +315,65 @@ def pls_cv(spark, sf):
     return metrics.cv_rank(linear.search_linear(rows, names, "y", "pls", key=["row_key"], name="PLS")[1], ordered="ascending")
 
 
+_PENALTIES = [
+    (kind, {"alpha": a} | ({"l1_ratio": 0.3} if kind == "enet" else {}))
+    for kind in ("ridge", "lasso", "enet")
+    for a in (0.001, 0.1, 10.0)
+]
+
+
+@query(
+    "penalised_optimality",
+    " union all ".join(
+        f"select '{kind}' as kind, {params['alpha']}::double as alpha, true as optimal" for kind, params in _PENALTIES
+    ),
+)
+def penalised_optimality(spark, sf):
+    """Fits on the tuning design meet the conditions of an optimum, by the rows' own residuals."""
+    rows, names = _wide(spark, sf)
+    m = linear.group_moments(rows, names, "y")[0]
+    fits = []
+    for kind, params in _PENALTIES:
+        b0, coef = linear.solve(kind, m, params)
+        fits.append(linear.LinearFit(kind, kind, names, b0, [float(c) for c in coef], params))
+    residuals = rows.select(*names, *[(F.col("y") - fit.column()).alias(f"_r{i}") for i, fit in enumerate(fits)])
+    # covariances of features and residuals: the slopes of half the mean square
+    slopes = residuals.agg(
+        *[F.covar_pop(c, f"_r{i}").alias(f"_s{i}_{j}") for i in range(len(fits)) for j, c in enumerate(names)], F.count(F.lit(1)).alias("_n")
+    ).first()
+    out = []
+    for i, fit in enumerate(fits):
+        alpha, share = fit.params["alpha"], {"ridge": 0.0, "lasso": 1.0}.get(fit.kind, fit.params.get("l1_ratio"))
+        weight = alpha / slopes["_n"] if fit.kind == "ridge" else alpha
+        optimal = True
+        for j, b in enumerate(fit.coef):
+            slope = slopes[f"_s{i}_{j}"] - weight * (1 - share) * b
+            bound = weight * share
+            optimal &= abs(slope - bound * (1 if b > 0 else -1)) <= 1e-7 if b else abs(slope) <= bound + 1e-7
+        out.append((fit.kind, float(alpha), bool(optimal)))
+    return spark.createDataFrame(out, "kind string, alpha double, optimal boolean")
+
+
+@query(
+    "closed_form_predictions",
+    f"""with {B.ORD_SQL}, tr as (select * from od where not is_test), o as ({B.sql_ols2('tr', 'f1', 'f2', 'y')}),
+      r as ({B.sql_ols2('tr', 'f1', 'f2', 'y', ridge=10.0)})
+    select o_orderkey, {sql_rnd('y', 8)} as truth, {sql_rnd('o.b0 + o.b1 * f1 + o.b2 * f2', 8)} as linear_regression,
+      {sql_rnd('r.b0 + r.b1 * f1 + r.b2 * f2', 8)} as ridge from od, o, r where is_test""",
+)
+def closed_form_predictions(spark, sf):
+    """The prediction columns that SQL can compute: least squares and ridge on the test rows."""
+    rows = B.order_rows(spark, sf)
+    train, test = rows.where(~F.col("is_test")), rows.where("is_test")
+    m = linear.group_moments(train, ["f1", "f2"], "y")[0]
+    out = test.select("o_orderkey", rnd("y", 8).alias("truth"), "f1", "f2")
+    for name, kind, params in (("linear_regression", "ols", {}), ("ridge", "ridge", {"alpha": 10.0})):
+        b0, coef = linear.solve(kind, m, params)
+        fit = linear.LinearFit(name, kind, ["f1", "f2"], b0, [float(c) for c in coef], params)
+        out = out.withColumn(name, rnd(fit.column(), 8))
+    return out.drop("f1", "f2")
+
+
 _RF_POINT = {"n_estimators": 10, "max_features": "auto", "max_depth": 5, "min_samples_leaf": 0.01}
 
 
