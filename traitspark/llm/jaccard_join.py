@@ -25,7 +25,9 @@ Results for odd input: a null text or one without words has an empty set and is
 linked with nothing; texts with fewer than five words have their whole sequence
 as the one shingle; a row without ``doc_id`` links nothing and has no component;
 rows that repeat a ``doc_id`` keep a row each and join the component of their
-own text; an empty table gives an empty result. Only named columns are read.
+own text; an empty table gives an empty result; a text of any length is a piece of its
+own, whose whole set one task holds. Only named columns are read, so clashing ones do
+not matter.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ the others.
 Results for odd input: a null source or language is a value of its own; a null
 or empty text has no tokens, topic -1, weight 0 and probability 0; rows that
 repeat a ``doc_id`` and text are drawn alike; an empty table gives an empty
-result. Margins whose cells cannot meet all targets (a source in one language
+result; a text of any length counts whole; only named columns are read, so
+clashing ones do not matter. Margins whose cells cannot meet all targets (a source in one language
 only) settle where the last margin is met.
 """
 

@@ -27,7 +27,9 @@ null language is a language of its own; a language without trusted documents
 is judged by the threshold of all languages; without any trusted text all
 symbols are equally likely and nothing with text is rejected, nor is it where
 the only trusted texts are one of each language and none is held out; rows that repeat a ``doc_id``,
-or have none, are scored each; an empty table gives an empty result.
+or have none, are scored each; an empty table gives an empty result; a text of any
+length is scored whole, as a piece of its own. Only ``doc_id``, ``lang`` and ``text``
+are read, so clashing columns do not matter.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ same verdicts.
 Results for odd input: a null or empty text has zero words and fails the base
 rules; a row without ``doc_id`` is scored and is never trusted; rows that repeat
 a ``doc_id`` are scored each; without trusted documents the ratio is 0 and
-nothing is rejected by it; an empty table gives an empty result. Only named
-columns are read.
+nothing is rejected by it; an empty table gives an empty result; a text of any length
+is read whole. Windows are compared by 64-bit hashes. Only named columns are read, so
+clashing ones do not matter.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ Results for odd input: a null text or one without words scores 0; texts shorter
 than a window are one window; rows that repeat a ``doc_id``, or have none, are
 each scored; labels that are null or not 0 or 1 are not learned from; without
 toxic or clean labels to learn from every score is 0; an empty table gives an
-empty result. Only named columns are read.
+empty result; a text of any length is scored by all its windows, though texts longer
+than ``train_chars`` are not learned from, since a label says nothing about which of
+their parts it means. Only named columns are read, so clashing ones do not matter.
 """
 
 from __future__ import annotations
