@@ -6,8 +6,10 @@ result as Parquet into the shared folder and reads it again for the next, so a
 lost executor costs tasks of the current stage only.
 
 Rows without a ``doc_id`` pass where a stage cannot judge them; null and empty
-texts are rejected by the first stage; an empty table passes all stages. Columns
-other than those of ``documents`` are dropped.
+texts are rejected by the first stage; an empty table passes all stages; texts of any
+length pass whole; of rows that repeat id and text one stays, and rows that repeat an
+id are judged each by its own text. Columns other than those of ``documents`` are
+dropped.
 """
 
 from __future__ import annotations
