@@ -269,7 +269,7 @@ def remove_repeats(
     docs: DataFrame,
     width: int = 13,
     shard_stretches: int = 20_000,
-    task_stretches: int = 200_000,
+    task_stretches: int = 40_000,
     filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: ``kept`` has the remaining words joined by one space (binary UTF-8).
