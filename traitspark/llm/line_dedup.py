@@ -61,14 +61,19 @@ def _halves(words: Column, n: Column) -> Column:
     return F.array_distinct(F.array(*front, *back))
 
 
-def different_lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
-    """``h1, h2, n, halves, first``: each different line and where it is found first."""
-    rows = _keyed(docs, least_words).select(
+def hashed_lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
+    """``h1, h2, n, halves, at`` of every line: its hashes and where it is, without its words."""
+    return _keyed(docs, least_words).select(
         "h1", "h2", "n",
         F.when(F.col("n") >= near_words, _halves(F.col("words"), F.col("n"))).alias("halves"),
         F.struct("doc_id", "text_key", "place").alias("at"),
     )
-    return rows.groupBy("h1", "h2", "n", "halves").agg(F.min("at").alias("first"))
+
+
+def different_lines(rows: DataFrame) -> DataFrame:
+    """``h1, h2, n, halves, first``: each different line and where it is found first."""
+    # equal lines have equal halves
+    return rows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
 
 
 def possible(lines: DataFrame) -> DataFrame:
@@ -146,10 +151,11 @@ def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, car
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), carried.alias("carried")
     )
-    lines = materialise(different_lines(texts, least_words, near_words), "lines")
+    rows = materialise(hashed_lines(texts, least_words, near_words), "line-hashes")  # two readers
+    lines = materialise(different_lines(rows), "lines")
     maybe = possible(lines)
     copies = (
-        _keyed(texts, least_words).select("h1", "h2", F.struct("doc_id", "text_key", "place").alias("at"))
+        rows.select("h1", "h2", "at")
         .join(lines.select("h1", "h2", "first"), ["h1", "h2"]).where("at <> first")
     )
     flags = copies.select("at.*", F.lit(True).alias("copy")).union(maybe.select("first.*", F.lit(False)))
