@@ -300,6 +300,10 @@ def test_mixture_meets_targets(spark, docs, odd):
         tokens[r.topic] += r.weight * r.n_tokens
     shares = [v / sum(tokens.values()) for t, v in tokens.items() if t >= 0]
     assert max(shares) - min(shares) < 1e-3  # the topics' targets are even
+    # at the pipeline's share some targets are more than there is; what is left of all margins is small
+    cells = mixing.measured(docs, mixing.TOPICS).where("tokens > 0").groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
+    left = mixing.residuals(cells, mixing.TEMPER, share=0.8)
+    assert set(left) == set(mixing.MARGINS) and max(left.values()) < 0.03
     got = mixing.mix(odd).collect()
     assert all((r.probability > 0) == (r.n_tokens > 0) for r in got) and len(got) == len(ODD)
     assert mixing.mix(odd.limit(0)).count() == 0

@@ -6,19 +6,23 @@ that most of its different words of ``TOPIC_CHARS`` characters or more belong
 to. A margin's target share is its share of tokens to the power of its
 ``temper``, scaled to one: 1 keeps a margin, 0 makes it even.
 
+A margin cannot have more than its tokens: where the sample's share of a value's
+target is more than there is, the value's target is all of it, and the rest of the
+margin is spread over the other values in proportion.
+
 Fitting scales the cells' weights so that one margin after the other meets its
-targets, in ``rounds`` rounds, by aggregation and join of the table of cells. A
-document's probability is ``min(1, c * weight / tokens of its cell)``, with
-``c`` such that the expected tokens are ``share`` of all. It is drawn by a hash
-of its id and text: the same for every run and partitioning, and independent of
-the others.
+targets, by aggregation and join of the table of cells; no cell's weight goes above
+its tokens (its probability is then 1), and what it cannot take is raked to the open
+cells in the next step, until no weight changes or for ``rounds`` rounds. A document's
+probability is its cell's weight over its tokens. It is drawn by a hash of its id and
+text: the same for every run and partitioning, and independent of the others.
 
 Results for odd input: a null source or language is a value of its own; a null
 or empty text has no tokens, topic -1, weight 0 and probability 0; rows that
 repeat a ``doc_id`` and text are drawn alike; an empty table gives an empty
 result; a text of any length counts whole; only named columns are read, so
 clashing ones do not matter. Margins whose cells cannot meet all targets (a source in one language
-only) settle where the last margin is met.
+only) settle between them; :func:`residuals` gives what is left.
 """
 
 from __future__ import annotations
@@ -38,7 +42,9 @@ TOPIC_CHARS = 6
 #: Exponents of the margins' token shares.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.0}
 SHARE = 0.5
-ROUNDS = 6
+ROUNDS = 20
+#: Largest change of a weight in a round at which raking stops.
+SETTLED = 1e-9
 
 
 def topic_of(words: list[str], topics: int, known: dict[str, int]) -> int:
@@ -87,51 +93,58 @@ def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}_of") if c in keys else F.col(c) for c in df.columns])
 
 
-def targets(cells: DataFrame, margin: str, temper: float) -> DataFrame:
-    """Target share of each value of a margin."""
-    raw = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("raw"))
-    whole = raw.agg(F.sum("raw").alias("whole"))
-    return raw.crossJoin(F.broadcast(whole)).select(margin, (F.col("raw") / F.col("whole")).alias("target"))  # one row
+def targets(cells: DataFrame, margin: str, temper: float, whole: float, share: float) -> DataFrame:
+    """``target`` share of each value of a margin in the sample, no more than the value has."""
+    raw = cells.groupBy(margin).agg(
+        F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("raw"), (F.sum("tokens") / F.lit(share * whole)).alias("most")
+    )
+    sums = raw.agg(F.sum("raw").alias("sums"))
+    wanted = materialise(raw.crossJoin(F.broadcast(sums)).select(margin, "most", (F.col("raw") / F.col("sums")).alias("target")), "targets")  # one row
+    factor, full = 0.0, -1
+    while True:  # the factor only grows, and is right when no more values are full
+        fills = F.lit(factor) * F.col("target") >= F.col("most")
+        row = wanted.agg(
+            F.coalesce(F.sum(F.when(fills, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~fills, F.col("target"))), F.lit(0.0)),
+            F.count(F.when(fills, 1)),
+        ).first()
+        if row[2] == full or not row[1]:
+            break
+        full, factor = row[2], (1 - row[0]) / row[1]
+    return wanted.select(margin, F.least("most", F.lit(factor) * F.col("target")).alias("target"))
 
 
-def rake(cells: DataFrame, temper: dict[str, float], rounds: int) -> DataFrame:
-    """``cells`` with ``weight``: shares of all tokens that meet the margins' targets."""
-    wanted = {m: materialise(_renamed(targets(cells, m, t), [m]), "targets") for m, t in temper.items()}
-    whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))
-    cells = materialise(
-        cells.crossJoin(F.broadcast(whole)).select(*MARGINS, "tokens", (F.col("tokens") / F.col("whole")).alias("weight")), "cells"
-    )
+def rake(cells: DataFrame, temper: dict[str, float], rounds: int, share: float) -> DataFrame:
+    """``cells`` with ``weight``: shares of the sample's tokens that meet the margins' targets, at most ``most``."""
+    whole = float(cells.agg(F.sum("tokens")).first()[0])
+    wanted = {m: _renamed(targets(cells, m, t, whole, share), [m]) for m, t in temper.items()}
+    most = (F.col("tokens") / F.lit(share * whole)).alias("most")
+    cells = materialise(cells.select(*MARGINS, "tokens", most, F.least(F.col("tokens") / F.lit(whole), most).alias("weight")), "cells")
     for _ in range(rounds):
+        cells = cells.withColumn("was", F.col("weight"))
         for margin in temper:
             now = _renamed(cells.groupBy(margin).agg(F.sum("weight").alias("now")), [margin])
             want = wanted[margin].withColumnRenamed(f"{margin}_of", "value")
             factor = now.join(want, F.col(f"{margin}_of").eqNullSafe(F.col("value"))).select(
                 f"{margin}_of", (F.col("target") / F.col("now")).alias("factor")
             )
-            cells = materialise(
-                cells.join(factor, _same(cells, factor, [margin])).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight")),
-                "cells",
-            )
-    return cells
-
-
-def scale(cells: DataFrame, share: float) -> float:
-    """``c`` so that ``sum(tokens * min(1, c * weight / tokens))`` is ``share`` of all tokens.
-
-    Each step sets aside the cells that ``c`` fills and spreads the rest; ``c``
-    only grows, and is right when no more cells fill up.
-    """
-    total = cells.agg(F.sum("tokens")).first()[0]
-    c, full = 0.0, -1
-    while True:
-        fills = F.lit(c) * F.col("weight") >= F.col("tokens")
-        row = cells.agg(
-            F.coalesce(F.sum(F.when(fills, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(~fills, F.col("weight"))), F.lit(0.0)),
-            F.count(F.when(fills, 1)),
-        ).first()
-        if row[2] == full or not row[1]:
-            return c
-        full, c = row[2], (share * total - row[0]) / row[1]
+            weight = F.least("most", F.col("weight") * F.col("factor")).alias("weight")
+            cells = materialise(cells.join(factor, _same(cells, factor, [margin])).select(*MARGINS, "tokens", "most", "was", weight), "cells")
+        if cells.agg(F.max(F.abs(F.col("weight") / F.col("was") - 1))).first()[0] < SETTLED:
+            break
+    return cells.drop("was")
+
+
+def residuals(cells: DataFrame, temper: dict[str, float], rounds: int = ROUNDS, share: float = SHARE) -> dict[str, float]:
+    """Of each margin, the largest relative difference of an expected share from its target."""
+    fitted = rake(cells, temper, rounds, share)
+    whole = float(cells.agg(F.sum("tokens")).first()[0])
+    out = {}
+    for margin, t in temper.items():
+        want = _renamed(targets(cells, margin, t, whole, share), [margin])
+        now = fitted.groupBy(margin).agg(F.sum("weight").alias("now"))
+        gap = now.join(want, _same(now, want, [margin])).agg(F.max(F.abs(F.col("now") / F.col("target") - 1)))
+        out[margin] = gap.first()[0]
+    return out
 
 
 def mix(
@@ -144,15 +157,14 @@ def mix(
     rows = materialise(measured(docs, topics), "measured")
     cells = materialise(rows.where("tokens > 0").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     if cells.isEmpty():
-        c, fitted = 0.0, cells.withColumn("weight", F.lit(0.0))
+        fitted = cells.withColumns({"weight": F.lit(0.0), "most": F.lit(1.0)})
     else:
-        fitted = rake(cells, temper or TEMPER, rounds)
-        c = scale(fitted, share)
+        fitted = rake(cells, temper or TEMPER, rounds, share)
     total = fitted.agg(F.sum("tokens").cast("double").alias("whole"))
     known = fitted.crossJoin(F.broadcast(total)).select(  # one row
         *[F.col(m).alias(f"{m}_of") for m in MARGINS],
         F.round(F.col("weight") * F.col("whole") / F.col("tokens"), 6).alias("weight"),
-        F.round(F.least(F.lit(1.0), F.lit(c) * F.col("weight") / F.col("tokens")), 6).alias("probability"),
+        F.round(F.least(F.lit(1.0), F.col("weight") / F.col("most")), 6).alias("probability"),
     )
     joined = rows.join(known, _same(rows, known, list(MARGINS)), "left")
     has = F.col("tokens") > 0
@@ -176,26 +188,28 @@ r AS MATERIALIZED (
          ('0x' || substr(md5('mix:' || coalesce(w.doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS draw
   FROM w LEFT JOIN o ON o.doc_id = w.doc_id),
 n AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM r WHERE tokens > 0 GROUP BY ALL),
-c0 AS MATERIALIZED (SELECT *, tokens / (SELECT sum(tokens)::DOUBLE FROM n) AS weight FROM n)"""]
+h AS MATERIALIZED (SELECT sum(tokens)::DOUBLE AS whole FROM n),
+c0 AS MATERIALIZED (SELECT n.*, tokens / ({share} * whole) AS most, least(tokens / whole, tokens / ({share} * whole)) AS weight FROM n, h)"""]
     for m, t in temper.items():
-        parts.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens)::DOUBLE, {t}) / sum(pow(sum(tokens)::DOUBLE, {t})) OVER () AS target FROM n GROUP BY {m})")
+        parts.append(f"""a_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens)::DOUBLE, {t}) / sum(pow(sum(tokens)::DOUBLE, {t})) OVER () AS target,
+  sum(tokens) / ({share} * (SELECT whole FROM h)) AS most FROM n GROUP BY {m}),
+b_{m} AS (SELECT *, sum(most) OVER q AS above, sum(target) OVER () - sum(target) OVER q AS rest, lead(most / target) OVER (ORDER BY most / target, {m}) AS following
+  FROM a_{m} WINDOW q AS (ORDER BY most / target, {m})),
+l_{m} AS (SELECT max(f) AS f FROM (
+  SELECT (1 - above) / rest AS f FROM b_{m} WHERE rest > 1e-9 AND (1 - above) / rest >= most / target AND (1 - above) / rest < following
+  UNION ALL SELECT 1.0 FROM b_{m} HAVING min(most / target) > 1)),
+t_{m} AS MATERIALIZED (SELECT {m}, least(most, target * (SELECT f FROM l_{m})) AS target FROM a_{m})""")
     k = 0
     for _ in range(rounds):
         for m in temper:
             parts.append(
-                f"c{k + 1} AS MATERIALIZED (SELECT c.* REPLACE (weight * target / sum(weight) OVER (PARTITION BY c.{m}) AS weight)"
+                f"c{k + 1} AS MATERIALIZED (SELECT c.* REPLACE (least(most, weight * target / sum(weight) OVER (PARTITION BY c.{m})) AS weight)"
                 f" FROM c{k} c JOIN t_{m} t ON t.{m} IS NOT DISTINCT FROM c.{m})"
             )
             k += 1
     parts.append(f"""
-s AS (SELECT *, sum(tokens) OVER q AS above, sum(weight) OVER () - sum(weight) OVER q AS rest, sum(tokens) OVER () AS whole,
-             lead(weight / tokens) OVER (ORDER BY weight / tokens DESC, source, lang, topic) AS following
-      FROM c{k} WINDOW q AS (ORDER BY weight / tokens DESC, source, lang, topic)),
-z AS (SELECT ({share} * whole - above) / rest AS c FROM s WHERE rest > 1e-9 AND {share} * whole > above
-        AND ({share} * whole - above) / rest * (weight / tokens) >= 1 AND ({share} * whole - above) / rest * following < 1
-      UNION ALL SELECT {share} * any_value(whole) / sum(weight) FROM s HAVING {share} * any_value(whole) / sum(weight) * max(weight / tokens) < 1),
-p AS (SELECT source, lang, topic, round(weight * (SELECT sum(tokens) FROM n) / tokens, 6) AS weight,
-             round(least(1.0::DOUBLE, (SELECT max(c) FROM z) * weight / tokens), 6) AS probability FROM c{k})""")
+p AS (SELECT source, lang, topic, round(weight * (SELECT whole FROM h) / tokens, 6) AS weight,
+             round(least(1.0::DOUBLE, weight / most), 6) AS probability FROM c{k})""")
     return "WITH " + ",\n".join(x.strip() for x in parts) + """
 SELECT r.doc_id, r.source, r.lang, r.topic, r.tokens AS n_tokens, coalesce(p.weight, 0) AS weight,
        coalesce(probability, 0) AS probability, draw / 4294967296.0 < coalesce(probability, 0) AS selected
