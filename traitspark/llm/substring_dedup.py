@@ -322,7 +322,8 @@ def remove_repeats(
         .sortWithinPartitions("shard", "salt", F.col("low").isNull())
         .mapInArrow(_locate(width), "doc long, text_key long, begin long, end long")
     )
-    copies = keys.join(same.where("low < high"), "text_key").where("doc > low").distinct()
+    # a join of its own, which adaptive execution splits where many documents have one text
+    copies = materialise(keys.join(same.where("low < high"), "text_key").where("doc > low").distinct(), "copies")
     spans = spans.union(copies.select("doc", "text_key", F.lit(0).cast("long"), F.lit(-1).cast("long")))  # -1: to the end
     # a document's own spans: no more than its words
     spans = materialise(

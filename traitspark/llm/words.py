@@ -62,14 +62,17 @@ class Words:
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(rows), self.count)
         self._in_word = word
+        self._hashes: dict[tuple[bool, int], np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.start)
 
     def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
-        """64-bit hash of each word's bytes."""
+        """64-bit hash of each word's bytes, computed once."""
         if not len(self):
             return np.zeros(0, np.uint64)
+        if (lower, seed) in self._hashes:
+            return self._hashes[lower, seed]
         size = self.end - self.start
         data = self.data[self._in_word]
         if lower:
@@ -77,7 +80,10 @@ class Words:
         first = np.cumsum(size) - size
         place = np.arange(len(data)) - np.repeat(first, size)
         power = powers(int(size.max()), 0xD1342543DE82EF95 + 2 * seed)
-        return mix(np.add.reduceat(_BYTE[data] * power[place], first) + size.astype(np.uint64))
+        out = mix(np.add.reduceat(_BYTE[data] * power[place], first) + size.astype(np.uint64))
+        out.flags.writeable = False
+        self._hashes[lower, seed] = out
+        return out
 
     def runs(self, hashes: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every ``k`` consecutive words of one text, and the index of the first word."""
