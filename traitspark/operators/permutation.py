@@ -525,9 +525,8 @@ def guarded_samples(
     driver, so that its failure can be caught; ``schema`` is the schema of the
     result.
     """
-    from pyspark.errors import PySparkException
+    from pyspark.errors import IllegalArgumentException, PythonException
     from pyspark.sql import SparkSession
-    from py4j.protocol import Py4JJavaError
 
     spark = SparkSession.getActiveSession()
     columns = [f.name for f in spark.createDataFrame([], schema).schema]
@@ -536,8 +535,14 @@ def guarded_samples(
     for i in sample_ids:
         try:
             out = out.union(materialise(run(i).select(F.lit(i).cast("int").alias("sample_id"), *columns), "sample"))
-        except (ValueError, ArithmeticError, AttributeError, np.linalg.LinAlgError, PySparkException, Py4JJavaError) as error:
+        except (ValueError, ArithmeticError, AttributeError, np.linalg.LinAlgError, IllegalArgumentException) as error:
             failed.append((i, str(error).split("\n")[0]))
+        except PythonException as error:  # a sample's data can fail a task; a lost executor or a full disk is no sample's fault
+            lines = [x.strip() for x in str(error).split("\n")]
+            reasons = [x for x in lines if x.startswith(("ValueError", "ZeroDivisionError", "numpy.linalg", "FloatingPointError"))]
+            if not reasons:
+                raise
+            failed.append((i, reasons[-1]))
     bad = spark.createDataFrame(failed, "sample_id int, reason string")
     return out.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
 
