@@ -1,8 +1,9 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are characters, every code point its own, and a text's edge. An n-gram is a
-64-bit hash of its symbols, so neither the alphabet nor the number of n-grams is
-bounded: both grow with the trusted text. Counts of 5-grams over all trusted documents
+Symbols are characters, every code point its own, and a text's edge: 21 bits each, so
+an n-gram is a pair of numbers while the model is built, and a 64-bit hash when it is
+looked up. Neither the alphabet nor the number of n-grams is bounded: both grow with
+the trusted text. Counts of 5-grams over all trusted documents
 are combined in the tasks and summed; lower orders count different left neighbours.
 Each order's table is joined with its contexts' totals and with the order below by
 n-gram, so the model is built by joins that Spark deals out. A symbol that no trusted
@@ -85,7 +86,7 @@ class Places:
         begin = np.cumsum(full) - full
         symbols = np.full(int(full.sum()), EDGE, np.uint64)
         symbols[np.arange(len(code)) + np.repeat(begin + ORDER - 1 - (np.cumsum(size) - size), size)] = code
-        self.mixed = mix(symbols)
+        self.symbols, self.mixed = symbols, mix(symbols)
         self.count = size + 1
         self.at = np.arange(int(self.count.sum())) + np.repeat(begin + ORDER - 1 - (np.cumsum(self.count) - self.count), self.count)
 
@@ -109,25 +110,58 @@ class Places:
         return self.at[first], which
 
 
-_KEYS = [*[f"g{k}" for k in range(1, ORDER + 1)], *[f"c{k}" for k in range(2, ORDER + 1)]]
+#: Bits of a symbol, and its mask.
+BITS = 21
+MASK = (1 << BITS) - 1
 
 
 def count_grams(trusted: DataFrame) -> DataFrame:
-    """``g5, n`` over all trusted texts, with the shorter n-grams that end it and the contexts of all."""
+    """``hi, lo, n`` over all trusted texts: the two first and the three last symbols of each 5-gram."""
 
     def emit(batches):
+        held, size = [], 0
+
+        def combined():
+            key, hi, lo, n = (np.concatenate(x) for x in zip(*held))
+            _, first, which = np.unique(key, return_index=True, return_inverse=True)
+            return key[first], hi[first], lo[first], np.bincount(which, weights=n).astype(np.int64)
+
+        def given():
+            _, hi, lo, n = combined()
+            return pa.RecordBatch.from_arrays([pa.array(signed(hi)), pa.array(signed(lo)), pa.array(n)], ["hi", "lo", "n"])
+
         for batch in batches:
             for _, group in _groups(batch.column(0)):
                 places = Places(group)
                 at, which = places.different()
-                keys = [places.grams(k, at) for k in range(1, ORDER + 1)]
-                keys += [places.contexts(k, at) for k in range(2, ORDER + 1)]
-                n = np.bincount(which, minlength=len(at))
-                yield pa.RecordBatch.from_arrays([*(pa.array(signed(k)) for k in keys), pa.array(n)], [*_KEYS, "n"])
+                s = [places.symbols[at - j] for j in range(ORDER)]
+                lo = s[0] | (s[1] << np.uint64(BITS)) | (s[2] << np.uint64(2 * BITS))
+                hi = s[3] | (s[4] << np.uint64(BITS))
+                held.append((places.grams(ORDER, at), hi, lo, np.bincount(which, minlength=len(at))))
+                size += len(at)
+                if size > 1 << 21:
+                    held = [combined()]
+                    size = len(held[0][0])
+                    if size > 1 << 20:
+                        yield given()
+                        held, size = [], 0
+        if held:
+            yield given()
+
+    rows = trusted.select("text").mapInArrow(emit, "hi long, lo long, n long")
+    return rows.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+
+
+def _suffix(order: int) -> list:
+    """The last ``order`` symbols of a longer n-gram."""
+    hi = F.col("hi").bitwiseAND(F.lit((1 << BITS * max(order - 3, 0)) - 1))
+    return [hi, F.col("lo").bitwiseAND(F.lit((1 << BITS * min(order, 3)) - 1))]
 
-    rows = trusted.select("text").mapInArrow(emit, ", ".join(f"{k} long" for k in _KEYS) + ", n long")
-    rest = [F.first(k).alias(k) for k in _KEYS if k != f"g{ORDER}"]
-    return rows.groupBy(f"g{ORDER}").agg(F.sum("n").alias("n"), *rest)
+
+def _context() -> list:
+    """All symbols of an n-gram but the last."""
+    carried = F.shiftleft(F.col("hi").bitwiseAND(F.lit(MASK)), 2 * BITS)
+    return [F.shiftright("hi", BITS), F.shiftright("lo", BITS).bitwiseOR(carried)]
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -140,51 +174,53 @@ def discounts(n: list[int]) -> list[float]:
 
 
 def fit(trusted: DataFrame) -> tuple[list[DataFrame], list[DataFrame], float]:
-    """Per order, probabilities ``gram, p, previous`` and context weights ``context, weight, previous``; the base probability.
-
-    ``previous`` is the hash of the previous symbol.
-    """
+    """Per order, probabilities ``hi, lo, p, previous`` and context weights ``hi, lo, weight, previous``; the base probability."""
     tables = [materialise(count_grams(trusted), "grams")]
     for order in range(ORDER - 1, 0, -1):
-        rest = [F.first(k).alias(k) for k in tables[-1].columns if k[0] in "gc" and int(k[1]) <= order and k != f"g{order}"]
-        tables.append(materialise(tables[-1].groupBy(f"g{order}").agg(F.count(F.lit(1)).alias("n"), *rest), "grams"))
+        hi, lo = _suffix(order)
+        tables.append(materialise(tables[-1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count(F.lit(1)).alias("n")), "grams"))
     base = 1.0 / (tables[-1].count() + 1)
     probabilities, weights = [], []
     for order, table in enumerate(reversed(tables), 1):
         of = table.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first()
         d1, d2, d3 = discounts(list(of))
         less = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        zero = F.lit(0).cast("long")
-        table = table.withColumns(
-            {
-                "gram": F.col(f"g{order}"),
-                "context": F.col(f"c{order}") if order > 1 else zero,
-                "previous": F.col("c2") if order > 1 else zero,
-                "less": less,
-            }
-        )
-        contexts = table.groupBy("context").agg(
-            F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("weight"), F.first("previous").alias("previous")
-        )
-        joined = table.join(contexts.drop("previous"), "context")
+        (chi, clo), (shi, slo) = _context(), _suffix(order - 1)
+        table = table.withColumns({"less": less, "chi": chi, "clo": clo, "shi": shi, "slo": slo})
+        contexts = table.groupBy("chi", "clo").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("weight"))
+        joined = table.join(contexts, ["chi", "clo"])
         direct = (F.col("n") - F.col("less")) / F.col("total")
+        previous = F.col("clo").bitwiseAND(F.lit(MASK)).alias("previous")
         if order == 1:
-            p = joined.select("gram", (direct + F.col("weight") * F.lit(base)).alias("p"), "previous")
+            p = joined.select("hi", "lo", (direct + F.col("weight") * F.lit(base)).alias("p"), previous)
         else:
-            below = probabilities[-1].select(F.col("gram").alias(f"g{order - 1}"), F.col("p").alias("lower"))
-            p = joined.join(below, f"g{order - 1}").select(
-                "gram", (direct + F.col("weight") * F.col("lower")).alias("p"), "previous"
+            below = probabilities[-1].select(F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("lower"))
+            p = joined.join(below, ["shi", "slo"]).select(
+                "hi", "lo", (direct + F.col("weight") * F.col("lower")).alias("p"), previous
             )
         probabilities.append(materialise(p, "model"))
-        weights.append(materialise(contexts.select("context", "weight", "previous"), "model"))
+        weights.append(materialise(contexts.select(F.col("chi").alias("hi"), F.col("clo").alias("lo"), "weight", previous), "model"))
     return probabilities, weights, base
 
 
-def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(table: DataFrame, order: int, context: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes as in :class:`Places`, ascending, and the values."""
     got = table.toArrow()
-    key, value = unsigned(got.column(0).to_numpy()), got.column(1).to_numpy().astype(np.float32)
-    order = np.argsort(key)
-    return key[order], value[order]
+    hi, lo = (unsigned(got.column(i).to_numpy()) for i in (0, 1))
+    value, mask = got.column(2).to_numpy().astype(np.float32), np.uint64(MASK)
+    s = [(lo >> np.uint64(BITS * j)) & mask for j in range(3)] + [(hi >> np.uint64(BITS * j)) & mask for j in range(2)]
+    if context:
+        total = np.full(len(lo), np.uint64(100 + order))
+        for j in range(1, order):
+            total += mix(s[j - 1]) * _FACTORS[j]
+        key = mix(total) if order > 1 else np.zeros(len(lo), np.uint64)
+    else:
+        total = np.full(len(lo), np.uint64(order))
+        for j in range(order):
+            total += mix(s[j]) * _FACTORS[j]
+        key = mix(total)
+    ascending = np.argsort(key)
+    return key[ascending], value[ascending]
 
 
 def _found(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +241,7 @@ def _score_rows(shared, base: float, shards: int, own: int):
             for low, group in _groups(batch.column(3)):
                 places = Places(group)
                 at, which = places.different()
-                previous = places.contexts(2, at)
-                mine = previous % np.uint64(shards) == own
+                mine = places.symbols[at - 1] % np.uint64(shards) == own
                 p = np.full(len(at), base)
                 for order in range(1, ORDER + 1):
                     context = places.contexts(order, at) if order > 1 else np.zeros(len(at), np.uint64)
@@ -234,10 +269,12 @@ def perplexities(docs: DataFrame, model, shard_grams: int = 4_000_000) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("text_key"), "text")
     scored = None
     for s in range(shards):
-        # the hash as an unsigned number, like numpy's
-        mine = (F.lit(shards == 1)) | (F.expr(f"pmod(pmod(previous, {shards}) + IF(previous < 0, {(1 << 64) % shards}, 0), {shards})") == s)
+        mine = F.col("previous") % shards == s
         # single symbols have no previous one: as many as the alphabet
-        held = [[_sorted(t if k == 0 else t.where(mine)) for k, t in enumerate(tables)] for tables in (probabilities, weights)]
+        held = [
+            [_sorted(t if k == 0 else t.where(mine), k + 1, context) for k, t in enumerate(tables)]
+            for tables, context in ((probabilities, False), (weights, True))
+        ]
         rows = texts.mapInArrow(
             _score_rows(sc.broadcast(held), base, shards, s), "doc_id long, lang string, text_key long, surprise double, n long"
         )
