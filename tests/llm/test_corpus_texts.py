@@ -293,17 +293,19 @@ def test_mixture_matches_sql(spark, sf_dir):
 
 
 def test_mixture_meets_targets(spark, docs, odd):
-    rows = mixing.mix(docs, share=0.3, rounds=30).collect()
-    assert abs(sum(r.probability * r.n_tokens for r in rows) / sum(r.n_tokens for r in rows) - 0.3) < 1e-3
+    # a small share bounds no cell of these few documents, so every target can be met
+    rows = mixing.mix(docs, share=0.1, rounds=30).collect()
+    assert abs(sum(r.probability * r.n_tokens for r in rows) / sum(r.n_tokens for r in rows) - 0.1) < 1e-3
     tokens = collections.Counter()
     for r in rows:
         tokens[r.topic] += r.weight * r.n_tokens
     shares = [v / sum(tokens.values()) for t, v in tokens.items() if t >= 0]
     assert max(shares) - min(shares) < 1e-3  # the topics' targets are even
     # at the pipeline's share some targets are more than there is; what is left of all margins is small
-    cells = mixing.measured(docs, mixing.TOPICS).where("tokens > 0").groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cells = mixing.measured(more, mixing.TOPICS).where("tokens > 0").groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
     left = mixing.residuals(cells, mixing.TEMPER, share=0.8)
-    assert set(left) == set(mixing.MARGINS) and max(left.values()) < 0.03
+    assert set(left) == set(mixing.MARGINS) and max(left.values()) < 0.01
     got = mixing.mix(odd).collect()
     assert all((r.probability > 0) == (r.n_tokens > 0) for r in got) and len(got) == len(ODD)
     assert mixing.mix(odd.limit(0)).count() == 0
