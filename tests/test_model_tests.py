@@ -134,3 +134,26 @@ def test_split_and_leaf_shares(spark, rows):
             assert t["weight"][i] >= 0.05 * n
             if left != i:
                 assert t["weight"][i] >= 0.2 * n
+
+
+@pytest.mark.parametrize("groups", ["folds", "own"])
+def test_trees_from_cells_are_the_trees_from_rows(spark, rows, monkeypatch, groups):
+    """Sums by combination of bins give every tree of the row scans, with fewer jobs."""
+    df = rows.withColumn("g", F.pmod(F.col("id"), F.lit(3)))
+    made = forest.Folds(3) if groups == "folds" else forest.Own(4)
+    points = [
+        {"n_estimators": 7, "max_depth": 4, "max_features": "sqrt"},
+        {"n_estimators": 3, "min_samples_leaf": 0.02, "bootstrap": False},
+    ]
+    fits = [(p, k) for p in points for k in range(made.groups)]
+    found = {}
+    for numbers in (forest.CELL_NUMBERS, 0):
+        monkeypatch.setattr(forest, "CELL_NUMBERS", numbers)
+        data = forest.Binned(df, ["a", "b"], "y", made, F.col("g"), ["id"])
+        assert data.by_cell == (numbers > 0)
+        trees = forest.grow(data, fits, 5)
+        found[numbers] = [[t.pack() for t in some] for some in trees], forest.group_scores(data, trees, [k for _, k in fits]).orderBy("fit").collect()
+    (cells, scores), (plain, row_scores) = found.values()
+    assert cells == plain and any(len(t) > 7 * 8 for some in cells for t in some)
+    for one, other in zip(scores, row_scores):
+        assert [x and round(x, 12) for x in one] == [x and round(x, 12) for x in other]

@@ -7,6 +7,11 @@ best splits of all open nodes come from them. Only splits and trees are on the
 driver; their size is bounded by the leaf and split shares, not by the rows. A level is
 cut into several scans where its table would be larger than ``PASS_NUMBERS``.
 
+A feature has at most ``BINS`` bins, so few features have few combinations of bins.
+Where a table by group of rows and combination stays below ``CELL_NUMBERS``, one scan
+adds up every tree's table of these, and a tree grows whole from it in one task. Sums are
+exact either way and the trees are the same.
+
 A fit belongs to a group of rows: all rows but a fold, or a subsample. The bootstrap
 weight of a row in a tree is a Poisson draw from a hash of row and tree, so trees do not
 depend on the layout. Labels are summed as whole multiples of 2**-30 of their range,
@@ -44,6 +49,8 @@ GRID = {
 BINS = 64
 #: Numbers of the statistics table that one scan adds up.
 PASS_NUMBERS = 1 << 24
+#: Combinations of bins, times groups of rows, up to which a tree grows from their sums.
+CELL_NUMBERS = 1 << 16
 #: Rows a task works on at once.
 CHUNK_ROWS = 1 << 16
 #: Steps of the label's range.
@@ -101,6 +108,7 @@ class Folds:
 
     def __init__(self, folds: int):
         self.groups = folds + 1
+        self.marks = np.arange(folds) if folds else np.array([-1])
 
     def members(self, who: np.ndarray) -> np.ndarray:
         return who[:, None] != np.arange(self.groups)
@@ -109,6 +117,8 @@ class Folds:
 class Draws:
     """Group ``k`` is the subsample ``k + 1`` of the rows, read from the residue of their key."""
 
+    marks = None
+
     def __init__(self, seed, samples: int, fraction: float):
         self.groups = samples
         self.constants, self.limit = np.array(draw_constants(seed, samples), np.int64), draw_limit(fraction)
@@ -122,6 +132,7 @@ class Own:
 
     def __init__(self, groups: int):
         self.groups = groups
+        self.marks = np.arange(groups)
 
     def members(self, who: np.ndarray) -> np.ndarray:
         return who[:, None] == np.arange(self.groups)
@@ -157,6 +168,15 @@ class Tree:
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         return np.array(self.feature), np.array(self.cut), np.array(self.left), max(self.depth)
 
+    def pack(self) -> bytes:
+        return np.array([self.feature, self.cut, self.left, self.value, self.weight, self.gain, self.depth], float).tobytes()
+
+    @classmethod
+    def unpack(cls, body: bytes) -> Tree:
+        feature, cut, left, value, weight, gain, depth = np.frombuffer(body).reshape(7, -1)
+        feature, cut, left, depth = (a.astype(int).tolist() for a in (feature, cut, left, depth))
+        return cls(feature, cut, left, value.tolist(), weight.tolist(), gain.tolist(), depth, [])
+
 
 def _leaves(bins: np.ndarray, base: np.ndarray, arrays) -> np.ndarray:
     """The node every row comes to."""
@@ -217,6 +237,8 @@ class Binned:
         self.rows = materialise(spread(rows, "_row").mapInArrow(bins, schema), "bins")
         self.tasks = self.rows.rdd.getNumPartitions()
         self.counts = self._counts()
+        self.cells = Cells([len(c) + 1 for c in self.cuts])
+        self.by_cell = groups.marks is not None and self.cells.size * len(groups.marks) <= CELL_NUMBERS
 
     def _counts(self) -> np.ndarray:
         """Rows of every group."""
@@ -242,12 +264,35 @@ class Binned:
     @staticmethod
     def chunks(batches, width: int) -> Iterator[tuple[np.ndarray, ...]]:
         """``bins`` (flat), first place of each row, ``y``, ``who`` and ``row`` of a chunk of rows."""
-        for batch in batches:
-            for low in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(low, CHUNK_ROWS)
-                bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8)
-                y, who, row = (part.column(c).to_numpy() for c in ("y", "who", "row"))
-                yield bins, np.arange(part.num_rows) * width, y.astype(float), who, row.view(np.uint64)
+        held, n = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= CHUNK_ROWS or (batch is None and n):
+                table = pa.Table.from_batches(held)
+                for low in range(0, n, CHUNK_ROWS):
+                    part = table.slice(low, CHUNK_ROWS)
+                    bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8)
+                    y, who, row = (part.column(c).to_numpy() for c in ("y", "who", "row"))
+                    yield bins, np.arange(part.num_rows) * width, y.astype(float), who, row.view(np.uint64)
+                held, n = [], 0
+
+
+class Cells:
+    """Numbers of the combinations of bins of all features."""
+
+    def __init__(self, sizes: Sequence[int]):
+        self.sizes, self.size = list(sizes), math.prod(sizes)
+        self.steps = np.array([math.prod(self.sizes[i + 1 :]) for i in range(len(self.sizes))], dtype=object)
+
+    def of(self, bins: np.ndarray) -> np.ndarray:
+        """The cell of every row of ``bins`` (flat)."""
+        return bins.reshape(-1, len(self.sizes)).astype(np.int64) @ self.steps.astype(np.int64)
+
+    def bins(self, cells: np.ndarray) -> np.ndarray:
+        """The bins of ``cells`` (flat), of few combinations."""
+        return np.stack(np.unravel_index(cells, self.sizes), axis=1).astype(np.uint8).ravel()
 
 
 def _table_rows(work: dict, groups, width: int, seed: int):
@@ -299,7 +344,7 @@ def _table_rows(work: dict, groups, width: int, seed: int):
 
 
 def _best_splits(rules: list[tuple[Rule, int, int]], width: int, seed: int):
-    """Adds the tables of some trees and finds each open node's best split."""
+    """Finds each open node's best split from a table, or from the added tables of some trees."""
 
     def best(fit: int, tree: int, stats: np.ndarray) -> np.ndarray:
         rule, _, rows = rules[fit]
@@ -339,9 +384,82 @@ def _best_splits(rules: list[tuple[Rule, int, int]], width: int, seed: int):
         fits, trees = zip(*total)
         return pa.table({"fit": pa.array(fits, pa.int32()), "tree": pa.array(trees, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
+    return best, run
+
+
+def _cell_sums(draws: Sequence[int], cells: Cells, marks: np.ndarray, seed: int):
+    """Weights and label sums by mark and cell, for each bootstrap; number -1 takes every row once."""
+    size = len(marks) * cells.size
+
+    def emit(batches):
+        total = np.zeros((len(draws), 2, size), np.int64)
+        for bins, _, y, who, row in Binned.chunks(batches, len(cells.sizes)):
+            place = (who - marks[0]) * cells.size + cells.of(bins)
+            for sums, draw in zip(total, draws):
+                w = _weights(row, seed, draw).astype(float) if draw >= 0 else np.ones(len(y))
+                sums[0] += np.bincount(place, w, size).astype(np.int64)
+                sums[1] += np.bincount(place, w * y, size).astype(np.int64)
+        for sums, draw in zip(total, draws):
+            if sums[0].any():
+                yield pa.RecordBatch.from_arrays([pa.array([draw], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["draw", "body"])
+
+    return emit
+
+
+def _cell_trees(work: Mapping[int, list], rules: list[tuple[Rule, int, int]], cells: Cells, groups, seed: int):
+    """Grows the trees of a bootstrap from its table; ``work`` has their (fit, tree) pairs."""
+    width, best = len(cells.sizes), _best_splits(rules, len(cells.sizes), seed)[0]
+
+    def run(table: pa.Table) -> pa.Table:
+        sums = np.zeros((2, len(groups.marks), cells.size), np.int64)
+        for body in table.column("body"):
+            sums += np.frombuffer(body.as_buffer(), np.int64).reshape(sums.shape)
+        member = groups.members(groups.marks)
+        out, of_group = [], {}
+        for fit, t in work[table.column("draw")[0].as_py()]:
+            rule, group, rows = rules[fit]
+            if group not in of_group:
+                w, y = sums[:, member[:, group]].sum(axis=1).astype(float)
+                some = np.flatnonzero(w)
+                of_group[group] = cells.bins(some), w[some], y[some]
+            bins, w, y = of_group[group]
+            tree, base = Tree(), np.arange(len(w)) * width
+            while tree.open and len(w):
+                opened = len(tree.open)
+                slots = np.full(len(tree.feature), -1)
+                slots[tree.open] = np.arange(opened)
+                slot = slots[_leaves(bins, base, tree.arrays())]
+                at = np.flatnonzero(slot >= 0)
+                places = [slot[at] * BINS + bins[base[at] + f] for f in range(width)]
+                stats = np.array([[np.bincount(p, v[at], opened * BINS) for p in places] for v in (w, y)])
+                _apply(tree, best(fit, t, stats.reshape(2, width, -1, BINS)), rule, rows)
+            out.append((fit, t, tree.pack()))
+        fits, trees, bodies = zip(*out)
+        return pa.table({"fit": pa.array(fits, pa.int32()), "tree": pa.array(trees, pa.int32()), "body": pa.array(bodies, pa.binary())})
+
     return run
 
 
+def _grow_by_cell(data: Binned, rules: list[tuple[Rule, int, int]], forests: list[list[Tree]], live: list, seed: int) -> None:
+    """Every tree from the sums of its bootstrap's cells; as many bootstraps a scan as ``PASS_NUMBERS`` has room for."""
+    draws: dict[int, list] = {}
+    for t, i in live:
+        draws.setdefault(t if rules[i][0].bootstrap else -1, []).append((i, t))
+    marks = data.groups.marks
+    most = max(1, PASS_NUMBERS // (2 * len(marks) * data.cells.size))
+    # a table a core and bootstrap is shuffled, however many rows there are
+    rows = data.rows.coalesce(data.rows.sparkSession.sparkContext.defaultParallelism)
+    for low in range(0, len(draws), most):
+        part = dict(list(draws.items())[low : low + most])
+        tables = rows.mapInArrow(_cell_sums(list(part), data.cells, marks, seed), "draw int, body binary")
+        grown = tables.groupBy("draw").applyInArrow(
+            _cell_trees(part, rules, data.cells, data.groups, seed), "fit int, tree int, body binary"
+        )
+        found = grown.toArrow()  # trees of the pass
+        for i, t, body in zip(*(found.column(c).to_pylist() for c in ("fit", "tree", "body"))):
+            forests[i][t] = Tree.unpack(body)
+
+
 def grow(data: Binned, fits: Sequence[tuple[Mapping, int]], seed=SPLIT_SEED) -> list[list[Tree]]:
     """The trees of every fit, a (point, group) pair; all grow in the same scans."""
     width = len(data.features)
@@ -349,6 +467,9 @@ def grow(data: Binned, fits: Sequence[tuple[Mapping, int]], seed=SPLIT_SEED) ->
     forests = [[Tree() for _ in range(rule.trees)] for rule, _, _ in rules]
     live = [(t, i) for i, forest in enumerate(forests) for t in range(len(forest)) if rules[i][2]]
     live.sort()  # trees with the same number share their bootstrap
+    if data.by_cell:
+        _grow_by_cell(data, rules, forests, live, int(seed))
+        return forests
     while live:
         at = 0
         while at < len(live):
@@ -367,7 +488,7 @@ def grow(data: Binned, fits: Sequence[tuple[Mapping, int]], seed=SPLIT_SEED) ->
             )
             # tables of a tree meet in one part; a part stays small however many tasks send theirs
             part = F.pmod(F.xxhash64("fit", "tree"), F.lit(8 * max(data.tasks, 8)))
-            best = tables.groupBy(part).applyInArrow(_best_splits(rules, width, int(seed)), "fit int, tree int, body binary")
+            best = tables.groupBy(part).applyInArrow(_best_splits(rules, width, int(seed))[1], "fit int, tree int, body binary")
             found = best.toArrow()  # open nodes of the pass
             for i, t, body in zip(*(found.column(c).to_pylist() for c in ("fit", "tree", "body"))):
                 _apply(forests[i][t], np.frombuffer(body).reshape(-1, 9), rules[i][0], rules[i][2])
@@ -399,17 +520,31 @@ def group_scores(data: Binned, forests: Sequence[list[Tree]], groups: Sequence[i
     """``fit, test, train``: R2 of every fit on its group and on the other rows, in one scan."""
     width = len(data.features)
     work = [(g, [(t.arrays(), np.array(t.value)) for t in forest]) for g, forest in zip(groups, forests)]
-    members = data.groups
+    members, cells, by_cell = data.groups, data.cells, data.by_cell
+
+    def predicted(bins, trees):
+        base = np.arange(len(bins) // width) * width
+        p = np.zeros(len(base))
+        for arrays, value in trees:
+            p += value[_leaves(bins, base, arrays)]
+        return p
 
     def emit(batches):
         total = np.zeros((len(work), 2, 4))
-        for bins, base, y, who, _ in Binned.chunks(batches, width):
+        # a cell is predicted when it is first met
+        known = np.zeros(cells.size if by_cell else 0, bool)
+        of_cell = np.zeros((len(work), len(known)))
+        for bins, _, y, who, _ in Binned.chunks(batches, width):
             member = members.members(who)
             scaled = y / STEPS
+            if by_cell:
+                cell = cells.of(bins)
+                met = np.unique(cell[~known[cell]])
+                if len(met):
+                    of_cell[:, met] = [predicted(cells.bins(met), trees) for _, trees in work]
+                    known[met] = True
             for i, (group, trees) in enumerate(work):
-                p = np.zeros(len(base))
-                for arrays, value in trees:
-                    p += value[_leaves(bins, base, arrays)]
+                p = of_cell[i, cell] if by_cell else predicted(bins, trees)
                 e = (scaled - p / (len(trees) * STEPS)) ** 2
                 for side, rows in enumerate((~member[:, group], member[:, group])):
                     total[i, side] += [rows.sum(), scaled[rows].sum(), (scaled[rows] ** 2).sum(), e[rows].sum()]
@@ -420,7 +555,8 @@ def group_scores(data: Binned, forests: Sequence[list[Tree]], groups: Sequence[i
             ["fit", "own", "n", "y", "yy", "sse"],
         )
 
-    sums = data.rows.mapInArrow(emit, "fit int, own boolean, n double, y double, yy double, sse double")
+    rows = data.rows.coalesce(data.rows.sparkSession.sparkContext.defaultParallelism) if by_cell else data.rows
+    sums = rows.mapInArrow(emit, "fit int, own boolean, n double, y double, yy double, sse double")
     sums = sums.groupBy("fit", "own").agg(*[F.sum(c).alias(c) for c in ("n", "y", "yy", "sse")])
     spread_ = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
     r2 = F.when((F.col("n") > 0) & (spread_ > 1e-12 * F.col("n")), 1 - F.col("sse") / spread_)
