@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traitspark.operators import forest, linear, perceptron
 from traitspark.operators import model_tests as M
+from traitspark.operators import permutation as P
 from traitspark.sources.shards import ShardLedger
 
 
@@ -157,3 +158,48 @@ def test_trees_from_cells_are_the_trees_from_rows(spark, rows, monkeypatch, grou
     assert cells == plain and any(len(t) > 7 * 8 for some in cells for t in some)
     for one, other in zip(scores, row_scores):
         assert [x and round(x, 12) for x in one] == [x and round(x, 12) for x in other]
+
+
+@pytest.mark.parametrize("size, numbers", [(7, 1 << 20), (50, 300), (64, 0)])
+def test_ranges_of_places_pair_the_same_rows(rows, monkeypatch, size, numbers):
+    """Many small ranges, few bins, and no ranges at all: the scores and products of whole groups."""
+    fit = linear.LinearFit("m", "ols", ["a", "b"], 0.1, [1.5, 0.2])
+    monkeypatch.setattr(P, "RANGE_ROWS", size)
+    monkeypatch.setattr(P, "BIN_NUMBERS", numbers)
+    made = []
+    monkeypatch.setattr(P, "range_rows", lambda *a, _made=P.range_rows: made.append(_made(*a)) or made[-1])
+    found, products = [], []
+    for block_rows in (10**6, 10):
+        out = M.shuffled_scores(rows, fit, "y", ["id"], shuffled=["b", "y"], n_repeats=3, block_rows=block_rows)
+        found.append({(r.sample_id, r.feature, r.repeat): (r.baseline, r.score) for r in out.collect()})
+        out = P.permutation_products(rows, ["a", "y", "a"], ["b", "b", "a"], ["id"], ["sample_id"], 2, 3, first=0, block_rows=block_rows)
+        products.append({(r.sample_id, r.repeat): (r.product_0, r.product_1, r.product_2) for r in out.collect()})
+    assert len(found[0]) == 18 and set(found[0]) == set(found[1]) and len(products[0]) == 9
+    assert [m is None for m in made] == [numbers == 0] * 2
+    for one, other in (found, products):
+        for k in one:
+            assert one[k] == pytest.approx(other[k], abs=1e-8)
+
+
+def test_shuffled_columns_alone_are_dealt(rows, monkeypatch):
+    """A row of a repeat travels as its sort key and what is shuffled, once."""
+    seen = []
+    monkeypatch.setattr(P, "range_rows", lambda *a, _made=P.range_rows: seen.append(a[2:4]) or _made(*a))
+    fit = linear.LinearFit("m", "ols", ["a", "b"], 0.1, [1.5, 0.2])
+    out = M.shuffled_scores(rows, fit, "y", ["id"], shuffled=["b"], n_repeats=2, block_rows=10)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert seen == [(["a", "b", "y"], ["b"])] and "explode" not in plan and "row_number" not in plan
+
+
+def test_kept_predictions_are_the_trees_own(spark, rows, monkeypatch):
+    fit = forest.fit_forest(rows, ["a", "b"], "y", {"n_estimators": 8, "max_depth": 6}, key=["id"])
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(5000, 2)), [[np.nan, 0.0], [np.inf, -np.inf]], [[t, t] for t in fit._prepared()[1][0]]])
+    plain = np.where(np.isnan(x).any(axis=1), np.nan, fit._through(x, fit._arrays()))
+    calls = []
+    monkeypatch.setattr(forest.ForestFit, "_through", lambda self, part, arrays, _made=forest.ForestFit._through: calls.append(len(part)) or _made(self, part, arrays))
+    for _ in range(2):
+        np.testing.assert_array_equal(fit.predict_array(x), plain)
+    assert sum(calls) < len(x) and "_made" not in fit.__getstate__()
+    monkeypatch.setattr(forest, "KEPT_CELLS", 0)
+    np.testing.assert_array_equal(forest.ForestFit("f", fit.features, fit.trees).predict_array(x), plain)

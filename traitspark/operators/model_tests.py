@@ -4,8 +4,9 @@ A model is anything with ``features`` and ``predict_array``; one may be given fo
 sample. A batch carries, besides the rows, the donor column of one feature at a time:
 it is put in place of the feature's own, predicted and scored, so rows are not copied
 for features. A group of at most ``block_rows`` rows is scored where it is permuted, a
-block of repeats per task; a larger one is ranked across tasks and joined by place, and
-only sums of each (group, repeat, feature) leave a batch. Both pair the same rows.
+block of repeats per task; a larger one is dealt into ranges of places (with many groups
+ranked across tasks and joined by place), only shuffled columns are repeated, and only
+sums of each (group, repeat, feature) leave a batch. All pair the same rows.
 
 A sample for which a model cannot be fitted or applied becomes rows with its reason and
 a missing score; lost executors, full disks and errors of the code still fail the job.
@@ -20,6 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import normal, place_order, salted_md5
 from ..session import materialise
@@ -108,16 +111,15 @@ def shuffled_scores(
     schema = _schema(df, group)
     where = [columns.index(c) for c in shuffled]
 
-    def scores(x: np.ndarray, donors: np.ndarray, model) -> Iterator[tuple[str, list]]:
-        """Truth and prediction with each column shuffled."""
+    def scores(x: np.ndarray, donors: np.ndarray, model, still: np.ndarray) -> Iterator[tuple[str, list]]:
+        """Truth and prediction with each column shuffled; ``still`` are the predictions of ``x``."""
         y = x[:, -1]
-        still = model.predict_array(x[:, :-1]) if len(columns) - 1 in where else None
-        for name, j in zip(shuffled, where):
+        for k, (name, j) in enumerate(zip(shuffled, where)):
             if j == len(columns) - 1:
-                yield name, (donors[:, j], still)
+                yield name, (donors[:, k], still)
                 continue
             own = x[:, j].copy()
-            x[:, j] = donors[:, j]
+            x[:, j] = donors[:, k]
             yield name, (y, model.predict_array(x[:, :-1]))
             x[:, j] = own
 
@@ -134,10 +136,11 @@ def shuffled_scores(
                 h, t, g = (frame[c].to_numpy("int64") for c in ("_h", "_t", "_g"))
                 raw = frame[columns].to_numpy(float)
                 x = raw[np.argsort(place_order(h, t, g, 0))]
-                baseline = measure.score(x[:, -1], model.predict_array(x[:, :-1]))
+                still = model.predict_array(x[:, :-1])
+                baseline = measure.score(x[:, -1], still)
                 for repeat in repeats[int(frame["_block"].iloc[0]) :: blocks]:
-                    donors = raw[np.argsort(place_order(h, t, g, repeat + 1))]
-                    rows += [[*at, f, repeat, baseline, measure.score(*found), None] for f, found in scores(x, donors, model)]
+                    donors = raw[np.argsort(place_order(h, t, g, repeat + 1))][:, where]
+                    rows += [[*at, f, repeat, baseline, measure.score(*found), None] for f, found in scores(x, donors, model, still)]
             except DATA_ERRORS as error:
                 rows = [[*at, f, None, None, None, f"{type(error).__name__}: {error}"] for f in shuffled]
             out = pd.DataFrame(rows, columns=[*group, "feature", "repeat", "baseline", "score", "reason"])
@@ -147,37 +150,32 @@ def shuffled_scores(
         spread = base.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         return spread.groupBy(*group, "_block").applyInPandas(run, schema)
 
-    fixed = P._placed(base, group, F.lit(0), largest)
-    donor = [f"_d_{c}" for c in columns]
-    turned = P._turned(base, group, 1, n_repeats, largest)
-    turned = turned.select(*group, "repeat", "_place", *[F.col(c).alias(d) for c, d in zip(columns, donor)])
-    mixed = null_safe_join(turned, fixed, [*group, "_place"]).select(*group, "repeat", *columns, *donor)
     names = [f"_s{k}" for k in range(measure.size)]
+    both = [*names, *[f"{n}_" for n in names]]
+
+    def summed(at: Sequence, x: np.ndarray, turned) -> Iterator[list]:
+        """Sums of each repeat and feature; ``turned`` has the shuffled columns of each repeat."""
+        try:
+            model = _model_of(models, at)
+            still = model.predict_array(x[:, :-1])
+            own = measure.terms(x[:, -1], still)
+        except DATA_ERRORS as error:
+            for repeat, _ in turned:
+                yield from ([repeat, f, *[None] * len(both), f"{type(error).__name__}: {error}"] for f in shuffled)
+            return
+        for repeat, donors in turned:
+            try:
+                rows = [[repeat, f, *map(float, own), *map(float, measure.terms(*found)), None] for f, found in scores(x, donors, model, still)]
+            except DATA_ERRORS as error:
+                rows = [[repeat, f, *[None] * len(both), f"{type(error).__name__}: {error}"] for f in shuffled]
+            yield from rows
 
-    def sums(batches):
-        for batch in batches:
-            frame = batch.to_pandas()
-            rows = []
-            for at, part in frame.groupby([*group, "repeat"], dropna=False, sort=False):
-                try:
-                    model = _model_of(models, at)
-                    x, donors = part[columns].to_numpy(float), part[donor].to_numpy(float)
-                    y, p = x[:, -1].copy(), model.predict_array(x[:, :-1])
-                    rows += [[*at, f, *measure.terms(y, p), *measure.terms(*found), None] for f, found in scores(x, donors, model)]
-                except DATA_ERRORS as error:
-                    rows += [[*at, f, *[None] * (2 * measure.size), f"{type(error).__name__}: {error}"] for f in shuffled]
-            out = pd.DataFrame(rows, columns=[*group, "repeat", "feature", *names, *[f"{n}_" for n in names], "reason"])
-            yield pa.RecordBatch.from_pandas(out, schema=added, preserve_index=False)
-
-    types = {f.name: f for f in pa.schema([(n, pa.float64()) for n in (*names, *[f"{n}_" for n in names])])}
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    own = to_arrow_schema(mixed.select(*group, "repeat").schema)
-    added = pa.schema([*own, pa.field("feature", pa.string()), *types.values(), pa.field("reason", pa.string())])
-    ddl = "".join(f"`{c}` {t}, " for c, t in mixed.select(*group, "repeat").dtypes) + "feature string, "
-    ddl += ", ".join(f"{n} double" for n in types) + ", reason string"
-    total = mixed.mapInArrow(sums, ddl).groupBy(*group, "repeat", "feature")
-    total = total.agg(*[F.sum(n).alias(n) for n in types], F.max("reason").alias("reason"))
+    ddl = "repeat int, feature string, " + ", ".join(f"{n} double" for n in both) + ", reason string"
+    parts = P.range_rows(base, group, columns, shuffled, 1, n_repeats, summed, ddl)
+    if parts is None:
+        parts = _joined_sums(base, group, columns, shuffled, n_repeats, largest, summed, ddl)
+    total = parts.groupBy(*group, "repeat", "feature")
+    total = total.agg(*[F.sum(n).alias(n) for n in both], F.max("reason").alias("reason"))
 
     def finished(columns_: Sequence[str]) -> Column:
         value = measure.finish(*[F.col(c) for c in columns_])
@@ -190,6 +188,35 @@ def shuffled_scores(
     )
 
 
+def _joined_sums(
+    base: DataFrame, group: list[str], columns: list[str], shuffled: list[str], n_repeats: int, largest: int, summed: Callable, ddl: str
+) -> DataFrame:
+    """Sums of batches whose rows are paired by a join of their places."""
+    fixed = P._placed(base, group, F.lit(0), largest)
+    donor = [f"_d_{c}" for c in shuffled]
+    turned = P._turned(base.select(*group, "_h", "_t", "_g", *shuffled), group, 1, n_repeats, largest)
+    turned = turned.select(*group, "repeat", "_place", *[F.col(c).alias(d) for c, d in zip(shuffled, donor)])
+    mixed = null_safe_join(turned, fixed, [*group, "_place"]).select(*group, "repeat", *columns, *donor)
+    schema = StructType([*mixed.select(*group).schema, *_parse(base, ddl)])
+    arrow = to_arrow_schema(schema)
+
+    def sums(batches):
+        for batch in batches:
+            frame = batch.to_pandas()
+            rows = []
+            for at, part in frame.groupby([*group, "repeat"], dropna=False, sort=False):
+                turn = [(int(at[-1]), part[donor].to_numpy(float))]
+                rows += [[*at[:-1], *row] for row in summed(at[:-1], part[columns].to_numpy(float), turn)]
+            out = pd.DataFrame(rows, columns=schema.names)
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return mixed.mapInArrow(sums, schema)
+
+
+def _parse(df: DataFrame, ddl: str) -> StructType:
+    return df.sparkSession.createDataFrame([], ddl).schema
+
+
 def tests_of(scores: DataFrame, group: Sequence[str], metric: str = "r2") -> DataFrame:
     """Rank p-values with the ``reason`` of groups that failed; an error has the lower tail for its own."""
     signed = F.lit(1.0 if METRICS[metric].greater else -1.0)

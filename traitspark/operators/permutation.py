@@ -3,8 +3,10 @@
 Scores of a linear prediction under a permutation need one cross product per
 repeat: all other sums do not change. Rows are paired by rank: the row at
 place i of a fixed order meets the row at place i of the repeat's own order.
-A sample that fits a task is permuted there; ranks of a larger one come from
-hash buckets.
+A sample that fits a task is permuted there. A larger one is dealt into ranges of places:
+counts of the sort keys by bin tell which range a row of a repeat can come to, a
+task sorts what came to its range and pairs all repeats with the same fixed rows.
+Many groups are ranked by hash buckets and joined by place.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.hashing import PRIME, hex_int, normal, place_order, place_steps, residue, salted_md5
 from ..functions.scalars import ratio
@@ -38,6 +42,12 @@ SCORE_DIGITS = 9
 BLOCK_ROWS = 500_000
 
 
+#: Places a task pairs at once, bins of sort keys a range, and numbers of the table of all bins.
+RANGE_ROWS = 1 << 16
+RANGE_BINS = 16
+BIN_NUMBERS = 1 << 20
+
+
 def _with_hashes(df: DataFrame, group: Sequence[str], key: Sequence[str], seed, keep: Sequence[str]) -> DataFrame:
     h = salted_md5(seed, *key)
     return df.select(
@@ -92,6 +102,123 @@ def permute_column(
     return null_safe_join(givers, receivers, [*group, "_place"]).drop("_place")
 
 
+def _chunks(batches, rows: int = 1 << 18) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def range_rows(
+    base: DataFrame,
+    group: Sequence[str],
+    still: Sequence[str],
+    moved: Sequence[str],
+    first: int,
+    last: int,
+    run: Callable,
+    schema: str,
+) -> DataFrame | None:
+    """Rows of ``run`` for each range of places of each group, with the group's columns; None for too many groups.
+
+    ``run(at, x, turned)`` gets the group's values, the ``still`` columns in the fixed
+    order, and an iterator of (repeat, ``moved`` columns in the repeat's order). A row of
+    a repeat travels once, as its sort key and moved values; only rows of a bin that
+    lies across an edge go to both sides.
+    """
+    group, still, moved = list(group), list(still), list(moved)
+    spark = base.sparkSession
+    turns = [0, *[r + 1 for r in range(first, last + 1)]]  # the fixed order comes first
+    sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    found = sizes.limit(BIN_NUMBERS // (RANGE_BINS * len(turns)) + 1).collect()  # bounded
+    if len(found) * RANGE_BINS * len(turns) > BIN_NUMBERS:
+        return None
+    if not found:
+        return spark.createDataFrame([], ", ".join([f"`{c}` {t}" for c, t in base.select(*group).dtypes] + [schema]))
+    ats, counts = [tuple(r[:-1]) for r in found], [r["_n"] for r in found]
+    size = RANGE_ROWS
+    bins = min(RANGE_BINS * -(-max(counts) // size), BIN_NUMBERS // (len(found) * len(turns)))
+    codes = spark.createDataFrame([(*at, i) for i, at in enumerate(ats)], sizes.drop("_n").withColumn("_code", F.lit(0)).schema)
+    base = base.select(*group, *sorted({*still, *moved}), "_h", "_t", "_g")
+    coded = null_safe_join(base, F.broadcast(codes), group) if group else base.withColumn("_code", F.lit(0))
+    coded = materialise(coded.drop(*group), "members")
+
+    def ordered(table: pa.Table) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, np.ndarray]]:
+        """Code, its rows, the number of the turn, their sort keys and bins."""
+        code, h, t, g = (table.column(c).to_numpy() for c in ("_code", "_h", "_t", "_g"))
+        for c in np.unique(code):
+            rows = np.flatnonzero(code == c)
+            for k, turn in enumerate(turns):
+                order = place_order(h[rows], t[rows], g[rows], turn)
+                yield int(c), rows, k, order, (order >> 32) * bins // PRIME
+
+    def count(batches):
+        total = np.zeros((len(ats), len(turns), bins), np.int64)
+        for table in _chunks(batches):
+            for c, _, k, _, of in ordered(table):
+                total[c, k] += np.bincount(of, minlength=bins)
+        yield pa.RecordBatch.from_pydict({"body": pa.array([total.tobytes()], pa.binary())})
+
+    # a table a core
+    tables = coded.select("_code", "_h", "_t", "_g").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(count, "body binary")
+    upto = np.zeros((len(ats), len(turns), bins), np.int64)
+    for row in tables.toLocalIterator():
+        upto += np.frombuffer(row["body"], np.int64).reshape(upto.shape)
+    upto = upto.cumsum(axis=2)
+
+    def deal(batches):
+        for table in _chunks(batches):
+            values = {True: np.column_stack([table.column(c).to_numpy() for c in still]), False: np.column_stack([table.column(c).to_numpy() for c in moved])}
+            for c, rows, k, order, of in ordered(table):
+                ends = upto[c, k]
+                low = np.where(of > 0, ends[of - 1], 0) // size
+                high = (ends[of] - 1) // size
+                for ahead in range(int((high - low).max()) + 1):
+                    at = np.flatnonzero(low + ahead <= high)
+                    at = at[np.argsort(low[at], kind="stable")]
+                    target = low[at] + ahead
+                    body = np.column_stack([order[at].view(float), values[k == 0][rows[at]]])
+                    edges = [0, *(np.flatnonzero(np.diff(target)) + 1), len(target)]
+                    n = len(edges) - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([c] * n, pa.int32()),
+                            pa.array(target[edges[:-1]], pa.int32()),
+                            pa.array([k] * n, pa.int32()),
+                            pa.array([body[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+                        ],
+                        ["_code", "_range", "_turn", "_body"],
+                    )
+
+    def pair(table: pa.Table) -> pa.Table:
+        c, place = table.column("_code")[0].as_py(), table.column("_range")[0].as_py() * size
+        bodies: dict[int, list] = {}
+        for k, body in zip(table.column("_turn").to_pylist(), table.column("_body")):
+            bodies.setdefault(k, []).append(body.as_buffer())
+
+        def part(k: int) -> np.ndarray:
+            width = 1 + len(moved if k else still)
+            m = np.concatenate([np.frombuffer(b).reshape(-1, width) for b in bodies.pop(k)])
+            order = np.ascontiguousarray(m[:, 0]).view(np.int64)
+            before = np.searchsorted(upto[c, k], place, "right")  # the first bin that reaches into the range
+            start = place - (upto[c, k, before - 1] if before else 0)
+            return m[np.argsort(order)[start : start + size], 1:]
+
+        rows = run(list(ats[c]), part(0), ((first + k - 1, part(k)) for k in range(1, len(turns))))
+        return pa.Table.from_pylist([dict(zip(names, [c, *row])) for row in rows], schema=arrow)
+
+    empty = spark.createDataFrame([], f"_code int, {schema}")
+    names, arrow = empty.columns, to_arrow_schema(empty.schema)
+    dealt = coded.mapInArrow(deal, "_code int, _range int, _turn int, _body binary")
+    out = dealt.groupBy("_code", "_range").applyInArrow(pair, empty.schema)
+    return (out.join(F.broadcast(codes), "_code") if group else out).drop("_code")
+
+
 def permutation_products(
     df: DataFrame,
     still: Sequence[str],
@@ -107,15 +234,25 @@ def permutation_products(
 
     All columns share the permutation of a repeat. The group sizes are checked
     first: groups of at most ``block_rows`` rows are permuted as arrays, a
-    block of repeats per task; otherwise rows are ranked across tasks and
-    joined by place, with only the moved side repeated. Both give the same
-    permutations.
+    block of repeats per task; otherwise rows are dealt into ranges of places,
+    with only the moved side repeated, or with many groups ranked across tasks
+    and joined by place. All give the same permutations.
     """
     columns = sorted({*still, *moved})
     base = _with_hashes(df, group, key, seed, [F.col(c).cast("double").alias(c) for c in columns])
     largest, groups = _largest_group(base, group)
     if largest <= block_rows:
         return _products_by_block(base, still, moved, group, first, n_repeats, max(groups, 1))
+    kept, dealt = sorted(set(still)), sorted(set(moved))
+    pairs = [(kept.index(s), dealt.index(m)) for s, m in zip(still, moved)]
+
+    def run(at, x, turned):
+        return [[repeat, *[float(x[:, i] @ d[:, j]) for i, j in pairs]] for repeat, d in turned]
+
+    names = [f"product_{i}" for i in range(len(pairs))]
+    parts = range_rows(base, group, kept, dealt, first, n_repeats, run, ", ".join(["repeat int", *[f"{c} double" for c in names]]))
+    if parts is not None:
+        return parts.groupBy(*group, "repeat").agg(*[F.sum(c).alias(c) for c in names])
     fixed = _placed(base.select(*group, "_h", "_t", "_g", *sorted(set(still))), group, F.lit(0), largest)
     fixed = fixed.select(*group, "_place", *[F.col(c).alias(f"_s_{c}") for c in sorted(set(still))])
     turned = _turned(base.select(*group, "_h", "_t", "_g", *sorted(set(moved))), group, first, n_repeats, largest)
