@@ -51,6 +51,8 @@ BINS = 64
 PASS_NUMBERS = 1 << 24
 #: Combinations of bins, times groups of rows, up to which a tree grows from their sums.
 CELL_NUMBERS = 1 << 16
+#: Combinations of a forest's thresholds up to which predictions are kept.
+KEPT_CELLS = 1 << 20
 #: Rows a task works on at once.
 CHUNK_ROWS = 1 << 16
 #: Steps of the label's range.
@@ -590,10 +592,47 @@ class ForestFit:
         return cls(name, list(data.features), out, dict(params))
 
     def predict_array(self, x: np.ndarray) -> np.ndarray:
-        """Predictions of the rows of ``x``; a row with a missing feature has none."""
+        """Predictions of the rows of ``x``; a row with a missing feature has none.
+
+        Rows between the same thresholds go the same ways: with few combinations of
+        these, one row of each is sent through the trees and the result is kept.
+        """
+        arrays, cuts, known, kept = self._prepared()
+        if kept is None:
+            out = self._through(x, arrays)
+        else:
+            cell = np.zeros(len(x), np.int64)
+            for j, c in enumerate(cuts):
+                cell = cell * (len(c) + 1) + np.searchsorted(c, x[:, j], "left")
+            new = np.flatnonzero(~known[cell])
+            met, first = np.unique(cell[new], return_index=True)
+            if len(met):
+                kept[met], known[met] = self._through(x[new[first]], arrays), True
+            out = kept[cell]
+        return np.where(np.isnan(x).any(axis=1), np.nan, out)
+
+    def _prepared(self):
+        """Trees as arrays, thresholds of each feature, and the predictions made so far; not sent with the fit."""
+        if "_made" not in self.__dict__:
+            arrays = self._arrays()
+            cuts: list[set] = [set() for _ in self.features]
+            for t in self.trees:
+                for f, threshold in zip(t["feature"], t["threshold"]):
+                    if f >= 0:
+                        cuts[f].add(threshold)
+            size = math.prod(len(c) + 1 for c in cuts)
+            few = size <= KEPT_CELLS
+            known, kept = (np.zeros(size, bool), np.zeros(size)) if few else (None, None)
+            self._made = arrays, [np.array(sorted(c)) for c in cuts], known, kept
+        return self._made
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_made"}
+
+    def _through(self, x: np.ndarray, arrays) -> np.ndarray:
         total = np.zeros(len(x))
         rows = np.arange(len(x))
-        for t in self._arrays():
+        for t in arrays:
             feature, threshold, left, value = t
             node = np.zeros(len(x), np.int64)
             while True:
@@ -602,7 +641,7 @@ class ForestFit:
                     break
                 node = after
             total += value[node]
-        return np.where(np.isnan(x).any(axis=1), np.nan, total / max(len(self.trees), 1))
+        return total / max(len(self.trees), 1)
 
     def _arrays(self) -> list[tuple[np.ndarray, ...]]:
         return [
