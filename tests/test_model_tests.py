@@ -203,3 +203,17 @@ def test_kept_predictions_are_the_trees_own(spark, rows, monkeypatch):
     assert sum(calls) < len(x) and "_made" not in fit.__getstate__()
     monkeypatch.setattr(forest, "KEPT_CELLS", 0)
     np.testing.assert_array_equal(forest.ForestFit("f", fit.features, fit.trees).predict_array(x), plain)
+
+
+def test_few_blocks_are_dealt_by_networks(spark, rows, monkeypatch):
+    """One block keeps all cores busy, and the networks are those of one task."""
+    blocks = perceptron.lay_rows(rows, ["a", "b"], "y", ["id"], None, 3)
+    found = []
+    for units in (4, 0):
+        monkeypatch.setattr(perceptron, "UNITS_A_CORE", units)
+        nets = [perceptron.Network.of({"hidden_layer_sizes": (k,), "max_iter": 3, "batch_size": 50}, -2, 2, 3) for k in (1, 2, 3, 4, 5)]
+        dealt, shares = perceptron._deal(blocks, len(nets))
+        assert shares == (5 if units else 1) and dealt.count() == shares * blocks.count()
+        perceptron.train(blocks, nets)
+        found.append([(n.epochs, n.flat.tolist(), n.best) for n in nets])
+    assert found[0] == found[1]

@@ -138,6 +138,8 @@ class UntrainedPerceptron:
 
 #: Rows of a block: local steps between two means.
 BLOCK_ROWS = 1 << 14
+#: Units of a block and a share of the networks that a core should have at least.
+UNITS_A_CORE = 4
 #: Whole steps of a weight in a sum; exact for weights below 2**14 in up to 2**15 blocks of a task.
 STEPS = 1 << 34
 
@@ -229,8 +231,19 @@ def lay_rows(df: DataFrame, features: Sequence[str], label: str, key: Sequence[s
     return materialise(dealt.groupBy("block").applyInArrow(pack, schema), "blocks")
 
 
+def _deal(blocks: DataFrame, networks: int) -> tuple[DataFrame, int]:
+    """Blocks dealt evenly to the tasks; few blocks are written once for each share of the networks."""
+    cores, count = blocks.sparkSession.sparkContext.defaultParallelism, blocks.count()
+    shares = max(1, min(networks, -(-UNITS_A_CORE * cores // max(count, 1))))
+    if shares == 1:
+        return blocks.withColumn("share", F.lit(0)), 1
+    units = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return materialise(units.repartition(min(cores, max(1, count * shares))), "units"), shares
+
+
 def train(blocks: DataFrame, networks: Sequence[Network]) -> None:
     """Epochs over all networks until each has stopped."""
+    blocks, shares = _deal(blocks, len(networks))
     width, tasks = networks[0].sizes[0] + 1, blocks.rdd.getNumPartitions()
     while live := [(i, n) for i, n in enumerate(networks) if n.live]:
 
@@ -239,14 +252,19 @@ def train(blocks: DataFrame, networks: Sequence[Network]) -> None:
 
             total: dict[int, np.ndarray] = {}
             for batch in batches:
-                for values, folds, held in zip(*(batch.column(c).to_pylist() for c in ("values", "folds", "held"))):
+                for values, folds, held, turn in zip(*(batch.column(c).to_pylist() for c in ("values", "folds", "held", "share"))):
                     z = np.frombuffer(values).reshape(-1, width)
                     fold, held = np.frombuffer(folds, np.int32), np.frombuffer(held, bool)
-                    for i, net in live:
-                        own = net.rows(fold)
-                        if not own.any():
+                    chosen: dict = {}  # networks of a fold share their rows
+                    for at, (i, net) in enumerate(live):
+                        if at % shares != turn:
+                            continue
+                        if (net.skip, net.own) not in chosen:
+                            own = net.rows(fold)
+                            chosen[net.skip, net.own] = (z[own & held], z[own & ~held]) if own.any() else None
+                        if chosen[net.skip, net.own] is None:
                             continue
-                        test, part = z[own & held], z[own & ~held]
+                        test, part = chosen[net.skip, net.own]
                         y = test[:, -1]
                         with np.errstate(all="ignore"):
                             e = _predict_flat(test[:, :-1], net.flat, net.sizes, net.params["activation"]) - y
