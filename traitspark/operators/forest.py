@@ -185,7 +185,7 @@ def _leaves(bins: np.ndarray, base: np.ndarray, arrays) -> np.ndarray:
     feature, cut, left, depth = arrays
     node = np.zeros(len(base), np.int64)
     for _ in range(depth):
-        node = left[node] + (bins[base + feature[node]] > cut[node])
+        node = left.take(node) + (bins.take(base + feature.take(node)) > cut.take(node))
     return node
 
 
