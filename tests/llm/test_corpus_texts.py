@@ -8,7 +8,7 @@ import pytest
 from oracle_compare import compare, connect
 from pyspark.sql import functions as F
 
-from traitspark.llm import bpe, jaccard_join, line_dedup, mixing, perplexity, pii, quality_rules, queries, substring_dedup
+from traitspark.llm import bpe, filters, jaccard_join, line_dedup, mixing, perplexity, pii, quality_rules, queries, substring_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ODD = [
@@ -113,6 +113,30 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.remove_lines(frame.limit(0)).count() == 0
 
 
+def test_lines_apart_by_other_gaps(spark):
+    rows = [(1, "a\tb \x0bc\n  a b"), (2, "a b c\rx"), (3, "\fa  b\tc\nd e")]
+    got = line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "n_exact").collect()
+    assert ordered(got) == ordered([(1, rows[0][1], 0), (2, rows[1][1], 0), (3, "d e", 1)])
+
+
+def test_texts_that_lose_no_line_are_not_shuffled(spark):
+    rows = [(i, f"a b c\nd{i} e{i}" if i % 10 == 0 else f"x{i} y{i}") for i in range(100)]
+    out = line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in out.select("doc_id", "n_exact").where("n_exact > 0").collect()) == [(i, 1) for i in range(10, 100, 10)]
+    assert out.count() == 100
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "LeftOuter" not in plan.children().apply(0).toString()
+
+
+def test_filter_parts_rows(spark):
+    keys = spark.range(50_000).select(F.xxhash64("id").alias("key"))
+    words = filters.filter_words(keys.where("key % 100 = 0"), "key")
+    some = filters.possibly(keys, words, F.col("key")).collect()
+    rest = filters.possibly(keys, words, F.col("key"), False).collect()
+    assert len(some) + len(rest) == 50_000 and len(some) < 1_000
+    assert all(r.key % 100 for r in rest)
+
+
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),

@@ -10,7 +10,8 @@ an exact step later, and there are no false misses.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -47,7 +48,7 @@ def folded(words: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, size), axis=0)
 
 
-def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> BitFilter:
+def filter_words(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
     """Two bits set for each key of a well mixed long column, by its low and high ends; at most ``bits``, a power of two."""
     ends = F.array(F.col(column), F.shiftrightunsigned(column, 32))
     slot = F.col("slot").bitwiseAND(F.lit(bits - 1))
@@ -60,7 +61,25 @@ def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> BitFilt
     )
     out = np.zeros(bits // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return BitFilter(keys.sparkSession, folded(out))
+    return folded(out)
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> BitFilter:
+    """The same on its way to the tasks."""
+    return BitFilter(keys.sparkSession, filter_words(keys, column, bits))
+
+
+def possibly(rows: DataFrame, words: np.ndarray, key: Column, want: bool = True) -> DataFrame:
+    """Rows whose key the filter may hold, or with ``want`` false the others, by DataFrame functions."""
+    table = rows.sparkSession.createDataFrame(pa.table({"filter": [words.view(np.int64)]}))  # one row, bounded
+
+    def is_set(end: Column) -> Column:
+        slot = end.bitwiseAND(F.lit(len(words) * 64 - 1))
+        word = F.get("filter", F.shiftright(slot, 6).cast("int"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))) != 0
+
+    held = is_set(key) & is_set(F.shiftrightunsigned(key, 32))
+    return rows.join(F.broadcast(table), held if want else ~held, "left_semi")
 
 
 def hits(found: BitFilter, keys: np.ndarray) -> np.ndarray:

@@ -32,17 +32,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .filters import filter_words, possibly
 
-GAP = r"[ \t\x0B\f\r]+"
+#: Gaps between words other than the space.
+ODD_GAP = r"[\t\x0B\f\r]"
+
+
+def spaced(text: Column) -> Column:
+    """Words of a line apart by spaces only; most texts have no other gaps and stay as they are."""
+    return F.when(text.rlike(ODD_GAP), F.regexp_replace(text, ODD_GAP, " ")).otherwise(text)
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, GAP), lambda w: w != "")
+    # one plain character: no pattern is compiled for each line
+    return F.filter(F.split(line, " "), lambda w: w != "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null")
-    return texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("place", "line")).select(
+    return texts.select("doc_id", "text_key", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("place", "line")).select(
         "doc_id", "text_key", "place", words_of(F.col("line")).alias("words")
     )
 
@@ -160,14 +168,16 @@ def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, car
     )
     flags = copies.select("at.*", F.lit(True).alias("copy")).union(maybe.select("first.*", F.lit(False)))
     places = lambda copy: F.sort_array(F.collect_set(F.when(F.col("copy") == copy, F.col("place"))))
-    # places only; texts are joined with them once to get the open lines and once at the end
+    # places only; the texts that have some are joined with them once to get the open lines and once at the end
     marked = materialise(
         flags.groupBy("doc_id", "text_key").agg(places(True).alias("exact"), places(False).alias("open")), "flags"
     )
     text = ["doc_id", "text_key"]
-    opened = texts.select(*text, "text").join(marked.where(F.size("open") > 0).select(*text, "open"), text)
+    key = F.xxhash64(*text)
+    some_open = marked.where(F.size("open") > 0).select(*text, "open")
+    opened = possibly(texts.select(*text, "text"), filter_words(some_open.select(key.alias("key")), "key"), key).join(some_open, text)
     words = materialise(
-        opened.select(*text, F.split("text", "\n").alias("lines"), F.explode("open").alias("place")).select(
+        opened.select(*text, F.split(spaced(F.col("text")), "\n").alias("lines"), F.explode("open").alias("place")).select(
             F.struct(*text, "place").alias("first"), words_of(F.get("lines", F.col("place"))).alias("words")
         ).dropDuplicates(["first"]),
         "open-lines",
@@ -180,14 +190,17 @@ def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, car
         .select("first.*").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("near"))
     )
     none = F.array().cast("array<int>")
-    gone = marked.select(*text, "exact").join(near, text, "left")
-    # lines and bounds are columns of their own, so that they are made once a text
+    gone = materialise(
+        marked.select(*text, "exact").join(near, text, "left").where((F.size("exact") > 0) | F.col("near").isNotNull()), "gone"
+    )
+    held = filter_words(gone.select(key.alias("key")), "key")
+    # texts that lose no line are not shuffled; lines and bounds are columns of their own, so that they are made once a text
     ready = (
-        texts.join(gone, text, "left")
+        possibly(texts, held, key).join(gone, text, "left")
         .withColumns({"exact": F.coalesce("exact", none), "near": F.coalesce("near", none), "lines": F.split("text", "\n")})
         .withColumn("bounds", F.concat(F.array(F.lit(-1)), F.sort_array(F.concat("exact", "near")), F.array(F.size("lines"))))
     )
-    return ready.select(
+    cut = ready.select(
         "doc_id",
         F.when(F.size("bounds") > 2, _without(F.col("lines"), F.col("bounds"))).otherwise(F.col("text")).alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
@@ -195,6 +208,12 @@ def remove_lines(docs: DataFrame, least_words: int = 2, near_words: int = 8, car
         F.size("near").cast("long").alias("n_near"),
         "carried",
     )
+    zero = F.lit(0).cast("long")
+    whole = possibly(texts, held, key, False).select(
+        "doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        zero.alias("n_exact"), zero.alias("n_near"), "carried",
+    )
+    return whole.union(cut)
 
 
 SQL = r"""
