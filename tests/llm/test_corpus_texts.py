@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from oracle_compare import compare, connect
 from pyspark.sql import functions as F
 
-from traitspark.llm import bpe, filters, jaccard_join, line_dedup, mixing, perplexity, pii, quality_rules, queries, substring_dedup
+from traitspark.llm import bpe, filters, jaccard_join, line_dedup, mixing, perplexity, pii, quality_rules, queries, substring_dedup, words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ODD = [
@@ -94,6 +97,52 @@ def test_components_of_a_large_group_by_levels(spark):
     assert ordered(got) == ordered(linked(rows))
 
 
+def test_pairs_of_a_group_without_a_common_pivot(spark, monkeypatch):
+    """Copies too far from the pivot meet in many regions: each pair is emitted in few of them, and no link is lost."""
+    base, draw = [f"w{j}" for j in range(120)], random.Random(3)
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in draw.sample(range(120), draw.choice([3, 4, 5])):
+            words[k] = f"x{i}_{k}"
+        rows.append((i + 1, " ".join(words)))
+    written, old = {}, jaccard_join.materialise
+
+    def kept(frame, name="stage"):
+        written[name] = old(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(jaccard_join, "materialise", kept)
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), leaf=3, levels=2, one_in=1, least=2).collect()
+    assert ordered(got) == ordered(linked(rows))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(116)} for _, t in rows]
+    near = sum(len(a & b) >= 0.6 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert written["sketches"].where("place > held or held < 1").isEmpty()
+    assert written["pairs"].count() <= near
+
+
+def test_place_of_frequent_shingles():
+    draw = np.random.default_rng(5)
+    n = draw.integers(0, 9, 200)
+    row, key = np.repeat(np.arange(200), n), draw.integers(0, 1 << 60, n.sum())
+    order = np.lexsort((key, row))
+    key, late = key[order], draw.random(n.sum()) < 0.4
+    want = np.empty(len(row), np.int64)
+    want[np.lexsort((key, late, row))] = np.arange(len(row))
+    assert (jaccard_join.early_first(late, n, row) == want - (np.cumsum(n) - n)[row]).all()
+    assert len(jaccard_join.early_first(late[:0], n[:0], row[:0])) == 0
+
+
+def test_word_codes_tell_words_apart():
+    texts = ["a b a abcdefgh abcdefghi abcdefgh", "A \0 \0\0 " + "x" * 64 + " " + "x" * 65 + " " + "x" * 200 + " abcdefghi", "", "é" * 20 + " b"]
+    data, offsets = words.text_arrays(pa.array(texts))
+    found = words.Words(data, offsets)
+    plain = [w for t in texts for w in t.split(" ") if w]
+    for lower in (False, True):
+        same = [w.translate(str.maketrans("A", "a")) if lower else w for w in plain]
+        assert len(set(zip(same, found.codes(lower).tolist()))) == len(set(same)) == len(set(found.codes(lower).tolist()))
+
+
 def test_lines_match_sql(spark, sf_dir):
     assert compare(queries.QUERIES["op4_line_dedup"](spark, sf_dir), connect(sf_dir), queries.SQL["op4_line_dedup"]) == ""
 

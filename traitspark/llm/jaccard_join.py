@@ -9,7 +9,8 @@ two nodes link at a distance of at most ``r = 1 - percent / 100``.
    shingles in one order of all shingles, and linked nodes share such a region.
    Shingles that a sample of one text in eight shows to be frequent come last in
    the order, which keeps regions small; any order gives the same links.
-2. *Document pivots.* Each region's pivot is a node of it; nodes that share
+2. *Document pivots.* Each region's pivot is a node of it, in a large region the one
+   that shares most memberships of large regions with others; nodes that share
    enough of their regions with a pivot are measured exactly against it, so a
    group of near copies costs one measurement a member. Linked nodes form
    groups. Regions that still hold many nodes outside their pivot's group take
@@ -17,7 +18,9 @@ two nodes link at a distance of at most ``r = 1 - percent / 100``.
 3. *Windows.* What is left are pairs from different groups in one region. A node
    goes to the ring of its distance from the pivot and to the neighbouring
    rings, by the triangle inequality; nodes that were not measured go to all
-   rings. A pair must share enough regions for its sizes, and is then measured.
+   rings. A pair must share enough regions for its sizes, which sketches of the nodes'
+   regions bound within the join, and is then measured; it is emitted in the last few
+   of the regions it shares only.
 
 No cap drops a region, a node or a pair. A shingle is a 64-bit hash.
 
@@ -34,21 +37,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .filters import FILTER_BITS, BitFilter, bit_filter, groups, hits
+from .filters import FILTER_BITS, BitFilter, bit_filter, filter_words, groups, hits, possibly
 from .words import Words, mix, pieces, signed, unsigned
 
 SHINGLE = 5
 #: Bytes of text whose shingles a task holds at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
+#: Longs in the sketch of a node's regions.
+SKETCH = 8
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the different shingles and their text's row, ordered by row and hash."""
-    own = words.hashes(lower=True)
+    own = words.codes(lower=True)
     key, at = words.runs(own, size)
     row = words.row[at]
     for n in range(1, size):  # texts with fewer words: the whole sequence
@@ -59,8 +64,13 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
             for j in range(n):
                 total = mix(total + own[first + j])
             key, row = np.concatenate([key, total]), np.concatenate([row, short])
-    order = np.lexsort((key, row))
-    key, row = key[order], row[order]
+    if not np.all(row[1:] >= row[:-1]):
+        order = np.argsort(row, kind="stable")
+        key, row = key[order], row[order]
+    key = key.copy()
+    bounds = np.searchsorted(row, np.arange(len(words.count) + 1)).tolist()
+    for low, high in zip(bounds, bounds[1:]):
+        key[low:high].sort()
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
     return key[new], row[new]
@@ -92,18 +102,20 @@ def _node_rows(batches):
             )
 
 
-def _sample_rows(one_in: int):
-    """Shingles of one text in so many, by a hash of its set."""
+def _sample_rows(batches):
+    """Shingles of the sampled texts."""
+    for batch in batches:
+        for _, _, words in pieces(batch.column(0), PIECE_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(shingle_sets(words)[0]))], ["key"])
 
-    def emit(batches):
-        for batch in batches:
-            for low, high, words in pieces(batch.column(1), PIECE_BYTES):
-                key, row = shingle_sets(words)
-                node, _ = nodes_of(key, row, high - low)
-                some = (node >> np.uint64(40)) % np.uint64(one_in) == 0
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key[some[row]]))], ["key"])
 
-    return emit
+def early_first(late: np.ndarray, n: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Place of each shingle in its row (``n`` in each) when the late ones come last, else in the order given."""
+    before = np.concatenate([[0], np.cumsum(~late)])  # early ones
+    begin = np.cumsum(n) - n
+    early = (before[:-1] - before[begin][row]) if len(row) else before[:-1]
+    total = before[begin + n] - before[begin]
+    return np.where(late, total[row] + np.arange(len(row)) - begin[row] - early, early)
 
 
 def _prefix_rows(percent: int, frequent: BitFilter, recurring: BitFilter | None):
@@ -113,11 +125,7 @@ def _prefix_rows(percent: int, frequent: BitFilter, recurring: BitFilter | None)
                 key, row = shingle_sets(words)
                 node, n = nodes_of(key, row, high - low)
                 late = hits(frequent, key)
-                order = np.lexsort((key, late, row))
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                place -= (np.cumsum(n) - n)[row]
-                take = place < prefix(n, percent)[row]
+                take = early_first(late, n, row) < prefix(n, percent)[row]
                 if recurring is not None:
                     take &= hits(recurring, key)
                 key, row = key[take], row[take]
@@ -128,7 +136,7 @@ def _prefix_rows(percent: int, frequent: BitFilter, recurring: BitFilter | None)
     return emit
 
 
-def _set_rows(active: BitFilter, chosen: BitFilter):
+def _set_rows(chosen: BitFilter):
     """Whole sets of wanted nodes, from the text that stands for the node."""
 
     def emit(batches):
@@ -138,7 +146,7 @@ def _set_rows(active: BitFilter, chosen: BitFilter):
                 key, row = shingle_sets(words)
                 node, n = nodes_of(key, row, high - low)
                 stand = node ^ (unsigned(ids[low:high]) << np.uint64(20))
-                want = np.flatnonzero(hits(active, node) & hits(chosen, stand) & (n > 0))
+                want = np.flatnonzero(hits(chosen, stand) & (n > 0))
                 begin = np.cumsum(n) - n
                 sets = [key[begin[i] : begin[i] + n[i]].tobytes() for i in want.tolist()]
                 yield pa.RecordBatch.from_arrays(
@@ -168,7 +176,8 @@ class Join:
         self.known = self.texts.where("doc_id is not null")
         keyed = self.texts.withColumn("text_key", F.xxhash64("text"))
         self.nodes = materialise(keyed.mapInArrow(_node_rows, "doc_id long, text_key long, n long, node long"), "nodes")
-        seen = self.known.mapInArrow(_sample_rows(one_in), "key long").groupBy("key").count().where(F.col("count") >= least)
+        some = self.known.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text")
+        seen = some.mapInArrow(_sample_rows, "key long").groupBy("key").count().where(F.col("count") >= least)
         self.frequent = bit_filter(seen, "key", filter_bits)
 
     def members(self) -> DataFrame:
@@ -200,12 +209,14 @@ class Join:
     def measured(self, pairs: DataFrame) -> DataFrame:
         """``a, b, a_n, b_n, common`` of pairs of nodes, from their whole sets."""
         pairs = materialise(pairs, "pairs")
-        active = bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", self.bits)
+        active = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # the text that stands for each node; only texts whose id may be one of these are hashed
         stand = self.nodes.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        stand = stand.select(F.col("node").bitwiseXOR(F.expr("shiftleft(doc_id, 20)")).alias("stand"))
-        chosen = bit_filter(stand, "stand", self.bits)
-        sets = materialise(self.known.mapInArrow(_set_rows(active, chosen), "node long, shingles binary"), "sets")
-        active.drop()
+        wanted = materialise(stand.join(active, "node", "left_semi"), "wanted")
+        chosen = bit_filter(wanted.select(F.col("node").bitwiseXOR(F.expr("shiftleft(doc_id, 20)")).alias("stand")), "stand", self.bits)
+        ids = F.xxhash64("doc_id")
+        texts = possibly(self.known, filter_words(wanted.select(ids.alias("key")), "key", self.bits), ids)
+        sets = materialise(texts.mapInArrow(_set_rows(chosen), "node long, shingles binary"), "sets")
         chosen.drop()
         both = (
             pairs.join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b")
@@ -224,13 +235,56 @@ def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(groups(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def central(members: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """``region, pivot, pivot_n`` of every region, and ``node, weight`` of nodes in large ones.
+
+    In a region of more than ``leaf`` nodes the pivot is the node that shares the
+    most memberships of large regions with others: of a group of near copies, the
+    text that most of them are near to, and not one of its edited copies.
+    """
+    large = members.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > leaf)
+    heavy = materialise(members.join(large, "region"), "large-regions")
+    weights = materialise(heavy.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    middle = heavy.join(weights, "node").groupBy("region").agg(F.max(F.struct("weight", "node", "n")).alias("m"))
+    first = members.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p")).join(middle, "region", "left")
+    return first.select(
+        "region", F.coalesce("m.node", "p.node").alias("pivot"), F.coalesce("m.n", "p.n").alias("pivot_n")
+    ), weights
+
+
+def sketched(placed: DataFrame) -> DataFrame:
+    """Rows of regions with nodes outside their pivot's group, with what the node's list of such regions tells.
+
+    ``place`` is the region's place in that list, largest regions first, ``held`` the
+    length of the list and ``w0`` ... a bit set for each region in it.
+    """
+    sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.max(~F.col("inner")).alias("some")).where("some")
+    node = Window.partitionBy("node")  # no more rows than a text has shingles
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("region", 3).bitwiseAND(F.lit(63)).cast("int"))
+    word = F.col("region").bitwiseAND(F.lit(SKETCH - 1))
+    words = [
+        F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).over(node).alias(f"w{i}") for i in range(SKETCH)
+    ]
+    place = F.row_number().over(node.orderBy(F.desc("size"), "region")).alias("place")
+    return placed.join(sizes.drop("some"), "region").select(*placed.columns, place, F.count(F.lit(1)).over(node).alias("held"), *words)
+
+
+def most_shared():
+    """How many regions of their lists two nodes share at most: a bit that only one has is of a region the other lacks."""
+
+    def bound(a: str, b: str):
+        return F.col(f"{a}.held") - sum(
+            F.bit_count(F.col(f"{a}.w{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.w{i}")))) for i in range(SKETCH)
+        )
+
+    return F.least(bound("x", "y"), bound("y", "x"))
+
+
 def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf: int, levels: int, filter_bits: int):
     """The nodes of all documents and the links that join their groups."""
     run = Join(docs, percent, one_in, least, filter_bits)
     members = run.members()
-    pivots = members.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p")).select(
-        "region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")
-    )
+    pivots, weights = central(members, leaf)
     links = distances = None
     for level in range(levels):
         pivots = materialise(pivots, "pivots")
@@ -249,9 +303,9 @@ def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf:
             "pivots",
         )
         outside = rooted.join(of_pivot, "region").where("root <> main")
-        large = outside.groupBy("region").agg(F.count(F.lit(1)).alias("left"), F.min(F.struct("node", "n")).alias("p")).where(
-            F.col("left") > leaf
-        )
+        large = outside.join(weights, "node", "left").groupBy("region").agg(
+            F.count(F.lit(1)).alias("left"), F.max(F.struct("weight", "node", "n")).alias("p")
+        ).where(F.col("left") > leaf)
         pivots = large.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
         if level == 0:
             mains = of_pivot
@@ -270,6 +324,7 @@ def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf:
         "ring", F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col("ring"))
     )
     placed = materialise(placed.select("region", "node", "n", "root", "ring", (F.col("root") == F.col("main")).alias("inner")), "rings")
+    placed = materialise(sketched(placed), "sketches")
     every = F.sequence(F.lit(-1), F.lit(last))
     # a measured node has its own ring as home and is copied to the two beside it;
     # nodes that were not measured are at home in ring -1, which all nodes are copied to
@@ -280,16 +335,17 @@ def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf:
     same = (F.col("x.region") == F.col("y.region")) & (F.col("x.ring") == F.col("y.ring"))
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.inner") | (F.col("x.node") < F.col("y.node")))
     size = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    # linked nodes share so many regions: one of these is at that place or later in the list of the smaller node
+    needed = run.needed("x.n", "y.n")
+    late = F.when(F.col("x.node") < F.col("y.node"), F.col("x.place")).otherwise(F.col("y.place")) >= needed
     pairs = (
-        x.join(y, same & apart & size)
+        x.join(y, same & apart & size & late & (most_shared() >= needed))
         .select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
             F.when(F.col("x.node") < F.col("y.node"), F.col("x.n")).otherwise(F.col("y.n")).alias("a_n"),
             F.when(F.col("x.node") < F.col("y.node"), F.col("y.n")).otherwise(F.col("x.n")).alias("b_n"),
         )
-        .groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("regions"))
-        .where(F.col("regions") >= run.needed("a_n", "b_n"))
-        .drop("regions")
+        .distinct()
     )
     pairs = materialise(pairs, "pairs")
     if not pairs.isEmpty():

@@ -32,6 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(256, dtype=np.uint64))
+#: The first bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed byte by byte.
+LONG = 64
 
 
 def powers(n: int, base: int = 0xD1342543DE82EF95) -> np.ndarray:
@@ -85,6 +89,26 @@ class Words:
         self._hashes[lower, seed] = out
         return out
 
+    def codes(self, lower: bool = False) -> np.ndarray:
+        """Another 64-bit hash of each word's bytes, eight at a time, computed once; much faster for common words."""
+        if (lower, -1) in self._hashes:
+            return self._hashes[lower, -1]
+        data = np.concatenate([LOWER[self.data] if lower else self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        size = self.end - self.start
+        out = mix((eight[self.start] & _FIRST[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64)))
+        more = np.flatnonzero((size > 8) & (size <= LONG))
+        for at in range(8, LONG, 8):
+            out[more] = mix(out[more] + (eight[self.start[more] + at] & _FIRST[np.minimum(size[more] - at, 8)]))
+            more = more[size[more] > at + 8]
+            if not len(more):
+                break
+        if (size > LONG).any():
+            out[size > LONG] = self.hashes(lower)[size > LONG]
+        out.flags.writeable = False
+        self._hashes[lower, -1] = out
+        return out
+
     def runs(self, hashes: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every ``k`` consecutive words of one text, and the index of the first word."""
         n = len(hashes) - k + 1
