@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,32 @@ def test_components_of_a_large_group_by_levels(spark):
     assert ordered(got) == ordered(linked(rows))
 
 
+def test_recurring_stretch_streams_once(monkeypatch):
+    streamed = []
+
+    class Counted:
+        def __init__(self, *kinds):
+            self.own = automata.Automaton(*kinds)
+            self.add_word, self.make_automaton = self.own.add_word, self.own.make_automaton
+
+        def __len__(self):
+            return len(self.own)
+
+        def iter(self, ids):
+            streamed.append(ids)
+            return self.own.iter(ids)
+
+    automata = substring_dedup.ahocorasick
+    fake = types.SimpleNamespace(Automaton=Counted, STORE_ANY=automata.STORE_ANY, KEY_SEQUENCE=automata.KEY_SEQUENCE)
+    monkeypatch.setattr(substring_dedup, "ahocorasick", fake)
+    text = " ".join(f"w{i}" for i in range(14)).encode()
+    rows = [(0, 0, 1, 3, None, None, text)] + [(0, 0, None, doc, doc * 10, place, text) for doc, place in [(1, 0), (2, 5), (3, 0), (3, 40)]]
+    kinds = [pa.int64()] * 6 + [pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], list("abcdefg"))
+    out = [tuple(r.values()) for b in substring_dedup._locate(13)([batch]) for r in b.to_pylist()]
+    assert out == [(2, 20, 5, 19), (3, 30, 0, 14), (3, 30, 40, 54)] and len(streamed) == 1
+
+
 def test_pairs_of_a_group_without_a_common_pivot(spark, monkeypatch):
     """Copies too far from the pivot meet in many regions: each pair is emitted in few of them, and no link is lost."""
     base, draw = [f"w{j}" for j in range(120)], random.Random(3)

@@ -37,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .filters import FILTER_BITS, BitFilter, bit_filter, hits
-from .words import Words, mix, pieces, signed
+from .filters import FILTER_BITS, BitFilter, bit_filter, filter_words, hits, possibly
+from .words import Words, mix, pieces, signed, text_arrays
 
 ANCHOR = 5
 
 
 def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows within one text: first word, place of the anchor, hash of the anchor."""
-    gram, at = words.runs(words.hashes(), ANCHOR)
+    gram, at = words.runs(words.codes(), ANCHOR)
     span = width - ANCHOR + 1
     n = len(at) - span + 1
     if n <= 0:
@@ -68,7 +68,7 @@ def _text_key(words: Words) -> np.ndarray:
     full = np.flatnonzero(words.count)
     if len(full):
         place = np.arange(len(words)) - words.first[words.row]
-        out[full] = np.add.reduceat(mix(words.hashes() + mix(place.astype(np.uint64))), words.first[full])
+        out[full] = np.add.reduceat(mix(words.codes() + mix(place.astype(np.uint64))), words.first[full])
     return mix(out + words.count.astype(np.uint64))
 
 
@@ -102,7 +102,7 @@ def _key_rows(batches):
 
 def _pairs(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     """Different pairs of a piece."""
-    order = np.lexsort((doc, key))
+    order = np.argsort(key, kind="stable")  # equal keys of one text stay together
     key, doc = key[order], doc[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
@@ -124,7 +124,7 @@ def _window_rows(width: int, firsts: BitFilter, anchors: BitFilter):
     def emit(batches):
         for ids, words, _ in _known(batches, firsts):
             first, _, key = _windows(words, width)
-            whole, _ = words.runs(words.hashes(), width)
+            whole, _ = words.runs(words.codes(), width)
             some = hits(anchors, key)
             yield _pairs(whole[some], ids[words.row[first[some]]])
 
@@ -137,7 +137,7 @@ def _stretch_rows(width: int, firsts: BitFilter, anchors: BitFilter, proposed: B
     def emit(batches):
         for ids, words, text_key in _known(batches, firsts):
             first, place, key = _windows(words, width)
-            whole, _ = words.runs(words.hashes(), width)
+            whole, _ = words.runs(words.codes(), width)
             some = np.flatnonzero(hits(anchors, key) & hits(proposed, whole))
             first, place, key = first[some], place[some], key[some]
             new = np.ones(len(some), bool)
@@ -165,12 +165,11 @@ def _stretch_rows(width: int, firsts: BitFilter, anchors: BitFilter, proposed: B
 def _locate(width: int):
     """Rows come by shard: first its different stretches with first and last document, then those of all documents."""
 
-    def compiled(sources: list[tuple], bounds: dict[tuple, list[int]]):
+    def compiled(sources: list[tuple[tuple, list[list[int]]]]):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for ids in sources:
+        for ids, cells in sources:
             found = []  # runs of phrases with one first document
-            for i in range(len(ids) - width + 1):
-                low, high = bounds[ids[i : i + width]]
+            for i, (low, high) in enumerate(cells):
                 if low == high:
                     continue
                 if found and found[-1][2] == low and found[-1][1] == i - 1:
@@ -185,58 +184,70 @@ def _locate(width: int):
         return None
 
     def emit(batches):
-        shard, sources, bounds, number, automaton = None, [], {}, {}, None
+        shard, sources, bounds, number, automaton, located = None, [], {}, {}, None, {}
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
             columns = [batch.column(i).to_pylist() for i in range(7)]
             for s, salt, low, doc, text_key, place, text in zip(*columns):
                 if (s, salt) != shard:
-                    shard, sources, bounds, number, automaton = (s, salt), [], {}, {}, None
-                words = text.split()
+                    shard, sources, bounds, number, automaton, located = (s, salt), [], {}, {}, None, {}
                 if low is not None:
-                    ids = tuple([number.setdefault(w, len(number) + 1) for w in words])
-                    sources.append(ids)
+                    ids = tuple([number.setdefault(w, len(number) + 1) for w in text.split()])
+                    cells = []  # first and last document of each window, shared by all stretches that hold it
                     for i in range(len(ids) - width + 1):
-                        window = ids[i : i + width]
-                        known = bounds.get(window)
-                        if known is None:
-                            bounds[window] = (low, doc)
-                        elif low < known[0] or doc > known[1]:
-                            bounds[window] = (min(known[0], low), max(known[1], doc))
+                        cell = bounds.setdefault(ids[i : i + width], [low, doc])
+                        if low < cell[0]:
+                            cell[0] = low
+                        if doc > cell[1]:
+                            cell[1] = doc
+                        cells.append(cell)
+                    sources.append((ids, cells))
                     continue
                 if sources:
-                    automaton, sources, bounds = compiled(sources, bounds), [], {}
+                    automaton, sources, bounds = compiled(sources), [], {}
                 if automaton is None:
                     continue
-                for stop, (size, found) in automaton.iter(tuple([number.get(w, 0) for w in words])):
-                    at = place + stop - size + 1
-                    for begin, end, first in found:
-                        if first < doc:
-                            out.append((doc, text_key, at + begin, at + end + width))
+                spans = located.get(text)  # a stretch that recurs in the shard streams through once
+                if spans is None:
+                    spans = located[text] = [
+                        (stop - size + 1 + begin, stop - size + 1 + end + width, first)
+                        for stop, (size, found) in automaton.iter(tuple([number.get(w, 0) for w in text.split()]))
+                        for begin, end, first in found
+                    ]
+                for begin, end, first in spans:
+                    if first < doc:
+                        out.append((doc, text_key, place + begin, place + end))
             cells = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], ["doc", "text_key", "begin", "end"])
 
     return emit
 
 
-def _plain_rows(affected: BitFilter, want: bool):
-    """Documents that lose nothing are finished here; with ``want``, those that may lose words go on."""
-
-    def emit(batches):
-        for batch in batches:
-            for low, high, words in pieces(batch.column(1)):
-                ids = batch.column(0).slice(low, high - low)
-                key = _text_key(words)
-                row = np.flatnonzero(hits(affected, key) == want)
-                raw, bounds = words.data.tobytes(), words.offsets
-                kept = [b" ".join(raw[a:b].split()) for a, b in zip(bounds[row].tolist(), bounds[row + 1].tolist())]
-                last = pa.array(signed(key)[row]) if want else pa.array(np.zeros(len(row), np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row)), pa.array(words.count[row]), last, pa.array(kept, pa.binary())],
-                    ["doc_id", "n_words", "text_key" if want else "n_removed", "kept"],
-                )
-
-    return emit
+def _plain_rows(batches):
+    """Documents that lose nothing."""
+    for batch in batches:
+        data, offsets = text_arrays(batch.column(1))
+        raw, bounds = data.tobytes(), offsets.tolist()
+        words = [raw[a:b].split() for a, b in zip(bounds, bounds[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(np.zeros(len(words), np.int64)),
+                pa.array([b" ".join(w) for w in words], pa.binary()),
+            ],
+            ["doc_id", "n_words", "n_removed", "kept"],
+        )
+
+
+def _affected_rows(batches):
+    """Documents that may lose words, with the hash of these."""
+    for batch in batches:
+        for low, high, words in pieces(batch.column(1)):
+            raw, bounds = words.data.tobytes(), words.offsets.tolist()
+            kept = [b" ".join(raw[a:b].split()) for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(low, high - low), pa.array(words.count), pa.array(signed(_text_key(words))), pa.array(kept, pa.binary())],
+                ["doc_id", "n_words", "text_key", "kept"],
+            )
 
 
 def _cut_rows(width: int):
@@ -329,10 +340,13 @@ def remove_repeats(
     spans = materialise(
         spans.groupBy("doc", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans"
     )
-    affected = bit_filter(spans, "text_key", filter_bits)
-    whole = texts.mapInArrow(_plain_rows(affected, False), "doc_id long, n_words long, n_removed long, kept binary")
+    ids = F.xxhash64("doc_id")
+    affected = filter_words(spans.select(F.xxhash64("doc").alias("key")), "key", filter_bits)
+    whole = possibly(texts, affected, ids, False).mapInArrow(
+        _plain_rows, "doc_id long, n_words long, n_removed long, kept binary"
+    )
     cut = (
-        texts.mapInArrow(_plain_rows(affected, True), "doc_id long, n_words long, text_key long, kept binary")
+        possibly(texts, affected, ids).mapInArrow(_affected_rows, "doc_id long, n_words long, text_key long, kept binary")
         .join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "text_key"], "left")
         .select("doc_id", "n_words", "kept", "spans")
         .mapInArrow(_cut_rows(width), "doc_id long, n_words long, n_removed long, kept binary")
