@@ -124,6 +124,53 @@ def test_recurring_stretch_streams_once(monkeypatch):
     assert out == [(2, 20, 5, 19), (3, 30, 0, 14), (3, 30, 40, 54)] and len(streamed) == 1
 
 
+def located(rows):
+    kinds = [pa.int64()] * 6 + [pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], list("abcdefg"))
+    return [tuple(r.values()) for b in substring_dedup._locate(13)([batch.slice(0, 3), batch.slice(3)]) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("characters", [1 << 20, 5])
+def test_phrases_that_stretches_share_are_compiled_once(monkeypatch, characters):
+    added, automata = [], substring_dedup.ahocorasick
+
+    class Counted:
+        def __init__(self, *kinds):
+            self.own = automata.Automaton(*kinds)
+            self.iter, self.make_automaton = self.own.iter, self.own.make_automaton
+
+        def __len__(self):
+            return len(self.own)
+
+        def add_word(self, word, value):
+            new = self.own.add_word(word, value)
+            added.extend([len(word)] * new)  # not where the automaton has it
+            return new
+
+    fake = types.SimpleNamespace(Automaton=Counted, STORE_ANY=automata.STORE_ANY, KEY_SEQUENCE=automata.KEY_SEQUENCE)
+    monkeypatch.setattr(substring_dedup, "ahocorasick", fake)
+    monkeypatch.setattr(substring_dedup, "CHARACTERS", characters, raising=False)
+    one, two, other = (" ".join(f"w{i}" for i in r).encode() for r in (range(16), range(2, 19), range(30, 44)))
+    rows = [(0, 0, 1, 1, None, None, one), (0, 0, 3, 3, None, None, two), (0, 0, 5, 5, None, None, other)]
+    rows += [(0, 0, None, 3, 30, 7, two), (0, 0, None, 1, 10, 4, one), (0, 0, None, 5, 50, 0, other)]
+    # the same words in another shard, by two documents
+    rows += [(1, 0, 2, 4, None, None, other), (1, 0, None, 2, 20, 0, other), (1, 0, None, 4, 40, 9, other)]
+    assert located(rows) == [(3, 30, 7, 21), (4, 40, 9, 23)]
+    assert added == [14, 14]
+
+
+def test_windows_with_one_hash_are_told_apart():
+    draw = np.random.default_rng(7)
+    number = np.concatenate([draw.integers(1, 3, 200), np.tile([1, 2, 2], 40)])
+    at = np.arange(len(number) - 4)
+    want = {tuple(number[i : i + 5]) for i in at}
+    for window in (np.zeros(len(at), np.uint64), number[at].astype(np.uint64)):
+        order, begin = substring_dedup.equal_runs(number, window, at, 5)
+        parts = [{tuple(number[i : i + 5]) for i in at[part]} for part in np.split(order, begin[1:])]
+        assert all(len(p) == 1 for p in parts) and len(parts) == len(want) and set().union(*parts) == want
+        assert sorted(order) == list(range(len(at)))
+
+
 def test_pairs_of_a_group_without_a_common_pivot(spark, monkeypatch):
     """Copies too far from the pivot meet in many regions: each pair is emitted in few of them, and no link is lost."""
     base, draw = [f"w{j}" for j in range(120)], random.Random(3)

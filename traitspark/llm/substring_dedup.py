@@ -12,10 +12,10 @@ word (if they fill a window) and take no part in what follows.
    stretches are combined before they are shuffled; their windows are compared
    word by word, and those that start in two documents are phrases.
 3. *Locate.* Stretches are dealt into shards by anchor. A task compiles the
-   different stretches of its shard that hold phrases into an Aho-Corasick
-   automaton over words, each with the places of its phrases, and the stretches
-   of every document stream through it; a shard with many stretches is dealt
-   over several tasks that each compile it.
+   different phrases of its shard, neighbours with one first document as one,
+   into Aho-Corasick automata over words, each for some of the anchors, and the
+   stretches of every document stream through that of their anchor, equal ones once;
+   a shard with many stretches is dealt over several tasks that each compile it.
 
 Hashes only propose: phrases are compared word by word.
 
@@ -33,14 +33,19 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .filters import FILTER_BITS, BitFilter, bit_filter, filter_words, hits, possibly
-from .words import Words, mix, pieces, signed, text_arrays
+from .words import SPACE, Words, mix, pieces, signed, text_arrays
 
 ANCHOR = 5
+#: Automata of a shard. Finding a word among those that phrases begin with takes time in proportion to their number.
+AUTOMATA = 32
+#: Different words of an automaton that have a character each; with more, words are whole numbers.
+CHARACTERS = 0x110000
 
 
 def _windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,63 +167,137 @@ def _stretch_rows(width: int, firsts: BitFilter, anchors: BitFilter, proposed: B
     return emit
 
 
+class Phrases:
+    """The automaton over the phrases of a shard's stretches, and where each stretch holds phrases."""
+
+    def __init__(self, sources: list[pa.RecordBatch], width: int):
+        """``sources``: the different stretches, with the first and the last document of each."""
+        low, high = (np.concatenate([s.column(i).to_numpy() for s in sources]) for i in (2, 3))
+        self.texts = pa.concat_arrays([s.column(6) for s in sources])
+        texts = self.texts.cast(pa.large_binary())
+        words = Words(*byte_arrays(texts))
+        # words are numbered by their bytes, so that equal numbers are equal words
+        size = words.end - words.start
+        only = [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(words.data[~SPACE[words.data]])]
+        named = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), only).dictionary_encode()
+        number = named.indices.to_numpy().astype(np.int64) + 1
+        self.bounds = words.first.tolist()
+        text = len(named.dictionary) < CHARACTERS
+        self.numbers = number.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") if text else number.tolist()
+        kind = [] if text else [ahocorasick.KEY_SEQUENCE]
+        self.automaton, self.located = ahocorasick.Automaton(ahocorasick.STORE_ANY, *kind), {}
+        window, at = words.runs(mix(number.view(np.uint64)), width)
+        order, begin = equal_runs(number, window, at, width)
+        if not len(begin):
+            return
+        # first and last document of each window, over all stretches that hold it
+        count = np.diff(np.append(begin, len(order)))
+        row = words.row[at]
+        first, last = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        first[order] = np.repeat(np.minimum.reduceat(low[row[order]], begin), count)
+        last[order] = np.repeat(np.maximum.reduceat(high[row[order]], begin), count)
+        phrase = np.flatnonzero(first < last)
+        at, first = at[phrase], first[phrase]
+        new = np.ones(len(at), bool)  # runs of phrases with one first document
+        new[1:] = (np.diff(at) != 1) | (first[1:] != first[:-1])
+        begin = np.flatnonzero(new)
+        ends = at[np.append(begin[1:], len(at)) - 1] + width if len(at) else at
+        for i, j, document in zip(at[begin].tolist(), ends.tolist(), first[begin].tolist()):
+            self.automaton.add_word(self._key(i, j), (j - i, document))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def _key(self, i: int, j: int):
+        own = self.numbers[i:j]
+        return own if isinstance(own, str) else tuple(own)
+
+    def spans(self, source: int) -> list[tuple[int, int, int]]:
+        """``begin, end, first document`` in a stretch, which streams through once."""
+        if source not in self.located:
+            found = sorted(
+                (stop - size + 1, -stop - 1, first)
+                for stop, (size, first) in self.automaton.iter(self._key(self.bounds[source], self.bounds[source + 1]))
+            )
+            kept, reached = [], 0
+            for begin, end, first in found:
+                if -end > reached:  # else within one that is found, whose windows it has
+                    kept.append((begin, -end, first))
+                    reached = -end
+            self.located[source] = kept
+        return self.located[source]
+
+    def rows(self, streams: pa.RecordBatch) -> list[np.ndarray]:
+        """``doc, text_key, begin, end`` of what an earlier document has, in the order of the stretches."""
+        # every stretch is among its shard's different ones
+        source = pc.index_in(streams.column(6), value_set=self.texts).to_numpy()
+        used, which = np.unique(source, return_inverse=True)
+        spans = [self.spans(i) for i in used.tolist()]
+        count = np.array([len(x) for x in spans], np.int64)
+        flat = np.array([y for x in spans for y in x], np.int64).reshape(-1, 3)
+        of = np.repeat(np.arange(len(source)), count[which])
+        total = np.cumsum(count[which])
+        at = (np.cumsum(count) - count)[which][of] + np.arange(len(of)) - (total - count[which])[of]
+        doc, text_key, place = (streams.column(i).to_numpy()[of] for i in (3, 4, 5))
+        late = flat[at, 2] < doc
+        return [doc[late], text_key[late], (place + flat[at, 0])[late], (place + flat[at, 1])[late]]
+
+
+def byte_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets, from zero on, of an array of large binaries without nulls."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def equal_runs(number: np.ndarray, window: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of windows of words that puts equal ones together, and where each different one begins.
+
+    ``window``: their hashes, which only propose: words are compared, and windows with a hash that
+    different ones share are ordered by their words.
+    """
+    order = np.argsort(window, kind="stable")
+    if not len(order):
+        return order, order
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(window[order]) != 0
+    same = np.ones(len(order), bool)
+    for j in range(width):
+        own = number[at[order] + j]
+        same[1:] &= own[1:] == own[:-1]
+    if (~new & ~same).any():
+        order = np.lexsort([number[at + j] for j in reversed(range(width))])
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for j in range(width):
+            own = number[at[order] + j]
+            new[1:] |= own[1:] != own[:-1]
+    return order, np.flatnonzero(new)
+
+
 def _locate(width: int):
-    """Rows come by shard: first its different stretches with first and last document, then those of all documents."""
-
-    def compiled(sources: list[tuple[tuple, list[list[int]]]]):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for ids, cells in sources:
-            found = []  # runs of phrases with one first document
-            for i, (low, high) in enumerate(cells):
-                if low == high:
-                    continue
-                if found and found[-1][2] == low and found[-1][1] == i - 1:
-                    found[-1][1] = i
-                else:
-                    found.append([i, i, low])
-            if found:
-                automaton.add_word(ids, (len(ids), found))
-        if len(automaton):
-            automaton.make_automaton()
-            return automaton
-        return None
+    """Rows come by shard, here that of one automaton: first its different stretches with first and last document, then those of all documents."""
 
     def emit(batches):
-        shard, sources, bounds, number, automaton, located = None, [], {}, {}, None, {}
+        shard, sources, phrases = None, [], None
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for s, salt, low, doc, text_key, place, text in zip(*columns):
-                if (s, salt) != shard:
-                    shard, sources, bounds, number, automaton, located = (s, salt), [], {}, {}, None, {}
-                if low is not None:
-                    ids = tuple([number.setdefault(w, len(number) + 1) for w in text.split()])
-                    cells = []  # first and last document of each window, shared by all stretches that hold it
-                    for i in range(len(ids) - width + 1):
-                        cell = bounds.setdefault(ids[i : i + width], [low, doc])
-                        if low < cell[0]:
-                            cell[0] = low
-                        if doc > cell[1]:
-                            cell[1] = doc
-                        cells.append(cell)
-                    sources.append((ids, cells))
+            out = [[np.zeros(0, np.int64)] * 4]
+            of = [batch.column(i).to_numpy() for i in (0, 1)] + [batch.column(2).is_null().to_numpy(zero_copy_only=False)]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in of], axis=0)) + 1 if batch.num_rows else []
+            for low, high in zip([0, *cut], [*cut, batch.num_rows]):
+                part = batch.slice(low, high - low)
+                if not part.num_rows:
                     continue
-                if sources:
-                    automaton, sources, bounds = compiled(sources), [], {}
-                if automaton is None:
+                if (of[0][low], of[1][low]) != shard:
+                    shard, sources, phrases = (of[0][low], of[1][low]), [], None
+                if not of[2][low]:
+                    sources.append(part)
                     continue
-                spans = located.get(text)  # a stretch that recurs in the shard streams through once
-                if spans is None:
-                    spans = located[text] = [
-                        (stop - size + 1 + begin, stop - size + 1 + end + width, first)
-                        for stop, (size, found) in automaton.iter(tuple([number.get(w, 0) for w in text.split()]))
-                        for begin, end, first in found
-                    ]
-                for begin, end, first in spans:
-                    if first < doc:
-                        out.append((doc, text_key, place + begin, place + end))
-            cells = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], ["doc", "text_key", "begin", "end"])
+                if phrases is None:
+                    phrases, sources = Phrases(sources, width), []
+                if len(phrases.automaton):
+                    out.append(phrases.rows(part))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["doc", "text_key", "begin", "end"])
 
     return emit
 
@@ -287,8 +366,8 @@ def remove_repeats(
 
     A word goes when a window of ``width`` words covers it whose words also
     start in a document with a smaller ``doc_id``. ``shard_stretches`` and
-    ``task_stretches`` set the size of an automaton and of a task, not what is
-    found.
+    ``task_stretches`` set the size of a shard's automata and of a task, not what
+    is found.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -315,21 +394,24 @@ def remove_repeats(
         "stretches",
     )
     shards = max(1, -(-different.count() // shard_stretches))
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
-    salts = different.groupBy(shard).agg(F.ceil(F.sum("n") / F.lit(task_stretches)).cast("int").alias("salts"))
+    # a shard is dealt out as a whole and has several automata, as all its phrases hang on the root of one
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards * AUTOMATA)).cast("long")
+    group = F.floor(shard / F.lit(AUTOMATA)).cast("long").alias("group")
+    salts = different.groupBy(group).agg(F.ceil(F.sum("n") / F.lit(task_stretches)).cast("int").alias("salts"))
     none = F.lit(None).cast("long")
-    streams = stretches.withColumn("shard", shard).join(F.broadcast(salts) if shards <= 10_000 else salts, "shard").select(
+    of_shard = {"shard": shard, "group": group}
+    streams = stretches.withColumns(of_shard).join(F.broadcast(salts) if shards <= 10_000 else salts, "group").select(
         "shard", F.pmod(F.xxhash64("doc", "place"), F.col("salts")).cast("int").alias("salt"), none.alias("low"),
         "doc", "text_key", "place", "stretch",
     )
-    sources = different.withColumn("shard", shard).join(salts, "shard").select(
+    sources = different.withColumns(of_shard).join(salts, "group").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "low",
         F.col("high").alias("doc"), none.alias("text_key"), none.alias("place"), "stretch",
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = (
         sources.union(streams)
-        .repartition(parts, "shard", "salt")
+        .repartition(parts, F.floor(F.col("shard") / F.lit(AUTOMATA)), "salt")
         .sortWithinPartitions("shard", "salt", F.col("low").isNull())
         .mapInArrow(_locate(width), "doc long, text_key long, begin long, end long")
     )
