@@ -171,6 +171,31 @@ def test_windows_with_one_hash_are_told_apart():
         assert sorted(order) == list(range(len(at)))
 
 
+def test_later_levels_take_open_regions_only(spark, monkeypatch):
+    """Near copies of a large group far from its pivot need more levels; those of small groups are grouped once."""
+    draw, rows = random.Random(5), []
+    for group, size in [(0, 60)] + [(g, 2) for g in range(1, 80)]:
+        for i in range(size):
+            words = [f"g{group}w{j}" for j in range(120)]
+            for k in draw.sample(range(120), draw.choice([3, 4, 5]) if size > 2 else 1):
+                words[k] = f"x{group}_{i}_{k}"
+            rows.append((len(rows) + 1, " ".join(words)))
+    written, old = collections.defaultdict(list), jaccard_join.materialise
+
+    def kept(frame, name="stage"):
+        out = old(frame, name)
+        written[name].append(out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", kept)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.components(frame, leaf=8, levels=3, one_in=1, least=2).collect()
+    assert ordered(got) == ordered(linked(rows))
+    whole, *later = [x.count() for x in written["rooted"]]
+    assert whole == written["regions"][0].count()
+    assert later and max(later) < whole - 79 * 2 * 5
+
+
 def test_pairs_of_a_group_without_a_common_pivot(spark, monkeypatch):
     """Copies too far from the pivot meet in many regions: each pair is emitted in few of them, and no link is lost."""
     base, draw = [f"w{j}" for j in range(120)], random.Random(3)

@@ -13,8 +13,8 @@ two nodes link at a distance of at most ``r = 1 - percent / 100``.
    that shares most memberships of large regions with others; nodes that share
    enough of their regions with a pivot are measured exactly against it, so a
    group of near copies costs one measurement a member. Linked nodes form
-   groups. Regions that still hold many nodes outside their pivot's group take
-   another pivot from these, level by level.
+   groups. Regions that still hold many nodes outside the groups of their pivots take
+   another pivot from these, level by level; a level reads no other region's groups.
 3. *Windows.* What is left are pairs from different groups in one region. A node
    goes to the ring of its distance from the pivot and to the neighbouring
    rings, by the triangle inequality; nodes that were not measured go to all
@@ -235,6 +235,12 @@ def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(groups(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def of_pivots(pivots: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Pivots with the group ``main`` that each is in."""
+    own = rooted.select("region", F.col("node").alias("pivot"), F.col("root").alias("main"))
+    return pivots.join(own, ["region", "pivot"])
+
+
 def central(members: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     """``region, pivot, pivot_n`` of every region, and ``node, weight`` of nodes in large ones.
 
@@ -285,9 +291,9 @@ def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf:
     run = Join(docs, percent, one_in, least, filter_bits)
     members = run.members()
     pivots, weights = central(members, leaf)
-    links = distances = None
+    links = distances = again = None
+    left, pivots = members, materialise(pivots, "pivots")
     for level in range(levels):
-        pivots = materialise(pivots, "pivots")
         shared = (
             members.join(pivots, "region").where("node <> pivot").groupBy("node", "n", "pivot", "pivot_n")
             .agg(F.count(F.lit(1)).alias("regions"))
@@ -297,30 +303,38 @@ def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf:
         found = run.measured(shared)
         distances = found if distances is None else distances.union(found)
         links = run.links(found) if links is None else links.union(run.links(found))
-        rooted = materialise(grouped(members, links), "rooted")
-        of_pivot = materialise(
-            pivots.join(rooted.select("region", F.col("node").alias("pivot"), F.col("root").alias("main")), ["region", "pivot"]),
-            "pivots",
-        )
-        outside = rooted.join(of_pivot, "region").where("root <> main")
+        # later levels: only what large regions have outside the groups of all their pivots so far
+        rooted = materialise(grouped(left, links), "rooted")
+        of_pivot = of_pivots(pivots, rooted)
+        if level == 0:
+            every = rooted
+            mains = of_pivot = materialise(of_pivot, "pivots")
+        outside = rooted.join(of_pivot.select("region", "main"), "region").where("root <> main")
         large = outside.join(weights, "node", "left").groupBy("region").agg(
             F.count(F.lit(1)).alias("left"), F.max(F.struct("weight", "node", "n")).alias("p")
         ).where(F.col("left") > leaf)
-        pivots = large.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        if level == 0:
-            mains = of_pivot
+        if level + 1 == levels:
+            break
+        pivots = materialise(large.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
         if pivots.isEmpty():
             break
+        left = materialise(outside.join(pivots, "region", "left_semi").select(*members.columns), "outside")
+        if again is None:  # regions of later levels are among these
+            again = pivots.select("region")
+    rooted = every
+    if again is not None:
+        # the other regions keep the groups of the first level, which any later ones contain
+        anew = materialise(grouped(members.join(again, "region", "left_semi"), links), "rooted")
+        rooted = every.join(again, "region", "left_anti").unionByName(anew)
+        moved = of_pivots(mains.join(again, "region", "left_semi").drop("main"), anew)
+        mains = mains.join(again, "region", "left_anti").unionByName(moved)
     # rings about each region's first pivot, whose own group needs no pairs within it
     d = 1 - F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common"))
     ring = distances.select(
         F.col("a").alias("node"), F.col("b").alias("pivot"), F.floor(d * 100 / (100 - percent)).cast("int").alias("ring")
     ).distinct()
-    mains = mains.select("region", "pivot").join(
-        rooted.select("region", F.col("node").alias("pivot"), F.col("root").alias("main")), ["region", "pivot"]
-    )
     last = -(-100 // (100 - percent))
-    placed = rooted.join(mains, "region").join(ring, ["node", "pivot"], "left").withColumn(
+    placed = rooted.join(mains.drop("pivot_n"), "region").join(ring, ["node", "pivot"], "left").withColumn(
         "ring", F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col("ring"))
     )
     placed = materialise(placed.select("region", "node", "n", "root", "ring", (F.col("root") == F.col("main")).alias("inner")), "rings")
