@@ -1,10 +1,13 @@
 """The vector search, the recurrent network and the pipeline."""
 
+import tracemalloc
+import types
+
 import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from traitspark.llm import queries, toxicity, vector_graph
+from traitspark.llm import perplexity, queries, toxicity, vector_graph
 from traitspark.session import materialise
 
 
@@ -122,3 +125,17 @@ def test_near_copies_go_by_id_and_text(spark, sf_dir):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, frame, sf_dir).collect()]
     assert sum(r[0] == 7 for r in got) == 1
     assert sorted((r for r in got if r[0] != 7), key=str) == sorted([(5, copy), (9, own), (5, other), (8, ""), (8, None), (None, copy)], key=str)
+
+
+def test_few_texts_at_once_when_scoring():
+    """A batch of many texts is scored in groups, and no more rows than these become strings."""
+    texts = pa.array([f"{i} " * 200 for i in range(3000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["en"] * 3000), pa.array(range(3000)), texts], list("abcd"))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    shared = types.SimpleNamespace(value=([none] * perplexity.ORDER, [none] * perplexity.ORDER))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in perplexity._score_rows(shared, 0.5, 1, 0)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and peak < 64 << 20
+    assert [t for _, group in perplexity._groups(texts, 5000, 7) for t in group] == texts.to_pylist()

@@ -60,15 +60,16 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), size
 
 
-def _groups(column: pa.Array, characters: int = 1 << 20):
-    """Texts in groups of about so many characters, with the index of the first."""
+def _groups(column: pa.Array, characters: int = 1 << 19, rows: int = 256):
+    """Texts in groups of about so many characters, with the index of the first; so many rows at a time become strings."""
     group, size, first = [], 0, 0
-    for i, text in enumerate(column.to_pylist()):
-        group.append(text or "")
-        size += len(group[-1])
-        if size >= characters:
-            yield first, group
-            group, size, first = [], 0, i + 1
+    for low in range(0, len(column), rows):
+        for i, text in enumerate(column.slice(low, rows).to_pylist(), low):
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= characters:
+                yield first, group
+                group, size, first = [], 0, i + 1
     if group:
         yield first, group
 
@@ -147,6 +148,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
                         held, size = [], 0
         if held:
             yield given()
+        pa.default_memory_pool().release_unused()  # the worker may wait beside others
 
     rows = trusted.select("text").mapInArrow(emit, "hi long, lo long, n long")
     return rows.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
@@ -257,6 +259,7 @@ def _score_rows(shared, base: float, shards: int, own: int):
                     [part.column(0), part.column(1), part.column(2), pa.array(-total), pa.array(n)],
                     ["doc_id", "lang", "text_key", "surprise", "n"],
                 )
+        pa.default_memory_pool().release_unused()  # the worker may wait beside others
 
     return emit
 
