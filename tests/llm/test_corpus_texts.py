@@ -220,6 +220,48 @@ def test_pairs_of_a_group_without_a_common_pivot(spark, monkeypatch):
     assert written["pairs"].count() <= near
 
 
+@pytest.mark.parametrize("task_rows", [1 << 16, 1])
+def test_forest_hangs_all_on_the_smallest(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(filters, "TASK_ROWS", task_rows)
+    draw = random.Random(task_rows)
+    order = draw.sample(range(1000, 2000), 150)  # a chain, small random groups, a star, copies and loops
+    links = list(zip(order, order[1:])) + [(draw.randrange(300), draw.randrange(300)) for _ in range(140)]
+    links += [(5000, 5000 + i) for i in range(50)] + links[:20] + [(7, 7)]
+    up = {n: n for link in links for n in link}
+    while any(up[a] != up[b] for a, b in links):
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = filters.forest(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((n, r) for n, r in up.items() if n != r)
+    assert filters.forest(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_of_few_links_take_few_tasks(spark, monkeypatch):
+    """Links of later levels start from the groups found, and small tables are not dealt to as many tasks as shuffles have."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(40) for k in [(i * 7) % 55]]
+    written, old = [], filters.materialise
+
+    def kept(frame, name="stage"):
+        out = old(frame, name)
+        written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(filters, "materialise", kept)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        got = jaccard_join.components(frame, leaf=3, levels=3, one_in=1, least=2).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert ordered(got) == ordered(linked(rows))
+    assert max(written) <= spark.sparkContext.defaultParallelism and len(written) <= 8
+
+
 def test_place_of_frequent_shingles():
     draw = np.random.default_rng(5)
     n = draw.integers(0, 9, 200)

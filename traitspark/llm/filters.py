@@ -22,6 +22,8 @@ FILTER_BITS = 1 << 27
 SPARSE = 32
 #: Bits of the smallest filter.
 LEAST_BITS = 1 << 13
+#: Rows of a counted table that are no work for more than one task.
+TASK_ROWS = 1 << 16
 
 
 class BitFilter:
@@ -57,8 +59,8 @@ def filter_words(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.nd
         .select(F.shiftright(slot, 6).cast("int").alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-        .toArrow()  # bits / 64 rows at most
     )
+    words = dealt(words, bits // 64).toArrow()  # no more rows
     out = np.zeros(bits // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return folded(out)
@@ -92,34 +94,48 @@ def hits(found: BitFilter, keys: np.ndarray) -> np.ndarray:
     return some
 
 
-def groups(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Columns ``node`` and ``root``: the smallest node that links (``a``, ``b``) reach.
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most ``rows`` rows, written by no more tasks than these need; large tables stay as they are."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
+def settled(edges: DataFrame, rows: int) -> bool:
+    """Whether edges from ``u`` to a smaller ``v`` hang each node on one only, which hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not dealt(nodes, 2 * rows).agg(F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0))).first()[0]
+
+
+def forest(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """Columns ``node`` and ``root``: the smallest node that links (``a``, ``b``) reach, for all others that they reach.
 
     Alternates two steps that hang every node on a smaller neighbour until all
     hang on the smallest; the number of rounds grows with the logarithm of the
-    longest chain. Nodes without links do not appear. Nothing is collected.
+    longest chain, and links that already are a forest take none. No step has more
+    edges than there are links, which are counted. Nothing is collected.
     """
-    edges = materialise(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
-    )
-    state = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    rows = edges.count()
+
+    def lowest(df: DataFrame, low) -> DataFrame:
+        nodes = df.groupBy("u").agg(low.alias("m"))
+        return F.broadcast(dealt(nodes, rows)) if rows <= TASK_ROWS else nodes  # counted
+
+    edges = materialise(dealt(edges.distinct(), rows), "links")
     for _ in range(rounds):
+        if settled(edges, rows):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = lowest(both, F.least(F.min("v"), F.col("u")))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(dealt(large, rows), "links")
+        low = lowest(large, F.min("v"))
         small = (
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        edges = materialise(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"groups did not settle in {rounds} rounds")
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        edges = materialise(dealt(small, rows), "links")
+    raise RuntimeError(f"links did not settle in {rounds} rounds")

@@ -14,7 +14,8 @@ two nodes link at a distance of at most ``r = 1 - percent / 100``.
    enough of their regions with a pivot are measured exactly against it, so a
    group of near copies costs one measurement a member. Linked nodes form
    groups. Regions that still hold many nodes outside the groups of their pivots take
-   another pivot from these, level by level; a level reads no other region's groups.
+   another pivot from these, level by level; a level reads no other region's groups,
+   and starts from the groups that the levels before it found.
 3. *Windows.* What is left are pairs from different groups in one region. A node
    goes to the ring of its distance from the pivot and to the neighbouring
    rings, by the triangle inequality; nodes that were not measured go to all
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .filters import FILTER_BITS, BitFilter, bit_filter, filter_words, groups, hits, possibly
+from .filters import FILTER_BITS, BitFilter, bit_filter, dealt, filter_words, forest, hits, possibly
 from .words import Words, mix, pieces, signed, unsigned
 
 SHINGLE = 5
@@ -176,6 +177,9 @@ class Join:
         self.known = self.texts.where("doc_id is not null")
         keyed = self.texts.withColumn("text_key", F.xxhash64("text"))
         self.nodes = materialise(keyed.mapInArrow(_node_rows, "doc_id long, text_key long, n long, node long"), "nodes")
+        # the text that stands for each node
+        stand = self.nodes.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        self.stand = materialise(dealt(stand, self.nodes.count()), "stand")
         some = self.known.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text")
         seen = some.mapInArrow(_sample_rows, "key long").groupBy("key").count().where(F.col("count") >= least)
         self.frequent = bit_filter(seen, "key", filter_bits)
@@ -208,11 +212,10 @@ class Join:
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """``a, b, a_n, b_n, common`` of pairs of nodes, from their whole sets."""
-        pairs = materialise(pairs, "pairs")
+        rows = pairs.count()
         active = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # the text that stands for each node; only texts whose id may be one of these are hashed
-        stand = self.nodes.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        wanted = materialise(stand.join(active, "node", "left_semi"), "wanted")
+        # only texts whose id may be one of these are hashed
+        wanted = materialise(self.stand.join(dealt(active, 2 * rows), "node", "left_semi"), "wanted")
         chosen = bit_filter(wanted.select(F.col("node").bitwiseXOR(F.expr("shiftleft(doc_id, 20)")).alias("stand")), "stand", self.bits)
         ids = F.xxhash64("doc_id")
         texts = possibly(self.known, filter_words(wanted.select(ids.alias("key")), "key", self.bits), ids)
@@ -223,16 +226,21 @@ class Join:
             .select("a", "b", "a_n", "b_n", "a_set", "b_set")
             .mapInArrow(_common_rows, "a long, b long, a_n long, b_n long, common long")
         )
-        return materialise(both.distinct(), "measured")
+        return materialise(dealt(both.distinct(), rows), "measured")
 
     def links(self, measured: DataFrame) -> DataFrame:
         union = F.col("a_n") + F.col("b_n") - F.col("common")
         return measured.where(100 * F.col("common") >= self.percent * union).select("a", "b")
 
 
-def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the ``root`` of their group; a node without links is its own."""
-    return members.join(groups(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def grouped(members: DataFrame, hung: DataFrame) -> DataFrame:
+    """Members with the ``root`` of their group; a node that hangs on none is its own."""
+    return members.join(hung, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def with_links(hung: DataFrame | None, links: DataFrame) -> DataFrame:
+    """New links and those that groups found so far need."""
+    return links if hung is None else links.union(hung.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 def of_pivots(pivots: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -248,9 +256,10 @@ def central(members: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     most memberships of large regions with others: of a group of near copies, the
     text that most of them are near to, and not one of its edited copies.
     """
+    rows = members.count()
     large = members.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > leaf)
-    heavy = materialise(members.join(large, "region"), "large-regions")
-    weights = materialise(heavy.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    heavy = materialise(members.join(dealt(large, rows), "region"), "large-regions")
+    weights = materialise(dealt(heavy.groupBy("node").agg(F.sum("size").alias("weight")), rows), "weights")
     middle = heavy.join(weights, "node").groupBy("region").agg(F.max(F.struct("weight", "node", "n")).alias("m"))
     first = members.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p")).join(middle, "region", "left")
     return first.select(
@@ -287,12 +296,18 @@ def most_shared():
 
 
 def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf: int, levels: int, filter_bits: int):
-    """The nodes of all documents and the links that join their groups."""
+    """The nodes of all documents, and those of a group that hang on its ``root``."""
     run = Join(docs, percent, one_in, least, filter_bits)
     members = run.members()
     pivots, weights = central(members, leaf)
-    links = distances = again = None
-    left, pivots = members, materialise(pivots, "pivots")
+    rows = members.count()
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        """A table of no more rows than members."""
+        return materialise(dealt(df, rows), name)
+
+    hung = distances = again = None
+    left, pivots = members, written(pivots, "pivots")
     for level in range(levels):
         shared = (
             members.join(pivots, "region").where("node <> pivot").groupBy("node", "n", "pivot", "pivot_n")
@@ -300,31 +315,33 @@ def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf:
             .where(run.fitting("n", "pivot_n") & (2 * F.col("regions") >= run.needed("n", "pivot_n")))
             .select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("a_n"), F.col("pivot_n").alias("b_n"))
         )
-        found = run.measured(shared)
+        found = run.measured(written(shared, "pairs"))
         distances = found if distances is None else distances.union(found)
-        links = run.links(found) if links is None else links.union(run.links(found))
+        hung = forest(with_links(hung, run.links(found)))
+        if level and level + 1 == levels:
+            break
         # later levels: only what large regions have outside the groups of all their pivots so far
-        rooted = materialise(grouped(left, links), "rooted")
+        rooted = written(grouped(left, hung), "rooted")
         of_pivot = of_pivots(pivots, rooted)
         if level == 0:
             every = rooted
-            mains = of_pivot = materialise(of_pivot, "pivots")
+            mains = of_pivot = written(of_pivot, "pivots")
         outside = rooted.join(of_pivot.select("region", "main"), "region").where("root <> main")
         large = outside.join(weights, "node", "left").groupBy("region").agg(
             F.count(F.lit(1)).alias("left"), F.max(F.struct("weight", "node", "n")).alias("p")
         ).where(F.col("left") > leaf)
         if level + 1 == levels:
             break
-        pivots = materialise(large.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+        pivots = written(large.select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
         if pivots.isEmpty():
             break
-        left = materialise(outside.join(pivots, "region", "left_semi").select(*members.columns), "outside")
+        left = written(outside.join(pivots, "region", "left_semi").select(*members.columns), "outside")
         if again is None:  # regions of later levels are among these
             again = pivots.select("region")
     rooted = every
     if again is not None:
         # the other regions keep the groups of the first level, which any later ones contain
-        anew = materialise(grouped(members.join(again, "region", "left_semi"), links), "rooted")
+        anew = written(grouped(members.join(again, "region", "left_semi"), hung), "rooted")
         rooted = every.join(again, "region", "left_anti").unionByName(anew)
         moved = of_pivots(mains.join(again, "region", "left_semi").drop("main"), anew)
         mains = mains.join(again, "region", "left_anti").unionByName(moved)
@@ -337,8 +354,8 @@ def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf:
     placed = rooted.join(mains.drop("pivot_n"), "region").join(ring, ["node", "pivot"], "left").withColumn(
         "ring", F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col("ring"))
     )
-    placed = materialise(placed.select("region", "node", "n", "root", "ring", (F.col("root") == F.col("main")).alias("inner")), "rings")
-    placed = materialise(sketched(placed), "sketches")
+    placed = written(placed.select("region", "node", "n", "root", "ring", (F.col("root") == F.col("main")).alias("inner")), "rings")
+    placed = written(sketched(placed), "sketches")
     every = F.sequence(F.lit(-1), F.lit(last))
     # a measured node has its own ring as home and is copied to the two beside it;
     # nodes that were not measured are at home in ring -1, which all nodes are copied to
@@ -363,8 +380,8 @@ def similar_nodes(docs: DataFrame, percent: int, one_in: int, least: int, leaf:
     )
     pairs = materialise(pairs, "pairs")
     if not pairs.isEmpty():
-        links = links.union(run.links(run.measured(pairs)))
-    return run.nodes, links
+        hung = forest(with_links(hung, run.links(run.measured(pairs))))
+    return run.nodes, hung
 
 
 def rooted(
@@ -381,9 +398,9 @@ def rooted(
     ``root`` tells components apart: where rows repeat a ``doc_id`` with different
     texts, two components may have the same smallest one.
     """
-    nodes, links = similar_nodes(docs, percent, one_in, least, leaf, levels, filter_bits)
+    nodes, hung = similar_nodes(docs, percent, one_in, least, leaf, levels, filter_bits)
     own = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
-    roots = materialise(own.join(groups(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    roots = materialise(dealt(grouped(own, hung), nodes.count()), "roots")
     lowest = roots.groupBy("root").agg(F.min("low").alias("component"))
     named = roots.join(lowest, "root").select("node", "root", "component")
     return nodes.join(named, "node", "left").select(
