@@ -525,6 +525,35 @@ def test_mixture_meets_targets(spark, docs, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_a_round_of_raking_is_one_job(spark, sf_dir, monkeypatch):
+    """The driver plans and keeps a job for each round, not for each margin, and no others to see whether weights settle."""
+    written, old = [], mixing.materialise
+
+    def kept(frame, name="stage"):
+        written.append(name)
+        return old(frame, name)
+
+    monkeypatch.setattr(mixing, "materialise", kept)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cells = old(mixing.measured(docs, mixing.TOPICS).where("tokens > 0").groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens")))
+    got = mixing.rake(cells, mixing.TEMPER, 4, 0.8)
+    assert written.count("cells") <= 1 + 4
+    # the same rounds, margin after margin, in Python
+    want = {tuple(r[m] for m in mixing.MARGINS): r.tokens for r in cells.collect()}
+    whole = sum(want.values())
+    most = {k: v / (0.8 * whole) for k, v in want.items()}
+    weight = {k: min(v / whole, most[k]) for k, v in want.items()}
+    aims = [dict(mixing.targets(cells, m, t, float(whole), 0.8).collect()) for m, t in mixing.TEMPER.items()]
+    for _ in range(4):
+        for i, aim in enumerate(aims):
+            now = collections.Counter()
+            for k, w in weight.items():
+                now[k[i]] += w
+            weight = {k: min(most[k], w * aim[k[i]] / now[k[i]]) for k, w in weight.items()}
+    rows = {tuple(r[m] for m in mixing.MARGINS): r.weight for r in got.collect()}
+    assert rows.keys() == weight.keys() and all(abs(rows[k] - weight[k]) < 1e-12 for k in rows)
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer

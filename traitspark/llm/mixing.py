@@ -11,7 +11,7 @@ target is more than there is, the value's target is all of it, and the rest of t
 margin is spread over the other values in proportion.
 
 Fitting scales the cells' weights so that one margin after the other meets its
-targets, by aggregation and join of the table of cells; no cell's weight goes above
+targets, by aggregation and join of the table of cells, a round in one job; no cell's weight goes above
 its tokens (its probability is then 1), and what it cannot take is raked to the open
 cells in the next step, until no weight changes or for ``rounds`` rounds. A document's
 probability is its cell's weight over its tokens. It is drawn by a hash of its id and
@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hex_int, salted_md5
@@ -116,22 +116,24 @@ def targets(cells: DataFrame, margin: str, temper: float, whole: float, share: f
 def rake(cells: DataFrame, temper: dict[str, float], rounds: int, share: float) -> DataFrame:
     """``cells`` with ``weight``: shares of the sample's tokens that meet the margins' targets, at most ``most``."""
     whole = float(cells.agg(F.sum("tokens")).first()[0])
-    wanted = {m: _renamed(targets(cells, m, t, whole, share), [m]) for m, t in temper.items()}
     most = (F.col("tokens") / F.lit(share * whole)).alias("most")
-    cells = materialise(cells.select(*MARGINS, "tokens", most, F.least(F.col("tokens") / F.lit(whole), most).alias("weight")), "cells")
-    for _ in range(rounds):
-        cells = cells.withColumn("was", F.col("weight"))
+    start = cells.select(*MARGINS, "tokens", most, F.least(F.col("tokens") / F.lit(whole), most).alias("weight"))
+    for margin, t in temper.items():
+        want = _renamed(targets(cells, margin, t, whole, share), [margin]).withColumnRenamed("target", f"{margin}_target")
+        start = start.join(want, _same(start, want, [margin])).drop(f"{margin}_of")
+    cells = materialise(start, "cells")
+    for _ in range(rounds):  # one job a round: the driver plans few, and keeps few
+        fitted = cells.withColumn("was", F.col("weight"))
         for margin in temper:
-            now = _renamed(cells.groupBy(margin).agg(F.sum("weight").alias("now")), [margin])
-            want = wanted[margin].withColumnRenamed(f"{margin}_of", "value")
-            factor = now.join(want, F.col(f"{margin}_of").eqNullSafe(F.col("value"))).select(
-                f"{margin}_of", (F.col("target") / F.col("now")).alias("factor")
-            )
-            weight = F.least("most", F.col("weight") * F.col("factor")).alias("weight")
-            cells = materialise(cells.join(factor, _same(cells, factor, [margin])).select(*MARGINS, "tokens", "most", "was", weight), "cells")
-        if cells.agg(F.max(F.abs(F.col("weight") / F.col("was") - 1))).first()[0] < SETTLED:
+            now = _renamed(fitted.groupBy(margin).agg(F.sum("weight").alias("now")), [margin])
+            weight = F.least("most", F.col("weight") * (F.col(f"{margin}_target") / F.col("now"))).alias("weight")
+            fitted = fitted.join(now, _same(fitted, now, [margin])).select(*[c for c in fitted.columns if c != "weight"], weight)
+        change = Observation()
+        fitted = fitted.observe(change, F.max(F.abs(F.col("weight") / F.col("was") - 1)).alias("most"))
+        cells = materialise(fitted.drop("was"), "cells")
+        if change.get["most"] < SETTLED:
             break
-    return cells.drop("was")
+    return cells.select(*MARGINS, "tokens", "most", "weight")
 
 
 def residuals(cells: DataFrame, temper: dict[str, float], rounds: int = ROUNDS, share: float = SHARE) -> dict[str, float]:
