@@ -217,3 +217,68 @@ def test_few_blocks_are_dealt_by_networks(spark, rows, monkeypatch):
         perceptron.train(blocks, nets)
         found.append([(n.epochs, n.flat.tolist(), n.best) for n in nets])
     assert found[0] == found[1]
+
+
+def test_blocks_are_dealt_evenly(spark, rows, monkeypatch):
+    monkeypatch.setattr(perceptron, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(perceptron, "UNITS_A_CORE", 0)
+    blocks = perceptron.lay_rows(rows, ["a", "b"], "y", ["id"], None, 3)
+    dealt, shares = perceptron._deal(blocks, 1)
+    sizes = [len(part) for part in dealt.select("block").rdd.glom().collect()]
+    assert shares == 1 and sum(sizes) == blocks.count() and max(sizes) - min(sizes) <= 1
+
+
+def _plain_pass(net, z, fold, held):
+    """Weights, speed and squared errors of a block, row by row as the formulas say."""
+    own = net.rows(fold)
+    relu, w, v = net.params["activation"] == "relu", net.flat, net.speed
+    part, size = z[own & ~held], net.params["batch_size"]
+    for low in range(0, len(part), size):
+        x, y = part[low : low + size, :-1], part[low : low + size, -1:]
+        layers = perceptron._unpack(w, net.sizes)
+        inputs = perceptron._forward(x, layers, net.params["activation"])
+        back, found = (inputs[-1] - y) / len(y), []
+        for i in range(len(layers) - 1, -1, -1):
+            found = [(inputs[i].T @ back + perceptron.L2 * layers[i][0] / len(y)).ravel(), back.sum(0), *found]
+            back = back @ layers[i][0].T * ((inputs[i] > 0) if relu else 1.0)
+        push = net.rate * np.concatenate(found)
+        v = perceptron.MOMENTUM * v - push
+        w = w + perceptron.MOMENTUM * v - push
+    test = z[own & held]
+    e = perceptron._predict_flat(test[:, :-1], net.flat, net.sizes, net.params["activation"]) - test[:, -1]
+    return w, v, e @ e
+
+
+def test_networks_of_a_block_step_like_each_alone(monkeypatch):
+    """All kinds of networks, folds of unlike numbers of mini-batches, one without training rows, one that lost its way."""
+    monkeypatch.setattr(perceptron, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(4)
+    z, fold, held = rng.normal(size=(100, 3)) + [1.0, 0.0, 5.0], rng.choice(4, 100, p=[0.55, 0.3, 0.1, 0.05]).astype(np.int32), rng.random(100) < 0.2
+    held |= fold == 3
+    nets = []
+    for sizes in ((), (1,), (4, 3), (6, 5, 2)):
+        for activation in ("identity", "relu"):
+            for size in (2, 7, 100):
+                point = {"hidden_layer_sizes": sizes, "activation": activation, "batch_size": size}
+                nets += [perceptron.Network.of(point, skip, 2, 3) for skip in (-2, 0, 1)]
+                nets += [perceptron.Network.of(point, -2, 2, 3, own=k) for k in (1, 3, 9)]
+    for n, net in enumerate(nets):
+        net.speed, net.rate = rng.normal(size=len(net.flat)) * 0.01, 0.001 * (1 + n % 3)
+    rows_seen = []
+    monkeypatch.setattr(perceptron, "_slopes", lambda *a, _made=perceptron._slopes: rows_seen.append(a[4]) or _made(*a))
+    found = dict(perceptron._block_pass(list(enumerate(nets)), z, fold, held, perceptron._Scratch()))
+    assert set(found) == {n for n, net in enumerate(nets) if net.own != 9}
+    for n, row in found.items():
+        w, v, sse = _plain_pass(nets[n], z, fold, held)
+        state = row[:-4].view(np.int64) / perceptron.STEPS
+        assert state[-1] == pytest.approx((nets[n].rows(fold) & ~held).sum() / 100, abs=1e-9)
+        if state[-1]:
+            np.testing.assert_allclose(state[:-1] / state[-1], np.concatenate([w, v]), atol=1e-8)
+        assert row[-1] == pytest.approx(sse, rel=1e-9)
+    # mini-batches of at least as many rows as a row has numbers pass a network without activation as moments
+    assert rows_seen.count("identity") == sum(-(-int((net.rows(fold) & ~held).sum()) // 2) for net in nets if net.params["activation"] == "identity" and net.params["batch_size"] == 2)
+    lost = perceptron.Network.of({"hidden_layer_sizes": (4,), "activation": "identity", "batch_size": 20}, -2, 2, 3)
+    lost.flat = lost.flat * 1e200
+    with np.errstate(all="ignore"):
+        row = dict(perceptron._block_pass([(0, lost)], z, fold, held, perceptron._Scratch()))[0]
+    assert row[-1] == 1e300 and np.abs(row[:-4].view(np.int64) / perceptron.STEPS).max() <= 16384

@@ -16,7 +16,7 @@ import itertools
 import json
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -76,20 +76,108 @@ def _forward(x: np.ndarray, layers, activation: str) -> list[np.ndarray]:
     return states
 
 
-def _gradient(x, y, flat, sizes, activation) -> np.ndarray:
-    layers = _unpack(flat, sizes)
-    states = _forward(x, layers, activation)
-    n = len(y)
-    delta = (states[-1][:, 0] - y)[:, None] / n
-    parts: list[np.ndarray] = []
+def _layers(flat: np.ndarray, sizes: Sequence[int]) -> list[np.ndarray]:
+    """Views of the layers, each its weights with the biases as last line; leading axes of ``flat`` stay."""
+    layers, at = [], 0
+    for a, b in zip(sizes[:-1], sizes[1:]):
+        layers.append(flat[..., at : at + (a + 1) * b].reshape(*flat.shape[:-1], a + 1, b))
+        at += (a + 1) * b
+    return layers
+
+
+def _decay(sizes: Sequence[int]) -> np.ndarray:
+    """The penalty of each number of a state: none for biases."""
+    flat = np.full(sum((a + 1) * b for a, b in zip(sizes[:-1], sizes[1:])), L2)
+    for layer in _layers(flat, sizes):
+        layer[-1] = 0.0
+    return flat
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Rows as columns, with a line of ones for the biases."""
+    turned = np.ones((x.shape[1] + 1, len(x)))
+    turned[:-1] = x.T
+    return turned
+
+
+class _Scratch:
+    """Memory for what the layers make of a mini-batch, used again by the next one."""
+
+    def __init__(self) -> None:
+        self.held: dict = {}
+        self.cut: dict = {}
+
+    def _take(self, name, lines: int, rows: int, kind=float) -> np.ndarray:
+        flat = self.held.get(name)
+        if flat is None or len(flat) < lines * rows:
+            flat = self.held[name] = np.empty(lines * rows, kind)
+        return flat[: lines * rows].reshape(lines, rows)
+
+    def of(self, layers: Sequence[np.ndarray], rows: int) -> tuple[list, list, list]:
+        """States of the layers, with a line for the biases' ones but in the last; slopes and signs of the inner ones."""
+        units = tuple(layer.shape[1] for layer in layers)
+        if (units, rows) not in self.cut:
+            inner = list(enumerate(units[:-1]))
+            self.cut[units, rows] = (
+                [self._take(("state", i), n + 1, rows) for i, n in inner] + [self._take("last", units[-1], rows)],
+                [self._take(("slope", i), n, rows) for i, n in inner],
+                [self._take(("sign", i), n, rows, bool) for i, n in inner],
+            )
+        return self.cut[units, rows]
+
+
+def _states(x: np.ndarray, layers: Sequence[np.ndarray], activation: str, scratch: _Scratch) -> list[np.ndarray]:
+    """Turned rows and what each layer makes of them."""
+    states = [x, *scratch.of(layers, x.shape[1])[0]]
+    for layer, before, state in zip(layers[:-1], states, states[1:]):
+        made = state[:-1]
+        np.matmul(layer.T, before, out=made)
+        state[-1] = 1.0
+        if activation == "relu":
+            np.maximum(made, 0.0, out=made)
+    np.matmul(layers[-1].T, states[-2], out=states[-1])
+    return states
+
+
+def _slopes(x, y, layers, into, activation, scratch) -> None:
+    """Puts the mean gradient over the turned rows into the layers of ``into``."""
+    states, (_, slopes, signs) = _states(x, layers, activation, scratch), scratch.of(layers, x.shape[1])
+    delta = states[-1]
+    delta -= y
+    delta /= len(y)
     for i in range(len(layers) - 1, -1, -1):
-        w, _ = layers[i]
-        parts = [(states[i].T @ delta + L2 * w / n).ravel(), delta.sum(0), *parts]
+        np.matmul(states[i], delta.T, out=into[i])
         if i:
-            delta = delta @ w.T
+            back = slopes[i - 1]
+            # with one unit the product is an outer one
+            (np.multiply if len(delta) == 1 else np.matmul)(layers[i][:-1], delta, out=back)
             if activation == "relu":
-                delta = delta * (states[i] > 0)
-    return np.concatenate(parts)
+                back *= np.greater(states[i][:-1], 0.0, out=signs[i - 1])
+            delta = back
+
+
+def _gradient(x, y, flat, sizes, activation) -> np.ndarray:
+    found = np.empty_like(flat)
+    _slopes(_turned(x), y, _layers(flat, sizes), _layers(found, sizes), activation, _Scratch())
+    return found + _decay(sizes) * flat / len(y)
+
+
+def _joined(layers: Sequence[np.ndarray]) -> np.ndarray:
+    """The one layer that layers without activation come to."""
+    whole = layers[-1]
+    for layer in reversed(layers[:-1]):
+        bias = np.zeros(len(layer))
+        bias[-1] = 1.0
+        whole = layer @ whole[:-1] + np.outer(bias, whole[-1])
+    return whole
+
+
+def _outputs(x: np.ndarray, flat: np.ndarray, sizes, activation, scratch: _Scratch) -> np.ndarray:
+    """Predictions of turned rows."""
+    layers = _layers(flat, sizes)
+    if activation == "identity":
+        return _joined(layers)[:, 0] @ x
+    return _states(x, layers, activation, scratch)[-1][0]
 
 
 def _predict_flat(x: np.ndarray, flat: np.ndarray, sizes, activation) -> np.ndarray:
@@ -187,17 +275,94 @@ class Network:
                 self.live = False
 
 
-def _batch_steps(z: np.ndarray, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and speed after the mini-batches of ``z``, in its order."""
-    w, v, size = net.flat, net.speed, int(net.params["batch_size"])
-    for low in range(0, len(z), size):
-        part = z[low : low + size]
-        push = net.rate * _gradient(part[:, :-1], part[:, -1], w, net.sizes, net.params["activation"])
-        v = MOMENTUM * v - push
-        w = w + MOMENTUM * v - push
+def _move(w: np.ndarray, v: np.ndarray, push: np.ndarray, rate) -> None:
+    """One step against the gradient ``push``, in place."""
+    push *= rate
+    v *= MOMENTUM
+    v -= push
+    w += MOMENTUM * v
+    w -= push
+
+
+def _batch_steps(x: np.ndarray, y: np.ndarray, net: Network, scratch: _Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and speed after the mini-batches of the turned rows, in their order."""
+    w, v, size, decay = net.flat.copy(), net.speed.copy(), int(net.params["batch_size"]), _decay(net.sizes)
+    push = np.empty_like(w)
+    layers, into = _layers(w, net.sizes), _layers(push, net.sizes)
+    for low in range(0, len(y), size):
+        truth = y[low : low + size]
+        _slopes(x[:, low : low + size], truth, layers, into, net.params["activation"], scratch)
+        push += decay * w / len(truth)
+        _move(w, v, push, net.rate)
     return w, v
 
 
+def _by_moments(net: Network) -> bool:
+    """Whether a network without activation is better off with its mini-batches' moments than with their rows."""
+    width = net.sizes[0] + 1
+    return net.params["activation"] == "identity" and width <= int(net.params["batch_size"]) and width * width <= 3 * len(net.flat)
+
+
+def _moments(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean products of the turned rows with each other and with the truth, and the rows, of each mini-batch."""
+    width, count = x.shape
+    full = count // size
+    cut = x[:, : full * size].reshape(width, full, size).transpose(1, 0, 2)
+    xx, xy = cut @ cut.transpose(0, 2, 1) / size, cut @ y[: full * size].reshape(full, size, 1) / size
+    if left := count - full * size:
+        rest = x[:, full * size :]
+        xx = np.concatenate([xx, (rest @ rest.T / left)[None]])
+        xy = np.concatenate([xy, (rest @ y[full * size :, None] / left)[None]])
+    return xx, xy, np.array([size] * full + [left] * bool(left), float)
+
+
+def _moment_steps(nets: Sequence[Network], moments: Sequence[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``_batch_steps`` of networks of the same sizes and without activation, from their mini-batches' moments.
+
+    The output is linear in a row, so the gradient of a mini-batch is a product of
+    the weights and the mean products of its rows. A step is taken by all networks
+    that still have a mini-batch, those with most of them first.
+    """
+    sizes, width = nets[0].sizes, nets[0].sizes[0] + 1
+    order = sorted(range(len(nets)), key=lambda i: -len(moments[i][2]))
+    w, v = (np.stack([getattr(nets[i], name) for i in order]) for name in ("flat", "speed"))
+    push, rate, decay = np.empty_like(w), np.array([[nets[i].rate] for i in order]), _decay(sizes)
+    turns = np.array([len(moments[i][2]) for i in order])
+    xx, xy = np.zeros((turns[0], len(nets), width, width)), np.zeros((turns[0], len(nets), width, 1))
+    rows = np.ones((turns[0], len(nets), 1))
+    for at, i in enumerate(order):
+        xx[: turns[at], at], xy[: turns[at], at], rows[: turns[at], at, 0] = moments[i]
+    # what a layer makes of a row is the row times these; the last column makes the one for the biases
+    states = [np.zeros((len(nets), width, h + 1)) for h in sizes[:-1]]
+    states[0][:] = np.eye(width)
+    for state in states[1:]:
+        state[:, -1, -1] = 1.0
+    live = 0
+    for turn in range(turns[0]):
+        if live != (n := int((turns > turn).sum())):
+            live = n
+            layers, into = _layers(w[:n], sizes), _layers(push[:n], sizes)
+            made, known = [s[:n, :, :-1] for s in states[1:]], [s[:n] for s in states]
+            turned = [s.transpose(0, 2, 1) for s in known]
+            back = [layer[:, :-1].transpose(0, 2, 1) for layer in layers]
+        for layer, state, out in zip(layers, known, made):
+            np.matmul(state, layer, out=out)
+        slope = xx[turn, :n] @ (known[-1] @ layers[-1]) - xy[turn, :n]
+        share = None
+        for i in range(len(layers) - 1, -1, -1):
+            of_rows = turned[i] @ slope
+            if share is None:
+                into[i][:] = of_rows
+            else:
+                np.multiply(of_rows, share, out=into[i])
+            if i:
+                share = back[i] if share is None else share @ back[i]
+        push[:n] += decay * w[:n] / rows[turn, :n]
+        _move(w[:n], v[:n], push[:n], rate[:n])
+    found = {i: (w[at], v[at]) for at, i in enumerate(order)}
+    return [found[i] for i in range(len(nets))]
+
+
 def lay_rows(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], fold: str | None, seed) -> DataFrame:
     """Blocks of rows by hash, one row a block, written once: values, folds and validation marks."""
     width = len(features) + 1
@@ -235,10 +400,58 @@ def _deal(blocks: DataFrame, networks: int) -> tuple[DataFrame, int]:
     """Blocks dealt evenly to the tasks; few blocks are written once for each share of the networks."""
     cores, count = blocks.sparkSession.sparkContext.defaultParallelism, blocks.count()
     shares = max(1, min(networks, -(-UNITS_A_CORE * cores // max(count, 1))))
-    if shares == 1:
-        return blocks.withColumn("share", F.lit(0)), 1
     units = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    return materialise(units.repartition(min(cores, max(1, count * shares))), "units"), shares
+    tasks = max(1, min(cores * -(-count // (64 * cores)), count * shares))  # whole waves of at most 64 blocks a task
+    unit = F.col("block") * shares + F.col("share")
+    return materialise(units.repartitionById(tasks, (unit % tasks).cast("int")), "units"), shares
+
+
+class _Chosen:
+    """A network's turned rows in a block, those held out for validation apart, with moments when they are asked for."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, own: np.ndarray, held: np.ndarray) -> None:
+        test, part = np.flatnonzero(own & held), np.flatnonzero(own & ~held)
+        self.test, self.truth = x.take(test, axis=1), y[test]
+        self.x, self.y = x.take(part, axis=1), y[part]
+        self.sums = np.array([len(test), self.truth.sum(), self.truth @ self.truth])
+        self.moments: dict = {}
+
+    def of(self, size: int) -> tuple:
+        if size not in self.moments:
+            self.moments[size] = _moments(self.x, self.y, size)
+        return self.moments[size]
+
+
+def _block_pass(nets: Sequence[tuple[int, Network]], z, fold, held, scratch: _Scratch):
+    """Number, row and state after the block, of each network that has rows in it."""
+    chosen: dict = {}  # networks of a fold share their rows
+    alike: dict = {}
+    x, y = _turned(z[:, :-1]), z[:, -1].copy()
+    for i, net in nets:
+        if (net.skip, net.own) not in chosen:
+            own = net.rows(fold)
+            chosen[net.skip, net.own] = _Chosen(x, y, own, held) if own.any() else None
+        if chosen[net.skip, net.own] is not None:
+            size = int(net.params["batch_size"])
+            alike.setdefault((tuple(net.sizes), size) if _by_moments(net) else i, []).append((i, net, chosen[net.skip, net.own]))
+    for group in alike.values():
+        if _by_moments(group[0][1]):
+            size = int(group[0][1].params["batch_size"])
+            steps = _moment_steps([net for _, net, _ in group], [rows.of(size) for _, _, rows in group])
+        else:
+            steps = [_batch_steps(rows.x, rows.y, net, scratch) for _, net, rows in group]
+        for (i, net, rows), (w, v) in zip(group, steps):
+            e = _outputs(rows.test, net.flat, net.sizes, net.params["activation"], scratch) - rows.truth
+            share = len(rows.y) / BLOCK_ROWS
+            state = np.concatenate([w, v, [1.0]])
+            state *= share
+            # a network whose weights leave the range has lost its way; its scores say so
+            np.clip(state, -16384, 16384, out=state)
+            state[np.isnan(state)] = 0.0
+            state *= STEPS
+            np.rint(state, out=state)
+            sums = np.array([*rows.sums, np.nan_to_num(e @ e, nan=1e300, posinf=1e300)])
+            yield i, np.concatenate([state.astype(np.int64).view(np.float64), sums])
 
 
 def train(blocks: DataFrame, networks: Sequence[Network]) -> None:
@@ -246,36 +459,19 @@ def train(blocks: DataFrame, networks: Sequence[Network]) -> None:
     blocks, shares = _deal(blocks, len(networks))
     width, tasks = networks[0].sizes[0] + 1, blocks.rdd.getNumPartitions()
     while live := [(i, n) for i, n in enumerate(networks) if n.live]:
+        sent = [(i, replace(n, best_flat=None)) for i, n in live]  # the best weights stay on the driver
 
         def local(batches):
             from pyspark import TaskContext
 
             total: dict[int, np.ndarray] = {}
+            scratch = _Scratch()
             for batch in batches:
                 for values, folds, held, turn in zip(*(batch.column(c).to_pylist() for c in ("values", "folds", "held", "share"))):
                     z = np.frombuffer(values).reshape(-1, width)
-                    fold, held = np.frombuffer(folds, np.int32), np.frombuffer(held, bool)
-                    chosen: dict = {}  # networks of a fold share their rows
-                    for at, (i, net) in enumerate(live):
-                        if at % shares != turn:
-                            continue
-                        if (net.skip, net.own) not in chosen:
-                            own = net.rows(fold)
-                            chosen[net.skip, net.own] = (z[own & held], z[own & ~held]) if own.any() else None
-                        if chosen[net.skip, net.own] is None:
-                            continue
-                        test, part = chosen[net.skip, net.own]
-                        y = test[:, -1]
-                        with np.errstate(all="ignore"):
-                            e = _predict_flat(test[:, :-1], net.flat, net.sizes, net.params["activation"]) - y
-                            w, v = _batch_steps(part, net)
-                        share = len(part) / BLOCK_ROWS
-                        state = np.concatenate([np.concatenate([w, v]) * share, [share]])
-                        # a network whose weights leave the range has lost its way; its scores say so
-                        state = np.rint(np.nan_to_num(np.clip(state, -16384, 16384)) * STEPS)
-                        sums = np.array([len(y), y.sum(), y @ y, np.nan_to_num(e @ e, nan=1e300, posinf=1e300)])
-                        row = np.concatenate([state.astype(np.int64).view(np.float64), sums])
-                        total[i] = row if i not in total else _added(total[i], row)
+                    with np.errstate(all="ignore"):
+                        for i, row in _block_pass(sent[turn::shares], z, np.frombuffer(folds, np.int32), np.frombuffer(held, bool), scratch):
+                            total[i] = row if i not in total else _added(total[i], row)
             slot = TaskContext.get().partitionId() % 64
             for i, row in total.items():
                 yield pa.RecordBatch.from_pydict(
@@ -357,13 +553,14 @@ def _fold_scores(blocks: DataFrame, networks: Sequence[Network]) -> DataFrame:
 
     def emit(batches):
         total = np.zeros((len(work), 2, 4))
+        scratch = _Scratch()
         for batch in batches:
             for values, folds in zip(*(batch.column(c).to_pylist() for c in ("values", "folds"))):
                 z, fold = np.frombuffer(values).reshape(-1, width), np.frombuffer(folds, np.int32)
-                y = z[:, -1]
+                x, y = _turned(z[:, :-1]), z[:, -1]
                 for i, (skip, flat, sizes, activation) in enumerate(work):
                     with np.errstate(all="ignore"):
-                        e = (_predict_flat(z[:, :-1], flat, sizes, activation) - y) ** 2
+                        e = (_outputs(x, flat, sizes, activation, scratch) - y) ** 2
                     for side, rows in enumerate((fold == skip, fold != skip)):
                         total[i, side] += [rows.sum(), y[rows].sum(), (y[rows] ** 2).sum(), e[rows].sum()]
         flat = total.reshape(-1, 4)
