@@ -282,3 +282,32 @@ def test_networks_of_a_block_step_like_each_alone(monkeypatch):
     with np.errstate(all="ignore"):
         row = dict(perceptron._block_pass([(0, lost)], z, fold, held, perceptron._Scratch()))[0]
     assert row[-1] == 1e300 and np.abs(row[:-4].view(np.int64) / perceptron.STEPS).max() <= 16384
+
+
+def test_loops_of_epochs_train_the_same_networks(spark, rows, monkeypatch):
+    """Kinds are dealt to the loops, results are those of one loop, an error in one ends the others."""
+    blocks = perceptron.lay_rows(rows, ["a", "b"], "y", ["id"], None, 3)
+
+    def nets(epochs):
+        kinds = [((4,), "relu"), ((2, 2), "relu"), ((3,), "identity"), ((), "identity")]
+        return [perceptron.Network.of({"hidden_layer_sizes": k, "activation": a, "max_iter": epochs, "batch_size": 50}, skip, 2, 3) for k, a in kinds for skip in (-2, 7)]
+
+    found = []
+    for loops in (1, 2):
+        monkeypatch.setattr(perceptron, "LOOPS", loops)
+        made = nets(3)
+        assert [len(part) for part in perceptron._parts(made)] == [8 // loops] * loops
+        perceptron.train(blocks, made)
+        found.append([(n.epochs, n.flat.tolist(), n.best) for n in made])
+    assert found[0] == found[1] and all(n[0] == 3 for n in found[0])
+
+    def scored(self, score):
+        if self.sizes[1] == 4:
+            raise KeyError("a fault of the code")
+        seen.append(score)
+
+    seen: list = []
+    monkeypatch.setattr(perceptron.Network, "scored", scored)
+    with pytest.raises(KeyError, match="fault of the code"):
+        perceptron.train(blocks, nets(500))
+    assert len(seen) < 500

@@ -1,10 +1,10 @@
 """Multilayer perceptron regression by data-parallel gradient descent.
 
 All networks of a search (every point and fold) train together: one Spark job an
-epoch takes all live networks through the rows once, each skipping its held-out
-fold. Rows lie in blocks by the hash of their key. In a block a network takes
-mini-batch steps from the current weights; the row-weighted mean of the blocks'
-weights is the next state. The same pass scores the current weights on the
+epoch takes the live networks of a loop through the rows once, each skipping its
+held-out fold. Rows lie in blocks by the hash of their key. In a block a network
+takes mini-batch steps from the current weights, those without activation on the
+mini-batches' moments; the row-weighted mean of the blocks' weights is the next state. The same pass scores the current weights on the
 validation rows. Blocks depend on the rows alone and means are sums of whole
 numbers, so the result does not depend on the number of cores. Only weights and sums
 leave a task, added up in two steps; the driver holds one state for each network.
@@ -16,11 +16,13 @@ import itertools
 import json
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,6 +230,8 @@ class UntrainedPerceptron:
 BLOCK_ROWS = 1 << 14
 #: Units of a block and a share of the networks that a core should have at least.
 UNITS_A_CORE = 4
+#: Loops of epochs at a time.
+LOOPS = 2
 #: Whole steps of a weight in a sum; exact for weights below 2**14 in up to 2**15 blocks of a task.
 STEPS = 1 << 34
 
@@ -454,9 +458,43 @@ def _block_pass(nets: Sequence[tuple[int, Network]], z, fold, held, scratch: _Sc
             yield i, np.concatenate([state.astype(np.int64).view(np.float64), sums])
 
 
+def _parts(networks: Sequence[Network]) -> list[list[Network]]:
+    """Networks for each loop of epochs: those alike stay together, the costly kinds are dealt out in turn."""
+    kinds: dict = {}
+    for net in networks:
+        kinds.setdefault((tuple(net.sizes), net.params["activation"], int(net.params["batch_size"])), []).append(net)
+    cost = {k: (not _by_moments(nets[0])) * len(nets) * len(nets[0].flat) for k, nets in kinds.items()}
+    ordered = sorted(kinds, key=lambda k: -cost[k])  # of equal ones the first comes first
+    parts: list[list[Network]] = [[] for _ in range(min(LOOPS, len(kinds)))]
+    for at, k in enumerate(ordered):
+        parts[at % len(parts)] += kinds[k]
+    return parts
+
+
 def train(blocks: DataFrame, networks: Sequence[Network]) -> None:
-    """Epochs over all networks until each has stopped."""
+    """Epochs over all networks until each has stopped.
+
+    Networks don't depend on each other, so parts of them have loops of their own:
+    while one plans its next epoch or waits for its last task, the cores do another's.
+    """
     blocks, shares = _deal(blocks, len(networks))
+    parts = _parts(networks)
+    if len(parts) == 1:
+        return _epochs(blocks, shares, parts[0])
+    carried = inheritable_thread_target(blocks.sparkSession)  # the session itself where threads aren't pinned
+    loop = carried(_epochs) if callable(carried) else _epochs
+    with ThreadPoolExecutor(len(parts)) as pool:
+        loops = [pool.submit(loop, blocks, shares, part) for part in parts]
+        try:
+            wait(loops, return_when=FIRST_EXCEPTION)
+        finally:
+            for net in networks:  # after an error or an interrupt the other loops end
+                net.live = False
+        for done in loops:
+            done.result()
+
+
+def _epochs(blocks: DataFrame, shares: int, networks: Sequence[Network]) -> None:
     width, tasks = networks[0].sizes[0] + 1, blocks.rdd.getNumPartitions()
     while live := [(i, n) for i, n in enumerate(networks) if n.live]:
         sent = [(i, replace(n, best_flat=None)) for i, n in live]  # the best weights stay on the driver
